@@ -19,3 +19,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_token_counts"] = op1_token_counts
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .sharding import pack_documents
+
+    packed = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES["op2_sharding"] = op2_sharding
