@@ -31,3 +31,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_sharding"] = op2_sharding
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES["op3_simhash_dedup"] = op3_simhash_dedup
