@@ -63,3 +63,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_toxicity"] = op10_toxicity
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op6_minhash"] = op6_minhash
