@@ -72,3 +72,15 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_minhash"] = op6_minhash
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, fold_events, message_events, read_back, render
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return digests(read_back(render(fold_events(message_events(rows.unionByName(extra))))))
+
+
+QUERIES["op8_chat_format"] = op8_chat_format
