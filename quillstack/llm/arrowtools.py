@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 
 def _batch_bytes(batch: pa.RecordBatch, text: str) -> np.ndarray:
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = pa.compute.binary_length(column).fill_null(0)
+    sizes = pc.binary_length(column).fill_null(0)
     return np.asarray(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
@@ -157,4 +158,4 @@ def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Ta
                 yield from finish(unpack_table(payload.as_buffer()), {x["bucket"]: x["answer"] for x in got or []})
 
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
-    return blocks.join(per_block, "block", "left").select("payload", "answers").mapInArrow(run, schema)
+    return blocks.join(per_block.hint("merge"), "block", "left").select("payload", "answers").mapInArrow(run, schema)

@@ -84,3 +84,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_chat_format"] = op8_chat_format
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op9_bpe_codec"] = op9_bpe_codec
