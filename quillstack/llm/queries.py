@@ -93,3 +93,12 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_bpe_codec"] = op9_bpe_codec
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
