@@ -102,3 +102,37 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lm_scoring import document_scores
+
+    found = document_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+QUERIES["op4_lm_scoring"] = op4_lm_scoring
+ORACLES["op4_lm_scoring"] = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents
+), pos AS (
+  SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM split
+), g AS (
+  SELECT doc_id, i, ws[i] AS g1,
+         CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2,
+         CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3 FROM pos
+), c AS (
+  SELECT *, count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS c1,
+         CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) ELSE 0 END AS c2,
+         CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) ELSE 0 END AS c3,
+         count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS others FROM g
+), s AS (
+  SELECT *, lag(c1) OVER w AS x1, lag(c2) OVER w AS x2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), p AS (
+  SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / x2) WHEN c2 > 0 THEN ln(c2 / x1) + (CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END)
+    ELSE ln(greatest(c1, 1) / greatest(others, 1)) + least(i - 1, 2) * ln(0.4) END AS v FROM s
+), t AS (SELECT doc_id, sum(v) AS v, count(*) AS n FROM p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_words, round(coalesce(t.v, 0.0), 4) AS log_score FROM documents d LEFT JOIN t USING (doc_id)
+"""
