@@ -106,13 +106,16 @@ def decode(vocab: Vocabulary, ids: bytes) -> str:
     return b"".join(map(vocab.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
+def id_lists(ids: list[bytes]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Every row of docs with token_ids, an array of int. Null counts as empty and has none."""
 
     def emit(vocab: Vocabulary, table: pa.Table, ids: list[bytes]) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
         kept = [x for x in table.schema.names if x != "token_ids"]
-        return pa.RecordBatch.from_arrays([*(table.column(x).combine_chunks() for x in kept), lists], names=[*kept, "token_ids"])
+        return pa.RecordBatch.from_arrays([*(table.column(x).combine_chunks() for x in kept), id_lists(ids)], names=[*kept, "token_ids"])
 
     schema = T.StructType([f for f in docs.schema if f.name != "token_ids"] + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     return encode_blocks(docs, emit, schema, path, text)
@@ -132,8 +135,8 @@ def decode_rows(rows: DataFrame, path: str | None = None, ids: str = "token_ids"
     return rows.mapInArrow(run, T.StructType([f for f in rows.schema if f.name != text] + [T.StructField(text, T.StringType())]))
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", path: str | None = None, text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) for every row.
+def round_trip(docs: DataFrame, key: str = "doc_id", path: str | None = None, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) for every row, and token_ids if asked for.
 
     A null text counts as empty: 0 tokens and the digests of nothing.  Special
     strings inside texts become their one id.  Rows of any key stay, repeated
@@ -142,7 +145,7 @@ def round_trip(docs: DataFrame, key: str = "doc_id", path: str | None = None, te
     kind = docs.schema[key]
 
     def emit(vocab: Vocabulary, table: pa.Table, ids: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [
                 table.column(key).combine_chunks(),
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -151,6 +154,9 @@ def round_trip(docs: DataFrame, key: str = "doc_id", path: str | None = None, te
             ],
             names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
         )
+        return pa.RecordBatch.from_arrays([*out.columns, id_lists(ids)], names=[*out.schema.names, "token_ids"]) if with_ids else out
 
     schema = T.StructType([kind, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if with_ids:
+        schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
     return encode_blocks(docs.select(key, text), emit, schema, path, text)

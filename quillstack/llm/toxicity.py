@@ -210,6 +210,18 @@ def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(k, v) for k, v in added.items()]))
 
 
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the rows that the model predicts to be toxic, columns as they are."""
+    bound_arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features_of(texts_of(batch, text), compressors)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     bound_arrow_batches(spark)
     return scores(docs, fit(docs, labels))
