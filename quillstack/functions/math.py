@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import trim_space
 
@@ -33,7 +34,7 @@ def _subscripted(text: str) -> str:
     return _INDEXED.sub(one, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def subscript_indices(text: pd.Series) -> pd.Series:
     """x 1 as x₁; (i i) in an enumeration and a 1 - 2 stay. (pandas: each match depends on what stands around it.)"""
     return text.map(lambda t: None if t is None else _subscripted(t))

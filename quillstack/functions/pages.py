@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .identifiers import doi, http_to_https
 from .text import blank_to_null, clean_abstract, collapse_space, trim_space
@@ -36,7 +37,7 @@ def meta_contents(html: Column, name: str) -> Column:
     return F.array_distinct(F.filter(F.transform(every, trim_space), lambda x: x != ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """link against its page. (pandas: the rules of relative references aren't a built-in function.)"""
     return pd.Series([None if x is None else urljoin(b or "", x) for b, x in zip(base, link, strict=True)])
@@ -139,7 +140,7 @@ def oa_best(json: Column) -> Column:
     return F.from_json(json, _UNPAYWALL)["best_oa_location"]["url_for_pdf"]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pdf_of_package(package: pd.Series) -> pd.Series:
     """The first PDF member of a tar.gz, if it is one. (pandas: archives have no built-in reader.)"""
 

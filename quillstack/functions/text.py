@@ -7,6 +7,7 @@ import textwrap
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Title words that a work's key passes over (fixed values).
 KEY_STOP_WORDS = ("a", "an", "the", "on", "of", "for", "in", "to", "and", "with")
@@ -36,15 +37,16 @@ def normal_key(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks; ß, æ and œ as two letters."""
-    two = F.replace(F.replace(F.replace(c, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    """Latin letters without their marks."""
     pairs = [(a, b) for a, b in zip("áàâäãåāăąçćčďéèêëēėęěíìîïīįłñńňóòôöõøōőřśšşťţúùûüūůűýÿźżž", "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorsssttuuuuuuuyyzzz", strict=True)]
     source, target = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-    return F.translate(two, source + source.upper(), target + target.upper())
+    return F.translate(c, source + source.upper(), target + target.upper())
 
 
 def slug(c: Column) -> Column:
-    plain = F.lower(strip_accents(c))
+    """Lower-case ASCII letters and digits, dashes between; ß, æ and œ as two letters."""
+    two = F.replace(F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    plain = strip_accents(two)
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
@@ -200,7 +202,7 @@ def progress_line(done: Column, total: Column, seconds: Column) -> Column:
     return F.format_string("%d/%d (%d%%) %02d:%02d", done, total, percent, F.floor(seconds / 60), F.pmod(seconds, F.lit(60)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def wrap_words(text: pd.Series, width: pd.Series) -> pd.Series:
     """Lines of at most width characters; longer words are broken. (pandas: the breaks depend on what went before.)"""
     return pd.Series([[] if t is None else (textwrap.wrap(t, int(w), break_on_hyphens=False) or [""]) for t, w in zip(text, width, strict=True)])

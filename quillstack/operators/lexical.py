@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip_accents, words
 
@@ -100,7 +101,7 @@ def bm25(docs: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS, key: s
     return hits.select(key, (-sum((part(j) for j in range(n)), F.lit(0.0))).alias("score"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _window_snippet(listed: pd.Series, hit: pd.Series) -> pd.Series:
     """The window of words with the most hits, from the first such. (pandas: a window slides over each title.)"""
 

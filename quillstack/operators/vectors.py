@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .catalogue import page_bounds, with_positions
@@ -176,13 +177,13 @@ def embed(passages: DataFrame, encode: Callable[[list[str]], np.ndarray], dimens
     return passages.select(*(f.name for f in names)).mapInPandas(run, schema)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vectors: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: pd.Series) -> pd.Series:
     def one(b: bytes | None):
         if b is None:

@@ -1,4 +1,848 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries and their DuckDB counterparts.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Ranks and orders are columns, arrays are joined to strings and floating-point
+results rounded, so that results compare without regard to the order of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import identifiers, math, pages, text
+from ..operators import catalogue, duplicates, edits, export, formula, incremental, layout, lexical, quality, vectors
+from ..sources import fixtures
+from ..sources.fixtures import LISTING_SQL, WORKS_SQL, table
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, QueryFn] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
+    """Register a query under its function's name, with SQL where SQL can express it."""
+
+    def register(fn: QueryFn) -> QueryFn:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql.replace("{works}", WORKS_SQL).replace("{listing}", LISTING_SQL)
+        return fn
+
+    return register
+
+
+# ---- vectors
+
+_SIM = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 0),
+s AS (SELECT vec_id, label, list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))) AS sim FROM e, q)"""
+
+
+def scored_embeddings(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.score_passages(e, vectors.query_vector(e, "vec_id", 0, "embedding"), "vec_id", "label", only=only)
+
+
+def _round(df: DataFrame, column: str = "similarity") -> DataFrame:
+    return df.withColumn(column, F.round(column, 6))
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS k, count(*) OVER (PARTITION BY label) AS matching FROM s)
+SELECT row_number() OVER (ORDER BY sim DESC, vec_id)::INT AS rank, label AS work, vec_id AS best_id, round(sim, 6) AS similarity, matching FROM r WHERE k = 1""")
+def vector_top_works(spark, sf_dir):
+    return _round(vectors.top_works(scored_embeddings(spark, sf_dir))).select("rank", "work", "best_id", "similarity", "matching")
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id)::INT AS rank FROM s)
+SELECT rank, vec_id AS id, label AS work, round(sim, 6) AS similarity FROM r WHERE rank BETWEEN 11 AND 60""")
+def vector_top_passages(spark, sf_dir):
+    return _round(vectors.top_passages(scored_embeddings(spark, sf_dir), 10, 50)).select("rank", "id", "work", "similarity")
+
+
+@query(f"WITH {_SIM} SELECT row_number() OVER (ORDER BY sim DESC, vec_id) AS rank, vec_id AS id, label AS work, round(sim, 6) AS similarity FROM s")
+def vector_full_ranking(spark, sf_dir):
+    return _round(vectors.rank_passages(scored_embeddings(spark, sf_dir))).select("rank", "id", "work", "similarity")
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id)::INT AS k FROM s)
+SELECT label AS work, k, vec_id AS id, round(sim, 6) AS similarity FROM r WHERE k <= 3""")
+def vector_per_work_topk(spark, sf_dir):
+    return _round(vectors.per_work(scored_embeddings(spark, sf_dir), 3))
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id)::INT AS k, count(*) OVER (PARTITION BY label) AS matching FROM s),
+w AS (SELECT label, row_number() OVER (ORDER BY sim DESC, vec_id)::INT AS rank, matching FROM r WHERE k = 1)
+SELECT w.rank, r.label AS work, w.matching, r.k, r.vec_id AS id, round(r.sim, 6) AS similarity FROM r JOIN w USING (label) WHERE r.k <= 2 AND w.rank BETWEEN 3 AND 7""")
+def vector_work_page(spark, sf_dir):
+    return _round(vectors.work_page(scored_embeddings(spark, sf_dir), 2, 5, 2))
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id)::INT AS rank FROM s WHERE label = 3)
+SELECT rank, vec_id AS id, round(sim, 6) AS similarity FROM r WHERE rank <= 100""")
+def vector_work_passages(spark, sf_dir):
+    return _round(vectors.work_passages(scored_embeddings(spark, sf_dir), 3)).select("rank", "id", "similarity")
+
+
+@query(f"""WITH {_SIM}, t AS (SELECT count(DISTINCT label) AS total, count(*) AS total_passages FROM s)
+SELECT total, total_passages, greatest(least(7, total) - 4, 0)::BIGINT AS returned, CASE WHEN 7 < total THEN 7::BIGINT END AS next_offset FROM t""")
+def vector_page_summary(spark, sf_dir):
+    return vectors.page_summary(scored_embeddings(spark, sf_dir), 4, 3).select("total", "total_passages", F.col("returned").cast("long"), F.col("next_offset").cast("long"))
+
+
+_TOK = r"list_filter(regexp_split_to_array(lower(strip_accents(coalesce({c}, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def tok(c: str) -> str:
+    return _TOK.replace("{c}", c)
+
+
+@query(f"""WITH {_SIM}, hit AS (SELECT doc_id FROM documents WHERE list_contains({tok("text")}, 'the') AND list_contains({tok("text")}, 'of'))
+SELECT row_number() OVER (ORDER BY sim DESC, vec_id) AS rank, vec_id AS id, label AS work, round(sim, 6) AS similarity FROM s WHERE vec_id IN (SELECT doc_id FROM hit)""")
+def vector_exact_filtered(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    only = lexical.with_all_terms(docs, "the of", ("text",), "vec_id")
+    return _round(vectors.rank_passages(scored_embeddings(spark, sf_dir, only))).select("rank", "id", "work", "similarity")
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 20)
+SELECT r.rank, r.vec_id AS id, e.label, round(e.embedding[1]::DOUBLE, 6) AS first_value FROM r JOIN embeddings e USING (vec_id)""")
+def vector_hydrated_page(spark, sf_dir):
+    page = vectors.top_passages(scored_embeddings(spark, sf_dir), 0, 20).select("rank", "id")
+    found = vectors.hydrate(page, table(spark, sf_dir, "embeddings"), "vec_id")
+    return found.select("rank", F.col("vec_id").alias("id"), "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT vec_id, v, lead(v) OVER (ORDER BY vec_id) AS w FROM e)
+SELECT vec_id, round(list_dot_product(v, v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(v, v))), 6) AS own FROM e""")
+def vector_cosine_expression(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("embedding")), 6).alias("own"))
+
+
+@query("SELECT vec_id, len(embedding) * 4 AS n_bytes, true AS same FROM embeddings")
+def vector_codec(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("b", vectors.encode_vector(F.col("embedding")))
+    return e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), (vectors.decode_vector(F.col("b")) == F.col("embedding")).alias("same"))
+
+
+# ---- full text
+
+_LEN = f"len({tok('text')})"
+
+
+def _bm25_sql(terms: list[str], source: str, key: str) -> str:
+    counts = ", ".join(f"len(list_filter(ts, lambda x: x = '{t}'))::DOUBLE AS f{i}" for i, t in enumerate(terms))
+    dfs = ", ".join(f"count(*) FILTER (f{i} > 0)::DOUBLE AS n{i}" for i in range(len(terms)))
+    idf = lambda i: f"CASE WHEN ln((rows - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((rows - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
+    score = " + ".join(f"({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / avg_d))" for i in range(len(terms)))
+    return f"""t AS ({source}), c AS (SELECT {key}, len(ts) AS d, {counts} FROM t), k AS (SELECT count(*)::DOUBLE AS rows, avg(d) AS avg_d, {dfs} FROM c),
+      h AS (SELECT {key}, -({score}) AS score FROM c, k WHERE {" AND ".join(f"f{i} > 0" for i in range(len(terms)))})"""
+
+
+def _bm25_rank(spark, sf_dir, words: str, source: str, key: str) -> DataFrame:
+    docs = table(spark, sf_dir, source)
+    if source == "conversations":
+        docs = docs.withColumn("id", F.concat("conv_id", F.lit("#"), "turn"))
+    return lexical.bm25(docs, words, ("text",), key).select(key, F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(['idiot'], f'SELECT doc_id, {tok('text')} AS ts FROM documents', 'doc_id')} SELECT doc_id, round(score, 6) AS score FROM h")
+def bm25_search(spark, sf_dir):
+    return _bm25_rank(spark, sf_dir, "Idiot", "documents", "doc_id")
+
+
+@query(f"WITH {_bm25_sql(['reth', 'that'], f'SELECT doc_id, {tok('text')} AS ts FROM documents', 'doc_id')} SELECT doc_id, round(score, 6) AS score FROM h")
+def bm25_two_terms(spark, sf_dir):
+    return _bm25_rank(spark, sf_dir, 'reth "that"', "documents", "doc_id")
+
+
+@query(f"WITH {_bm25_sql(['la', 'que'], f'SELECT conv_id || chr(35) || turn AS id, {tok('text')} AS ts FROM conversations', 'id')} SELECT id, round(score, 6) AS score FROM h")
+def bm25_passages(spark, sf_dir):
+    return _bm25_rank(spark, sf_dir, "la que", "conversations", "id")
+
+
+_LEX_TS = "list_concat(" + tok("title") + ", list_concat(" + tok("array_to_string(authors, '; ')") + ", list_concat(" + tok("abstract") + ", list_concat(" + tok("array_to_string(tags, ', ')") + ", " + tok("fulltext") + "))))"
+
+
+@query(f"""WITH {{works}}, {_bm25_sql(['quill3', 'ada'], f'SELECT key, {_LEX_TS} AS ts FROM works', 'key')}
+SELECT key, w.year, array_to_string(w.authors, '; ') AS authors, round(score, 6) AS score FROM h JOIN works w USING (key)""")
+def search_works(spark, sf_dir):
+    return lexical.search(fixtures.works(spark, sf_dir), "quill3 ada").select("key", "year", F.array_join("authors", "; ").alias("authors"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {tok("text")} AS ts FROM documents), p AS (SELECT doc_id, unnest(range(1, len(ts))) AS i, ts FROM t)
+SELECT doc_id, count(*) AS n FROM p WHERE ts[i] = 'of' AND ts[i + 1] = 'the' GROUP BY doc_id""")
+def phrase_matches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lexical.matches(docs, [["of", "the"]], ("text",), "doc_id").filter("f0 > 0").select("doc_id", F.col("f0").cast("long").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({tok("text")}) AS term FROM documents), r AS (SELECT term, doc_id, count(*) AS n FROM t GROUP BY ALL)
+SELECT term, count(*) AS df, sum(n)::BIGINT AS cf FROM r GROUP BY term""")
+def postings_stats(spark, sf_dir):
+    return lexical.postings_statistics(lexical.postings(table(spark, sf_dir, "documents"), ("text",), "doc_id"), "doc_id")
+
+
+@query(f"SELECT doc_id, {_LEN} AS length FROM documents")
+def doc_lengths(spark, sf_dir):
+    return lexical.document_lengths(table(spark, sf_dir, "documents"), ("text",), "doc_id").select("doc_id", F.col("length").cast("long").alias("length"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')[1:20], ' ') AS title FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(string_split(title, ' '), lambda w: regexp_replace(w, '(?i)^([^\p{L}\p{N}]*)(la|the)([^\p{L}\p{N}]*)$', '\1{{\2}}\3')), ' ') AS snippet FROM t""")
+def lexical_snippet(spark, sf_dir):
+    head = F.array_join(F.slice(text.words(F.col("text")), 1, 20), " ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", lexical.short_snippet(head, [["the"], ["la"]]).alias("snippet"))
+
+
+@query()
+def lexical_snippet_window(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", lexical.snippet(F.col("text"), [["the"], ["la"]]).alias("snippet"))
+
+
+# ---- catalogue
+
+_HAY = """lower(key || ' ' || title || ' ' || array_to_string(authors, ' ') || ' ' || array_to_string(tags, ' ') || ' ' || coalesce(doi, '') || ' ' || coalesce(arxiv, '') || ' '
+ || coalesce(publisher, '') || ' ' || coalesce(series, '') || ' ' || coalesce(edition, '') || ' ' || array_to_string(isbn, ' '))"""
+
+
+@query(f"WITH {{works}} SELECT key FROM works WHERE contains({_HAY}, 'quill3')")
+def list_substring(spark, sf_dir):
+    return catalogue.list_works(fixtures.works(spark, sf_dir), "Quill3").select("key")
+
+
+@query("WITH {works} SELECT key FROM works WHERE len(list_filter(tags, lambda t: lower(t) IN ('fr', 'src3'))) > 0")
+def list_tag_ci(spark, sf_dir):
+    return catalogue.list_works(fixtures.works(spark, sf_dir), tags=["FR", "Src3"]).select("key")
+
+
+@query("WITH {works} SELECT key FROM works WHERE list_has_any(tags, ['FR', 'src3'])")
+def export_tag_cs(spark, sf_dir):
+    return catalogue.with_any_tag(fixtures.works(spark, sf_dir), ["FR", "src3"]).select("key")
+
+
+@query("WITH {works} SELECT key FROM works WHERE list_contains(tags, 'de')")
+def browse_tag(spark, sf_dir):
+    return catalogue.with_tag(fixtures.works(spark, sf_dir), "de").select("key")
+
+
+_SURNAME = "coalesce(lower(CASE WHEN contains(authors[1], ',') THEN trim(split_part(authors[1], ',', 1)) ELSE list_last(string_split(authors[1], ' ')) END), '')"
+
+
+@query(f"WITH {{works}} SELECT key, row_number() OVER (ORDER BY {_SURNAME}, key) AS rank FROM works")
+def sort_author(spark, sf_dir):
+    return catalogue.ranked_by(fixtures.works(spark, sf_dir), "author")
+
+
+@query("WITH {works} SELECT key, row_number() OVER (ORDER BY coalesce(year, 0) DESC, key) AS rank FROM works")
+def sort_year(spark, sf_dir):
+    return catalogue.ranked_by(fixtures.works(spark, sf_dir), "year")
+
+
+@query("WITH {works} SELECT key, row_number() OVER (ORDER BY lower(title), key) AS rank FROM works")
+def sort_title(spark, sf_dir):
+    return catalogue.ranked_by(fixtures.works(spark, sf_dir), "title")
+
+
+@query("WITH {works} SELECT key, row_number() OVER (ORDER BY key DESC) AS rank FROM works")
+def sort_reverse(spark, sf_dir):
+    return catalogue.ranked_by(fixtures.works(spark, sf_dir), "name", reverse=True)
+
+
+@query("""WITH {works}, t AS (SELECT unnest(tags) AS tag FROM works)
+SELECT tag, count(*) AS n FROM t GROUP BY tag UNION ALL SELECT '(all)', count(*) FROM works""")
+def tag_facet(spark, sf_dir):
+    return catalogue.tag_facet(fixtures.works(spark, sf_dir))
+
+
+@query("WITH {works} SELECT DISTINCT unnest(tags) AS tag FROM works")
+def tag_distinct(spark, sf_dir):
+    return catalogue.distinct_tags(fixtures.works(spark, sf_dir))
+
+
+@query("WITH {works}, t AS (SELECT DISTINCT unnest(tags) AS tag FROM works UNION ALL SELECT '(all)') SELECT tag FROM t WHERE contains(lower(tag), 'e') OR contains(lower(tag), 'e')")
+def tag_name_filter(spark, sf_dir):
+    return catalogue.tags_like(fixtures.works(spark, sf_dir), "E")
+
+
+@query("""WITH {works}, r AS (SELECT key, title, year, row_number() OVER (ORDER BY key) AS rank FROM works)
+SELECT rank, key || chr(9) || coalesce(year::VARCHAR, '') || chr(9) || title AS line FROM r WHERE rank BETWEEN 101 AND 150""")
+def list_page(spark, sf_dir):
+    ranked = catalogue.with_positions(fixtures.works(spark, sf_dir).select("key", "title", "year"), [F.col("key").asc()], "rank")
+    return catalogue.page(ranked, "rank", 100, 50).select("rank", export.table_line().alias("line"))
+
+
+@query("WITH {works} SELECT count(*) FILTER (list_contains(tags, 'fr')) AS matched, count(*) AS total FROM works")
+def result_counter(spark, sf_dir):
+    return catalogue.result_counter(fixtures.works(spark, sf_dir), F.array_contains("tags", "fr"))
+
+
+@query()
+def fuzzy_rank(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return catalogue.fuzzy_filter(w, "adaq", text.display_line(F.col("authors"), F.col("year"), F.col("title"))).select("key", "score")
+
+
+@query("""WITH {works} SELECT key, array_to_string(list_filter([CASE WHEN len(authors) > 1 THEN authors[1] || ' et al.' ELSE authors[1] END,
+ '(' || year || ')', CASE WHEN title <> '' THEN title END], lambda x: x IS NOT NULL), '  ') AS line FROM works""")
+def display_line(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", text.display_line(F.col("authors"), F.col("year"), F.col("title")).alias("line"))
+
+
+@query("""WITH {works} SELECT key, CASE WHEN len(authors) <= 3 THEN array_to_string(authors, ' · ') ELSE authors[1] || ' · ' || authors[2] || ' · ' || authors[-1] || ' · +'
+ || (len(authors) - 3) || CASE WHEN len(authors) = 4 THEN ' author' ELSE ' authors' END END AS line FROM works""")
+def author_preview(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", text.author_preview(F.col("authors")).alias("line"))
+
+
+@query("WITH {works} SELECT key, coalesce('https://doi.org/' || doi, 'https://arxiv.org/abs/' || arxiv) AS url FROM works")
+def external_url(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", text.external_url(F.col("doi"), F.col("arxiv")).alias("url"))
+
+
+@query("""WITH p AS (SELECT doc_id, list_filter([doc_id % 3, doc_id % 5 + 3], lambda x: x > 0 AND x < 7) AS pages FROM documents)
+SELECT doc_id, CASE WHEN len(pages) = 1 THEN 'p. ' || pages[1] WHEN len(pages) > 1 THEN 'pp. ' || array_to_string(pages, ', ') END AS location FROM p""")
+def page_location(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    pages_ = F.filter(F.array(F.col("doc_id") % 3, F.col("doc_id") % 5 + 3), lambda x: (x > 0) & (x < 7))
+    return d.select("doc_id", text.page_location(pages_).alias("location"))
+
+
+@query("""WITH {works} SELECT key, lpad(coalesce(year::VARCHAR, ''), 4, ' ') || '  ' || lpad(left(coalesce(CASE WHEN contains(authors[1], ',') THEN trim(regexp_extract(authors[1], '^(.*),', 1))
+ ELSE list_last(string_split(authors[1], ' ')) END, ''), 12), 12, ' ') || '  ' || title AS line FROM works""")
+def browser_row(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", text.list_row(F.col("key"), F.col("authors"), F.col("year"), F.col("title")).alias("line"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)
+SELECT doc_id, CASE WHEN length(x) > 80 THEN left(x, 79) || '…' ELSE x END AS preview FROM t""")
+def text_preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text"), 80).alias("preview"))
+
+
+@query("SELECT conv_id, turn, 'title: ' || trim('Conversation ' || conv_id) || ' | ' || text AS input FROM conversations")
+def prompt_template(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", text.fill_template("title: {title} | {text}", title=F.trim(F.concat(F.lit("Conversation "), "conv_id")), text=F.col("text")).alias("input"))
+
+
+@query("WITH s AS (SELECT doc_id, n_chars * 1000 AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE greatest(ceil(n / 1024.0)::BIGINT, 1) || ' KB' END AS size FROM s")
+def human_size(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.human_size(F.col("n_chars") * 1000).alias("size"))
+
+
+# ---- identifiers and names
+
+_INPUT = """inp AS (SELECT doc_id, CASE doc_id % 12
+ WHEN 0 THEN 'https://arxiv.org/abs/2101.' || lpad((doc_id % 100000)::VARCHAR, 5, '0') || 'v2' WHEN 1 THEN '2101.' || lpad((doc_id % 100000)::VARCHAR, 5, '0')
+ WHEN 2 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/pmc' || doc_id || '/' WHEN 3 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + doc_id) || '/'
+ WHEN 4 THEN 'PMID: ' || (10000 + doc_id) WHEN 5 THEN 'https://doi.org/10.1234/abc.' || doc_id
+ WHEN 6 THEN 'http://example.org/a?id=10.1371%2Fjournal.' || doc_id || '&x=1' WHEN 7 THEN 'see 10.5555/xyz' || doc_id || ' there'
+ WHEN 8 THEN 'https://example.org/10.1000/q' || doc_id || '.pdf#page=2' WHEN 9 THEN 'just words ' || doc_id
+ WHEN 10 THEN 'http://dx.doi.org/10.4321/z' || doc_id ELSE 'https://example.org/files/paper' || doc_id || '.pdf' END AS x FROM documents)"""
+_INPUT_SPARK = _INPUT.replace("inp AS (", "").removesuffix(")").replace("::VARCHAR", "").replace("FROM documents", "FROM {docs}")
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_INPUT_SPARK, docs=table(spark, sf_dir, "documents").select("doc_id"))
+
+
+_ARXIV_SQL = r"nullif(regexp_extract(x, '^(?:(?:https?://)?(?:www\.)?arxiv\.org/(?:abs|pdf)/)?(\d{4}\.\d{4,5}(?:v\d+)?)(?:\.pdf)?$', 1), '')"
+_DOI_SQL = r"nullif(regexp_extract({x}, '(10\.\d{4,9}/\S+)', 1), '')"
+_PMC_SQL = r"upper(nullif(regexp_extract(x, '(?i)^https?://(?:www\.)?pmc\.ncbi\.nlm\.nih\.gov/articles/(PMC\d+)(?:/.*)?$', 1), ''))"
+_PMID_SQL = r"coalesce(nullif(regexp_extract(x, '(?i)^https?://(?:www\.)?pubmed\.ncbi\.nlm\.nih\.gov/(\d{4,9})/?$', 1), ''), nullif(regexp_extract(x, '(?i)^pmid:\s*(\d{4,9})$', 1), ''))"
+_WEB_SQL = "(starts_with(x, 'http://') OR starts_with(x, 'https://'))"
+_RES_SQL = f"CASE WHEN regexp_matches(x, '^https?://(dx\\.)?doi\\.org/') THEN {_DOI_SQL.replace('{x}', 'x')} END"
+
+
+@query(f"WITH {_INPUT} SELECT doc_id, {_ARXIV_SQL} AS arxiv, {_DOI_SQL.replace('{x}', 'x')} AS doi, {_RES_SQL} AS resolver, {_PMC_SQL} AS pmc, {_PMID_SQL} AS pmid FROM inp")
+def detect_ids(spark, sf_dir):
+    x = F.col("x")
+    return inputs(spark, sf_dir).select("doc_id", identifiers.arxiv_id(x).alias("arxiv"), identifiers.doi(x).alias("doi"), identifiers.resolver_doi(x).alias("resolver"), identifiers.pmc_id(x).alias("pmc"), identifiers.pmid(x).alias("pmid"))
+
+
+@query(f"""WITH {_INPUT}, d AS (SELECT doc_id, x, {_ARXIV_SQL} AS a, {_PMC_SQL} AS p, {_PMID_SQL} AS m, {_RES_SQL} AS r, {_DOI_SQL.replace('{x}', 'x')} AS d, {_WEB_SQL} AS w FROM inp)
+SELECT doc_id, CASE WHEN a IS NOT NULL THEN 'arxiv' WHEN p IS NOT NULL THEN 'pmc' WHEN m IS NOT NULL THEN 'pmid' WHEN w AND r IS NOT NULL THEN 'doi' WHEN w THEN 'url' WHEN d IS NOT NULL THEN 'doi' ELSE 'unknown' END AS kind,
+ CASE WHEN a IS NOT NULL THEN a WHEN p IS NOT NULL THEN p WHEN m IS NOT NULL THEN m WHEN w THEN coalesce(r, x) ELSE d END AS id, (a IS NOT NULL OR d IS NOT NULL OR w) AS importable FROM d""")
+def classify_input(spark, sf_dir):
+    c = identifiers.classify_input(F.col("x"))
+    return inputs(spark, sf_dir).select("doc_id", c["kind"].alias("kind"), c["id"].alias("id"), identifiers.is_importable(F.col("x")).alias("importable"))
+
+
+@query(rf"""WITH {_INPUT}, f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_DOI_SQL.replace('{x}', "replace(x, '%2F', '/')")}, '[?#&].*$', ''), '[.,;)/]+$', ''), '\.pdf$', '') AS d FROM inp)
+SELECT doc_id, CASE WHEN length(d) > 3 THEN d END AS doi FROM f""")
+def doi_in_url(spark, sf_dir):
+    return inputs(spark, sf_dir).select("doc_id", identifiers.doi_in_url(F.col("x")).alias("doi"))
+
+
+@query(r"""WITH """ + _INPUT + r""", p AS (SELECT doc_id, list_last(list_filter(string_split(regexp_extract(x, '^https?://[^/]+(/[^?#]*)', 1), '/'), lambda s: s <> '')) AS l FROM inp)
+SELECT doc_id, CASE WHEN ends_with(lower(l), '.pdf') THEN l ELSE 'download.pdf' END AS name FROM p""")
+def url_file_name(spark, sf_dir):
+    return inputs(spark, sf_dir).select("doc_id", identifiers.url_file_name(F.col("x")).alias("name"))
+
+
+@query()
+def reduce_url(spark, sf_dir):
+    return inputs(spark, sf_dir).select("doc_id", identifiers.reduce_url(F.col("x")).alias("reduced"))
+
+
+@query(r"""WITH {works}, n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS a,
+ trim(regexp_replace(regexp_replace(lower(left(title, 30) || '!'), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS b FROM works)
+SELECT doc_id, a <> '' AND b <> '' AND (starts_with(a, b) OR starts_with(b, a)) AS same FROM n""")
+def title_match(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return w.select("doc_id", text.titles_match(F.col("title"), F.concat(F.left("title", F.lit(30)), F.lit("!"))).alias("same"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<jats:title>Abstract</jats:title><jats:p>' WHEN 1 THEN ' ABSTRACT: ' ELSE '' END || text || '</jats:p>' AS x FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '(?i)^\s*abstract\s*[.:]\s*', '') AS x FROM d)
+SELECT doc_id, trim(regexp_replace(regexp_replace(x, '(?s)^\s*Abstract\s*([A-Z].*)$', '\1'), '\s+', ' ', 'g')) AS abstract FROM a""")
+def clean_abstract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    head = F.when(F.col("doc_id") % 3 == 0, "<jats:title>Abstract</jats:title><jats:p>").when(F.col("doc_id") % 3 == 1, " ABSTRACT: ").otherwise("")
+    return d.select("doc_id", text.clean_abstract(F.concat(head, "text", F.lit("</jats:p>"))).alias("abstract"))
+
+
+_RAW_NAMES = "CASE c_custkey % 4 WHEN 0 THEN 'Quill, Ada; ' || c_name || ' ;' WHEN 1 THEN 'Ada Quill, Bo Stack, ' || c_name WHEN 2 THEN 'Ada Quill and ' || c_name ELSE ' ' || c_name || ' ' END"
+
+
+@query(f"""WITH r AS (SELECT c_custkey, {_RAW_NAMES} AS raw FROM customer)
+SELECT c_custkey, array_to_string(CASE WHEN contains(raw, ';') THEN list_filter(list_transform(string_split(raw, ';'), lambda x: trim(x)), lambda x: x <> '')
+ WHEN len(string_split(raw, ',')) > 2 THEN list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '')
+ WHEN contains(raw, ' and ') THEN list_transform(string_split(raw, ' and '), lambda x: trim(x)) ELSE [trim(raw)] END, '|') AS authors FROM r""")
+def author_split(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RAW_NAMES).alias("raw")).select("c_custkey", F.array_join(text.split_authors(F.col("raw")), "|").alias("authors"))
+
+
+_FAMILY = """CASE WHEN contains({a}, ',') THEN trim(regexp_replace(trim({a}), ',+$', '')) WHEN contains(trim({a}), ' ') THEN list_last(string_split(trim({a}), ' ')) || ', ' || array_to_string(string_split(trim({a}), ' ')[:-2], ' ') ELSE trim({a}) END"""
+
+
+@query("WITH {works} SELECT key, array_to_string(list_transform(authors, lambda a: " + _FAMILY.replace("{a}", "a") + "), ' and ') AS authors FROM works")
+def family_given(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", F.array_join(F.transform("authors", text.family_given), " and ").alias("authors"))
+
+
+_KEY_NAME = """CASE WHEN contains(authors[1], ',') THEN trim(regexp_extract(authors[1], '^.*,(.*)$', 1))
+ WHEN regexp_matches(list_last(string_split(authors[1], ' ')), '^\\p{L}\\.*$') AND contains(authors[1], ' ') THEN coalesce(list_filter(string_split(authors[1], ' '), lambda w: NOT regexp_matches(w, '^\\p{L}\\.*$'))[1], list_last(string_split(authors[1], ' ')))
+ ELSE list_last(string_split(authors[1], ' ')) END"""
+_KEY_WORD = "list_filter(string_split_regex(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda w: w <> '' AND lower(w) NOT IN ('a', 'an', 'the', 'on', 'of', 'for', 'in', 'to', 'and', 'with'))[1]"
+_SLUG = "regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace({x}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_WORK_KEY = _SLUG.replace("{x}", f"(coalesce({_KEY_NAME}, 'unknown') || '-' || coalesce(year::VARCHAR, '0000') || '-' || coalesce({_KEY_WORD}, 'untitled'))")
+
+
+@query(f"WITH {{works}} SELECT key, {_WORK_KEY} AS work_key FROM works")
+def work_key(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", text.work_key(F.col("authors"), F.col("year"), F.col("title")).alias("work_key"))
+
+
+@query(f"""WITH {{works}}, k AS (SELECT key, {_SLUG.replace("{x}", f"coalesce({_KEY_NAME}, 'unknown')")} || '-' || coalesce(year, 0) AS base_key FROM works), n AS (SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY key) AS r FROM k)
+SELECT key, base_key, CASE WHEN r = 1 THEN base_key ELSE base_key || '-' || r END AS final_key FROM n""")
+def key_collisions(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    base = F.concat_ws("-", text.slug(F.coalesce(text.key_surname(F.get("authors", F.lit(0))), F.lit("unknown"))), F.coalesce("year", F.lit(0)).cast("string"))
+    return catalogue.final_keys(w, base)
+
+
+# ---- pages and records
+
+_HTML = """h AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN '<meta name="citation_doi" content=" doi:10.1234/p.' || page_id || '"><meta content=''/files/' || page_id || '.pdf'' name=''citation_pdf_url''>'
+ WHEN 1 THEN '<META content="10.5555/x' || page_id || '" name="prism.doi"/><meta name="citation_author" content="Ada Quill"><meta name="citation_author" content="Bo Stack"><meta content="Ada Quill" name="citation_author">'
+ WHEN 2 THEN '<meta name="dc.identifier" content="https://doi.org/10.7777/d' || page_id || '">' ELSE '<meta name="citation_doi" content=""><meta name="dc.identifier" content="isbn">' END || html AS html FROM pages)"""
+_HTML_SPARK = _HTML.replace("h AS (", "", 1).removesuffix(")").replace("''", "\\'").replace("FROM pages", "FROM {pages}")
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_HTML_SPARK, pages=table(spark, sf_dir, "pages"))
+
+
+def _meta_sql(name: str) -> str:
+    first = rf"""(?is)<meta\b[^>]*?\bname\s*=\s*["'']{name}["''][^>]*?\bcontent\s*=\s*["'']([^"'']*)["'']"""
+    second = rf"""(?is)<meta\b[^>]*?\bcontent\s*=\s*["'']([^"'']*)["''][^>]*?\bname\s*=\s*["'']{name}["'']"""
+    return f"coalesce(nullif(trim(regexp_extract(html, '{first}', 1)), ''), nullif(trim(regexp_extract(html, '{second}', 1)), ''))"
+
+
+@query(rf"WITH {_HTML} SELECT page_id, {_meta_sql('citation_doi')} AS citation_doi, {_meta_sql(r'prism\.doi')} AS prism_doi FROM h")
+def meta_content(spark, sf_dir):
+    h = html_pages(spark, sf_dir)
+    return h.select("page_id", pages.meta_content(F.col("html"), "citation_doi").alias("citation_doi"), pages.meta_content(F.col("html"), "prism.doi").alias("prism_doi"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'Ada Quill|Bo Stack' ELSE '' END AS authors FROM pages")
+def meta_contents(spark, sf_dir):
+    return html_pages(spark, sf_dir).select("page_id", F.array_join(pages.meta_contents(F.col("html"), "citation_author"), "|").alias("authors"))
+
+
+@query(rf"""WITH {_HTML}, n AS (SELECT page_id, url, {_meta_sql('citation_pdf_url')} AS pdf, coalesce({_meta_sql('citation_doi')}, {_meta_sql(r'prism\.doi')}, CASE WHEN contains({_meta_sql(r'dc\.identifier')}, '10.') THEN {_meta_sql(r'dc\.identifier')} END) AS d FROM h)
+SELECT page_id, nullif(regexp_extract(regexp_replace(d, '^(?:doi:|DOI:)', ''), '(10\.\d{{4,9}}/\S+)', 1), '') AS doi, regexp_extract(url, '^(https?://[^/]+)', 1) || pdf AS pdf_url FROM n""")
+def landing_info(spark, sf_dir):
+    return html_pages(spark, sf_dir).select("page_id", pages.landing_info(F.col("url"), F.col("html")).alias("i")).select("page_id", "i.doi", "i.pdf_url")
+
+
+def _json_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, part=table(spark, sf_dir, "part"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'Untitled' ELSE p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Journal ' || p_size END AS journal,
+ CASE WHEN p_partkey % 2 = 0 THEN 'Ada Quill|Stack' ELSE '' END AS authors, CASE p_partkey % 4 WHEN 0 THEN 1990 + p_size WHEN 1 THEN 2000 + p_size WHEN 2 THEN NULL END::INT AS year, '10.1/' || p_partkey AS doi FROM part""")
+def csl_parse(spark, sf_dir):
+    rows = _json_rows(
+        spark,
+        sf_dir,
+        """SELECT p_partkey, '{{"DOI":"10.1/' || p_partkey || '"' ||
+          CASE WHEN p_partkey % 5 = 4 THEN '' WHEN p_partkey % 5 = 0 THEN ',"title":["' || p_name || '","other"]' ELSE ',"title":"' || p_name || '"' END ||
+          CASE WHEN p_partkey % 3 = 0 THEN ',"container-title":["Journal ' || p_size || '"]' ELSE '' END ||
+          CASE WHEN p_partkey % 2 = 0 THEN ',"author":[{{"family":"Quill","given":"Ada"}},{{"family":"Stack"}},{{"given":"Nobody"}}]' ELSE '' END ||
+          CASE p_partkey % 4 WHEN 0 THEN ',"issued":{{"date-parts":[[' || (1990 + p_size) || ',1]]}}' WHEN 1 THEN ',"published-online":{{"date-parts":[[' || (2000 + p_size) || ']]}}'
+            WHEN 2 THEN ',"issued":{{"date-parts":[[99999]]}},"created":{{"date-parts":[[2001]]}}' ELSE '' END || '}}' AS j FROM {part}""",
+    )
+    c = pages.csl_record(F.col("j"))
+    return rows.select("p_partkey", c.alias("c")).select("p_partkey", "c.title", "c.journal", F.array_join("c.authors", "|").alias("authors"), "c.year", "c.doi")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE 'https://x.org/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '/get' ELSE '.PDF' END END AS url FROM part")
+def crossref_pdf(spark, sf_dir):
+    rows = _json_rows(
+        spark,
+        sf_dir,
+        """SELECT p_partkey, '{{"message":{{"link":[{{"URL":"https://x.org/landing","content-type":"text/html"}}' || CASE p_partkey % 3 WHEN 0 THEN ',{{"URL":"http://x.org/' || p_partkey || '/get","content-type":"application/PDF"}}'
+          WHEN 1 THEN ',{{"URL":"https://x.org/' || p_partkey || '.PDF","content-type":"unspecified"}}' ELSE '' END || ']}}}}' AS j FROM {part}""",
+    )
+    return rows.select("p_partkey", pages.crossref_pdf(F.col("j")).alias("url"))
+
+
+@query("SELECT p_partkey, 'https://r.org/' || p_partkey || '|https://p.org/a|https://p.org/' || p_size || '|https://p.org/a' AS urls, CASE WHEN p_partkey % 2 = 0 THEN 'http://b.org' END AS best FROM part")
+def oa_candidates(spark, sf_dir):
+    rows = _json_rows(
+        spark,
+        sf_dir,
+        """SELECT p_partkey, '{{"oa_locations":[{{"url_for_pdf":"http://p.org/a","host_type":"publisher"}},{{"url_for_pdf":"https://p.org/a","host_type":"publisher"}},{{"url_for_pdf":null,"host_type":"repository"}},
+          {{"url_for_pdf":"http://r.org/' || p_partkey || '","host_type":"repository"}},{{"url_for_pdf":"https://p.org/' || p_size || '"}},{{"url_for_pdf":"https://p.org/a","host_type":"publisher"}}],"best_oa_location":' ||
+          CASE WHEN p_partkey % 2 = 0 THEN '{{"url_for_pdf":"http://b.org"}}' ELSE 'null' END || '}}' AS j FROM {part}""",
+    )
+    return rows.select("p_partkey", F.array_join(pages.oa_candidates(F.col("j")), "|").alias("urls"), pages.oa_best(F.col("j")).alias("best"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '10.9/' || p_partkey END AS doi, 'https://f.org/' || p_partkey || '.tar.gz' AS package FROM part")
+def pmc_records(spark, sf_dir):
+    rows = _json_rows(
+        spark,
+        sf_dir,
+        """SELECT p_partkey, '{{"records":[{{"pmcid":"PMCX","doi":"x"}},{{"pmcid":"pmc' || p_partkey || '"' || CASE WHEN p_partkey % 2 = 0 THEN ',"doi":"10.9/' || p_partkey || '"' ELSE '' END || '}}]}}' AS j,
+          '<OA><records><record><link format="pdf" href="ftp://f.org/x.pdf"/><link format="tgz" href="ftp://f.org/' || p_partkey || '.tar.gz"/></record></records></OA>' AS x FROM {part}""",
+    )
+    return rows.select("p_partkey", pages.pmc_doi(F.col("j"), F.concat(F.lit("PMC"), "p_partkey")).alias("doi"), identifiers.ftp_to_https(pages.oa_package_url(F.col("x"))).alias("package"))
+
+
+@query("SELECT p_partkey, p_name AS title, 'Ada Quill|Bo Stack' AS authors, 2000 + p_size AS year, 'Words of ' || p_size AS abstract, CASE WHEN p_partkey % 2 = 0 THEN '10.8/' || p_partkey END AS doi FROM part")
+def atom_parse(spark, sf_dir):
+    rows = _json_rows(
+        spark,
+        sf_dir,
+        """SELECT p_partkey, '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><title>feed</title><entry><title> ' || replace(p_name, ' ', '  ') || '
+ </title><summary>Abstract. Words of ' || p_size || ' </summary><published>' || (2000 + p_size) || '-01-02</published><author><name>Ada Quill</name></author><author><name>Bo Stack</name></author>' ||
+          CASE WHEN p_partkey % 2 = 0 THEN '<arxiv:doi>10.8/' || p_partkey || '</arxiv:doi>' ELSE '' END || '</entry><entry><title>other</title></entry></feed>' AS x FROM {part}""",
+    )
+    return rows.select("p_partkey", pages.atom_record(F.col("x")).alias("r")).select("p_partkey", "r.title", F.array_join("r.authors", "|").alias("authors"), "r.year", "r.abstract", "r.doi")
+
+
+# ---- duplicates
+
+_NORM = "nullif(lower(trim(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))), '')"
+_COMPONENTS = f"""k AS (SELECT key, {_NORM.replace('{c}', 'title')} AS t, {_NORM.replace('{c}', 'doi')} AS d FROM works),
+e AS (SELECT a.key AS x, b.key AS y FROM k a JOIN k b ON a.t = b.t UNION SELECT a.key, b.key FROM k a JOIN k b ON a.d = b.d),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+g AS (SELECT x AS key, min(y) AS group_id FROM reach GROUP BY x), dup AS (SELECT group_id, key FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) > 1))"""
+_SCORE = """((coalesce(title <> '', false))::INT + (len(authors) > 0)::INT + coalesce(year <> 0, false)::INT + (doi IS NOT NULL)::INT + (arxiv IS NOT NULL)::INT + (journal IS NOT NULL)::INT + (publisher IS NOT NULL)::INT
+ + (edition IS NOT NULL)::INT + (series IS NOT NULL)::INT + (abstract IS NOT NULL)::INT + (len(isbn) > 0)::INT + (len(tags) > 0)::INT + (len(files) > 0)::INT)"""
+
+
+@query(f"WITH {{works}} SELECT {_NORM.replace('{c}', 'title')} AS value, count(*) AS n, min(key) AS first FROM works GROUP BY 1 HAVING count(*) > 1 AND {_NORM.replace('{c}', 'title')} IS NOT NULL")
+def dup_exact_groups(spark, sf_dir):
+    return duplicates.exact_groups(fixtures.works(spark, sf_dir), text.normal_key(F.col("title")))
+
+
+@query(f"WITH RECURSIVE {{works}}, {_COMPONENTS} SELECT group_id, key FROM dup")
+def dup_components(spark, sf_dir):
+    return duplicates.duplicate_groups(fixtures.works(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {{works}}, {_COMPONENTS}, m AS (SELECT dup.group_id, key, has_pdf, {_SCORE} AS metadata_score FROM dup JOIN works USING (key))
+SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY has_pdf DESC, metadata_score DESC, key DESC) = 1 AS recommended,
+ row_number() OVER (PARTITION BY group_id ORDER BY metadata_score DESC, key DESC) = 1 AS by_score FROM m""")
+def dup_best(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    groups = duplicates.duplicate_groups(w)
+    by_score = duplicates.describe_groups(groups, w, prefer_pdf=False).select("key", F.col("recommended").alias("by_score"))
+    return duplicates.describe_groups(groups, w).select("group_id", "key", "has_pdf", "metadata_score", "recommended").join(by_score, "key")
+
+
+@query(f"""WITH RECURSIVE {{works}}, {_COMPONENTS}, m AS (SELECT dup.group_id, key, has_pdf, {_SCORE} AS s FROM dup JOIN works USING (key)),
+r AS (SELECT key, row_number() OVER (PARTITION BY group_id ORDER BY has_pdf DESC, s DESC, key DESC) AS n FROM m)
+SELECT key, key IN (SELECT key FROM r WHERE n > 1) AS trashed FROM works""")
+def dup_trash_split(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    kept, gone = duplicates.split_trash(w, duplicates.describe_groups(duplicates.duplicate_groups(w), w))
+    return kept.select("key", F.lit(False).alias("trashed")).unionByName(gone.select("key", F.lit(True).alias("trashed")))
+
+
+@query(f"""WITH {{works}}, k AS (SELECT key, {_NORM.replace('{c}', 'title')} AS t, {_NORM.replace('{c}', 'doi')} AS d FROM works), c AS (SELECT 'new-' || key AS candidate, t, CASE WHEN d IS NULL THEN '10.1234/q.3' ELSE d END AS d FROM k),
+h AS (SELECT candidate, key AS match, 0 AS o, 'doi' AS reason FROM c JOIN k ON c.d = k.d UNION ALL SELECT candidate, key, 1, 'title' FROM c JOIN k ON c.t = k.t)
+SELECT candidate, match, reason FROM h QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY match, o) = 1""")
+def dup_probe(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    asked = w.select(F.concat(F.lit("new-"), "key").alias("key"), "title", F.coalesce("doi", F.lit("10.1234/Q.3")).alias("doi"))
+    return duplicates.probe(asked, w)
+
+
+@query("WITH {works} SELECT replace(key, 'doc-1', 'new-1') AS key FROM works WHERE key LIKE '%doc-1%'")
+def new_keys(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return catalogue.new_keys(w.withColumn("key", F.replace("key", F.lit("doc-1"), F.lit("new-1"))), w)
+
+
+# ---- quality
+
+@query(f"WITH {{works}} SELECT key, {_SCORE} AS score FROM works")
+def completeness(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", quality.completeness().alias("score"))
+
+
+@query("""WITH {works} SELECT key, coalesce(year, 0) = 0 OR len(authors) = 0 OR CASE WHEN kind = 'book' THEN publisher IS NULL ELSE abstract IS NULL OR doi IS NULL END AS incomplete,
+ abstract IS NULL AS want_abstract, NOT has_pdf AS want_pdf FROM works""")
+def needs_enrich(spark, sf_dir):
+    w = quality.wants()
+    return fixtures.works(spark, sf_dir).select("key", quality.needs_enrichment().alias("incomplete"), w["abstract"].alias("want_abstract"), w["pdf"].alias("want_pdf"))
+
+
+@query("WITH {works} SELECT count(*) AS total, count(*) FILTER (NOT has_pdf) AS missing_pdf, count(*) FILTER (NOT has_pdf AND doi IS NOT NULL) AS missing_pdf_with_doi, count(*) FILTER (abstract IS NULL) AS missing_abstract FROM works")
+def gap_report(spark, sf_dir):
+    return quality.gap_report(fixtures.works(spark, sf_dir))
+
+
+_FETCHED = """fetched AS (SELECT key, doc_id % 3 = 0 AS pdf, CASE WHEN doc_id % 2 = 0 THEN 'An abstract' END AS abstract, 1999::INT AS year, ['New Author'] AS authors, '10.99/' || doc_id AS doi,
+ '2202.00001' AS arxiv, 'Fetched Journal' AS journal FROM works)"""
+
+
+def fetched_works(works: DataFrame) -> DataFrame:
+    return works.select(
+        "key", (F.col("doc_id") % 3 == 0).alias("pdf"), F.when(F.col("doc_id") % 2 == 0, "An abstract").alias("abstract"), F.lit(1999).alias("year"), F.array(F.lit("New Author")).alias("authors"),
+        F.concat(F.lit("10.99/"), "doc_id").alias("doi"), F.lit("2202.00001").alias("arxiv"), F.lit("Fetched Journal").alias("journal"),
+    )
+
+
+@query(f"""WITH {{works}}, {_FETCHED}, w AS (SELECT key, NOT has_pdf AND f.pdf AS p, w.abstract IS NULL AND f.abstract IS NOT NULL AS a FROM works w JOIN fetched f USING (key) WHERE w.abstract IS NULL OR NOT has_pdf)
+SELECT count(*) AS considered, count(*) FILTER (p) AS pdfs_added, count(*) FILTER (a) AS abstracts_added, count(*) FILTER (NOT p AND NOT a) AS unresolved FROM w""")
+def backfill_report(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return quality.backfill_report(w, fetched_works(w))[1]
+
+
+@query("""WITH {works}, {listing}, f AS (SELECT key, unnest(files) AS name FROM works), i AS (
+ SELECT key, 'missing title: ' || key AS issue FROM works WHERE title = '' UNION ALL SELECT key, 'missing authors: ' || key FROM works WHERE len(authors) = 0 UNION ALL SELECT key, 'missing year: ' || key FROM works WHERE year IS NULL
+ UNION ALL SELECT f.key, CASE WHEN l.key IS NULL THEN 'listed but missing: ' ELSE 'not a PDF: ' END || f.key || '/' || f.name FROM f LEFT JOIN listing l ON l.key = f.key AND l.name = f.name WHERE l.key IS NULL OR NOT l.is_pdf
+ UNION ALL SELECT key, 'no PDF: ' || key FROM works WHERE len(files) = 0 AND key NOT IN (SELECT key FROM listing WHERE is_pdf AND lower(name) LIKE '%.pdf')
+ UNION ALL SELECT key, 'temp name: ' || key || '/' || name FROM listing WHERE name LIKE 'tmp%') SELECT key, issue FROM i""")
+def validation_issues(spark, sf_dir):
+    return quality.validation_issues(fixtures.works(spark, sf_dir), fixtures.listing(spark, sf_dir)).select("key", "issue")
+
+
+@query("""WITH {works}, {listing}, f AS (SELECT key, unnest(files) AS name FROM works)
+SELECT l.key, 'remove' AS action, l.name AS old, NULL::VARCHAR AS new FROM listing l JOIN f ON f.key = l.key AND f.name = l.name WHERE NOT is_pdf
+UNION ALL SELECT key, 'rename', min(name), key || '.pdf' FROM listing WHERE is_pdf AND name LIKE 'tmp%.pdf' GROUP BY key""")
+def fix_plan(spark, sf_dir):
+    return quality.fix_plan(fixtures.works(spark, sf_dir), fixtures.listing(spark, sf_dir))
+
+
+# ---- edits
+
+@query("""WITH {works} SELECT key, array_to_string(list_concat(list_filter(tags, lambda t: lower(t) <> 'src3'), list_concat(CASE WHEN len(list_filter(tags, lambda t: lower(t) = 'de')) = 0 THEN ['De'] ELSE [] END, ['fresh'])), '|') AS tags FROM works""")
+def tag_edit(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", F.array_join(edits.edit_tags(F.col("tags"), ["De", "fresh", "FRESH"], ["SRC3"]), "|").alias("tags"))
+
+
+@query(f"""WITH {{works}}, {_FETCHED} SELECT key, CASE WHEN coalesce(w.year, 0) <> 0 THEN w.year ELSE f.year END AS year, array_to_string(CASE WHEN len(w.authors) > 0 THEN w.authors ELSE f.authors END, '; ') AS authors,
+ coalesce(w.abstract, f.abstract) AS abstract, coalesce(w.doi, f.doi) AS doi, coalesce(w.arxiv, f.arxiv) AS arxiv, coalesce(w.journal, f.journal) AS journal FROM works w JOIN fetched f USING (key)""")
+def enrich_merge(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return edits.merge_missing(w, fetched_works(w)).select("key", "year", F.array_join("authors", "; ").alias("authors"), "abstract", "doi", "arxiv", "journal")
+
+
+@query(f"""WITH {{works}}, {_FETCHED}, m AS (SELECT w.key, w.year AS y, CASE WHEN coalesce(w.year, 0) <> 0 THEN w.year ELSE f.year END AS y2, w.doi AS d, coalesce(w.doi, f.doi) AS d2, w.arxiv AS x, coalesce(w.arxiv, f.arxiv) AS x2,
+ w.journal AS j, coalesce(w.journal, f.journal) AS j2, w.authors AS a, CASE WHEN len(w.authors) > 0 THEN w.authors ELSE f.authors END AS a2, w.abstract AS b, coalesce(w.abstract, f.abstract) AS b2 FROM works w JOIN fetched f USING (key)),
+c AS (SELECT key, 'year' AS field, coalesce(y::VARCHAR, 'null') AS before, y2::VARCHAR AS after FROM m UNION ALL SELECT key, 'doi', coalesce('"' || d || '"', 'null'), '"' || d2 || '"' FROM m
+ UNION ALL SELECT key, 'arxiv', coalesce('"' || x || '"', 'null'), '"' || x2 || '"' FROM m UNION ALL SELECT key, 'journal', coalesce('"' || j || '"', 'null'), '"' || j2 || '"' FROM m
+ UNION ALL SELECT key, 'authors', to_json(a)::VARCHAR, to_json(a2)::VARCHAR FROM m UNION ALL SELECT key, 'abstract', coalesce(to_json(b)::VARCHAR, 'null'), coalesce(to_json(b2)::VARCHAR, 'null') FROM m)
+SELECT * FROM c WHERE before <> after""")
+def field_diff(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return edits.field_changes(w, edits.merge_missing(w, fetched_works(w)))
+
+
+@query(f"""WITH {{works}}, {_FETCHED}, m AS (SELECT w.key, w.year AS y, f.year AS y2, w.doi AS d, f.doi AS d2, w.arxiv AS x, f.arxiv AS x2, w.journal AS j, f.journal AS j2, w.authors AS a, f.authors AS a2, w.abstract AS b, f.abstract AS b2 FROM works w JOIN fetched f USING (key)),
+c AS (SELECT key, 'year' AS field, coalesce(y::VARCHAR, '') AS before, y2::VARCHAR AS after FROM m WHERE y IS DISTINCT FROM y2 UNION ALL SELECT key, 'doi', coalesce(d, ''), d2 FROM m WHERE d IS DISTINCT FROM d2 UNION ALL SELECT key, 'arxiv', coalesce(x, ''), x2 FROM m WHERE x IS DISTINCT FROM x2
+ UNION ALL SELECT key, 'journal', coalesce(j, ''), j2 FROM m WHERE j IS DISTINCT FROM j2 UNION ALL SELECT key, 'authors', array_to_string(a, ', '), array_to_string(a2, ', ') FROM m UNION ALL SELECT key, 'abstract', '', '(fetched)' FROM m WHERE b IS NULL AND b2 IS NOT NULL) SELECT * FROM c""")
+def reviewer_diff(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return edits.reviewer_changes(w, fetched_works(w))
+
+
+@query("WITH {works} SELECT key, CASE WHEN arxiv IS NOT NULL THEN 'arxiv' WHEN doi IS NOT NULL THEN 'doi' WHEN title <> '' THEN 'title' ELSE 'none' END AS source, coalesce(arxiv, doi, nullif(title, '')) AS id FROM works")
+def enrichment_source(spark, sf_dir):
+    s = identifiers.enrichment_source(F.col("arxiv"), F.col("files"), F.col("doi"), F.col("key"), F.col("title"))
+    return fixtures.works(spark, sf_dir).select("key", s["source"].alias("source"), s["id"].alias("id"))
+
+
+# ---- export
+
+@query("""WITH {works} SELECT key, array_to_string(list_filter([CASE WHEN kind = 'book' THEN '@book{' ELSE '@article{' END || key || ',', '  title = {' || title || '},',
+ CASE WHEN len(authors) > 0 THEN '  author = {' || array_to_string(list_transform(authors, lambda a: """ + _FAMILY.replace("{a}", "a") + """), ' and ') || '},' END, '  year = {' || year || '},', '  journal = {' || journal || '},',
+ '  publisher = {' || publisher || '},', '  edition = {' || edition || '},', '  series = {' || series || '},', CASE WHEN len(isbn) > 0 THEN '  isbn = {' || array_to_string(isbn, ', ') || '},' END, '  doi = {' || doi || '},',
+ '  eprint = {' || arxiv || '},', CASE WHEN arxiv IS NOT NULL THEN '  archiveprefix = {arXiv},' END, '}'], lambda x: x IS NOT NULL), chr(10)) AS entry FROM works""")
+def export_bibtex(spark, sf_dir):
+    return export.rendered(fixtures.works(spark, sf_dir), "bib")
+
+
+_J = lambda c: f"coalesce(to_json({c})::VARCHAR, 'null')"
+
+
+@query(
+    "WITH {works} SELECT key, '{\"key\":' || to_json(key) || CASE WHEN kind <> 'paper' THEN ',\"kind\":' || to_json(kind) ELSE '' END"
+    + "".join(f" || ',\"{n}\":' || {_J(n)}" for n in ("title", "authors", "year", "doi", "arxiv", "journal", "edition", "publisher", "series"))
+    + " || CASE WHEN len(isbn) > 0 THEN ',\"isbn\":' || to_json(isbn) ELSE '' END"
+    + "".join(f" || ',\"{n}\":' || {_J(n)}" for n in ("tags", "files", "abstract"))
+    + " || '}' AS entry FROM works"
+)
+def export_json(spark, sf_dir):
+    return export.rendered(fixtures.works(spark, sf_dir), "json")
+
+
+@query("""WITH {works} SELECT key, '{"type":"' || CASE WHEN kind = 'book' THEN 'book' ELSE 'article' END || '","title":' || to_json(title)
+ || CASE WHEN len(authors) > 0 THEN ',"author":' || to_json(list_transform(authors, lambda a: """ + _FAMILY.replace("{a}", "a") + """)) ELSE '' END || coalesce(',"date":' || year, '')
+ || coalesce(',"parent":{"type":"periodical","title":' || to_json(journal) || '}', '') || CASE WHEN doi IS NOT NULL AND arxiv IS NOT NULL THEN ',"serial-number":{"doi":' || to_json(doi) || ',"arxiv":' || to_json(arxiv) || '}'
+ WHEN doi IS NOT NULL THEN ',"serial-number":{"doi":' || to_json(doi) || '}' WHEN arxiv IS NOT NULL THEN ',"serial-number":{"arxiv":' || to_json(arxiv) || '}' ELSE '' END
+ || CASE WHEN doi IS NULL AND arxiv IS NOT NULL THEN ',"url":"https://arxiv.org/abs/' || arxiv || '"' ELSE '' END || coalesce(',"abstract":' || to_json(abstract), '') || '}' AS entry FROM works""")
+def export_hayagriva(spark, sf_dir):
+    return export.rendered(fixtures.works(spark, sf_dir), "hayagriva")
+
+
+@query("WITH {works} SELECT key, key AS plain, '\\cite{' || key || '}' AS latex, '@' || key AS typst FROM works")
+def citation(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", *(export.citation(F.col("key"), k).alias(k) for k in ("plain", "latex", "typst")))
+
+
+# ---- passages and incremental indexes
+
+@query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 7 = 6 AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + count(*) FILTER (turn % 3 = 2) OVER (PARTITION BY conv_id ORDER BY turn) AS line, role, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM conversations)
+SELECT 'conv-' || conv_id || '/derived/turns.jsonl' AS source_path, line, CASE WHEN cut THEN 'malformed' WHEN turn % 4 = 3 THEN 'skipped' ELSE 'ok' END AS status,
+ CASE WHEN NOT cut AND turn % 4 < 2 THEN turn WHEN NOT cut AND turn % 4 = 3 THEN line ELSE line END AS chunk_index,
+ CASE WHEN NOT cut AND turn % 4 < 3 THEN text END AS text, CASE WHEN cut THEN '' ELSE role END AS headings,
+ CASE WHEN cut THEN '' WHEN turn % 4 = 0 THEN CASE WHEN turn = 0 THEN '1' ELSE '1,' || (turn + 1) END WHEN turn % 4 IN (1, 3) THEN turn::VARCHAR ELSE '' END AS pages FROM c""")
+def row_normalise(spark, sf_dir):
+    rows = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir)).filter("status != 'blank'")
+    return rows.select("source_path", F.col("line").cast("long").alias("line"), "status", "chunk_index", "text", F.array_join("headings", ",").alias("headings"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 7 = 6 AS cut FROM conversations)
+SELECT count(DISTINCT conv_id) AS files, count(*) FILTER (NOT cut AND turn % 4 < 3) AS chunks, count(*) FILTER (NOT cut AND turn % 4 = 3) AS skipped, count(*) FILTER (cut) AS malformed FROM c""")
+def ingest_counters(spark, sf_dir):
+    return incremental.counters(incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir)))
+
+
+@query("SELECT conv_id, turn, sha256(role || chr(0) || text) AS fingerprint FROM conversations")
+def fingerprints(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", incremental.fingerprint(F.col("role"), F.col("text")).alias("fingerprint"))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, conv_id % 10 = 3 AS moved, conv_id % 5 = 1 AS edited FROM conversations)
+SELECT 'conv-' || conv_id || '/derived/turns.jsonl' AS source_path, CASE WHEN moved THEN 'deleted' WHEN edited THEN 'changed' ELSE 'unchanged' END AS action FROM c
+UNION ALL SELECT 'moved/conv-' || conv_id || '/derived/turns.jsonl', 'new' FROM c WHERE moved""")
+def index_plan(spark, sf_dir):
+    stored = incremental.sources_of(incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir)))
+    current = incremental.sources_of(incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir, edited=True)))
+    return incremental.plan(current, stored)
+
+
+@query("""WITH c AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 7 <> 6 AND turn % 4 < 3)
+SELECT CASE WHEN conv_id % 10 = 3 THEN 'moved/' ELSE '' END || 'conv-' || conv_id || '/derived/turns.jsonl' AS source_path, count(*) AS passages FROM c GROUP BY conv_id""")
+def index_update(spark, sf_dir):
+    before = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir))
+    after = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir, edited=True))
+    actions = incremental.plan(incremental.sources_of(after), incremental.sources_of(before))
+    updated = incremental.update_index(incremental.replace_index(before), after, actions)
+    return updated.groupBy("source_path").agg(F.count("*").alias("passages"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 7 = 6 AS cut FROM conversations), s AS (SELECT DISTINCT conv_id FROM c),
+n AS (SELECT count(*) FILTER (conv_id % 10 = 3 OR conv_id % 5 = 1) AS embedded_files, count(*) FILTER (conv_id % 10 <> 3 AND conv_id % 5 <> 1) AS unchanged, count(*) FILTER (conv_id % 10 = 3) AS removed FROM s)
+SELECT count(DISTINCT conv_id) AS files, count(*) FILTER (NOT cut AND turn % 4 < 3) AS chunks, count(*) FILTER (NOT cut AND turn % 4 = 3) AS skipped, count(*) FILTER (cut) AS malformed, max(embedded_files) AS embedded_files,
+ max(unchanged) AS unchanged, max(removed) AS removed, count(*) FILTER (NOT cut AND turn % 4 < 3 AND (conv_id % 10 = 3 OR conv_id % 5 = 1)) AS embedded_passages, max(embedded_files) = 0 AND max(removed) = 0 AS up_to_date FROM c, n""")
+def index_summary(spark, sf_dir):
+    before = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir))
+    after = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir, edited=True))
+    return incremental.summary(after, incremental.plan(incremental.sources_of(after), incremental.sources_of(before)))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT 'conv-' || conv_id || '/derived/turns.jsonl' AS source_path FROM c WHERE conv_id IN (SELECT conv_id FROM conversations WHERE (conv_id + turn) % 7 <> 6 AND turn % 4 < 3)""")
+def index_heal(spark, sf_dir):
+    rows = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir))
+    return incremental.healed(rows, incremental.replace_index(rows), incremental.sources_of(rows)).select("source_path")
+
+
+@query()
+def passage_fold(spark, sf_dir):
+    folded = layout.fold_passages(layout.paragraph_blocks(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return folded.select("doc", "chunk_index", "text", F.array_join("labels", ",").alias("labels"))
+
+
+# ---- mathematics
+
+_MATH = "CASE doc_id % 4 WHEN 0 THEN 'for | x + y | in N and ( a , b ]' WHEN 1 THEN 'x 1 , x 2 ; y i j over R' WHEN 2 THEN 'cases ( i i ) and { z }, f : Q' ELSE 'a 1 - 2 , Z' END || ' ' || doc_id"
+
+
+@query(r"""WITH d AS (SELECT doc_id, """ + _MATH + r""" AS x FROM documents), s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\|\s*([^|\n]+?)\s*\|', '|\1|', 'g'), '([(\[{])\s+', '\1', 'g'),
+ '\s+([)\]}])', '\1', 'g'), '\s+([,.;:])', '\1', 'g'), ',\s*([A-Za-z\-+])', ', \1', 'g') AS x FROM d)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\bN\b', 'ℕ', 'g'), '\bQ\b', 'ℚ', 'g'), '\bR\b', 'ℝ', 'g'), '\bZ\b', 'ℤ', 'g') AS tidy FROM s""")
+def math_tidy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", math.tidy_notation(F.expr(_MATH)).alias("tidy"))
+
+
+@query()
+def math_subscripts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", math.normalise_math(F.expr(_MATH)).alias("text"))
+
+
+@query("SELECT conv_id, turn, 'E = ' || turn AS first, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS n FROM conversations")
+def formula_blocks(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    body = F.concat(F.lit("\\[\nE = "), "turn", F.lit("\n$$\n"), "text", F.when(F.col("turn") % 2 == 0, F.lit("\n $$ \na\nb\n\\]\n")).otherwise(F.lit("\n\\[\nopen")))
+    found = math.display_formulas(body)
+    return c.select("conv_id", "turn", F.get(found, F.lit(0)).alias("first"), F.size(found).alias("n"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_size * 7 % 300)::DOUBLE AS l, (p_size * 11 % 500 + 60)::DOUBLE AS t, (p_size * 7 % 300 + p_size % 40)::DOUBLE AS r, (p_size * 11 % 500 + 40)::DOUBLE AS b FROM part),
+c AS (SELECT p_partkey, floor(greatest(l - 1, 0) * 3)::BIGINT AS x, floor(greatest(792 - t - 1, 0) * 3)::BIGINT AS y, ceil(least(r + 1, 612) * 3)::BIGINT AS x1, ceil(least(792 - b + 1, 792) * 3)::BIGINT AS y1 FROM p)
+SELECT p_partkey, x, y, x1 - x AS width, y1 - y AS height FROM c""")
+def pixel_crop(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "double(p_size * 7 % 300) l", "double(p_size * 11 % 500 + 60) t", "double(p_size * 7 % 300 + p_size % 40) r", "double(p_size * 11 % 500 + 40) b")
+    crop = math.pixel_crop(F.col("l"), F.col("t"), F.col("r"), F.col("b"), F.lit(612.0), F.lit(792.0), F.lit(216))
+    return p.select("p_partkey", crop.alias("c")).select("p_partkey", "c.x", "c.y", "c.width", "c.height")
+
+
+@query("""WITH o AS (SELECT conv_id, turn, unnest([1, 2]) AS k FROM conversations)
+SELECT conv_id || '#' || turn AS id, 'x = ' || (turn % 2) AS text, k AS nth, (turn % 2 * 10 + k - 1)::BIGINT AS place FROM o""")
+def formula_places(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    body = F.concat(F.lit("$$\nx = "), F.col("turn") % 2, F.lit("\n$$\ntext\n\\[\nx = "), F.col("turn") % 2, F.lit("\n\\]"))
+    hits = c.select(F.concat("conv_id", F.lit("#"), "turn").alias("id"), F.lit("d").alias("doc"), body.alias("text"), F.array(F.lit(1), F.lit(2)).cast("array<bigint>").alias("pages"))
+    known = [(i * 10 + k, f"x = {i}", k + 1) for i in range(2) for k in range(3)]
+    catalog = spark.createDataFrame([("d", o, t, p, 1.0, 2.0, 3.0, 1.0, 10.0, 10.0) for o, t, p in known], "doc string, ord long, text string, page long, l double, t double, r double, b double, page_width double, page_height double")
+    return formula.locate_formulas(hits, catalog).select("id", "text", "nth", "place")
+
+
+# ---- facets over labels
+
+@query("""SELECT coalesce(l.quality, -1) AS quality, d.lang, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL""")
+def label_facets(spark, sf_dir):
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
+    return d.join(labels, "doc_id", "left").groupBy(F.coalesce("quality", F.lit(-1)).alias("quality"), "lang").agg(F.count("*").alias("n"))

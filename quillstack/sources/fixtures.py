@@ -73,8 +73,8 @@ def jsonl_files(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataF
     """(key, work_title, source_path, content): a file of JSON lines for every conversation, under varying names.
 
     Every seventh turn's line is cut short and so malformed, every eleventh has
-    no text; blank lines stand between some.  Edited, some conversations are
-    gone, others changed, and there are new ones.
+    no text; blank lines stand between some.  Edited, some conversations stand
+    under another path and others have changed.
     """
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     row = (
@@ -87,9 +87,7 @@ def jsonl_files(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataF
     line = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("\n"), line)).otherwise(line)
     if edited:
         line = F.when(F.col("conv_id") % 5 == 1, F.concat(line, F.lit(" "))).otherwise(line)
-        c = c.filter("conv_id % 10 != 3")
-    else:
-        c = c.filter("conv_id % 10 != 4")
     files = c.select("conv_id", F.struct("turn", line.alias("line")).alias("l")).groupBy("conv_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    path = F.concat(F.lit("conv-"), "conv_id", F.lit("/derived/turns.jsonl"))
+    moved = F.when(F.col("conv_id") % 10 == 3, "moved/") if edited else F.lit(None).cast("string")
+    path = F.concat(F.coalesce(moved, F.lit("")), F.lit("conv-"), "conv_id", F.lit("/derived/turns.jsonl"))
     return files.select(F.concat(F.lit("conv-"), "conv_id").alias("key"), F.concat(F.lit("Conversation "), "conv_id").alias("work_title"), path.alias("source_path"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("content"))
