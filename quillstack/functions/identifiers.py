@@ -103,7 +103,7 @@ def http_to_https(c: Column) -> Column:
 
 def url_file_name(c: Column) -> Column:
     """The last segment of the path if it is a PDF's name, else download.pdf."""
-    last = F.element_at(F.filter(F.split(F.try_parse_url(c, F.lit("PATH")), "/"), lambda s: s != ""), -1)
+    last = F.try_element_at(F.filter(F.split(F.try_parse_url(c, F.lit("PATH")), "/"), lambda s: s != ""), F.lit(-1))
     return F.when(F.lower(last).endswith(".pdf"), last).otherwise(F.lit("download.pdf"))
 
 

@@ -84,7 +84,7 @@ def family_given(c: Column) -> Column:
     """"Family, Given" from either order; a name with a comma loses trailing commas only."""
     trimmed = trim_space(c)
     parts = words(c)
-    flipped = F.concat_ws(", ", F.element_at(parts, -1), F.array_join(F.slice(parts, 1, F.size(parts) - 1), " "))
+    flipped = F.concat_ws(", ", F.try_element_at(parts, F.lit(-1)), F.array_join(F.slice(parts, 1, F.size(parts) - 1), " "))
     return F.when(F.contains(trimmed, F.lit(",")), trim_space(F.regexp_replace(trimmed, ",+$", ""))).when(F.size(parts) > 1, flipped).otherwise(trimmed)
 
 
@@ -98,7 +98,7 @@ def key_surname(c: Column) -> Column:
     """What a key takes from a name: the text after the last comma; else the last word, or where that is an initial the first word that isn't."""
     parts = words(c)
     initial = lambda w: F.rlike(w, F.lit(r"^\p{IsAlphabetic}\.*$"))
-    last = F.element_at(parts, -1)
+    last = F.try_element_at(parts, F.lit(-1))
     full = F.filter(parts, lambda w: ~initial(w))
     by_words = F.when(F.size(parts) == 0, c).when((F.size(parts) > 1) & initial(last) & (F.size(full) > 0), F.get(full, F.lit(0))).otherwise(last)
     return F.when(F.contains(c, F.lit(",")), trim_space(F.regexp_extract(c, r"(?s)^.*,(.*)$", 1))).otherwise(by_words)
@@ -112,7 +112,7 @@ def sort_surname(c: Column) -> Column:
 
 def row_surname(c: Column) -> Column:
     """What a list row shows: before the last comma, else the last word."""
-    return F.when(F.contains(c, F.lit(",")), trim_space(F.regexp_extract(c, r"(?s)^(.*),", 1))).otherwise(F.element_at(words(c), -1))
+    return F.when(F.contains(c, F.lit(",")), trim_space(F.regexp_extract(c, r"(?s)^(.*),", 1))).otherwise(F.try_element_at(words(c), F.lit(-1)))
 
 
 def work_key(authors: Column, year: Column, title: Column) -> Column:
@@ -140,7 +140,7 @@ def author_preview(authors: Column) -> Column:
     n = F.size(authors)
     rest = F.concat(F.lit("+"), (n - 3).cast("string"), F.when(n - 3 == 1, F.lit(" author")).otherwise(F.lit(" authors")))
     return F.when(n <= 3, F.array_join(authors, " · ")).otherwise(
-        F.concat_ws(" · ", F.get(authors, F.lit(0)), F.get(authors, F.lit(1)), F.element_at(authors, -1), rest)
+        F.concat_ws(" · ", F.get(authors, F.lit(0)), F.get(authors, F.lit(1)), F.try_element_at(authors, F.lit(-1)), rest)
     )
 
 

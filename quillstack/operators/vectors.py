@@ -173,7 +173,7 @@ def embed(passages: DataFrame, encode: Callable[[list[str]], np.ndarray], dimens
             yield frame.assign(embedding=[np.asarray(v, dtype=np.float32).tolist() for v in vectors])
 
     names = [f for f in passages.schema if f.name != "embedding"]
-    schema = type(passages.schema)([*names]).add("embedding", "array<float>")
+    schema = T.StructType([*names, T.StructField("embedding", T.ArrayType(T.FloatType()))])
     return passages.select(*(f.name for f in names)).mapInPandas(run, schema)
 
 

@@ -21,7 +21,7 @@ TEXTS = ("doi", "arxiv", "journal", "edition", "publisher", "series", "abstract"
 
 def _folder(path: Column, depth: int = 1) -> Column:
     """The name of the folder a file stands in, or of one further up."""
-    return F.element_at(F.split(path, "/"), -1 - depth)
+    return F.try_element_at(F.split(path, "/"), F.lit(-1 - depth))
 
 
 def _files(spark: SparkSession, library: str, pattern: str, recursive: bool = False) -> DataFrame:
@@ -74,7 +74,7 @@ def parse_records(records: DataFrame) -> DataFrame:
                     rows.append({"key": key, **_record(bytes(content)), "_corrupt": None})
                 except (ValueError, UnicodeDecodeError) as e:
                     rows.append({"key": key, "_corrupt": str(e)})
-            out = pd.DataFrame(rows, columns=[*columns, "_corrupt"])
+            out = pd.DataFrame([{c: r.get(c) for c in [*columns, "_corrupt"]} for r in rows], columns=[*columns, "_corrupt"], dtype=object)
             out["year"] = out["year"].astype("Int32")
             yield out
 
@@ -91,7 +91,7 @@ def read_works(spark: SparkSession, library: str) -> tuple[DataFrame, DataFrame]
 def file_listing(spark: SparkSession, library: str) -> DataFrame:
     """(key, name, length, is_pdf) of the files in the works' folders; is_pdf by their first bytes."""
     found = _files(spark, library, "*")
-    return found.select(_folder(F.col("path")).alias("key"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", is_pdf_file(F.col("content")).alias("is_pdf"))
+    return found.select(_folder(F.col("path")).alias("key"), F.try_element_at(F.split("path", "/"), F.lit(-1)).alias("name"), "length", is_pdf_file(F.col("content")).alias("is_pdf"))
 
 
 def has_pdf(listing: DataFrame) -> DataFrame:
