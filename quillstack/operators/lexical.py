@@ -42,7 +42,7 @@ def postings_statistics(terms: DataFrame, key: str = "key") -> DataFrame:
 
 
 def document_lengths(docs: DataFrame, columns: tuple[str, ...], key: str = "key") -> DataFrame:
-    return docs.select(key, sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).alias("length"))
+    return docs.select(key, sum((token_count(normalised(F.col(c))) for c in columns), F.lit(0)).alias("length"))
 
 
 def parse_query(spark_docs: DataFrame, query: str) -> list[list[str]]:
@@ -55,27 +55,33 @@ def parse_query(spark_docs: DataFrame, query: str) -> list[list[str]]:
     return [list(r["t"]) for r in rows if r["t"]]
 
 
-def phrase_count(ts: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in an array of tokens."""
-    if len(phrase) == 1:
-        return F.size(F.filter(ts, lambda t: t == phrase[0]))
-    tail = phrase[1:]
+def normalised(c: Column) -> Column:
+    return F.lower(strip_accents(F.coalesce(c, F.lit(""))))
 
-    def here(t: Column, i: Column) -> Column:
-        ok = t == phrase[0]
-        for n, word in enumerate(tail, 1):
-            ok = ok & (F.coalesce(F.get(ts, i + n), F.lit("")) == word)
-        return ok
 
-    return F.size(F.filter(ts, here))
+def token_count(text: Column) -> Column:
+    """How many tokens a normalised text has."""
+    inner = F.regexp_replace(text, rf"^{NO_WORD}|{NO_WORD}$", "")
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, NO_WORD)))
+
+
+def phrase_pattern(phrase: list[str]) -> str:
+    """A pattern of a phrase's first token where the others follow; what follows is only looked at, so phrases may overlap."""
+    word, edge = r"[\p{IsAlphabetic}\p{N}]", r"(?![\p{IsAlphabetic}\p{N}])"
+    rest = "".join(f"{NO_WORD}{t}" for t in phrase[1:])
+    return rf"(?<!{word}){phrase[0]}(?={rest}{edge})" if rest else rf"(?<!{word}){phrase[0]}{edge}"
 
 
 def matches(docs: DataFrame, phrases: list[list[str]], columns: tuple[str, ...], key: str = "key") -> DataFrame:
-    """(key, length, f0, f1, ...): every row with its length and how often each phrase stands in it."""
-    tokenised = docs.select(key, *(tokens(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)))
-    count = lambda p: sum((phrase_count(F.col(f"_t{i}"), p) for i in range(len(columns))), F.lit(0))
-    length = sum((F.size(f"_t{i}") for i in range(len(columns))), F.lit(0))
-    return tokenised.select(key, length.alias("length"), *(count(p).alias(f"f{j}") for j, p in enumerate(phrases)))
+    """(key, length, f0, f1, ...): every row with its length and how often each phrase stands in it.
+
+    Counted on the texts as they are, without arrays of tokens: a phrase never
+    goes over the border of two columns.
+    """
+    plain = docs.select(key, *(normalised(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)))
+    total = lambda count: sum((count(F.col(f"_t{i}")) for i in range(len(columns))), F.lit(0))
+    counts = [total(lambda t, p=p: F.regexp_count(t, F.lit(phrase_pattern(p)))).alias(f"f{j}") for j, p in enumerate(phrases)]
+    return plain.select(key, total(token_count).alias("length"), *counts)
 
 
 def bm25(docs: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS, key: str = "key") -> DataFrame:

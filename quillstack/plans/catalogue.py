@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers, math, pages, text
 from ..operators import catalogue, duplicates, edits, export, formula, incremental, layout, lexical, quality, vectors
 from ..sources import fixtures
-from ..sources.fixtures import LISTING_SQL, WORKS_SQL, table
+from ..sources.fixtures import LISTING_SQL, WORKS_SQL, spread, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -100,7 +100,7 @@ def tok(c: str) -> str:
 @query(f"""WITH {_SIM}, hit AS (SELECT doc_id FROM documents WHERE list_contains({tok("text")}, 'the') AND list_contains({tok("text")}, 'of'))
 SELECT row_number() OVER (ORDER BY sim DESC, vec_id) AS rank, vec_id AS id, label AS work, round(sim, 6) AS similarity FROM s WHERE vec_id IN (SELECT doc_id FROM hit)""")
 def vector_exact_filtered(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("vec_id"), "text")
     only = lexical.with_all_terms(docs, "the of", ("text",), "vec_id")
     return _round(vectors.rank_passages(scored_embeddings(spark, sf_dir, only))).select("rank", "id", "work", "similarity")
 
@@ -141,7 +141,7 @@ def _bm25_sql(terms: list[str], source: str, key: str) -> str:
 
 
 def _bm25_rank(spark, sf_dir, words: str, source: str, key: str) -> DataFrame:
-    docs = table(spark, sf_dir, source)
+    docs = spread(table(spark, sf_dir, source))
     if source == "conversations":
         docs = docs.withColumn("id", F.concat("conv_id", F.lit("#"), "turn"))
     return lexical.bm25(docs, words, ("text",), key).select(key, F.round("score", 6).alias("score"))
@@ -174,14 +174,14 @@ def search_works(spark, sf_dir):
 @query(f"""WITH t AS (SELECT doc_id, {tok("text")} AS ts FROM documents), p AS (SELECT doc_id, unnest(range(1, len(ts))) AS i, ts FROM t)
 SELECT doc_id, count(*) AS n FROM p WHERE ts[i] = 'of' AND ts[i + 1] = 'the' GROUP BY doc_id""")
 def phrase_matches(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return lexical.matches(docs, [["of", "the"]], ("text",), "doc_id").filter("f0 > 0").select("doc_id", F.col("f0").cast("long").alias("n"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({tok("text")}) AS term FROM documents), r AS (SELECT term, doc_id, count(*) AS n FROM t GROUP BY ALL)
 SELECT term, count(*) AS df, sum(n)::BIGINT AS cf FROM r GROUP BY term""")
 def postings_stats(spark, sf_dir):
-    return lexical.postings_statistics(lexical.postings(table(spark, sf_dir, "documents"), ("text",), "doc_id"), "doc_id")
+    return lexical.postings_statistics(lexical.postings(spread(table(spark, sf_dir, "documents")), ("text",), "doc_id"), "doc_id")
 
 
 @query(f"SELECT doc_id, {_LEN} AS length FROM documents")
@@ -791,7 +791,7 @@ def index_heal(spark, sf_dir):
 
 @query()
 def passage_fold(spark, sf_dir):
-    folded = layout.fold_passages(layout.paragraph_blocks(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    folded = layout.fold_passages(layout.paragraph_blocks(spread(table(spark, sf_dir, "documents")), "doc_id", "text"))
     return folded.select("doc", "chunk_index", "text", F.array_join("labels", ",").alias("labels"))
 
 

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over as many tasks as there are cores, where its files make fewer; for work that is heavy per row."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +44,7 @@ _WORKS = """
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = _WORKS.format(first_line="split(text, '\\n')[0]", no_list="array()", list="array", text="STRING")
-    return spark.sql(f"SELECT {sql} FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
+    return spark.sql(f"SELECT {sql} FROM {{docs}}", docs=spread(table(spark, sf_dir, "documents")))
 
 
 #: A CTE of the same rows for DuckDB.
@@ -76,7 +82,7 @@ def jsonl_files(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataF
     no text; blank lines stand between some.  Edited, some conversations stand
     under another path and others have changed.
     """
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    c = spread(table(spark, sf_dir, "conversations")).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     row = (
         F.when(F.col("turn") % 4 == 0, F.to_json(F.struct(F.col("turn").alias("chunk_index"), "text", F.array("role").alias("headings"), F.array(F.col("turn") + 1, F.lit(1)).alias("page_numbers"))))
         .when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.col("text").alias("page_content"), F.struct(F.col("role").alias("section"), F.col("turn").cast("string").alias("page"), F.col("turn").cast("string").alias("chunk_id")).alias("metadata"))))
