@@ -190,6 +190,25 @@ def preview(c: Column, most: int) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 1)), F.lit("…"))).otherwise(flat)
 
 
+def truncate(c: Column, most: int) -> Column:
+    """The first so many bytes of UTF-8, less what a cut character leaves."""
+    cut = F.substring(c.cast("binary"), 1, most)
+    whole = [F.when(F.is_valid_utf8(F.substring(cut, 1, most - n).cast("string")), F.substring(cut, 1, most - n).cast("string")) for n in range(4)]
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(*whole))
+
+
+#: What a message about a failed search says, by what the error contains.
+SEARCH_ERRORS = (("no such table", "There is no index yet; build it first."), ("another model", "The index was built with another model; build it again."), ("dimensions", "The index has other dimensions; build it again."), ("empty", "The index is empty."))
+
+
+def search_error(c: Column) -> Column:
+    """A message for a reader; the error itself where none fits."""
+    out = F.lit(None).cast("string")
+    for part, message in reversed(SEARCH_ERRORS):
+        out = F.when(F.contains(F.lower(c), F.lit(part)), F.lit(message)).otherwise(out)
+    return F.coalesce(out, c)
+
+
 def human_size(n: Column) -> Column:
     """From 1 MiB on as x.y MB, else whole KB, 1 at least."""
     kb = F.greatest(F.ceil(n / 1024), F.lit(1)).cast("string")

@@ -76,6 +76,11 @@ def test_previews(column):
     assert column(lambda d, t, s: text.progress_line(d, t, s), [(1, 3, 61)], "d bigint, t bigint, s bigint") == ["1/3 (33%) 01:01"]
 
 
+def test_truncate_and_messages(column):
+    assert column(lambda c: text.truncate(c, 4), ["abc", "abcdef", "aé日本", "日本", "", None]) == ["abc", "abcd", "aé", "日", "", None]
+    assert column(text.search_error, ["No such table: x", "odd", None]) == ["There is no index yet; build it first.", "odd", None]
+
+
 def test_meta_tags(column):
     html = "<META content='10.1/a' name=\"citation_doi\"><meta name='citation_author' content='A'><meta content='B' name='citation_author'><meta name='citation_author' content='A'><meta name='x' content=' '>"
     assert column(lambda h: pages.meta_content(h, "citation_doi"), [html, "<p>", None]) == ["10.1/a", None, None]
