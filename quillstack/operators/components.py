@@ -17,19 +17,23 @@ from pyspark.sql import functions as F
 from ..plans.durable import durable, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b) with a > b; the next edges, of the same form."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """edges (a, b) with a > b; the next edges, of the same form, and the table of minima they read.
+
+    The minima are written before they are joined, so that the join stands
+    directly on its exchanges and AQE can split a node that very many edges have.
+    """
     if large:
         both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(edges.select(F.col("b").alias("n"), F.col("a").alias("m")))
     else:
         both = edges.select(F.col("a").alias("n"), F.col("b").alias("m"))
-    low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+    low = durable(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
     joined = both.join(low, "n")
     if large:
         out = joined.filter("m > n").select(F.col("m").alias("a"), F.col("low").alias("b"))
     else:
         out = joined.select(F.col("m").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("low").alias("b")))
-    return out.filter("a != b").distinct()
+    return out.filter("a != b").distinct(), low
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -43,7 +47,12 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     current = durable(loose.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
-        following = durable(_star(_star(current, large=True), large=False))
+        stars, low = _star(current, large=True)
+        stars = durable(stars)
+        release(low)
+        following, low = _star(stars, large=False)
+        following = durable(following)
+        release(low, stars)
         mark = tuple(following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         release(current)
         current = following
