@@ -34,7 +34,7 @@ from .minhash import shingle_hashes
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 PAIRS = ((0, 1), (1, 2), (2, 0))
 CODE_BITS = 15
-#: Bits of neighbours that a large key looks up instead of comparing its members one by one.
+#: Members from which on a key looks up their neighbours instead of comparing them one by one.
 LOOKUP_FROM = 2000
 SEED = 42
 
@@ -239,9 +239,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 3, text
     smallest = durable(rows.groupBy("simhash").agg(F.min(key).alias("_low")))
     found = connected_components(links(smallest))
     joined = smallest.join(found.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("component", F.coalesce("component", "simhash"))
-    lows = joined.groupBy("component").agg(F.min("_low").alias("component_id"))
+    lows = durable(joined.groupBy("component").agg(F.min("_low").alias("component_id")))
     labels = durable(joined.select("simhash", "component").join(lows, "component").select("simhash", "component_id"))
-    release(smallest)
+    release(smallest, lows)
     return rows.join(labels, "simhash").select(key, "simhash", "component_id")
 
 
@@ -280,24 +280,22 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect what differs in at most WIDE_APART bits, per run of equal keys."""
 
     def connect(prints: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """A member takes all it reaches out of those left, so a tight group costs about as many comparisons as it has members."""
         prints = sorted(set(prints))
         rows = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-        parent = list(range(len(prints)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        rest, left = np.arange(len(prints)), rows
         a, b = [], []
-        for i in range(len(prints) - 1):
-            for j in (np.flatnonzero(np.bitwise_count(rows[i + 1 :] ^ rows[i]).sum(axis=1) <= WIDE_APART) + i + 1).tolist():
-                x, y = find(i), find(j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    a.append(prints[i])
-                    b.append(prints[j])
+        while rest.size > 1:
+            front, rest, left = [int(rest[0])], rest[1:], left[1:]
+            while front and rest.size:
+                i = front.pop()
+                near = np.bitwise_count(left ^ rows[i]).sum(axis=1) <= WIDE_APART
+                if near.any():
+                    found = rest[near].tolist()
+                    rest, left = rest[~near], left[~near]
+                    a.extend([prints[i]] * len(found))
+                    b.extend(prints[j] for j in found)
+                    front.extend(found)
         return a, b
 
     def out(found: list[tuple[list[bytes], list[bytes]]]) -> pa.RecordBatch:
@@ -353,7 +351,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = copies.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_wide_links, "a binary, b binary")
     found = connected_components(links)
     joined = smallest.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    lows = joined.groupBy("component").agg(F.min("_low").alias("component_id"))
+    lows = durable(joined.groupBy("component").agg(F.min("_low").alias("component_id")))
     labels = durable(joined.select("print", "component").join(lows, "component").select("print", "component_id"))
-    release(smallest)
+    release(smallest, lows)
     return rows.join(labels, "print").select(key, "component_id")
