@@ -13,7 +13,7 @@ meets by the Jaccard similarity of the shingles themselves.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,6 @@ _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-EMPTY = np.full(PERMUTATIONS, 0xFFFF, dtype=np.uint16)
 
 
 class WordHashes(dict):
@@ -67,10 +66,9 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def signatures(texts: list[str]) -> np.ndarray:
-    """One row of PERMUTATIONS 16-bit values per text; all ones for a text without words."""
-    out = np.tile(EMPTY, (len(texts), 1))
-    least = np.full((len(texts), PERMUTATIONS), np.iinfo(np.uint64).max, dtype=np.uint64)
+def least_values(sets: Iterable[np.ndarray], count: int) -> np.ndarray:
+    """One row of PERMUTATIONS 64-bit least values for each of ``count`` sets of hashes; all ones for an empty one."""
+    least = np.full((count, PERMUTATIONS), np.iinfo(np.uint64).max, dtype=np.uint64)
     held, owners, size = [], [], 0
 
     def flush() -> None:
@@ -90,20 +88,20 @@ def signatures(texts: list[str]) -> np.ndarray:
         least[rows] = np.minimum(least[rows], part.T)
         held, owners, size = [], [], 0
 
-    for i, text in enumerate(texts):
-        h = shingle_hashes(text)
+    for i, h in enumerate(sets):
         for at in range(0, h.size, RUN):
             if size + min(RUN, h.size - at) > RUN:
                 flush()
             held.append(h[at : at + RUN])
             owners.append(i)
             size += len(held[-1])
-        if h.size:
-            out[i] = 0
     flush()
-    some = out[:, 0] == 0
-    out[some] = (least[some] >> np.uint64(48)).astype(np.uint16)
-    return out
+    return least
+
+
+def signatures(texts: list[str]) -> np.ndarray:
+    """One row of PERMUTATIONS 16-bit values per text; all ones for a text without words."""
+    return (least_values(map(shingle_hashes, texts), len(texts)) >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

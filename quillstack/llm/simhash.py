@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..plans.durable import durable, release
-from .arrowtools import bound_arrow_batches, shuffle_partitions, texts_of, with_columns
-from .minhash import shingle_hashes
+from .arrowtools import bound_arrow_batches, shuffle_partitions, with_columns
+from .minhash import SIMILAR
+from .similar import set_rows, similar_links
 
 #: (shift, width) of the three blocks.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -255,103 +256,22 @@ def keep_first(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFr
     return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
 
 
-#: The wide fingerprint for similarities: bits, how many may differ, and the tables of sampled bits.
-WIDE, WIDE_APART, WIDE_TABLES, WIDE_SAMPLE = 256, 46, 96, 22
-_SAMPLES = np.array([np.random.default_rng(1000 + t).choice(WIDE, WIDE_SAMPLE, replace=False) for t in range(WIDE_TABLES)])
-
-
-def wide_fingerprint(text: str, shingle: int = 5) -> np.ndarray:
-    """256 bits, as 32 bytes: each is 1 if over half of the distinct shingles have it; all 0 without words."""
-    h = np.unique(shingle_hashes(text, shingle))
-    ones = np.zeros(WIDE, dtype=np.int64)
-    for at in range(0, h.size, 8192):
-        part = h[at : at + 8192]
-        with np.errstate(over="ignore"):
-            mixed = np.stack([(part ^ part >> np.uint64(31 + i)) * (_MIXERS[i]) for i in range(4)], axis=1)
-            mixed ^= mixed >> np.uint64(29)
-        ones += np.unpackbits(mixed.view(np.uint8).reshape(part.size, WIDE // 8), axis=1).sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > h.size)
-
-
-_MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-
-
-def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect what differs in at most WIDE_APART bits, per run of equal keys."""
-
-    def connect(prints: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """A member takes all it reaches out of those left, so a tight group costs about as many comparisons as it has members."""
-        prints = sorted(set(prints))
-        rows = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-        rest, left = np.arange(len(prints)), rows
-        a, b = [], []
-        while rest.size > 1:
-            front, rest, left = [int(rest[0])], rest[1:], left[1:]
-            while front and rest.size:
-                i = front.pop()
-                near = np.bitwise_count(left ^ rows[i]).sum(axis=1) <= WIDE_APART
-                if near.any():
-                    found = rest[near].tolist()
-                    rest, left = rest[~near], left[~near]
-                    a.extend([prints[i]] * len(found))
-                    b.extend(prints[j] for j in found)
-                    front.extend(found)
-        return a, b
-
-    def out(found: list[tuple[list[bytes], list[bytes]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[i]], pa.binary()) for i in range(2)], names=["a", "b"])
-
-    key, held, found = None, [], []
-    for batch in batches:
-        for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != key:
-                if len(held) > 1:
-                    found.append(connect(held))
-                key, held = k, []
-            held.append(p)
-        if found:
-            yield out(found)
-            found = []
-    if len(held) > 1:
-        yield out([connect(held)])
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(key, component_id) of documents whose shingle sets are alike: a Jaccard similarity of about 0.8 or more.
-
-    Wide fingerprints of two such sets differ in about 38 of 256 bits, and 46 are
-    let pass.  Fingerprints meet where they agree in 22 sampled bits; of 96
-    samples at least one does so for 93 % of pairs of similarity 0.8, and for
-    over 99 % of those above 0.85.  Nulls, ties and repeated rows are treated as in near_duplicates;
-    texts without words are alike.
-    """
-    spark = docs.sparkSession
-    bound_arrow_batches(spark)
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [wide_fingerprint(t, shingle).tobytes() for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[key, "print"])
-
-    rows = durable(docs.select(F.col(key).alias(key), F.col(text).alias("text")).mapInArrow(prints, T.StructType([docs.schema[key], T.StructField("print", T.BinaryType())])))
-    smallest = durable(rows.groupBy("print").agg(F.min(key).alias("_low")))
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """(key, component_id) of documents whose shingle sets are alike: a Jaccard similarity of 0.8 or more.
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_pylist()
-            for at in range(0, len(values), 500):
-                part = values[at : at + 500]
-                bits = np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), -1), axis=1)
-                weights = 1 << np.arange(WIDE_SAMPLE, dtype=np.int64)
-                keys = bits[:, _SAMPLES].astype(np.int64) @ weights + (np.arange(WIDE_TABLES, dtype=np.int64) << 32)
-                column = pa.array(part, pa.binary()).take(pa.array(np.repeat(np.arange(len(part)), WIDE_TABLES)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), column], names=["key", "print"])
-
-    copies = smallest.select("print").mapInArrow(replicate, "key long, print binary")
-    links = copies.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_wide_links, "a binary, b binary")
+    Distinct sets are the nodes, so copies count once.  Candidates meet in one of
+    32 bands of four MinHash values, which a pair of similarity 0.8 misses once in
+    20 million, whatever its length.  Every link is verified by the Jaccard
+    similarity of the sets before it may connect anything.  Nulls, ties and repeated
+    rows are treated as in near_duplicates; texts without words are alike.
+    """
+    source = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    rows = durable(set_rows(source, key, shingle))
+    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("_low"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    links = similar_links(nodes, source, shingle, similarity)
     found = connected_components(links)
-    joined = smallest.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    joined = nodes.select("node", "_low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = durable(joined.groupBy("component").agg(F.min("_low").alias("component_id")))
-    labels = durable(joined.select("print", "component").join(lows, "component").select("print", "component_id"))
-    release(smallest, lows)
-    return rows.join(labels, "print").select(key, "component_id")
+    labels = durable(joined.select("node", "component").join(lows, "component").select("node", "component_id"))
+    release(nodes, links, lows)
+    return rows.select(key, "node").join(labels, "node").select(key, "component_id")

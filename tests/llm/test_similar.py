@@ -126,6 +126,63 @@ def test_similar_documents(spark, edge, nothing):
     assert simhash.keep_first(nothing, simhash.similar_documents(nothing)).count() == 0
 
 
+def brute_similar(texts):
+    """{i: smallest i reached} over true Jaccard similarities of 0.8 and more."""
+    sets = [shingles(t) for t in texts]
+    low = list(range(len(texts)))
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for j, y in enumerate(sets):
+        for i in range(j):
+            x = sets[i]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                low[b] = a
+    return {i: find(i) for i in range(len(texts))}
+
+
+def pair_texts(r, n, j):
+    """Two texts of n words whose runs of five words have a similarity near j."""
+    words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+    cut = round((n - 4) * 2 * j / (1 + j)) + 4  # words from the start that both have
+    return " ".join(words), " ".join(words[:cut] + [f"v{r.randrange(10**9)}" for _ in range(n - cut)])
+
+
+def similar_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(rows).collect()}
+
+
+def test_similar_documents_find_all_pairs(spark):
+    """At and just above the threshold, and in texts of 5 to 15 words, nothing is missed."""
+    r = random.Random(6)
+    texts = [t for j in (0.80, 0.81, 0.82, 0.85) for n in (60, 104, 250, 504) for _ in range(12) for t in pair_texts(r, n, j)]
+    for n in range(5, 16):
+        for _ in range(6):
+            words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, "more"]), " ".join(words[1:])]
+    expected = brute_similar(texts)
+    assert sum(k != v for k, v in expected.items()) > 150
+    got = similar_of(spark, texts)
+    assert {k: v for k, v in got.items() if v != expected[k]} == {}
+
+
+def test_similar_documents_in_crowds(spark):
+    """Bands that very many nodes share, near copies and unlike ones, give what all pairs give."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:180] + [f"x{r.randrange(10**9)}" for _ in range(20)]) for _ in range(90)]  # alike
+    texts += [" ".join(base[100:] + [f"y{r.randrange(10**9)}" for _ in range(60)]) for _ in range(90)]  # not alike, half in common
+    texts += [" ".join([f"z{i}" for i in range(100)] + [f"u{k // 2}-{i}" for i in range(60)] + [f"v{k}-{i}" for i in range(8)]) for k in range(80)]  # alike in twos
+    expected = brute_similar(texts)
+    assert similar_of(spark, texts) == expected
+    assert len(set(expected.values())) == 1 + 90 + 40
+
+
 def test_minhash_contract(spark, edge, edge_rows, nothing):
     docs = spark.read.parquet(DATA)
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
