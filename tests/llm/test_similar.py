@@ -183,6 +183,20 @@ def test_similar_documents_in_crowds(spark):
     assert len(set(expected.values())) == 1 + 90 + 40
 
 
+def test_similar_documents_keep_the_unlike(spark):
+    """Pairs below the threshold stay apart, long and short, and chains of them too."""
+    r = random.Random(8)
+    texts = [t for j in (0.65, 0.70, 0.75, 0.78) for n in (60, 250, 504) for _ in range(12) for t in pair_texts(r, n, j)]
+    for _ in range(30):
+        words = [f"w{r.randrange(10**9)}" for _ in range(8)]
+        texts += [" ".join(words), " ".join([*words[:7], "other"])]  # 3 of 5 runs in common
+        texts += [" ".join([*words[:7], "a"]), " ".join([*words[:7], "a", "b"])[:-2]]  # a copy
+        texts += [" ".join(["x", *words[:7]])]
+    expected = brute_similar(texts)
+    got = similar_of(spark, texts)
+    assert {k: v for k, v in got.items() if v != expected[k]} == {}
+
+
 def test_minhash_contract(spark, edge, edge_rows, nothing):
     docs = spark.read.parquet(DATA)
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
