@@ -7,8 +7,8 @@ asked.  A block explodes its documents' n-grams again, takes off what the
 document itself has, scores each position by the longest n-gram that other
 documents have, and sums per document.
 
-An n-gram is known by 64-bit hashes of its words, mixed; a bucket tells them
-apart by 40 bits beside its own number.
+An n-gram is known by 64-bit hashes of its words, mixed.  All 64 bits travel: a
+bucket is the remainder of the hash, and its keys are the quotients.
 """
 
 from __future__ import annotations
@@ -37,32 +37,43 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """32-bit values byte by byte, so that what they share packs well."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of the values byte by byte, so that what they share packs well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1)
 
 
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 40-bit keys as steps, with counts."""
+    """Sorted 64-bit keys as steps, with counts."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    high = np.flatnonzero(steps >> np.uint64(32))  # steps of over 32 bits are named apart
-    head = np.array([keys.size, high.size], dtype="<u4").tobytes() + high.astype("<u4").tobytes() + (steps[high] >> np.uint64(32)).astype(np.uint8).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + _planes(steps & np.uint64(0xFFFFFFFF)) + _planes(counts))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return zstandard.ZstdCompressor(level=1).compress(np.array([keys.size, width], dtype="<u4").tobytes() + _planes(steps, width) + _planes(counts, 4))
 
 
 def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, n_high = np.frombuffer(raw, "<u4", 2).tolist()
-    at = 8 + 5 * n_high
-    steps = _from_planes(raw[at : at + 4 * n]).astype(np.uint64)
-    if n_high:
-        high = np.frombuffer(raw, "<u4", n_high, 8)
-        steps[high] |= np.frombuffer(raw, np.uint8, n_high, 8 + 4 * n_high).astype(np.uint64) << np.uint64(32)
-    return np.cumsum(steps, dtype=np.uint64), _from_planes(raw[at + 4 * n :])
+    n, width = np.frombuffer(raw, "<u4", 2).tolist()
+    return np.cumsum(_from_planes(raw[8 : 8 + width * n], width), dtype=np.uint64), _from_planes(raw[8 + width * n :], 4)
+
+
+def log_scores(counts: list[np.ndarray], others: np.ndarray, nth: np.ndarray, backoff: float) -> np.ndarray:
+    """The score of each position, from how often other rows have its n-grams of each order.
+
+    An n-gram whose context no other row has is not seen.
+    """
+    order = len(counts)
+    score = np.log(np.maximum(counts[0], 1) / np.maximum(others, 1)) + (order - 1) * np.log(backoff)
+    for n in range(1, order):
+        context = np.r_[0.0, counts[n - 1][:-1]] if nth.size else np.zeros(0)
+        seen = (counts[n] > 0) & (context > 0) & (nth >= n)
+        score[seen] = np.log(counts[n][seen] / context[seen]) + (order - 1 - n) * np.log(backoff)
+    # a position near the start has no longer n-grams to back off from
+    return score - np.maximum(order - 1 - nth, 0) * np.log(backoff)
 
 
 class Grams:
@@ -118,7 +129,7 @@ def document_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", or
 
     def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         hashes, counts, by, begin = grams_of(table).distinct(buckets)
-        keys = hashes >> np.uint64(24)
+        keys = hashes // np.uint64(buckets)
         for b in range(buckets):
             at = by[begin[b] : begin[b + 1]]
             if at.size:
@@ -146,13 +157,7 @@ def document_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", or
             _, place, own = np.unique(which * n_rows + grams.row[has], return_inverse=True, return_counts=True)
             found[has] = totals[which] - own[place]
             counts.append(found)
-        score = np.log(np.maximum(counts[0], 1) / np.maximum(others, 1)) + (order - 1) * np.log(backoff) if grams.row.size else np.zeros(0)
-        for n in range(1, order):
-            context = np.r_[0.0, counts[n - 1][:-1]] if grams.row.size else np.zeros(0)
-            seen = (counts[n] > 0) & grams.has[n]
-            score[seen] = np.log(counts[n][seen] / context[seen]) + (order - 1 - n) * np.log(backoff)
-        # a position near the start has no longer n-grams to back off from
-        score -= np.maximum(order - 1 - grams.nth, 0) * np.log(backoff)
+        score = log_scores(counts, others, grams.nth, backoff)
         total = np.bincount(grams.row, weights=score, minlength=n_rows) if grams.row.size else np.zeros(n_rows)
         yield pa.RecordBatch.from_arrays(
             [table.column(key).combine_chunks(), pa.array(grams.lengths), pa.array(total), pa.array(total / np.maximum(grams.lengths, 1))],

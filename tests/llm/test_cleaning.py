@@ -175,3 +175,18 @@ def test_held_out_rows_teach_nothing(spark):
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs, turned)
     assert a.toxic == b.toxic and (a.weights == b.weights).all()
+
+
+def test_counts_keep_all_bits():
+    """Keys that agree in their upper 40 bits, and steps of up to 64 bits, come back as they were."""
+    top = (1 << 64) - 1
+    keys = np.array([0, 1, 2, 5 << 24, (5 << 24) + 1, (5 << 24) + 3, 1 << 63, (1 << 63) + (1 << 23), top - 1, top], dtype=np.uint64)
+    back = lm_scoring.unpack_counts(lm_scoring.pack_counts(keys, np.arange(keys.size)))
+    assert back[0].tolist() == keys.tolist() and back[1].tolist() == list(range(keys.size))
+
+
+def test_unknown_context_is_not_seen():
+    """A trigram that is counted while its context is not falls back instead of dividing by nothing."""
+    counts = [np.array([4.0, 2.0, 3.0]), np.array([0.0, 0.0, 0.0]), np.array([0.0, 0.0, 1.0])]
+    score = lm_scoring.log_scores(counts, np.full(3, 50.0), np.arange(3), 0.5)
+    assert np.allclose(score, [np.log(4 / 50), np.log(2 / 50) + np.log(0.5), np.log(3 / 50) + 2 * np.log(0.5)])
