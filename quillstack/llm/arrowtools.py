@@ -35,6 +35,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema); the one place where the operators hand work to Python."""
+    return df.mapInArrow(run, schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The text column as Python strings, null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
@@ -98,7 +103,7 @@ def pack_blocks(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
         if held:
             yield out()
 
-    blocks = df.mapInArrow(pack, "block long, payload binary")
+    blocks = map_arrow(df, pack, "block long, payload binary")
     return blocks.repartition(shuffle_partitions(spark), "block")
 
 
@@ -114,7 +119,7 @@ def ask_buckets(blocks: DataFrame, ask: Callable[[pa.Table], Iterator[tuple[int,
                     names=["bucket", "block", "asked"],
                 )
 
-    return blocks.select("block", "payload").mapInArrow(run, "bucket int, block long, asked binary")
+    return map_arrow(blocks.select("block", "payload"), run, "bucket int, block long, asked binary")
 
 
 def answer_buckets(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -146,7 +151,7 @@ def answer_buckets(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]
             yield out()
 
     dealt = asked.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(run, "block long, bucket int, answer binary")
+    return map_arrow(dealt, run, "block long, bucket int, answer binary")
 
 
 def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -158,4 +163,4 @@ def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Ta
                 yield from finish(unpack_table(payload.as_buffer()), {x["bucket"]: x["answer"] for x in got or []})
 
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
-    return blocks.join(per_block.hint("merge"), "block", "left").select("payload", "answers").mapInArrow(run, schema)
+    return map_arrow(blocks.join(per_block.hint("merge"), "block", "left").select("payload", "answers"), run, schema)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .arrowtools import bound_arrow_batches, texts_of, with_columns
+from .arrowtools import bound_arrow_batches, map_arrow, texts_of, with_columns
 
 NEVER = np.iinfo(np.int64).max
 #: White space as Unicode defines it; the pattern's \\s has to mean the same in every library.
@@ -180,4 +180,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, tex
 
     added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()}
     schema = T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(k, v) for k, v in added.items()])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrowtools import answer_buckets, ask_buckets, finish_blocks, pack_blocks, shuffle_partitions, texts_of
+from .arrowtools import answer_buckets, ask_buckets, finish_blocks, map_arrow, pack_blocks, shuffle_partitions, texts_of
 from .bpe import Vocabulary, default_path, vocabulary
 
 #: Text in a block. A larger block repeats fewer of the others' words.
@@ -132,7 +132,7 @@ def decode_rows(rows: DataFrame, path: str | None = None, ids: str = "token_ids"
             kept = [x for x in batch.schema.names if x != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in kept), pa.array(out, pa.string())], names=[*kept, text])
 
-    return rows.mapInArrow(run, T.StructType([f for f in rows.schema if f.name != text] + [T.StructField(text, T.StringType())]))
+    return map_arrow(rows, run, T.StructType([f for f in rows.schema if f.name != text] + [T.StructField(text, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", path: str | None = None, text: str = "text", with_ids: bool = False) -> DataFrame:

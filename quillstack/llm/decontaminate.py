@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtools import bound_arrow_batches, with_columns
+from .arrowtools import bound_arrow_batches, map_arrow, with_columns
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast set.
@@ -144,7 +144,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, item: str, text: str, window:
                     counts.append(len(words))
                 yield with_columns(batch, _quill_hit=pa.array(hits, pa.binary()), _quill_items=pa.array(items, pa.list_(pa.string())), _quill_words=pa.array(counts, pa.int64()))
 
-        current = current.mapInArrow(run, T.StructType([f for f in current.schema if f.name in names] + added))
+        current = map_arrow(current, run, T.StructType([f for f in current.schema if f.name in names] + added))
     return current
 
 
@@ -178,7 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             )
             yield out.select([*names, *(f.name for f in added)])
 
-    return scanned.mapInArrow(count, T.StructType([*plain.schema, *added]))
+    return map_arrow(scanned, count, T.StructType([*plain.schema, *added]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -208,4 +208,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
                 out["n_chars"] = pa.array([len(x) if h is not None else k for x, h, k in zip(texts, hits, kept, strict=True)], kind)
             yield with_columns(batch, **out).select(names)
 
-    return scanned.mapInArrow(cut, docs.schema)
+    return map_arrow(scanned, cut, docs.schema)

@@ -6,8 +6,8 @@ each function is the signature.  The functions run over many texts' shingles at
 once in numpy.  The fingerprint is the upper 16 bits of every least value.  The
 share of equal places estimates the Jaccard similarity of the shingle sets.
 
-``near_duplicates`` joins bands of the fingerprint in Spark and verifies what
-meets by the Jaccard similarity of the shingles themselves.
+The bands of these values are joined in Spark, and what meets is verified by the
+Jaccard similarity of the shingles, in the module ``similar``.
 """
 
 from __future__ import annotations
@@ -21,9 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
-from ..plans.durable import durable
-from .arrowtools import bound_arrow_batches, shuffle_partitions, texts_of
+from .arrowtools import bound_arrow_batches, map_arrow, shuffle_partitions, texts_of
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -142,9 +140,9 @@ def with_next(docs: DataFrame, key: str, text: str, rows_a_range: int) -> DataFr
             at = np.searchsorted(edges, k.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), k, batch.column(1)], names=["_range", "key", "text"])
 
-    ranged = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(range_of, "_range int, key long, text string")
+    ranged = map_arrow(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), range_of, "_range int, key long, text string")
     firsts = dict(
-        docs.select(F.col(key).cast("long").alias("key"), F.lit(None).cast("string").alias("text")).mapInArrow(range_of, "_range int, key long, text string")
+        map_arrow(docs.select(F.col(key).cast("long").alias("key"), F.lit(None).cast("string").alias("text")), range_of, "_range int, key long, text string")
         .groupBy("_range")
         .agg(F.min(F.struct(F.coalesce(F.col("key"), F.lit(-(1 << 63))).alias("k"))).alias("m"))
         .select("_range", "m.k")
@@ -163,7 +161,7 @@ def with_next(docs: DataFrame, key: str, text: str, rows_a_range: int) -> DataFr
             place = pa.array([0] * len(keys) + [1] * len(extra), pa.int32())
             yield pa.RecordBatch.from_arrays([ranges, place, out.column(1), out.column(2)], names=["_range", "_place", "key", "text"])
 
-    dealt = ranged.mapInArrow(deal, "_range int, _place int, key long, text string")
+    dealt = map_arrow(ranged, deal, "_range int, _place int, key long, text string")
     return dealt.repartition(shuffle_partitions(spark), "_range").sortWithinPartitions("_range", "_place", F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
 
 
@@ -218,63 +216,4 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_
             raise RuntimeError("a range came without its successor")
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema)
-
-
-def signature_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, signature binary) for every row."""
-    bound_arrow_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in signatures(texts_of(batch, "text"))], pa.binary())], names=["key", "signature"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, signature binary")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """(key, class_id, links): near-duplicate classes by band join and verified Jaccard similarity.
-
-    Rows of equal shingle sets, by their digest, form one node, so copies are
-    never paired.  Nodes that agree in a band of four places are candidates; each
-    candidate pair is verified once by the Jaccard similarity of the two sets of
-    shingles.  class_id is the smallest key reached, links the number of other
-    nodes that the row's node is similar to.  Texts without words are one node.
-    Rows with a null key are left out.
-    """
-    spark = docs.sparkSession
-    bound_arrow_batches(spark)
-    rows = PERMUTATIONS // BANDS
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            sets = [np.unique(shingle_hashes(t)) for t in texts]
-            signs = signatures(texts)
-            bands = [[xxhash.xxh64_intdigest(s[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(BANDS)] for s in signs]
-            digests = [hashlib.sha256(x.tobytes()).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "node", "shingles", "bands"])
-
-    found = durable(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null").mapInArrow(nodes, "key long, node binary, shingles binary, bands array<long>"))
-    node = found.groupBy("node").agg(F.min("key").alias("low"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
-    node = durable(node)
-    banded = node.select("low", F.posexplode("bands").alias("band", "hash"))
-    pairs = banded.alias("x").join(banded.alias("y"), F.expr("x.band = y.band and x.hash = y.hash and x.low < y.low")).select(F.col("x.low").alias("a"), F.col("y.low").alias("b")).distinct()
-    sets = node.select("low", "shingles")
-    both = pairs.join(sets.select(F.col("low").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("low").alias("b"), F.col("shingles").alias("t")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                common = np.intersect1d(x, y, assume_unique=True).size
-                if common >= similarity * (x.size + y.size - common):
-                    kept.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], names=["a", "b"])
-
-    links = durable(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("low")).groupBy("low").agg(F.count("*").alias("links"))
-    classes = connected_components(links).select(F.col("node").alias("low"), "component")
-    per_node = node.select("node", "low").join(degree, "low", "left").join(classes, "low", "left").select("node", F.coalesce("component", "low").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return found.select("key", "node").join(per_node, "node").select(F.col("key").alias(key), "class_id", "links")
+    return map_arrow(dealt, run, schema)

@@ -5,8 +5,9 @@ band of four MinHash values are candidates; a pair of similarity 0.8 has one of
 bands in common but for 5 in 10^8.  Whatever meets is verified by the two sets.
 
 A band that few nodes share pairs them all.  One that many share (a *crowd*) first
-verifies them against one member, then against a few more; only members that these
-links leave apart are paired with each other.
+verifies them against one member, then against a few more.  Members that these
+links leave apart are not paired either: each is joined by the rarest fifth of its
+shingles, of which two sets of similarity 0.8 have at least one in common.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from ..plans.durable import durable, release
-from .arrowtools import bound_arrow_batches, shuffle_partitions, texts_of
-from .minhash import BANDS, PERMUTATIONS, least_values, shingle_hashes
+from .arrowtools import bound_arrow_batches, map_arrow, shuffle_partitions, texts_of
+from .minhash import BANDS, PERMUTATIONS, SIMILAR, least_values, shingle_hashes
 
 #: Members from which on a band is a crowd.
 CROWD = 32
@@ -64,7 +66,7 @@ def set_rows(docs: DataFrame, key: str, shingle: int) -> DataFrame:
             )
 
     added = [T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.BinaryType())]
-    return docs.mapInArrow(run, T.StructType([docs.schema[key], *added]))
+    return map_arrow(docs, run, T.StructType([docs.schema[key], *added]))
 
 
 def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -116,8 +118,8 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         settle()
         yield _pairs_batch(out)
 
-    copies = nodes.filter("size > 0").select("node", "size", "bands").mapInArrow(replicate, "band long, node binary, size int")
-    return copies.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band").mapInArrow(pair, "band long, a binary, b binary, size int")
+    copies = map_arrow(nodes.filter("size > 0").select("node", "size", "bands"), replicate, "band long, node binary, size int")
+    return map_arrow(copies.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band"), pair, "band long, a binary, b binary, size int")
 
 
 def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -148,8 +150,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select("text").mapInArrow(named, "node binary, text string")
-    return texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node binary, shingles binary")
+    texts = map_arrow(docs.select("text"), named, "node binary, text string")
+    return map_arrow(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), sets, "node binary, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -167,7 +169,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
+    return map_arrow(both.select("a", "b", "s", "t"), run, "a binary, b binary")
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -187,33 +189,53 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         release(pairs)
         return out
 
+    def add(more: DataFrame, read: DataFrame) -> DataFrame:
+        merged = durable(links.unionByName(more))
+        release(links, more, read)
+        return merged
+
     links = checked(candidates.filter("b is not null").select("a", "b"))
     crowds = candidates.filter("b is null").select("band", F.col("a").alias("node"), "size", F.col("a").alias("component"))
     written: list[DataFrame] = []
-    for probes in (*PROBES, None):
+    for probes in PROBES:
         if crowds.isEmpty():
             break
-        members = crowds.alias("x")
-        if probes:
-            # the order by hash is the same for all bands, so that bands of the same members take the same ones
-            least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "size", "component")).alias(f"p{i}") for i in range(probes)]
-            chosen = durable(crowds.groupBy("band").agg(*least).select("band", F.explode(F.array(*(f"p{i}" for i in range(probes)))).alias("p")).select("band", "p.node", "p.size", "p.component"))
-        else:
-            chosen = crowds
+        # the order by hash is the same for all bands, so that bands of the same members take the same ones
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "size", "component")).alias(f"p{i}") for i in range(probes)]
+        chosen = durable(crowds.groupBy("band").agg(*least).select("band", F.explode(F.array(*(f"p{i}" for i in range(probes)))).alias("p")).select("band", "p.node", "p.size", "p.component"))
         # without a component yet, every node is its own
-        apart = F.expr("x.band = y.band and x.component != y.component" + ("" if probes else " and x.node < y.node"))
-        pairs = members.join(chosen.alias("y"), apart).filter(fits).select(*ordered)
-        more = checked(pairs)
-        merged = durable(links.unionByName(more))
-        release(links, more, *([chosen] if probes else []))
-        links = merged
-        if probes:
-            crowds = _apart(crowds, links)
-            written.append(crowds)
+        pairs = crowds.alias("x").join(chosen.alias("y"), F.expr("x.band = y.band and x.component != y.component")).filter(fits).select(*ordered)
+        links = add(checked(pairs), chosen)
+        crowds = _apart(crowds, links)
+        written.append(crowds)
+    if not crowds.isEmpty():
+        rare = durable(_rarest(crowds, sets, similarity))
+        pairs = rare.alias("x").join(rare.alias("y"), F.expr("x.shingle = y.shingle and x.component != y.component and x.node < y.node")).filter(fits).select(*ordered)
+        links = add(checked(pairs), rare)
     release(candidates, sets, *written)
     return links
 
 
+def _rarest(crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node, size, component): of each member's shingles as many of the rarest as a partner cannot lack altogether.
+
+    Rare is what few members have.  A shingle that one member has alone is left out.
+    """
+    members = crowds.select("node", "size", "component").distinct()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, found in zip(batch.column(0), batch.column(1), strict=True):
+                hashes = np.frombuffer(found.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * hashes.size, pa.binary()), pa.array(hashes)], names=["node", "shingle"])
+
+    rows = map_arrow(sets.join(members, "node", "left_semi").select("node", "shingles"), spread, "node binary, shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    ranked = rows.join(often, "shingle").withColumn("nth", nth).join(members, "node")
+    return ranked.filter(F.expr(f"nth <= size - ceil({similarity} * size - 1e-6) + 1 and often > 1")).select("shingle", "node", "size", "component")
+
+
 def _apart(crowds: DataFrame, links: DataFrame) -> DataFrame:
     """The members of those crowds that the links leave in more than one component, with their components."""
     labels = connected_components(links).withColumnRenamed("component", "_found")
@@ -222,3 +244,24 @@ def _apart(crowds: DataFrame, links: DataFrame) -> DataFrame:
     out = durable(now.join(open_bands, "band", "left_semi"))
     release(now, open_bands)
     return out
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """(key, component_id) for every row: the smallest key reached over links of the similarity.
+
+    Distinct shingle sets are the nodes, so copies count once.  A pair of similarity
+    0.8 meets in a band but for 5 in 10^8, whatever its length, and no link stands
+    unverified.  Texts without words, null too, are alike.  Rows of a null key belong
+    to components but don't name them: a component of such rows alone has a null id.
+    Repeated rows stay, each with the same id; an empty table gives no rows.
+    """
+    source = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    rows = durable(set_rows(source, key, shingle))
+    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("_low"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    links = similar_links(nodes, source, shingle, similarity)
+    found = connected_components(links)
+    joined = nodes.select("node", "_low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = durable(joined.groupBy("component").agg(F.min("_low").alias("component_id")))
+    labels = durable(joined.select("node", "component").join(lows, "component").select("node", "component_id"))
+    release(nodes, links, lows)
+    return rows.select(key, "node").join(labels, "node").select(key, "component_id")

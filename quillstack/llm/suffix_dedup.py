@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtools import answer_buckets, ask_buckets, pack_blocks, shuffle_partitions, unpack_table
+from .arrowtools import answer_buckets, ask_buckets, map_arrow, pack_blocks, shuffle_partitions, unpack_table
 
 LENGTH = 50
 ANCHOR = 20
@@ -324,7 +324,7 @@ def dedup_blocks(docs: DataFrame, emit: Callable[[Block, np.ndarray], pa.RecordB
                     [pa.array([b for b, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "block", "asked"]
                 )
 
-    smallest = answer_buckets(told.select("block", "payload", "shared").mapInArrow(ask, "bucket int, block long, asked binary"), answer_smallest)
+    smallest = answer_buckets(map_arrow(told.select("block", "payload", "shared"), ask, "bucket int, block long, asked binary"), answer_smallest)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +332,7 @@ def dedup_blocks(docs: DataFrame, emit: Callable[[Block, np.ndarray], pa.RecordB
                 block = open_block(payload, got)
                 yield emit(block, block.covered({x["bucket"]: x["answer"] for x in low or []}))
 
-    return told.join(per_block(smallest, "smallest"), "block", "left").select("payload", "shared", "smallest").mapInArrow(finish, schema)
+    return map_arrow(told.join(per_block(smallest, "smallest"), "block", "left").select("payload", "shared", "smallest"), finish, schema)
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.durable import durable, release
-from .arrowtools import bound_arrow_batches, texts_of, with_columns
+from .arrowtools import bound_arrow_batches, map_arrow, texts_of, with_columns
 
 #: Labelled rows that a model is fitted on at most.
 FIT_ROWS = 16_000
@@ -106,7 +106,7 @@ def _feature_frame(rows: DataFrame, model: Model, label: str, text: str) -> Data
             found = features_of(texts_of(batch, text), compressors)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(label)).cast(pa.int32()), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["label", "features"])
 
-    return rows.mapInArrow(run, "label int, features array<double>")
+    return map_arrow(rows, run, "label int, features array<double>")
 
 
 def _contexts(rows: DataFrame, label: str, text: str) -> DataFrame:
@@ -122,7 +122,7 @@ def _contexts(rows: DataFrame, label: str, text: str) -> DataFrame:
             cols = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["label", "before", "word"])
 
-    return rows.mapInArrow(run, "label int, before string, word string").distinct()
+    return map_arrow(rows, run, "label int, before string, word string").distinct()
 
 
 def train(labelled: DataFrame, label: str = "toxic", text: str = "text") -> Model:
@@ -207,7 +207,7 @@ def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield with_columns(batch, score=pa.array(p, pa.float64()), predicted=pa.array((p >= THRESHOLD).astype(np.int32), pa.int32()))
 
     added = {"score": T.DoubleType(), "predicted": T.IntegerType()}
-    return docs.mapInArrow(run, T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(k, v) for k, v in added.items()]))
+    return map_arrow(docs, run, T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(k, v) for k, v in added.items()]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -219,7 +219,7 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(features_of(texts_of(batch, text), compressors)) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def fit_and_score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
