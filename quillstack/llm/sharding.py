@@ -2,23 +2,27 @@
 
 Equal texts form a group that is never divided.  Groups sorted by size, largest
 first, enter the bin with the least room that still holds them; the bins stand
-in a balanced tree ordered by remaining room.  Groups above a 4096th of a
-shard's share are packed one by one; there can't be more than 4096 of them a
-shard.  The smaller ones are packed as hash classes, of which there are as many.
-So the packing itself sees a bounded number of items, whatever the input.
+in a balanced tree ordered by remaining room.  Groups of one size are packed as a
+run: the tightest bin takes as many as it holds, then the next one, which places
+each group where one after another would.  So the driver holds a row for each
+distinct size, not for each group: n distinct sizes come from at least n * n / 2
+bytes, 14 million of them from 100 TB.  In Spark a group finds its place by its
+rank among those of its size, in the order of hash classes and digests.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.durable import durable
+from ..plans.durable import durable, release
 
-#: Items a shard's share is divided into; bounds what the driver packs and what is broadcast.
-GRAIN = 4096
+#: Groups of a size that are ranked in one class, about.
+CLASS = 256
 #: Rows a shard's slots are numbered in one run.
 SLOT_RUN = 4096
 
@@ -67,46 +71,77 @@ class RoomTree:
         return first[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item; None when more than ``most`` bins would be needed. An item above capacity has a bin of its own."""
-    tree, bins, placed = RoomTree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.take_tightest(sizes[i])
-        if found is None:
-            if bins == most:
-                return None
-            found, bins = (max(capacity, sizes[i]), bins), bins + 1
-        placed[i] = found[1]
-        tree.add(found[0] - sizes[i], found[1])
-    return placed
-
-
-def near_equal(sizes: list[int], shards: int) -> list[int]:
-    """The shard of each item, at the least capacity for which best-fit-decreasing needs no more than ``shards`` bins.
+def pack_runs(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(size, bin, count) in the order of packing, for runs (size, count) of falling size.
 
-    An item of more than a shard's share has a shard of its own, and the rest
-    share the others.
+    None when more than ``most`` bins would be needed.  An item above capacity has a
+    bin of its own.
     """
-    placed = [0] * len(sizes)
-    rest = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    first = 0
-    while rest and first < shards - 1 and sizes[rest[0]] * (shards - first) > sum(sizes[i] for i in rest):
-        placed[rest.pop(0)] = first
-        first += 1
+    tree, bins, out = RoomTree(), 0, []
+    for size, count in runs:
+        while count:
+            found = tree.take_tightest(size)
+            if found is None:
+                if bins == most:
+                    return None
+                found, bins = (max(capacity, size), bins), bins + 1
+            room, place = found
+            n = min(count, room // size)
+            out.append((size, place, n))
+            tree.add(room - n * size, place)
+            count -= n
+    return out
+
+
+def near_equal_runs(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """As pack_runs, into at most ``shards`` bins at the least capacity for which best-fit-decreasing needs no more.
+
+    An item of more than a shard's share has a shard of its own, and the rest share
+    the others.
+    """
+    rest, alone, total = list(runs), [], sum(size * n for size, n in runs)
+    while rest and len(alone) < shards - 1 and rest[0][0] * (shards - len(alone)) > total:
+        size, n = rest[0]
+        alone.append((size, len(alone), 1))
+        total -= size
+        rest[:1] = [(size, n - 1)] if n > 1 else []
     if not rest:
-        return placed
-    items = [sizes[i] for i in rest]
-    low, high = -(-sum(items) // (shards - first)), -(-sum(items) // (shards - first)) + items[0]
-    best = best_fit_decreasing(items, high, shards - first)
-    while low < high:
-        middle = (low + high) // 2
-        found = best_fit_decreasing(items, middle, shards - first)
-        low, high, best = (low, middle, found) if found else (middle + 1, high, best)
-    for i, b in zip(rest, best or [0] * len(rest), strict=True):
-        placed[i] = first + b
+        return alone
+    bins = shards - len(alone)
+    low, slack = -(-total // bins), 0
+    # least room over the share that holds all; the largest item as slack always does
+    while (best := pack_runs(rest, low + slack, bins)) is None:
+        slack = min(2 * slack + 1, rest[0][0])
+    least, slack = (slack + 1) // 2, slack
+    while least < slack:
+        middle = (least + slack) // 2
+        found = pack_runs(rest, low + middle, bins)
+        least, slack, best = (least, middle, found) if found else (middle + 1, slack, best)
+    return alone + [(size, place + len(alone), n) for size, place, n in best]
+
+
+def _spread(sizes: list[int], pack) -> list[int] | None:
+    """The bin of each item, by a function of the runs of equal sizes."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    found = pack([(size, len(list(same))) for size, same in groupby(sizes[i] for i in order)])
+    if found is None:
+        return None
+    placed = [0] * len(sizes)
+    for i, place in zip(order, (place for _, place, n in found for _ in range(n)), strict=True):
+        placed[i] = place
     return placed
 
 
+def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
+    """The bin of each item; None when more than ``most`` bins would be needed."""
+    return _spread(sizes, lambda runs: pack_runs(runs, capacity, most))
+
+
+def near_equal(sizes: list[int], shards: int) -> list[int]:
+    """The shard of each item, of nearly equal bytes."""
+    return _spread(sizes, lambda runs: near_equal_runs(runs, shards))
+
+
 def pack_documents(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its shard and slot.
 
@@ -123,25 +158,24 @@ def pack_documents(docs: DataFrame, shards: int | None = 8, capacity: int | None
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = durable(docs.select(F.col(key).alias(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("_group")))
     groups = durable(rows.groupBy("_group").agg(F.sum("size").alias("bytes")))
-    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    share = capacity or -(-total // shards)
-    classes = GRAIN * (shards or max(1, -(-total // capacity)))
-    large = F.col("bytes") * GRAIN >= F.lit(share)
-    class_of = F.pmod(F.xxhash64("_group"), F.lit(classes))
-    single = [(bytes(r[0]), None, r[1]) for r in groups.filter(large).select("_group", "bytes").toLocalIterator()]
-    classed = [(None, r[0], r[1]) for r in groups.filter(~large).groupBy(class_of.alias("c")).agg(F.sum("bytes")).toLocalIterator()]
-    items = sorted(single, key=lambda x: x[0]) + sorted(classed, key=lambda x: x[1])
-    sizes = [x[2] for x in items]
-    placed = near_equal(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)
-    by_group = spark.createDataFrame(pd.DataFrame([(g, p) for (g, _, _), p in zip(items, placed, strict=True) if g is not None], columns=["_group", "_g"]), "_group binary, _g int")
-    by_class = spark.createDataFrame(pd.DataFrame([(c, p) for (g, c, _), p in zip(items, placed, strict=True) if g is None], columns=["_class", "_c"]), "_class long, _c int")
-    runs = max(1, -(-n_rows // (SLOT_RUN * (shards or 1 + max(placed, default=0)))))
-    dealt = (
-        rows.withColumn("_class", class_of)
-        .join(F.broadcast(by_group), "_group", "left")
-        .join(F.broadcast(by_class), "_class", "left")
-        .select(key, "size", "text_crc32", F.coalesce("_g", "_c").alias("shard"), F.pmod(F.xxhash64(key, "_group"), F.lit(runs)).alias("_run"))
-    )
+    runs = sorted(((r[0], r[1]) for r in groups.groupBy("bytes").count().toLocalIterator()), reverse=True)
+    packed = near_equal_runs(runs, shards) if capacity is None else pack_runs(runs, capacity)
+    frame = pd.DataFrame(packed, columns=["bytes", "shard", "n"], dtype="int64")
+    frame["until"] = frame.groupby("bytes")["n"].cumsum()
+    segments = spark.createDataFrame(frame.assign(since=frame["until"] - frame["n"])[["bytes", "shard", "since", "until"]], "bytes long, shard int, since long, until long")
+
+    classes = max(1, sum(n for _, n in runs) // CLASS)
+    classed = groups.withColumn("_class", F.pmod(F.xxhash64("_group"), F.lit(classes)))
+    lower = Window.partitionBy("bytes").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = classed.groupBy("bytes", "_class").agg(F.count("*").alias("_n")).select("bytes", "_class", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("bytes", "_class").orderBy("_group")) - 1
+    ranked = classed.withColumn("_nth", nth).join(offsets, ["bytes", "_class"]).select("_group", "bytes", (F.col("_before") + F.col("_nth")).alias("rank"))
+    shard_of = durable(ranked.join(segments, "bytes").filter("rank >= since and rank < until").select("_group", "shard"))
+    release(groups)
+
+    n_rows = rows.count()
+    slot_runs = max(1, -(-n_rows // (SLOT_RUN * (1 + max((place for _, place, _ in packed), default=0)))))
+    dealt = rows.join(shard_of, "_group").select(key, "size", "text_crc32", "shard", F.pmod(F.xxhash64(key, "_group"), F.lit(slot_runs)).alias("_run"))
     counts = dealt.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -62,10 +62,28 @@ def test_edges(edge, edge_rows, nothing):
     assert all(v <= 20_000 for v in load.values() if v != largest)
 
 
-def test_small_groups_as_classes(spark, monkeypatch):
-    """With a coarse grain most groups are packed as hash classes; the laws hold all the same."""
-    monkeypatch.setattr(sharding, "GRAIN", 4)
+def test_classes_and_runs(spark, monkeypatch):
+    """Small classes and slot runs change no law."""
+    monkeypatch.setattr(sharding, "CLASS", 3)
     monkeypatch.setattr(sharding, "SLOT_RUN", 3)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    check(sharding.pack_documents(docs).collect(), rows, 8, 10**9)
+    check(sharding.pack_documents(docs).collect(), rows, 8, max(len(r[1].encode()) + 1 for r in rows))
+
+
+def test_groups_are_packed_by_the_rule(spark, edge, edge_rows):
+    """The shards' loads are those of best-fit-decreasing over the groups of equal texts."""
+    for docs, rows in ((edge, edge_rows), (spark.createDataFrame([(i, "x" * (i % 7)) for i in range(300)], "doc_id long, text string"), [(i, "x" * (i % 7)) for i in range(300)])):
+        groups = defaultdict(int)
+        for r in rows:
+            groups[r[1] or ""] += len((r[1] or "").encode()) + 1
+        sizes = list(groups.values())
+        for shards, capacity in ((8, None), (3, None), (None, 20_000), (None, 40)):
+            placed = sharding.near_equal(sizes, shards) if shards else sharding.best_fit_decreasing(sizes, capacity)
+            expected = defaultdict(int)
+            for size, place in zip(sizes, placed, strict=True):
+                expected[place] += size
+            load = defaultdict(int)
+            for r in sharding.pack_documents(docs, shards, capacity).collect():
+                load[r["shard"]] += r["size"]
+            assert load == expected
