@@ -31,6 +31,15 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def _number(frame: DataFrame) -> Column:
+    """The number of a turn, which stands alone or first in a struct with what parts turns of one number."""
+    return F.col("turn.turn") if isinstance(frame.schema["turn"].dataType, T.StructType) else F.col("turn").cast("long")
+
+
+def _run_of(number: Column, run: int) -> Column:
+    return F.coalesce(F.floor(number / run), F.lit(-(1 << 62))).cast("long")
+
+
 def fold_events(log: DataFrame, conversation: str = "conv_id", sequence: str = "seq") -> DataFrame:
     """(conversation, turn, role, text): the messages that a log of events ends with.
 
@@ -42,36 +51,35 @@ def fold_events(log: DataFrame, conversation: str = "conv_id", sequence: str = "
     deltas, in order.  The role is the last one given.  Null texts are empty;
     events of a null turn or an unknown kind count for nothing; equal sequence
     numbers go by kind and text.
+
+    The events of a turn meet in one row.  What cuts a turn, the last regenerate of
+    an earlier one, is a running maximum over the runs of a conversation and over
+    the turns of a run, so that a very long conversation is shared by many tasks.
     """
     known = log.filter(F.col("turn").isNotNull() & F.col("kind").isin("message", "delta", "edit", "regenerate", "delete"))
-    events = known.select(
-        F.col(conversation).alias(conversation), F.col(sequence).alias("_seq"), "kind", "turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("text")
-    )
-    # what later turns lose: the last regenerate of an earlier turn
-    cuts = events.filter("kind = 'regenerate'").groupBy(conversation, "turn").agg(F.max("_seq").alias("_cut"))
-    earlier = Window.partitionBy(conversation).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = cuts.withColumn("_cut", F.max("_cut").over(earlier))
-    upper = Window.partitionBy(conversation).orderBy("turn")
-    cuts = cuts.withColumn("_until", F.lead("turn").over(upper))
-    c = cuts.select(F.col(conversation).alias("_c"), F.col("turn").alias("_from"), "_until", "_cut")
-    cut = F.expr("turn > _from and (_until is null or turn <= _until)")
-    live = events.join(c, F.expr(f"{conversation} <=> _c") & cut, "left").filter("_cut is null or _seq > _cut")
-    resets = F.col("kind").isin("message", "edit", "regenerate", "delete")
-    state = live.groupBy(conversation, "turn").agg(
-        F.max(F.when(resets, F.struct("_seq", "kind", "text"))).alias("_base"),
-        F.max(F.when(F.col("role").isNotNull(), F.struct("_seq", "role"))).alias("_role"),
-    )
-    s = state.select(F.col(conversation).alias("_c2"), F.col("turn").alias("_t2"), "_base", "_role")
-    deltas = live.join(s, F.expr(f"{conversation} <=> _c2 and turn = _t2")).filter("kind = 'delta' and (_base is null or _seq > _base._seq)")
-    tails = deltas.groupBy(F.col("_c2").alias("_c3"), F.col("turn").alias("_t3")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "text"))), lambda x: x["text"]), "").alias("_tail")
-    )
-    joined = s.join(tails, F.expr("_c2 <=> _c3 and _t2 = _t3"), "left")
+    event = F.struct(F.col(sequence).alias("seq"), "kind", F.coalesce(F.col("text"), F.lit("")).alias("text"), "role")
+    rows = known.select(F.col(conversation).alias("_conv"), _run_of(_number(log), RUN).alias("_run"), F.col("turn").alias("_turn"), event.alias("_event"))
+    anew = F.max(F.when(F.col("_event.kind") == "regenerate", F.col("_event.seq")))
+    turns = rows.groupBy("_conv", "_run", "_turn").agg(F.array_sort(F.collect_list("_event")).alias("_events"), anew.alias("_anew"))
+    earlier = Window.partitionBy("_conv").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("_conv", "_run").agg(anew.alias("_anew")).select(F.col("_conv").alias("_c"), F.col("_run").alias("_r"), F.max("_anew").over(earlier).alias("_outside"))
+    within = Window.partitionBy("_conv", "_run").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+    cut = turns.withColumn("_inside", F.max("_anew").over(within)).join(runs, F.expr("_conv <=> _c and _run = _r")).withColumn("_cut", F.greatest("_inside", "_outside"))
+    live = cut.withColumn("_live", F.filter("_events", lambda e: F.col("_cut").isNull() | (e["seq"] > F.col("_cut")))).filter(F.size("_live") > 0)
+    last = lambda events: F.try_element_at(events, F.lit(-1))
+    based = live.withColumn("_base", last(F.filter("_live", lambda e: e["kind"] != "delta"))).withColumn("_role", last(F.filter("_live", lambda e: e["role"].isNotNull()))["role"])
+    tail = F.filter("_live", lambda e: (e["kind"] == "delta") & (F.col("_base").isNull() | (e > F.col("_base"))))
+    told = based.withColumn("_tail", tail).filter("_base is null or _base.kind != 'delete' or size(_tail) > 0")
     start = F.when(F.col("_base.kind").isin("message", "edit"), F.col("_base.text")).otherwise(F.lit(""))
-    alive = F.coalesce(F.col("_base.kind") != "delete", F.lit(True)) | F.col("_tail").isNotNull()
-    return joined.filter(alive).select(
-        F.col("_c2").alias(conversation), F.col("_t2").alias("turn"), F.coalesce(F.col("_role.role"), F.lit("")).alias("role"), F.concat(start, F.coalesce("_tail", F.lit(""))).alias("text")
-    )
+    text = F.concat(start, F.array_join(F.transform("_tail", lambda e: e["text"]), ""))
+    return told.select(F.col("_conv").alias(conversation), F.col("_turn").alias("turn"), F.coalesce("_role", F.lit("")).alias("role"), text.alias("text"))
+
+
+def _numbered(conversations: DataFrame, conversation: str) -> DataFrame:
+    """(conversation, number, turn, role, text); the turn is (number, nth), which parts rows that share a number, ordered by role and text."""
+    same = Window.partitionBy(conversation, "turn").orderBy("role", "text")
+    rows = conversations.select(conversation, F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("nth", F.row_number().over(same))
+    return rows.select(conversation, F.col("turn").alias("number"), F.struct("turn", "nth").alias("turn"), "role", "text")
 
 
 def message_events(conversations: DataFrame, conversation: str = "conv_id") -> DataFrame:
@@ -81,9 +89,32 @@ def message_events(conversations: DataFrame, conversation: str = "conv_id") -> D
     too, are messages of their own, ordered by role and text; a null number comes
     first.
     """
-    same = Window.partitionBy(conversation, "turn").orderBy("role", "text")
-    rows = conversations.select(conversation, F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("nth", F.row_number().over(same))
-    return rows.select(conversation, F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.struct("turn", "nth").alias("turn"), "role", "text")
+    return _numbered(conversations, conversation).select(conversation, F.col("number").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+
+
+def streamed_events(conversations: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """A table of finished turns as the log of a service that streamed, edited and regenerated them; it folds back to the table.
+
+    An assistant's turn begins as a message of its first half, someone answers that,
+    it is regenerated, which drops the answer, and three deltas stream its text.  Any
+    other turn is a message of its first half that an edit completes.  Turns are as in
+    message_events; the sequence is (turn, nth, step).
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    half, third = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")), F.floor(F.length(text) / 3).cast("int")
+    parts = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substr(text, 2 * third + 1)]
+    none, answer = F.lit(None).cast("string"), F.struct(F.col("turn.turn").alias("turn"), (F.col("turn.nth") + 1).alias("nth"))
+
+    def event(step: int, kind: str, turn: Column, role: Column, body: Column) -> Column:
+        seq = F.struct(F.col("turn.turn").alias("turn"), F.col("turn.nth").alias("nth"), F.lit(step).alias("step"))
+        return F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), turn.alias("turn"), role.alias("role"), body.alias("text"))
+
+    turn, role = F.col("turn"), F.col("role")
+    streamed = [event(0, "message", turn, role, half), event(1, "message", answer, F.lit("user"), half), event(2, "regenerate", turn, none, none)]
+    streamed += [event(3 + i, "delta", turn, none, part) for i, part in enumerate(parts)]
+    edited = [event(0, "message", turn, role, half), event(1, "edit", turn, none, text)]
+    events = F.when(F.col("role") == "assistant", F.array(*streamed)).otherwise(F.array(*edited))
+    return _numbered(conversations, conversation).select(conversation, F.explode(events).alias("e")).select(conversation, "e.seq", "e.kind", "e.turn", "e.role", "e.text")
 
 
 def render(messages: DataFrame, conversation: str = "conv_id", run: int = RUN) -> DataFrame:
@@ -96,13 +127,11 @@ def render(messages: DataFrame, conversation: str = "conv_id", run: int = RUN) -
     """
     role, text = escape(F.coalesce(F.col("role"), F.lit(""))), escape(F.coalesce(F.col("text"), F.lit("")))
     head = F.concat(F.lit(OPEN), role, F.lit(MIDDLE))
-    if isinstance(messages.schema["turn"].dataType, T.StructType):
-        number, nth = F.col("turn.turn"), F.col("turn.nth")
-    else:
-        number, nth = F.col("turn").cast("long"), F.lit(0)
+    number = _number(messages)
+    nth = F.col("turn.nth") if isinstance(messages.schema["turn"].dataType, T.StructType) else F.lit(0)
     turns = messages.select(
         F.col(conversation).alias(conversation),
-        F.coalesce(F.floor(number / run), F.lit(-(1 << 62))).cast("long").alias("run"),
+        _run_of(number, run).alias("run"),
         F.struct(F.coalesce(number, F.lit(-(1 << 62))).alias("turn"), nth.alias("nth"), role.alias("role"), F.concat(head, text, F.lit(CLOSE)).alias("marked"), F.length(head).alias("before"), F.length(text).alias("inside")).alias("t"),
     )
     pieces = turns.groupBy(conversation, "run").agg(F.array_sort(F.collect_list("t")).alias("ts"))

@@ -77,12 +77,12 @@ QUERIES["op6_minhash"] = op6_minhash
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import digests, fold_events, message_events, read_back, render
+    from .chat import digests, fold_events, read_back, render, streamed_events
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    return digests(read_back(render(fold_events(message_events(rows.unionByName(extra))))))
+    return digests(read_back(render(fold_events(streamed_events(rows.unionByName(extra))))))
 
 
 QUERIES["op8_chat_format"] = op8_chat_format
@@ -112,7 +112,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import document_scores
 
     found = document_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
 QUERIES["op4_lm_scoring"] = op4_lm_scoring
@@ -136,5 +136,39 @@ WITH split AS (
   SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / x2) WHEN c2 > 0 THEN ln(c2 / x1) + (CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END)
     ELSE ln(greatest(c1, 1) / greatest(others, 1)) + least(i - 1, 2) * ln(0.4) END AS v FROM s
 ), t AS (SELECT doc_id, sum(v) AS v, count(*) AS n FROM p GROUP BY doc_id)
-SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_words, round(coalesce(t.v, 0.0), 4) AS log_score FROM documents d LEFT JOIN t USING (doc_id)
+SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_words, round(coalesce(t.v, 0.0), 4) AS log_score, round(coalesce(t.v / t.n, 0.0), 4) AS mean_log_score FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .similar import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("component_id").alias("class_id"))
+
+
+QUERIES["minhash_near_duplicates"] = minhash_near_duplicates
+ORACLES["minhash_near_duplicates"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS sh FROM split
+), nodes AS (
+  SELECT sh, min(doc_id) AS low FROM sets GROUP BY sh
+), rows AS (
+  SELECT low, len(sh) AS n, unnest(sh) AS s FROM nodes
+), links AS (
+  SELECT x.low AS a, y.low AS b FROM rows x JOIN rows y ON x.s = y.s AND x.low < y.low AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n)
+  GROUP BY x.low, y.low, x.n, y.n HAVING 5 * count(*) >= 4 * (x.n + y.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT low, low FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b
+), class AS (
+  SELECT a AS low, min(b) AS class_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, c.class_id FROM sets s JOIN nodes n ON n.sh = s.sh JOIN class c ON c.low = n.low
 """

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -23,12 +24,12 @@ def expected(rows):
     return out
 
 
-def formatted(df, run=chat.RUN):
-    return chat.render(chat.fold_events(chat.message_events(df)), run=run)
+def formatted(df, run=chat.RUN, log=chat.message_events):
+    return chat.render(chat.fold_events(log(df)), run=run)
 
 
-def got(df, run=chat.RUN):
-    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(chat.read_back(formatted(df, run))).collect()}
+def got(df, run=chat.RUN, log=chat.message_events):
+    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(chat.read_back(formatted(df, run, log))).collect()}
 
 
 def test_query(spark):
@@ -47,6 +48,7 @@ def test_edges(spark, run):
     ]
     df = spark.createDataFrame(rows, TURNS).selectExpr("*", "1 AS run", "2 AS formatted")
     assert got(df, run) == expected(rows)
+    assert got(df, run, chat.streamed_events) == expected(rows)
     assert got(df.limit(0)) == {}
 
 
@@ -75,3 +77,36 @@ def test_native(spark):
     """No Python on the executors."""
     plan = QUERIES["op8_chat_format"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def brute_fold(log):
+    """The same, event after event."""
+    state = {}
+    for conv, _, kind, turn, role, text in sorted((r for r in log if r[3] is not None), key=lambda r: (r[1], r[2], r[5] or "")):
+        if kind not in ("message", "delta", "edit", "regenerate", "delete"):
+            continue
+        if kind == "regenerate":
+            for k in [k for k in state if k[0] == conv and k[1] > turn]:
+                del state[k]
+        alive, old_role, old = state.get((conv, turn), (False, "", ""))
+        body = {"message": text or "", "edit": text or "", "delta": old + (text or ""), "regenerate": "", "delete": ""}[kind]
+        state[conv, turn] = (kind != "delete", old_role if role is None else role, body)
+    return sorted((*k, role, text) for k, (alive, role, text) in state.items() if alive)
+
+
+@pytest.mark.parametrize("run", [2, 256])
+def test_fold_by_brute_force(spark, monkeypatch, run):
+    monkeypatch.setattr(chat, "RUN", run)
+    r = random.Random(3)
+    kinds = ["message", "delta", "delta", "edit", "regenerate", "delete", "odd"]
+    log = [(r.randrange(4), i, r.choice(kinds), r.choice([None, *range(9)]), r.choice([None, "user", "assistant"]), r.choice([None, "a", "bb", "c "])) for i in range(400)]
+    df = spark.createDataFrame(log, EVENTS).repartition(4)
+    assert sorted(tuple(x) for x in chat.fold_events(df).collect()) == brute_fold(log)
+
+
+def test_query_folds_a_log(spark):
+    """The registered query's plan holds the log's events and their fold."""
+    plan = QUERIES["op8_chat_format"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(x in plan for x in ("regenerate", "delta", "edit", "explode", "collect_list"))
+    streamed = chat.streamed_events(spark.read.parquet(f"{DATA}/conversations.parquet"))
+    assert {x["kind"] for x in streamed.select("kind").distinct().collect()} == {"message", "edit", "regenerate", "delta"}
