@@ -6,8 +6,8 @@ benchmark words stand in a row the window is looked up.  The set holds the words
 numbers themselves, so a hit is an exact match and needs no second look.
 
 The set is broadcast in blocks of items of at most ``BLOCK_TEXT`` bytes of text;
-a larger benchmark takes several passes over the documents, and each one's hits
-are merged, so no broadcast grows with the benchmark.
+a larger benchmark takes several passes over the documents, one after another, and
+each one's hits are merged, so no broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.durable import durable, release
 from .arrowtools import bound_arrow_batches, map_arrow, with_columns
 
 WINDOW = 10
@@ -117,35 +119,59 @@ def cut_words(text: str, hit: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, item: str, text: str, window: int, remove: str | None) -> DataFrame:
-    """One pass over docs for each block of items; the passes carry the hit words along as bits."""
+def _free(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, whatever the case."""
+    taken = {x.lower() for x in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, item: str, text: str, window: int) -> tuple[DataFrame, str, str, str]:
+    """docs with the hit words as bits, the ids of the items and the number of words, and the names of these three columns.
+
+    One pass for each block of items.  Every pass but the last is written to the
+    shared folder and its set released before the next block is read, so one set is
+    alive at a time.
+    """
     spark = docs.sparkSession
     bound_arrow_batches(spark)
-    sets = [spark.sparkContext.broadcast(WindowSet(block, window)) for block in item_blocks(benchmark, item, text)] or [spark.sparkContext.broadcast(WindowSet([], window))]
-    names = [f.name for f in docs.schema]
-    added = [T.StructField("_quill_hit", T.BinaryType()), T.StructField("_quill_items", T.ArrayType(T.StringType())), T.StructField("_quill_words", T.LongType())]
-    current = docs
-    for one in sets:
+    hit_name, items_name, words_name = (_free(x, docs.columns) for x in ("_hit", "_items", "_words"))
+    added = [T.StructField(hit_name, T.BinaryType()), T.StructField(items_name, T.ArrayType(T.StringType())), T.StructField(words_name, T.LongType())]
+    schema = T.StructType([*docs.schema, *added])
 
-        def run(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
+    def scan(current: DataFrame, one: Broadcast, first: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = one.value
             for batch in batches:
+                column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
+                texts = column(text)
+                before = [(None, [])] * len(texts) if first else list(zip(column(hit_name), column(items_name), strict=True))
                 hits, items, counts = [], [], []
-                before_hit = batch.column(batch.schema.get_field_index("_quill_hit")).to_pylist() if "_quill_hit" in batch.schema.names else None
-                before_items = batch.column(batch.schema.get_field_index("_quill_items")).to_pylist() if before_hit else None
-                for i, x in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+                for x, (old, ids) in zip(texts, before, strict=True):
                     words = words_of(x)
                     hit, found = windows.scan(words)
-                    if before_hit and before_hit[i] is not None:
-                        hit |= np.unpackbits(np.frombuffer(before_hit[i], np.uint8), count=len(words)).astype(bool)
-                        found.update(before_items[i])
+                    if old is not None:
+                        hit |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(words)).astype(bool)
+                        found.update(ids)
                     hits.append(np.packbits(hit).tobytes() if hit.any() else None)
                     items.append(sorted(found))
                     counts.append(len(words))
-                yield with_columns(batch, _quill_hit=pa.array(hits, pa.binary()), _quill_items=pa.array(items, pa.list_(pa.string())), _quill_words=pa.array(counts, pa.int64()))
+                yield with_columns(batch, **{hit_name: pa.array(hits, pa.binary()), items_name: pa.array(items, pa.list_(pa.string())), words_name: pa.array(counts, pa.int64())})
+
+        return map_arrow(current, run, schema)
 
-        current = map_arrow(current, run, T.StructType([f for f in current.schema if f.name in names] + added))
-    return current
+    blocks = item_blocks(benchmark, item, text)
+    block, current, first = next(blocks, []), docs, True
+    while block is not None:
+        one = spark.sparkContext.broadcast(WindowSet(block, window))
+        scanned, block = scan(current, one, first), next(blocks, None)
+        if block is not None:
+            scanned = durable(scanned)
+            one.destroy()
+            release(current)
+        current, first = scanned, False
+    return current, hit_name, items_name, words_name
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -160,17 +186,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     are replaced.
     """
     plain = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    scanned = _passes(plain, benchmark, item, text, window, None)
+    scanned, hit_name, items_name, words_name = _passes(plain, benchmark, item, text, window)
     names = [f.name for f in plain.schema]
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in batch.column(batch.schema.get_field_index("_quill_hit")).to_pylist()]
-            items = batch.column(batch.schema.get_field_index("_quill_items")).to_pylist()
+            bits = [0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in batch.column(batch.schema.get_field_index(hit_name)).to_pylist()]
+            items = batch.column(batch.schema.get_field_index(items_name)).to_pylist()
             out = with_columns(
                 batch,
-                n_words=batch.column(batch.schema.get_field_index("_quill_words")),
+                n_words=batch.column(batch.schema.get_field_index(words_name)),
                 n_hit=pa.array(bits, pa.int64()),
                 n_items=pa.array(list(map(len, items)), pa.int64()),
                 items_sha256=pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
@@ -189,15 +215,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     """
     if remove not in ("spans", "documents"):
         raise ValueError("remove is 'spans' or 'documents'")
-    scanned = _passes(docs, benchmark, item, text, window, remove)
+    scanned, hit_name, *_ = _passes(docs, benchmark, item, text, window)
     if remove == "documents":
-        return scanned.filter(F.col("_quill_hit").isNull()).select(*docs.columns)
+        return scanned.filter(F.col(hit_name).isNull()).select(*docs.columns)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            hits = batch.column(batch.schema.get_field_index("_quill_hit")).to_pylist()
+            hits = batch.column(batch.schema.get_field_index(hit_name)).to_pylist()
             for i, (x, h) in enumerate(zip(texts, hits, strict=True)):
                 if h is not None:
                     texts[i] = cut_words(x, np.unpackbits(np.frombuffer(h, np.uint8), count=len(words_of(x))).astype(bool))

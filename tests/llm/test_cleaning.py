@@ -52,6 +52,9 @@ def test_contamination(spark, edge, edge_rows, nothing, monkeypatch, block):
     own = [(1, "one two"), (2, None), (3, ""), (None, "one"), (4, edge_rows[10][1]), (4, edge_rows[10][1]), (10, "ONE"), (5, "日本 naïve")]
     small = spark.createDataFrame(own, "item_id long, text string")
     assert rows(decontaminate.contamination(edge, small)) == brute_contamination([r[:2] for r in edge_rows], own)
+    clash = edge.selectExpr("*", "1 AS _hit", "2 AS _ITEMS", "'x' AS _words")
+    assert rows(decontaminate.contamination(clash, small)) == brute_contamination([r[:2] for r in edge_rows], own)
+    assert decontaminate.decontaminate(clash, small).columns == clash.columns
     assert decontaminate.contamination(nothing, small).count() == 0
     assert decontaminate.contamination(edge, small.limit(0)).filter("contaminated").count() == 0
 
