@@ -12,6 +12,7 @@ one bucket hot.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +36,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _hand_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema); the one place where the operators hand work to Python."""
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow(run, schema), whose workers hand back memory when a task ends."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _hand_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
