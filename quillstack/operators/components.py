@@ -6,7 +6,7 @@ smaller neighbours and itself to it.  The edges end as stars around each
 component's smallest node, after a number of rounds that grows with the
 logarithm of the longest path.  Each round is two grouped minima and joins on
 node keys, written to the shared folder, so that a lost executor costs one round
-at most; nothing is gathered on the driver but one number per round.
+at most; nothing is gathered on the driver but one answer per round: whether stars are left.
 """
 
 from __future__ import annotations
@@ -36,6 +36,12 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     return out.filter("a != b").distinct(), low
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each larger node has one smaller one, which has none itself."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node it reaches.
 
@@ -45,20 +51,16 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     """
     loose = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).filter("x is not null and y is not null")
     current = durable(loose.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    seen = None
     for _ in range(max_rounds):
+        if _settled(current):
+            break
         stars, low = _star(current, large=True)
         stars = durable(stars)
         release(low)
         following, low = _star(stars, large=False)
         following = durable(following)
-        release(low, stars)
-        mark = tuple(following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        release(current)
+        release(low, stars, current)
         current = following
-        if mark == seen:
-            break
-        seen = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
