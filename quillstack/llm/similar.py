@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +173,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return map_arrow(both.select("a", "b", "s", "t"), run, "a binary, b binary")
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): verified links between nodes (node, size, bands) of docs (text), written to the shared folder.
+def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> list[DataFrame]:
+    """Tables (a, b) of verified links between nodes (node, size, bands) of docs (text), written to the shared folder.
 
     They connect whatever the similarity connects among all candidates; not every
     link of a crowd is listed.
@@ -189,12 +190,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         release(pairs)
         return out
 
-    def add(more: DataFrame, read: DataFrame) -> DataFrame:
-        merged = durable(links.unionByName(more))
-        release(links, more, read)
-        return merged
-
-    links = checked(candidates.filter("b is not null").select("a", "b"))
+    links = [checked(candidates.filter("b is not null").select("a", "b"))]
     crowds = candidates.filter("b is null").select("band", F.col("a").alias("node"), "size", F.col("a").alias("component"))
     written: list[DataFrame] = []
     for probes in PROBES:
@@ -205,13 +201,15 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         chosen = durable(crowds.groupBy("band").agg(*least).select("band", F.explode(F.array(*(f"p{i}" for i in range(probes)))).alias("p")).select("band", "p.node", "p.size", "p.component"))
         # without a component yet, every node is its own
         pairs = crowds.alias("x").join(chosen.alias("y"), F.expr("x.band = y.band and x.component != y.component")).filter(fits).select(*ordered)
-        links = add(checked(pairs), chosen)
-        crowds = _apart(crowds, links)
+        links.append(checked(pairs))
+        release(chosen)
+        crowds = _apart(crowds, reduce(DataFrame.unionByName, links))
         written.append(crowds)
     if not crowds.isEmpty():
         rare = durable(_rarest(crowds, sets, similarity))
         pairs = rare.alias("x").join(rare.alias("y"), F.expr("x.shingle = y.shingle and x.component != y.component and x.node < y.node")).filter(fits).select(*ordered)
-        links = add(checked(pairs), rare)
+        links.append(checked(pairs))
+        release(rare)
     release(candidates, sets, *written)
     return links
 
@@ -259,9 +257,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = durable(set_rows(source, key, shingle))
     nodes = durable(rows.groupBy("node").agg(F.min(key).alias("_low"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     links = similar_links(nodes, source, shingle, similarity)
-    found = connected_components(links)
+    found = connected_components(reduce(DataFrame.unionByName, links))
     joined = nodes.select("node", "_low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = durable(joined.groupBy("component").agg(F.min("_low").alias("component_id")))
     labels = durable(joined.select("node", "component").join(lows, "component").select("node", "component_id"))
-    release(nodes, links, lows)
+    release(nodes, lows, *links)
     return rows.select(key, "node").join(labels, "node").select(key, "component_id")
