@@ -81,14 +81,16 @@ def is_importable(c: Column, is_path: Column | None = None) -> Column:
 
 
 def reduce_url(c: Column) -> Column:
-    """What a page's address is passed on as: an identifier that classify_input takes, else the address itself."""
-    pubmed = pmid(F.regexp_replace(c, r"[?#].*$", ""))
+    """What a page's address is passed on as: the bare id of a known service, else a DOI that stands in it, else itself."""
+    name = F.regexp_replace(F.lower(F.try_parse_url(c, F.lit("HOST"))), r"^www\.", "")
+    path = F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit(""))
+    found = lambda source, pattern, group: F.nullif(F.regexp_extract(source, pattern, group), F.lit(""))
     return F.coalesce(
-        F.regexp_extract(arxiv_id(F.regexp_replace(c, r"[?#].*$", "")), r"^(\d{4}\.\d{4,5})", 1),
-        F.when(host(c).isin("doi.org", "dx.doi.org"), F.regexp_replace(url_decoded(F.try_parse_url(c, F.lit("PATH"))), "^/", "")),
-        F.concat(F.lit("pmid:"), pubmed),
-        F.when(pmc_id(c).isNotNull(), c),
-        doi_in_url(c),
+        F.when(name.endswith("arxiv.org"), found(path, r"/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})(v[0-9]+)?", 1)),
+        F.when(name.isin("doi.org", "dx.doi.org"), url_decoded(F.regexp_replace(path, "^/", ""))),
+        F.when(name == "pubmed.ncbi.nlm.nih.gov", found(path, r"/(\d+)", 1)),
+        F.when(name.endswith("ncbi.nlm.nih.gov"), F.concat(F.lit("PMC"), found(path, r"(?i)PMC(\d+)", 1))),
+        F.when(name.isNotNull(), found(c, r"""10\.\d{4,9}/[^\s"'<>?#]+""", 0)),
         c,
     )
 

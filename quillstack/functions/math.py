@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import re
 
 import pandas as pd
@@ -111,30 +113,33 @@ def display_formulas(c: Column) -> Column:
 
 
 def without_headings(c: Column, headings: Column) -> Column:
-    """The text without leading lines that repeat a heading, and without blank lines before the rest."""
-    lines = F.split(c, "\r?\n")
-    known = F.transform(headings, lambda h: F.lower(trim_space(h)))
-    plain = lambda line: F.lower(trim_space(line))
+    """The text without leading lines that repeat a heading, and without blank lines after these; case counts for nothing in ASCII letters."""
+    lines = F.split(F.regexp_replace(c, "\r?\n$", ""), "\r?\n")
+    plain = lambda line: F.translate(trim_space(line), ascii_uppercase, ascii_lowercase)
+    known = F.transform(headings, plain)
+    # headings first (state 0), blank lines then (1), the rest from there (2)
     dropped = F.aggregate(
         lines,
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda a, line: F.struct(
-            F.when(a["on"] & ((plain(line) == "") | F.array_contains(known, plain(line))), a["n"] + 1).otherwise(a["n"]).alias("n"),
-            (a["on"] & ((plain(line) == "") | F.array_contains(known, plain(line)))).alias("on"),
-        ),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("state")),
+        lambda a, line: F.when((a["state"] == 0) & F.array_contains(known, plain(line)), F.struct((a["n"] + 1).alias("n"), F.lit(0).alias("state")))
+        .when((a["state"] < 2) & (plain(line) == ""), F.struct((a["n"] + 1).alias("n"), F.lit(1).alias("state")))
+        .otherwise(F.struct(a["n"].alias("n"), F.lit(2).alias("state"))),
         lambda a: a["n"],
     )
     return F.array_join(F.slice(lines, dropped + 1, F.greatest(F.size(lines) - dropped, F.lit(0))), "\n")
 
 
 def pixel_crop(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column, ppi: Column, pad: float = 1.0) -> Column:
-    """struct(x, y, width, height): a box in points from the lower left as pixels from the upper left; null when nothing is left of it."""
+    """struct(x, y, width, height): a box in points from the lower left as pixels from the upper left; null where box or page is empty.
+
+    The corner is rounded down, width and height are rounded up, each for itself, to 1 at least.
+    """
     scale = ppi / 72.0
-    x0 = F.floor(F.greatest(left - pad, F.lit(0.0)) * scale)
-    y0 = F.floor(F.greatest(height - top - pad, F.lit(0.0)) * scale)
-    x1 = F.ceil(F.least(right + pad, width) * scale)
-    y1 = F.ceil(F.least(height - bottom + pad, height) * scale)
-    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("width"), (y1 - y0).alias("height")))
+    x0, y0 = F.greatest(left - pad, F.lit(0.0)), F.greatest(height - top - pad, F.lit(0.0))
+    x1, y1 = F.least(right + pad, width), F.least(height - bottom + pad, height)
+    extent = lambda a, b: F.greatest(F.ceil((b - a) * scale), F.lit(1))
+    crop = F.struct(F.floor(x0 * scale).alias("x"), F.floor(y0 * scale).alias("y"), extent(x0, x1).alias("width"), extent(y0, y1).alias("height"))
+    return F.when((width > 0) & (height > 0) & (right > left) & (top > bottom), crop)
 
 
 def ink_coverage(r: Column, g: Column, b: Column) -> Column:
@@ -143,17 +148,17 @@ def ink_coverage(r: Column, g: Column, b: Column) -> Column:
 
 
 def emphasise(coverage: Column) -> Column:
-    return F.least(F.floor(coverage * 5 / 4), F.lit(255))
+    return F.least(F.ceil(coverage * 5 / 4), F.lit(255))
 
 
 def blend(front: Column, back: Column, coverage: Column) -> Column:
-    return F.floor((front * coverage + back * (255 - coverage) + 127) / 255)
+    return F.floor((front * coverage + back * (255 - coverage)) / 255)
 
 
 def cell_size(width: Column, height: Column, most_columns: Column, most_rows: Column, cell_width: int = 8, cell_height: int = 16) -> Column:
     """struct(columns, rows): the cells an image takes at its own proportions, within the given room."""
     columns, rows = F.greatest(F.ceil(width / cell_width), F.lit(1)), F.greatest(F.ceil(height / cell_height), F.lit(1))
     scale = F.least(F.lit(1.0), most_columns / columns, most_rows / rows)
-    return F.struct(F.greatest(F.floor(columns * scale), F.lit(1)).alias("columns"), F.greatest(F.floor(rows * scale), F.lit(1)).alias("rows"))
+    return F.struct(F.greatest(F.ceil(columns * scale), F.lit(1)).alias("columns"), F.greatest(F.ceil(rows * scale), F.lit(1)).alias("rows"))
 
 

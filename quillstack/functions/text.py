@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,26 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, source + source.upper(), target + target.upper())
 
 
+def _one_mark() -> tuple[str, str]:
+    """Characters that decompose to an ASCII letter and one mark, and small ones that fold to another, with these letters."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x2000)]
+    found = [(c, d[0]) for c, d in pairs if len(d) == 2 and d[0].isascii() and d[0].isalpha() and unicodedata.combining(d[1])]
+    small = map(chr, range(0xB5, 0x2000))
+    found += [(c, c.casefold()) for c in small if len(c.casefold()) == 1 and c.casefold() != c.lower()]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+MARKED, UNMARKED = _one_mark()
+#: The combining marks that full-text tokens leave out (fixed values: bit masks of U+0300 to U+031F and U+0320 to U+0331).
+_MARK_BITS = ((0x300, 0x08029FDF), (0x320, 0x000361F8))
+LOOSE_MARKS = "".join(chr(start + i) for start, bits in _MARK_BITS for i in range(32) if bits >> i & 1)
+
+
+def fold_marks(c: Column) -> Column:
+    """Lower case, without loose marks, and Latin letters without a single mark of theirs, as the standard full-text tokens have them."""
+    return F.translate(F.translate(F.lower(c), LOOSE_MARKS, ""), MARKED, UNMARKED)
+
+
 def slug(c: Column) -> Column:
     """Lower-case ASCII letters and digits, dashes between; ß, æ and œ as two letters."""
     two = F.replace(F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
@@ -197,16 +218,20 @@ def truncate(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(*whole))
 
 
-#: What a message about a failed search says, by what the error contains.
-SEARCH_ERRORS = (("no such table", "There is no index yet; build it first."), ("another model", "The index was built with another model; build it again."), ("dimensions", "The index has other dimensions; build it again."), ("empty", "The index is empty."))
+#: What a message about a failed search says, by what the error contains (fixed values); else the error itself follows "Semantic search: ".
+SEARCH_ERRORS = (
+    ("Semantic index is not initialized", "Semantic index not built.\nRun `quillstack semantic-index` first."),
+    ("Semantic index is empty", "Semantic index not built.\nRun `quillstack semantic-index` first."),
+    ("Semantic index uses model", "Semantic index was built with an older model; run `quillstack semantic-index`"),
+)
 
 
 def search_error(c: Column) -> Column:
-    """A message for a reader; the error itself where none fits."""
-    out = F.lit(None).cast("string")
+    """A message for a reader about a failed search; null stays null."""
+    out = F.concat(F.lit("Semantic search: "), c)
     for part, message in reversed(SEARCH_ERRORS):
-        out = F.when(F.contains(F.lower(c), F.lit(part)), F.lit(message)).otherwise(out)
-    return F.coalesce(out, c)
+        out = F.when(F.contains(c, F.lit(part)), F.lit(message)).otherwise(out)
+    return out
 
 
 def human_size(n: Column) -> Column:
@@ -215,10 +240,13 @@ def human_size(n: Column) -> Column:
     return F.when(n >= 1 << 20, F.concat(F.format_string("%.1f", n / float(1 << 20)), F.lit(" MB"))).otherwise(F.concat(kb, F.lit(" KB")))
 
 
-def progress_line(done: Column, total: Column, seconds: Column) -> Column:
-    """done/total (percent) and minutes:seconds."""
-    percent = F.floor(done * 100 / total)
-    return F.format_string("%d/%d (%d%%) %02d:%02d", done, total, percent, F.floor(seconds / 60), F.pmod(seconds, F.lit(60)))
+def progress_line(done: Column, total: Column, seconds: Column, width: int = 20) -> Column:
+    """A bar of so many characters, the percentage, done/total and minutes:seconds; at least one in all, and no more done than that."""
+    total = F.greatest(total, F.lit(1))
+    done = F.least(done, total)
+    filled = F.floor(done * width / total).cast("int")
+    bar = F.concat(F.repeat(F.lit("="), filled), F.repeat(F.lit(" "), F.lit(width) - filled))
+    return F.format_string("Embedding passages [%s] %3d%% %d/%d %02d:%02d", bar, F.floor(done * 100 / total), done, total, F.floor(seconds / 60), F.pmod(seconds, F.lit(60)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

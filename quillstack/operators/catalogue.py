@@ -152,16 +152,50 @@ def new_keys(after: DataFrame, before: DataFrame) -> DataFrame:
     return after.select("key").join(before.select("key"), "key", "left_anti").distinct().orderBy("key")
 
 
+def free_names(wanted: DataFrame, base: str, taken: DataFrame, first: int, name: str) -> DataFrame:
+    """wanted (key, base and more) with a name of its own for each row: the base, else base-first, base-(first + 1), the first that is free.
+
+    Rows of one base take the free names in the order of their keys.  ``taken`` has
+    one column, the names that there are.  A name is its base's place 0 or, from
+    ``first`` on, the place that its number says; of a base's rows the one of rank r
+    takes place r and one more for each taken place that lies below.  Where two bases
+    come to the same name, the smaller key keeps it and the other tries again.
+    """
+    from ..plans.durable import durable
+
+    def ranked(df: DataFrame, by: list[str], column: str) -> DataFrame:
+        placed = with_positions(df, [F.col(c) for c in by], "_at")
+        return placed.join(placed.groupBy(by[0]).agg(F.min("_at").alias("_low")), by[0]).withColumn(column, F.col("_at") - F.col("_low")).drop("_at", "_low")
+
+    done, left, taken = None, wanted, taken.toDF("_name")
+    while True:
+        number = F.regexp_extract("_name", r"-(0|[1-9]\d{0,8})$", 1)
+        bare = taken.select(F.col("_name").alias("_base"), F.lit(0).cast("long").alias("_place"))
+        numbered = taken.filter((number != "") & (F.try_to_number(number, F.lit("999999999")) >= first)).select(F.regexp_replace("_name", r"-\d+$", "").alias("_base"), (number.cast("long") - first + 1).alias("_place"))
+        used = bare.unionByName(numbered).join(left.select(F.col(base).alias("_base")).distinct(), "_base", "left_semi").distinct()
+        # taken places in a row share their distance to their rank
+        runs = ranked(used, ["_base", "_place"], "_nth").groupBy("_base", (F.col("_place") - F.col("_nth")).alias("from")).agg(F.count("*").alias("n"))
+        below = runs.groupBy("_base").agg(F.collect_list(F.struct("from", "n")).alias("_runs"))
+        placed = ranked(left.withColumn("_base", F.col(base)), ["_base", "key"], "_rank").join(below, "_base", "left")
+        skipped = F.aggregate(F.filter("_runs", lambda r: r["from"] <= F.col("_rank")), F.lit(0).cast("long"), lambda acc, r: acc + r["n"])
+        place = F.col("_rank") + F.coalesce(skipped, F.lit(0))
+        own = F.when(place == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), (place - 1 + first).cast("string")))
+        named = durable(placed.withColumn(name, own).drop("_base", "_rank", "_runs"))
+        owners = named.groupBy(name).agg(F.min("key").alias("_owner"), F.count("*").alias("_n"))
+        clash = owners.filter("_n > 1").select(name, "_owner")
+        if clash.isEmpty():
+            return named if done is None else done.unionByName(named)
+        lost = named.join(clash, name).filter("key != _owner").drop(name, "_owner")
+        kept = named.join(lost.select("key"), "key", "left_anti").select(*named.columns)
+        done = kept if done is None else done.unionByName(kept)
+        taken, left = taken.unionByName(kept.select(F.col(name).alias("_name"))), lost
+
+
 def final_keys(works: DataFrame, base: Column, existing: DataFrame | None = None) -> DataFrame:
-    """(key, base_key, final_key): the first of a base key has it bare, the others -2, -3 and so on, after those that exist."""
+    """(key, base_key, final_key): the base key where no work has it, else with -2, -3 and so on, the first that is free."""
     keyed = works.select("key", base.alias("base_key"))
-    taken = F.lit(0)
-    if existing is not None:
-        used = existing.select(F.regexp_replace("key", r"-\d+$", "").alias("base_key")).groupBy("base_key").agg(F.count("*").alias("_used"))
-        keyed = keyed.join(used, "base_key", "left")
-        taken = F.coalesce("_used", F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("base_key").orderBy("key")) + taken
-    return keyed.select("key", "base_key", F.when(nth == 1, F.col("base_key")).otherwise(F.concat("base_key", F.lit("-"), nth.cast("string"))).alias("final_key"))
+    taken = works.sparkSession.createDataFrame([], "key string") if existing is None else existing.select("key")
+    return free_names(keyed, "base_key", taken, 2, "final_key").select("key", "base_key", "final_key")
 
 
 def show(works: DataFrame, key: str) -> DataFrame:

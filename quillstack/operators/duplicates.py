@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normal_key
+from .catalogue import free_names
 from .components import connected_components
 from .quality import completeness
 
@@ -14,12 +15,13 @@ from .quality import completeness
 def probe(candidates: DataFrame, library: DataFrame) -> DataFrame:
     """(candidate, match, reason): the first work, by key, of equal DOI or else title; a work that has both counts by its DOI.
 
-    Two equi-joins and a choice among what they find; no join on either one.
+    Two equi-joins, each with the first work of a value, and a choice between what they find.
     """
     known = library.select(F.col("key").alias("match"), normal_key(F.col("doi")).alias("_d"), normal_key(F.col("title")).alias("_t"))
     asked = candidates.select(F.col("key").alias("candidate"), normal_key(F.col("doi")).alias("_d"), normal_key(F.col("title")).alias("_t"))
-    by_doi = asked.join(known.drop("_t"), "_d").select("candidate", "match", F.lit(0).alias("_o"), F.lit("doi").alias("reason"))
-    by_title = asked.join(known.drop("_d"), "_t").select("candidate", "match", F.lit(1).alias("_o"), F.lit("title").alias("reason"))
+    first = lambda by: known.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("match").alias("match"))
+    by_doi = asked.join(first("_d"), "_d").select("candidate", "match", F.lit(0).alias("_o"), F.lit("doi").alias("reason"))
+    by_title = asked.join(first("_t"), "_t").select("candidate", "match", F.lit(1).alias("_o"), F.lit("title").alias("reason"))
     best = by_doi.unionByName(by_title).groupBy("candidate").agg(F.min(F.struct("match", "_o", "reason")).alias("b"))
     return best.select("candidate", "b.match", "b.reason")
 
@@ -67,12 +69,11 @@ def group_label(key: Column, has_pdf: Column, score: Column) -> Column:
 
 
 def split_trash(works: DataFrame, described: DataFrame, trash: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, trashed): of every group all but the recommended member go, under a free name: key, key-1, key-2."""
+    """(kept, trashed): of every group all but the recommended member go, under the first free name: key, key-1, key-2."""
     gone = described.filter(~F.col("recommended")).select("key")
     kept = works.join(gone, "key", "left_anti")
     moved = works.join(gone, "key", "left_semi")
     if trash is None:
         return kept, moved.withColumn("trash_key", F.col("key"))
-    used = trash.select(F.regexp_replace("trash_key", r"-\d+$", "").alias("key")).groupBy("key").agg(F.count("*").alias("_n"))
-    named = moved.join(used, "key", "left").withColumn("trash_key", F.when(F.col("_n").isNull(), F.col("key")).otherwise(F.concat("key", F.lit("-"), F.col("_n").cast("string"))))
-    return kept, trash.unionByName(named.drop("_n"), allowMissingColumns=True)
+    named = free_names(moved.withColumn("_own", F.col("key")), "_own", trash.select("trash_key"), 1, "trash_key").drop("_own")
+    return kept, trash.unionByName(named, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip_accents, words
+from ..functions.text import fold_marks, words
 
 #: BM25's constants and the least inverse document frequency (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -15,12 +15,12 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("title", "authors", "abstract", "tags", "fulltext")
 #: Words a snippet shows at most, and its marks (fixed values).
 SNIPPET_WORDS, MARK_OPEN, MARK_CLOSE, ELLIPSIS = 20, "{{", "}}", "..."
-NO_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits, accents off."""
-    return F.filter(F.split(F.lower(strip_accents(F.coalesce(c, F.lit("")))), NO_WORD), lambda t: t != "")
+    """Lower-cased runs of letters and digits, marks off."""
+    return F.filter(F.split(fold_marks(F.coalesce(c, F.lit(""))), NO_WORD), lambda t: t != "")
 
 
 def lexical_documents(works: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def parse_query(spark_docs: DataFrame, query: str) -> list[list[str]]:
 
 
 def normalised(c: Column) -> Column:
-    return F.lower(strip_accents(F.coalesce(c, F.lit(""))))
+    return fold_marks(F.coalesce(c, F.lit("")))
 
 
 def token_count(text: Column) -> Column:

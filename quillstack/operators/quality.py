@@ -101,8 +101,8 @@ def apply_fixes(works: DataFrame, plan: DataFrame) -> DataFrame:
 def validation_summary(total: int, fixed: int, issues: int) -> str:
     """One sentence on a validation run."""
     if not issues:
-        return f"{total} references checked, {fixed} fixed, no issues left" if fixed else f"{total} references checked, no issues"
-    return f"{total} references checked, {fixed} fixed, {issues} issues left" if fixed else f"{total} references checked, {issues} issues"
+        return f"Fixed {fixed} issues" if fixed else f"Library OK — {total} references"
+    return f"{issues + fixed} issues, fixed {fixed}" if fixed else f"{issues} issues found"
 
 
 def import_outcome(results: DataFrame) -> DataFrame:

@@ -114,8 +114,12 @@ def page_summary(scored: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def hydrate(page: DataFrame, passages: DataFrame, id_: str = "id") -> DataFrame:
-    """A page's rows with the payload of their passages, in the page's order."""
-    return passages.join(F.broadcast(page), passages[id_] == page["id"]).drop(page["id"]).orderBy("rank")
+    """A page's rows with the payload of their passages, in the page's order; an id without a passage is an error when the rows are read."""
+    found = passages.withColumn("_found", F.lit(True))
+    joined = page.withColumnRenamed("id", "_id").join(found, F.col("_id") == F.col(id_), "left")
+    missing = F.raise_error(F.concat(F.lit("no passage has the id "), F.col("_id").cast("string")))
+    checked = joined.withColumn(id_, F.when(F.col("_found"), F.col(id_)).otherwise(missing.cast(passages.schema[id_].dataType)))
+    return checked.select(*passages.columns, *(x for x in page.columns if x != "id")).orderBy("rank")
 
 
 def check_query(text: str, meta: dict, model_id: str, dimension: int, count: int) -> str:

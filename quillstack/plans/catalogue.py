@@ -382,7 +382,10 @@ def url_file_name(spark, sf_dir):
     return inputs(spark, sf_dir).select("doc_id", identifiers.url_file_name(F.col("x")).alias("name"))
 
 
-@query()
+@query(rf"""WITH {_INPUT}, h AS (SELECT doc_id, x, regexp_replace(lower(regexp_extract(x, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS h, regexp_extract(x, '^[A-Za-z]+://[^/?#]+(/[^?#]*)', 1) AS p FROM inp),
+f AS (SELECT *, regexp_extract(p, '/(?:abs|pdf)/([0-9]{{4}}\.[0-9]{{4,5}})', 1) AS a, regexp_extract(p, '/(\d+)', 1) AS m, regexp_extract(p, '(?i)PMC(\d+)', 1) AS c, regexp_extract(x, '10\.\d{{4,9}}/[^\s"''<>?#]+') AS d FROM h)
+SELECT doc_id, CASE WHEN h = '' THEN x WHEN ends_with(h, 'arxiv.org') AND a <> '' THEN a WHEN h IN ('doi.org', 'dx.doi.org') THEN url_decode(regexp_replace(p, '^/', ''))
+ WHEN h = 'pubmed.ncbi.nlm.nih.gov' AND m <> '' THEN m WHEN ends_with(h, 'ncbi.nlm.nih.gov') AND c <> '' THEN 'PMC' || c WHEN d <> '' THEN d ELSE x END AS reduced FROM f""")
 def reduce_url(spark, sf_dir):
     return inputs(spark, sf_dir).select("doc_id", identifiers.reduce_url(F.col("x")).alias("reduced"))
 
@@ -436,12 +439,21 @@ def work_key(spark, sf_dir):
     return fixtures.works(spark, sf_dir).select("key", text.work_key(F.col("authors"), F.col("year"), F.col("title")).alias("work_key"))
 
 
-@query(f"""WITH {{works}}, k AS (SELECT key, {_SLUG.replace("{x}", f"coalesce({_KEY_NAME}, 'unknown')")} || '-' || coalesce(year, 0) AS base_key FROM works), n AS (SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY key) AS r FROM k)
-SELECT key, base_key, CASE WHEN r = 1 THEN base_key ELSE base_key || '-' || r END AS final_key FROM n""")
+_FREE = "list_filter(range(0, n + len(u) + {first} + 1), lambda p: NOT list_contains(u, p) AND (p = 0 OR p >= {first}))[r]"
+
+
+@query(f"""WITH {{works}}, k AS (SELECT doc_id, key, {_SLUG.replace("{x}", f"coalesce({_KEY_NAME}, 'unknown')")} || '-' || coalesce(year, 0) AS base_key FROM works),
+there AS (SELECT DISTINCT base_key, unnest(CASE doc_id % 4 WHEN 0 THEN [0] WHEN 1 THEN [2, 5] WHEN 2 THEN [3] ELSE [1] END) AS p FROM k),
+u AS (SELECT base_key, list(DISTINCT p) AS u FROM there GROUP BY base_key),
+n AS (SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY key) AS r, count(*) OVER (PARTITION BY base_key) AS n FROM k JOIN u USING (base_key)),
+f AS (SELECT *, {_FREE.format(first=2)} AS p FROM n)
+SELECT key, base_key, CASE WHEN p = 0 THEN base_key ELSE base_key || '-' || p END AS final_key FROM f""")
 def key_collisions(spark, sf_dir):
     w = fixtures.works(spark, sf_dir)
     base = F.concat_ws("-", text.slug(F.coalesce(text.key_surname(F.get("authors", F.lit(0))), F.lit("unknown"))), F.coalesce("year", F.lit(0)).cast("string"))
-    return catalogue.final_keys(w, base)
+    taken = F.expr("explode(CASE doc_id % 4 WHEN 0 THEN array('') WHEN 1 THEN array('-2', '-5') WHEN 2 THEN array('-3') ELSE array('-1') END)")
+    there = w.select(base.alias("b"), taken.alias("n")).select(F.concat("b", "n").alias("key")).distinct()
+    return catalogue.final_keys(w, base, there)
 
 
 # ---- pages and records
@@ -578,12 +590,14 @@ def dup_best(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {{works}}, {_COMPONENTS}, m AS (SELECT dup.group_id, key, has_pdf, {_SCORE} AS s FROM dup JOIN works USING (key)),
-r AS (SELECT key, row_number() OVER (PARTITION BY group_id ORDER BY has_pdf DESC, s DESC, key DESC) AS n FROM m)
-SELECT key, key IN (SELECT key FROM r WHERE n > 1) AS trashed FROM works""")
+r AS (SELECT key, row_number() OVER (PARTITION BY group_id ORDER BY has_pdf DESC, s DESC, key DESC) AS n FROM m), mv AS (SELECT doc_id, key, key IN (SELECT key FROM r WHERE n > 1) AS trashed FROM works)
+SELECT key, trashed, CASE WHEN trashed THEN key || CASE WHEN doc_id % 6 = 0 THEN '-2' WHEN doc_id % 3 = 0 THEN '-1' ELSE '' END END AS trash_key FROM mv""")
 def dup_trash_split(spark, sf_dir):
     w = fixtures.works(spark, sf_dir)
-    kept, gone = duplicates.split_trash(w, duplicates.describe_groups(duplicates.duplicate_groups(w), w))
-    return kept.select("key", F.lit(False).alias("trashed")).unionByName(gone.select("key", F.lit(True).alias("trashed")))
+    there = w.filter("doc_id % 3 = 0").select(F.explode(F.expr("CASE WHEN doc_id % 6 = 0 THEN array(key, concat(key, '-1'), concat(key, '-3')) ELSE array(key) END")).alias("trash_key"))
+    kept, gone = duplicates.split_trash(w, duplicates.describe_groups(duplicates.duplicate_groups(w), w), there)
+    moved = gone.filter("key is not null").select("key", F.lit(True).alias("trashed"), "trash_key")
+    return kept.select("key", F.lit(False).alias("trashed"), F.lit(None).cast("string").alias("trash_key")).unionByName(moved)
 
 
 @query(f"""WITH {{works}}, k AS (SELECT key, {_NORM.replace('{c}', 'title')} AS t, {_NORM.replace('{c}', 'doi')} AS d FROM works), c AS (SELECT 'new-' || key AS candidate, t, CASE WHEN d IS NULL THEN '10.1234/q.3' ELSE d END AS d FROM k),
@@ -820,12 +834,17 @@ def formula_blocks(spark, sf_dir):
     return c.select("conv_id", "turn", F.get(found, F.lit(0)).alias("first"), F.size(found).alias("n"))
 
 
-@query("""WITH p AS (SELECT p_partkey, (p_size * 7 % 300)::DOUBLE AS l, (p_size * 11 % 500 + 60)::DOUBLE AS t, (p_size * 7 % 300 + p_size % 40)::DOUBLE AS r, (p_size * 11 % 500 + 40)::DOUBLE AS b FROM part),
-c AS (SELECT p_partkey, floor(greatest(l - 1, 0) * 3)::BIGINT AS x, floor(greatest(792 - t - 1, 0) * 3)::BIGINT AS y, ceil(least(r + 1, 612) * 3)::BIGINT AS x1, ceil(least(792 - b + 1, 792) * 3)::BIGINT AS y1 FROM p)
-SELECT p_partkey, x, y, x1 - x AS width, y1 - y AS height FROM c""")
+_BOX = "double({l}) / 8 l, double({l}) / 8 + 40 + {w} / 3.0D r, 30 + double({t}) / 7 b, 30 + double({t}) / 7 + {h} / 9.0D t".format(l="p_size * 71 % 4300", w="p_size % 37", t="p_size * 113 % 5000", h="(p_size * 5 % 23 - 2)")
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_size * 71 % 4300)::DOUBLE / 8 AS l, (p_size * 71 % 4300)::DOUBLE / 8 + 40 + (p_size % 37) / 3.0::DOUBLE AS r, 30 + (p_size * 113 % 5000)::DOUBLE / 7 AS b,
+ 30 + (p_size * 113 % 5000)::DOUBLE / 7 + (p_size * 5 % 23 - 2) / 9.0::DOUBLE AS t FROM part),
+c AS (SELECT p_partkey, t > b AS any_, greatest(l - 1, 0) AS x0, greatest(792 - t - 1, 0) AS y0, least(r + 1, 612) AS x1, least(792 - b + 1, 792) AS y1 FROM p)
+SELECT p_partkey, CASE WHEN any_ THEN floor(x0 * 2.5)::BIGINT END AS x, CASE WHEN any_ THEN floor(y0 * 2.5)::BIGINT END AS y,
+ CASE WHEN any_ THEN greatest(ceil((x1 - x0) * 2.5), 1)::BIGINT END AS width, CASE WHEN any_ THEN greatest(ceil((y1 - y0) * 2.5), 1)::BIGINT END AS height FROM c""")
 def pixel_crop(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "double(p_size * 7 % 300) l", "double(p_size * 11 % 500 + 60) t", "double(p_size * 7 % 300 + p_size % 40) r", "double(p_size * 11 % 500 + 40) b")
-    crop = math.pixel_crop(F.col("l"), F.col("t"), F.col("r"), F.col("b"), F.lit(612.0), F.lit(792.0), F.lit(216))
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", *_BOX.split(", "))
+    crop = math.pixel_crop(F.col("l"), F.col("t"), F.col("r"), F.col("b"), F.lit(612.0), F.lit(792.0), F.lit(180))
     return p.select("p_partkey", crop.alias("c")).select("p_partkey", "c.x", "c.y", "c.width", "c.height")
 
 

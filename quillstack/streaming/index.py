@@ -21,8 +21,9 @@ def follow_sources(spark: SparkSession, incoming: str, root: str, checkpoint: st
 
     A micro-batch plans against the stored fingerprints, takes its changed
     sources' passages out and puts the new ones in, as a snapshot that becomes
-    current when it is complete.  A batch that is run again finds its sources
-    unchanged and does nothing.
+    current when it is complete.  The fingerprints are written last: a batch that
+    was cut off before takes out whatever passages of its sources stand there and
+    puts them in again, and one that is run again after it finds them unchanged.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.jsonl").load(incoming)
 
@@ -38,7 +39,11 @@ def follow_sources(spark: SparkSession, incoming: str, root: str, checkpoint: st
             stored, sources = None, spark.createDataFrame([], "source_path string, fingerprint string")
         current = incremental.sources_of(rows)
         actions = incremental.plan(current, sources.join(current.select("source_path"), "source_path", "left_semi"))
-        passages = incremental.replace_index(rows) if stored is None else incremental.update_index(stored, rows, actions)
+        if stored is None:
+            passages = incremental.replace_index(rows)
+        else:
+            afresh = actions.filter("action = 'new'").select("source_path")
+            passages = incremental.update_index(stored.join(afresh, "source_path", "left_anti"), rows, actions)
         write_snapshot(passages, root, "passages")
         write_snapshot(incremental.upsert(sources, current, "source_path"), root, "sources")
 

@@ -31,9 +31,9 @@ def test_classify_input(column):
     assert column(identifiers.is_importable, ["2101.00001", "words", None, "http://x"]) == [True, False, False, True]
 
 
-def test_reduce_url_gives_inputs_that_are_taken(column):
-    given = ["https://arxiv.org/abs/2101.00001v2?x=1", "https://pubmed.ncbi.nlm.nih.gov/12345/", "https://doi.org/10.1000%2Fa", "https://x.org/page"]
-    assert column(identifiers.reduce_url, given) == ["2101.00001", "pmid:12345", "10.1000/a", "https://x.org/page"]
+def test_reduce_url(column):
+    given = ["https://arxiv.org/abs/2101.00001v2?x=1", "https://www.pubmed.ncbi.nlm.nih.gov/12345/", "https://doi.org/10.1000%2Fa", "https://x.org/page", "https://pmc.ncbi.nlm.nih.gov/articles/pmc77/", "https://x.org/doi/10.1000/a.b?c=d", "no address 10.1000/a", None]
+    assert column(identifiers.reduce_url, given) == ["2101.00001", "12345", "10.1000/a", "https://x.org/page", "PMC77", "10.1000/a.b", "no address 10.1000/a", None]
 
 
 def test_url_file_name(column):
@@ -73,12 +73,13 @@ def test_previews(column):
     assert column(text.page_location, [([],), ([4],), ([2, 4],)], "a array<bigint>") == [None, "p. 4", "pp. 2, 4"]
     assert column(text.human_size, [1, 2048, 1 << 20, 1600000], "a bigint") == ["1 KB", "2 KB", "1.0 MB", "1.5 MB"]
     assert column(lambda c: text.bounded_lines(c, 5, 2), ["aa bb cc dd ee ff", "aa"]) == [["aa bb", "cc d…"], ["aa"]]
-    assert column(lambda d, t, s: text.progress_line(d, t, s), [(1, 3, 61)], "d bigint, t bigint, s bigint") == ["1/3 (33%) 01:01"]
+    assert column(lambda d, t, s: text.progress_line(d, t, s, 6), [(1, 3, 61), (9, 3, 0), (0, 0, 5)], "d bigint, t bigint, s bigint") == ["Embedding passages [==    ]  33% 1/3 01:01", "Embedding passages [======] 100% 3/3 00:00", "Embedding passages [      ]   0% 0/1 00:05"]
 
 
 def test_truncate_and_messages(column):
     assert column(lambda c: text.truncate(c, 4), ["abc", "abcdef", "aé日本", "日本", "", None]) == ["abc", "abcd", "aé", "日", "", None]
-    assert column(text.search_error, ["No such table: x", "odd", None]) == ["There is no index yet; build it first.", "odd", None]
+    given = ["x: Semantic index is empty", "Semantic index uses model a", "odd", None]
+    assert column(text.search_error, given) == ["Semantic index not built.\nRun `quillstack semantic-index` first.", "Semantic index was built with an older model; run `quillstack semantic-index`", "Semantic search: odd", None]
 
 
 def test_meta_tags(column):
@@ -140,10 +141,18 @@ def test_formulas(column):
     assert column(math.display_formulas, given) == [["a", "b"], [], [], []]
     got = column(math.display_blocks, ["t\n$$\nopen"])
     assert [(b["kind"], b["text"]) for b in got[0]] == [("text", "t"), ("text", "\\[\nopen")]
-    assert column(lambda t: math.without_headings(t, F.array(F.lit("Intro"))), ["intro\n\nbody\nintro", "x"]) == ["body\nintro", "x"]
+    assert column(lambda t: math.without_headings(t, F.array(F.lit("Intro"))), ["intro\n\nbody\nintro", "x", "INTRO \r\n \nIntro\nbody\n", "\nx"]) == ["body\nintro", "x", "Intro\nbody", "x"]
+    own = F.array(F.lit("H1"), F.lit("H2"))
+    assert column(lambda t: math.without_headings(t, own), ["H1\n\nH2\nbody", "H1\nh2\n\n\nbody"]) == ["H2\nbody", "body"]
     crop = column(lambda a: math.pixel_crop(a, F.lit(700.0), F.lit(200.0), F.lit(650.0), F.lit(612.0), F.lit(792.0), F.lit(72)), [100.0, 400.0], "a double")
     assert tuple(crop[0]) == (99, 91, 102, 52)
     assert crop[1] is None
+    box = column(lambda a: math.pixel_crop(a, F.lit(50.2), F.lit(20.7), F.lit(30.1), F.lit(612.0), F.lit(792.0), F.lit(216)), [10.3], "a double")
+    assert tuple(box[0]) == (27, 2222, 38, 67)
+    assert column(math.emphasise, [0, 1, 5, 204, 250], "a int") == [0, 2, 7, 255, 255]
+    assert column(lambda f, b, c: math.blend(f, b, c), [(255, 0, 127), (10, 200, 100), (0, 255, 255)], "f int, b int, c int") == [127, 125, 0]
+    assert tuple(column(lambda w, h: math.cell_size(w, h, F.lit(10), F.lit(20)), [(170, 20)], "w int, h int")[0]) == (10, 1)
+    assert tuple(column(lambda w, h: math.cell_size(w, h, F.lit(10), F.lit(20)), [(170, 40)], "w int, h int")[0]) == (10, 2)
 
 
 def test_json_rows(column):
@@ -163,3 +172,27 @@ def test_json_rows(column):
     assert (got[1]["chunk_index"], got[1]["text"], got[1]["headings"], got[1]["pages"]) == (12, "b", ["S"], [3])
     assert (got[6]["chunk_index"], got[6]["text"], got[6]["headings"], got[6]["pages"]) == (99, "c", [], [])
     assert (got[7]["chunk_index"], got[7]["pages"]) == (99, [])
+
+
+def test_tokens_are_those_of_the_standard_tokeniser(column):
+    """Against the full-text tokens of SQLite, for every character of the Latin, Greek and Cyrillic ranges and what combines with them."""
+    import sqlite3
+
+    from quillstack.operators import lexical
+
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    except sqlite3.OperationalError:
+        pytest.skip("this SQLite has no full-text search")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, instance)")
+    given = ["Cafe\u0301s na\u00efve", "x_n x-n 3.14", "\u1ed9t \u01ce\u1e3f", "日本語 a1b2"]
+    given += [f"q{chr(i)}z" for i in range(0xA1, 0x250)] + [f"q{chr(i)}z" for i in range(0x300, 0x332)] + [f"q{chr(i)}z" for i in range(0x391, 0x3CA) if i != 0x3A2] + [f"q{chr(i)}z" for i in range(0x410, 0x450)] + [f"q{chr(i)}z" for i in range(0x1E00, 0x1E98)]
+    got = column(lexical.tokens, given)
+    off = {}
+    for i, (text_, tokens) in enumerate(zip(given, got, strict=True)):
+        db.execute("INSERT INTO t(rowid, x) VALUES (?, ?)", (i + 1, text_))
+        expected = [r[0] for r in db.execute("SELECT term FROM v WHERE doc = ? ORDER BY offset", (i + 1,))]
+        if tokens != expected:
+            off[text_] = (tokens, expected)
+    assert off == {}

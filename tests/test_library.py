@@ -72,7 +72,7 @@ def test_foreign(spark):
     assert (got[1]["authors"], got[1]["arxiv"]) == (["Ada Quill"], "1")
 
 
-def test_stream_follows_sources(spark, tmp_path):
+def test_stream_follows_sources(spark, tmp_path, monkeypatch):
     incoming, root = tmp_path / "in", tmp_path / "index"
     incoming.mkdir()
 
@@ -83,6 +83,18 @@ def test_stream_follows_sources(spark, tmp_path):
 
     assert arrive("a.jsonl", "one", "two") == ["one", "two"]
     assert arrive("b.jsonl", "three") == ["one", "three", "two"]
+    whole = index.write_snapshot
+
+    def cut_off(df, root, name):
+        if name == "sources":
+            raise RuntimeError("cut off")
+        whole(df, root, name)
+
+    monkeypatch.setattr(index, "write_snapshot", cut_off)
+    with pytest.raises(Exception, match="cut off"):
+        arrive("c.jsonl", "four")
+    monkeypatch.setattr(index, "write_snapshot", whole)
+    assert arrive("d.jsonl", "five") == ["five", "four", "one", "three", "two"]
 
 
 def test_requests(spark):

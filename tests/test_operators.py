@@ -75,6 +75,12 @@ def test_key_collisions(works):
     w = works(work("a"), work("b"), work("c"))
     got = {r["key"]: r["final_key"] for r in catalogue.final_keys(w, F.lit("base"), works(work("base"))).collect()}
     assert got == {"a": "base-2", "b": "base-3", "c": "base-4"}
+    there = works(*(work(k) for k in ("base-3", "base-02", "base-2-1984", "basement")))
+    got = {r["key"]: r["final_key"] for r in catalogue.final_keys(w, F.lit("base"), there).collect()}
+    assert got == {"a": "base", "b": "base-2", "c": "base-4"}
+    own = F.when(F.col("key") == "c", "base-2").otherwise("base")
+    got = {r["key"]: r["final_key"] for r in catalogue.final_keys(w, own).collect()}
+    assert got == {"a": "base", "b": "base-2", "c": "base-2-2"}
 
 
 def test_components(spark):
@@ -109,6 +115,11 @@ def test_duplicates(works):
     kept, gone = duplicates.split_trash(w, described)
     assert sorted(keys(kept)) == ["c", "d", "e"]
     assert sorted(keys(gone)) == ["a", "b"]
+    there = w.sparkSession.createDataFrame([("a",), ("a-2",), ("b-1",), ("c-17",)], "trash_key string")
+    _, gone = duplicates.split_trash(w, described, there)
+    assert {r["key"]: r["trash_key"] for r in gone.filter("key is not null").collect()} == {"a": "a-1", "b": "b"}
+    _, gone = duplicates.split_trash(w, described, there.filter("trash_key = 'b-1'"))
+    assert {r["key"]: r["trash_key"] for r in gone.filter("key is not null").collect()} == {"a": "a", "b": "b"}
     assert duplicates.duplicate_groups(kept).count() == 0
     asked = works(work("n1", title="OTHER", doi="10.1/a"), work("n2", title="new"), work("n3", title="other", doi=None))
     got = {r["candidate"]: (r["match"], r["reason"]) for r in duplicates.probe(asked, w).collect()}
