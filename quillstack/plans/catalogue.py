@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import identifiers, math, pages, text
 from ..operators import catalogue, duplicates, edits, export, formula, incremental, layout, lexical, quality, vectors
-from ..sources import fixtures
+from ..sources import fixtures, library
 from ..sources.fixtures import LISTING_SQL, WORKS_SQL, spread, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -865,3 +866,193 @@ def formula_places(spark, sf_dir):
 def label_facets(spark, sf_dir):
     d, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
     return d.join(labels, "doc_id", "left").groupBy(F.coalesce("quality", F.lit(-1)).alias("quality"), "lang").agg(F.count("*").alias("n"))
+
+
+# ---- records, files and layout documents
+
+_TOML = """'kind = "' || CASE WHEN {k} % 7 = 3 THEN 'film' WHEN {k} % 5 = 0 THEN 'book' ELSE 'paper' END || '"' || {nl} || CASE WHEN {k} % 11 = 4 THEN '' ELSE 'title = "Of ' || {k} || '"' || {nl} END
+ || 'year = ' || CASE WHEN {k} % 13 = 5 THEN '-1' ELSE CAST(1900 + {k} % 100 AS {s}) END || {nl} || 'tags = ["' || lang || '", "x"]' || {nl} || CASE WHEN {k} % 17 = 6 THEN 'broken = [' ELSE '' END"""
+
+
+@query("""WITH r AS (SELECT doc_id, doc_id % 7 = 3 OR doc_id % 11 = 4 OR doc_id % 13 = 5 OR doc_id % 17 = 6 AS corrupt, lang FROM documents)
+SELECT 'doc-' || doc_id AS key, corrupt, CASE WHEN NOT corrupt THEN CASE WHEN doc_id % 5 = 0 THEN 'book' ELSE 'paper' END END AS kind, CASE WHEN NOT corrupt THEN 'Of ' || doc_id END AS title,
+ CASE WHEN NOT corrupt THEN 1900 + doc_id % 100 END AS year, CASE WHEN NOT corrupt THEN lang || ',x' END AS tags FROM r""")
+def record_parse(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    content = F.expr(_TOML.format(k="doc_id", nl="'\\n'", s="STRING")).cast("binary")
+    parsed = library.parse_records(docs.select(F.concat(F.lit("doc-"), "doc_id").alias("key"), content.alias("content")))
+    return parsed.select("key", F.col("_corrupt").isNotNull().alias("corrupt"), "kind", "title", F.col("year").cast("long").alias("year"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("""WITH {works}, {listing} SELECT key, coalesce(bool_or(lower(name) LIKE '%.pdf'), false) AS has_pdf, CASE WHEN len(any_value(files)) > 0 AND bool_or(name = files[1]) THEN any_value(files)[1] ELSE min(name) FILTER (lower(name) LIKE '%.pdf') END AS pdf
+FROM works LEFT JOIN listing USING (key) GROUP BY key""")
+def pdf_resolution(spark, sf_dir):
+    works, files = fixtures.works(spark, sf_dir), fixtures.listing(spark, sf_dir)
+    return library.resolve_pdf(works, files).select("key", "has_pdf", "pdf")
+
+
+@query("WITH {listing} SELECT key, bool_or(lower(name) LIKE '%.pdf') AS has_pdf FROM listing GROUP BY key")
+def pdf_flags(spark, sf_dir):
+    return library.has_pdf(fixtures.listing(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN '%PDF' WHEN 2 THEN ' %PDF-' ELSE '' END || text AS c FROM documents)
+SELECT doc_id, starts_with(c, '%PDF-') AS download, starts_with(c, '%PDF') AS file FROM c""")
+def pdf_marks(spark, sf_dir):
+    content = F.expr("CASE doc_id % 4 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN '%PDF' WHEN 2 THEN ' %PDF-' ELSE '' END || text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", pages.is_pdf(content).alias("download"), pages.is_pdf_file(content).alias("file"))
+
+
+@query("SELECT p_partkey, regexp_replace('n' || p_partkey || '.' || p_size || '.PDF', '\\.[^.]*$', '') AS title FROM part")
+def file_titles(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", library.file_title(F.expr("'n' || p_partkey || '.' || p_size || '.PDF'")).alias("title"))
+
+
+_LAYOUT = """'{"schema_name":"' || CASE WHEN turn % 9 = 8 THEN 'Other' ELSE 'DoclingDocument' END || '","body":{"children":[{"$ref":"#/texts/0"},{"$ref":"#/groups/0"},{"$ref":"#/pictures/0"},{"$ref":"#/texts/3"},{"$ref":"#/texts/0"}]},'
+ || '"groups":[{"children":[{"$ref":"#/texts/2"},{"$ref":"#/texts/1"}]}],"pictures":[{"children":[{"$ref":"#/texts/4"}]}],"texts":[{"label":"section_header","level":' || (turn % 3 + 1) || ',"text":" Part ' || turn || ' ","prov":[{"page_no":' || (turn + 1) || '}]},'
+ || '{"label":"formula","text":"a_' || turn || '"},{"content_layer":"' || CASE WHEN turn % 2 = 0 THEN 'furniture' ELSE 'body' END || '","label":"list_item","orig":"item"},{"label":"' || CASE WHEN turn % 3 = 0 THEN 'page_footer' ELSE 'text' END || '","text":"end"},{"label":"text","text":"in a picture"}]}'"""
+
+
+@query("""WITH b AS (SELECT conv_id || '#' || turn AS doc, turn, unnest([0, 1, 2, 3]) AS k FROM conversations),
+r AS (SELECT doc, turn, k, CASE k WHEN 0 THEN 'section_header' WHEN 1 THEN CASE WHEN turn % 2 = 0 THEN 'furniture' ELSE 'list_item' END WHEN 2 THEN 'formula' ELSE 'text' END AS label,
+ CASE k WHEN 0 THEN 'Part ' || turn WHEN 1 THEN CASE WHEN turn % 2 = 0 THEN '' ELSE 'item' END WHEN 2 THEN 'a_' || turn ELSE 'end' END AS text,
+ CASE WHEN k = 0 THEN turn + 1 END AS page, CASE WHEN k = 0 THEN turn % 3 + 1 END AS level FROM b WHERE turn % 9 <> 8 AND NOT (k = 3 AND turn % 3 = 0))
+SELECT doc, k AS ord, label, text, page, level FROM r UNION ALL SELECT conv_id || '#' || turn, 0, 'error', 'not a layout document', NULL, NULL FROM conversations WHERE turn % 9 = 8""")
+def layout_flatten(spark, sf_dir):
+    docs = table(spark, sf_dir, "conversations").select(F.expr("conv_id || '#' || turn").alias("doc"), F.expr(_LAYOUT).alias("content"))
+    return layout.layout_blocks(docs).select("doc", "ord", "label", "text", "page", "level")
+
+
+@query("""WITH b AS (SELECT turn, unnest([0, 1, 2, 3]) AS k FROM conversations WHERE turn % 9 <> 8)
+SELECT count(*) FILTER (k = 2) AS formulas, count(*) FILTER (k = 1 AND turn % 2 = 0) AS furniture, count(*) FILTER (NOT (k = 3 AND turn % 3 = 0) AND NOT (k = 1 AND turn % 2 = 0)) AS blocks FROM b""")
+def layout_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "conversations").select(F.expr("conv_id || '#' || turn").alias("doc"), F.expr(_LAYOUT).alias("content"))
+    n = lambda c, name: F.count_if(c).alias(name)
+    label = F.col("label")
+    return layout.layout_blocks(docs).agg(n(label == "formula", "formulas"), n(label == "furniture", "furniture"), n(~label.isin("error", "furniture"), "blocks"))
+
+
+@query("""SELECT page_id, 'On ' || page_id AS title, 'Ada Q' || (page_id % 7) || '|Bo' AS authors, CASE WHEN page_id % 3 < 2 THEN 1990 + page_id % 30 END AS year, CASE WHEN page_id % 4 = 0 THEN '10.48550/a.' || page_id END AS doi FROM pages""")
+def abs_page(spark, sf_dir):
+    html = F.expr("""html || '<meta name="citation_title" content="On ' || page_id || '"><meta name="citation_author" content="Ada Q' || page_id % 7 || '"/><meta content="Bo" name="citation_author">'
+      || CASE page_id % 3 WHEN 0 THEN '<meta name="citation_date" content="' || (1990 + page_id % 30) || '/02/03">' WHEN 1 THEN '<meta name="citation_date" content="' || (1990 + page_id % 30) || '-05">' ELSE '<meta name="citation_date" content="soon">' END
+      || CASE WHEN page_id % 4 = 0 THEN '<meta name="citation_doi" content="10.48550/a.' || page_id || '">' ELSE '' END""")
+    found = table(spark, sf_dir, "pages").select("page_id", pages.abs_page_record(html).alias("r"))
+    return found.select("page_id", "r.title", F.array_join("r.authors", "|").alias("authors"), F.col("r.year").cast("long").alias("year"), "r.doi")
+
+
+# ---- works one by one
+
+@query("WITH {works} SELECT key, title, year FROM works WHERE key = 'doc-3'")
+def show_work(spark, sf_dir):
+    return catalogue.show(fixtures.works(spark, sf_dir), "doc-3").select("key", "title", "year")
+
+
+@query("""WITH {works}, hit AS (SELECT key FROM works WHERE contains(lower(key || ' ' || coalesce(title, '')), 'doc-1') AND list_has_any(list_transform(tags, lambda t: lower(t)), ['en', 'web']) ORDER BY key LIMIT 25)
+SELECT row_number() OVER (ORDER BY key)::INT AS place, key FROM hit""")
+def list_limited(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("doi", "arxiv", "publisher", "series", "edition")}).withColumns({"authors": F.array().cast("array<string>"), "isbn": F.array().cast("array<string>")})
+    found = catalogue.list_works(w.withColumn("title", F.concat("key", F.lit(" "), F.coalesce("title", F.lit("")))), "Doc-1", ["EN", "web"], 25)
+    return found.select("key").withColumn("place", F.row_number().over(Window.orderBy("key"))).select("place", "key")
+
+
+@query(f"""WITH {{works}}, k AS (SELECT key, doc_id, {_NORM.replace('{c}', 'title')} AS t, {_NORM.replace('{c}', 'doi')} AS d FROM works),
+asked AS (SELECT 'new-' || key AS key, CASE WHEN doc_id % 2 = 0 THEN t ELSE 'unseen ' || doc_id END AS t, CASE WHEN doc_id % 3 = 1 THEN '10.1234/q.3' WHEN doc_id % 3 = 2 THEN '10.9/x' END AS d FROM k)
+SELECT a.key FROM asked a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.t = a.t) AND NOT EXISTS (SELECT 1 FROM k WHERE k.d = a.d)""")
+def import_skip(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    doi = F.when(F.col("doc_id") % 3 == 1, "10.1234/Q.3").when(F.col("doc_id") % 3 == 2, "10.9/x")
+    asked = w.select(F.concat(F.lit("new-"), "key").alias("key"), F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("Unseen "), "doc_id")).alias("title"), doi.alias("doi"))
+    return duplicates.without_duplicates(asked, w).select("key")
+
+
+@query(f"WITH {{works}} SELECT key, key || CASE WHEN has_pdf THEN ' [PDF]' ELSE '' END || ' ' || {_SCORE} || '/13' AS label FROM works")
+def dup_labels(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return w.select("key", duplicates.group_label(F.col("key"), F.col("has_pdf"), quality.completeness(w)).alias("label"))
+
+
+@query("""WITH {works} SELECT key, CASE WHEN key = 'doc-4' THEN 1999 ELSE year END AS year, CASE WHEN key = 'doc-4' THEN NULL ELSE journal END AS journal,
+ array_to_string(CASE WHEN key = 'doc-4' THEN list_append(list_filter(tags, lambda t: lower(t) <> lower(source_)), 'Kept') ELSE tags END, ',') AS tags FROM works, (SELECT source AS source_ FROM documents WHERE doc_id = 4)""")
+def work_update(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    source = table(spark, sf_dir, "documents").filter("doc_id = 4").first()["source"]
+    after, _ = edits.update_works(w, "doc-4", {"year": 1999}, ("journal",), ["Kept"], [source.upper()])
+    return after.select("key", F.col("year").cast("long").alias("year"), "journal", F.array_join("tags", ",").alias("tags"))
+
+
+@query("WITH {works} SELECT key, 'book' AS kind, '2nd' AS edition, 'P' AS publisher, NULL::VARCHAR AS series, 1850 AS year, title FROM works")
+def import_options(spark, sf_dir):
+    done = edits.import_overrides(fixtures.works(spark, sf_dir), "book", {"edition": " 2nd ", "publisher": "P", "year": 1850})
+    return done.select("key", "kind", "edition", "publisher", "series", F.col("year").cast("long").alias("year"), "title")
+
+
+@query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || ', ' || c_mktsegment WHEN 1 THEN c_name || ' ,A, ' || c_mktsegment ELSE c_name END AS n FROM customer)
+SELECT c_custkey, CASE WHEN contains(n, ',') THEN trim(substr(n, strpos(n, ',') + 1)) || ' ' || trim(left(n, strpos(n, ',') - 1)) ELSE n END AS name FROM n""")
+def names_flipped(spark, sf_dir):
+    name = F.expr("CASE c_custkey % 3 WHEN 0 THEN c_name || ', ' || c_mktsegment WHEN 1 THEN c_name || ' ,A, ' || c_mktsegment ELSE c_name END")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.given_family(name).alias("name"))
+
+
+@query("SELECT doc_id, left(text, list_max(list_filter(range(0, 61), lambda k: strlen(left(text, k)) <= 60))) AS cut FROM documents")
+def bytes_truncated(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 60).alias("cut"))
+
+
+@query("WITH {works} SELECT key, regexp_replace(regexp_replace(regexp_replace(lower(title), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM works")
+def slugs_migrated(spark, sf_dir):
+    return fixtures.works(spark, sf_dir).select("key", text.migration_slug(F.col("title")).alias("slug"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Semantic index not built.' || chr(10) || 'Run `quillstack semantic-index` first.' WHEN 1 THEN 'Semantic index was built with an older model; run `quillstack semantic-index`'
+ WHEN 2 THEN 'Semantic index not built.' || chr(10) || 'Run `quillstack semantic-index` first.' ELSE 'Semantic search: ' || o_orderkey || ' semantic index is empty' END AS message FROM orders""")
+def search_errors(spark, sf_dir):
+    error = F.expr("o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN ': Semantic index is empty' WHEN 1 THEN ': Semantic index uses model x' WHEN 2 THEN ' Semantic index is not initialized' ELSE ' semantic index is empty' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.search_error(error).alias("message"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 1200 AS done, p_size * 20 AS total, p_partkey * 7 % 5000 AS s FROM part), q AS (SELECT p_partkey, least(done, greatest(total, 1)) AS done, greatest(total, 1) AS total, s FROM p)
+SELECT p_partkey, 'Embedding passages [' || repeat('=', (done * 30 // total)::INT) || repeat(' ', 30 - (done * 30 // total)::INT) || '] ' || lpad((done * 100 // total)::VARCHAR, 3, ' ') || '% ' || done || '/' || total || ' '
+ || lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS line FROM q""")
+def progress_lines(spark, sf_dir):
+    big = lambda e: F.expr(e).cast("long")
+    return table(spark, sf_dir, "part").select("p_partkey", text.progress_line(big("p_partkey % 1200"), big("p_size * 20"), big("p_partkey * 7 % 5000"), 30).alias("line"))
+
+
+# ---- passages on a screen
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'H2' || chr(10) || 'body ' || turn WHEN 1 THEN 'body ' || turn WHEN 2 THEN 'body' || chr(10) || 'H1' ELSE 'H1 x' END AS shown FROM conversations""")
+def heading_strip(spark, sf_dir):
+    given = F.expr("CASE turn % 4 WHEN 0 THEN 'H1\\n\\nH2\\nbody ' || turn WHEN 1 THEN ' h2\\r\\nH1 \\n\\n \\nbody ' || turn WHEN 2 THEN '\\nbody\\nH1\\n' ELSE 'H1 x' END")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", math.without_headings(given, F.array(F.lit("H1"), F.lit(" H2 "))).alias("shown"))
+
+
+@query("SELECT p_partkey, 'x' || translate(p_partkey::VARCHAR || '+-=()', '0123456789+-', '₀₁₂₃₄₅₆₇₈₉₊₋') AS low FROM part")
+def subscript_digits(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("x"), math.subscript(F.concat(F.col("p_partkey").cast("string"), F.lit("+-=()")))).alias("low"))
+
+
+@query("""WITH c AS (SELECT p_partkey, (p_partkey * 7 % 256)::BIGINT AS r, (p_partkey * 13 % 256)::BIGINT AS g, (p_partkey * 29 % 256)::BIGINT AS b FROM part), k AS (SELECT *, 255 - (77 * r + 150 * g + 29 * b + 128) // 256 AS ink FROM c),
+e AS (SELECT *, least((ink * 5 + 3) // 4, 255) AS strong FROM k) SELECT p_partkey, ink, strong, (20 * (255 - strong) + 230 * strong) // 255 AS red FROM e""")
+def ink_pixels(spark, sf_dir):
+    channel = lambda n: F.expr(f"p_partkey * {n} % 256").cast("long")
+    ink = table(spark, sf_dir, "part").select("p_partkey", math.ink_coverage(channel(7), channel(13), channel(29)).alias("ink"))
+    strong = ink.withColumn("strong", math.emphasise(F.col("ink")).cast("long"))
+    return strong.withColumn("red", math.blend(F.lit(230), F.lit(20), F.col("strong")))
+
+
+@query("""WITH n AS (SELECT p_partkey, greatest((p_size * 37 % 900 + 7) // 8, 1) AS c, greatest((p_size * 11 % 700 + 15) // 16, 1) AS r FROM part), s AS (SELECT *, least(1.0::DOUBLE, 40::DOUBLE / c, 12::DOUBLE / r) AS s FROM n)
+SELECT p_partkey, greatest(ceil(c * s), 1)::BIGINT AS columns, greatest(ceil(r * s), 1)::BIGINT AS rows FROM s""")
+def formula_cells(spark, sf_dir):
+    size = math.cell_size(F.expr("p_size * 37 % 900"), F.expr("p_size * 11 % 700"), F.lit(40), F.lit(12))
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", F.col("s.columns").cast("long").alias("columns"), F.col("s.rows").cast("long").alias("rows"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN {tok("text")} ELSE {tok("'old ' || lang")} END AS ts FROM documents)
+SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(ts) AS term FROM t) GROUP BY ALL""")
+def postings_refresh(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents"))
+    stored = lexical.postings(docs.select("doc_id", F.concat(F.lit("old "), "lang").alias("text")).withColumnRenamed("doc_id", "key"), ("text",))
+    now = docs.select(F.col("doc_id").alias("key"), "text")
+    fresh = incremental.refresh_postings(stored, now, now.filter("key % 5 = 0"), ("text",))
+    return fresh.groupBy(F.col("key").alias("doc_id"), "term").agg(F.count("*").alias("n"))
