@@ -26,7 +26,8 @@ from .minhash import WordHashes
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 4 << 20
+#: Text in a block. A larger block repeats fewer of the others' n-grams.
+BLOCK_BYTES = 8 << 20
 #: The key under which every block counts all its words.
 ALL_WORDS = np.uint64(0x5851F42D4C957F2D)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
