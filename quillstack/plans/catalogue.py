@@ -1027,7 +1027,7 @@ def heading_strip(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", math.without_headings(given, F.array(F.lit("H1"), F.lit(" H2 "))).alias("shown"))
 
 
-@query("SELECT p_partkey, 'x' || translate(p_partkey::VARCHAR || '+-=()', '0123456789+-', '₀₁₂₃₄₅₆₇₈₉₊₋') AS low FROM part")
+@query("SELECT p_partkey, 'x' || translate(p_partkey::VARCHAR || '+-=()', '0123456789-', '₀₁₂₃₄₅₆₇₈₉₋') AS low FROM part")
 def subscript_digits(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("x"), math.subscript(F.concat(F.col("p_partkey").cast("string"), F.lit("+-=()")))).alias("low"))
 
