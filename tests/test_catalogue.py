@@ -8,7 +8,7 @@ import pytest
 from quillstack.plans.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "customer part documents embeddings pages labels conversations".split()
+TABLES = "customer part orders documents embeddings pages labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
