@@ -6,8 +6,10 @@ bands in common but for 5 in 10^8.  Whatever meets is verified by the two sets.
 
 A band that few nodes share pairs them all.  One that many share (a *crowd*) first
 verifies them against one member, then against a few more.  Members that these
-links leave apart are not paired either: each is joined by the rarest fifth of its
-shingles, of which two sets of similarity 0.8 have at least one in common.
+links leave apart are not paired either.  A shingle that one component has alone
+is in no link between components, so a member with too few others is done; those
+that are left are joined by the rarest fifth of their shingles, of which two sets of
+similarity 0.8 have at least one in common, as far as what they share may suffice.
 """
 
 from __future__ import annotations
@@ -206,32 +208,60 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         crowds = _apart(crowds, reduce(DataFrame.unionByName, links))
         written.append(crowds)
     if not crowds.isEmpty():
-        rare = durable(_rarest(crowds, sets, similarity))
-        pairs = rare.alias("x").join(rare.alias("y"), F.expr("x.shingle = y.shingle and x.component != y.component and x.node < y.node")).filter(fits).select(*ordered)
+        members = _disputed(durable(crowds.select("node", "size", "component").distinct()), sets, similarity)
+        rare = durable(_rarest(members, sets, similarity))
+        # at the first shingle that a pair has in common, what either has left must do
+        enough = f"least(x.left, y.left) + 1 >= (x.size + y.size) * {similarity / (1 + similarity)}D - 1e-6D"
+        pairs = rare.alias("x").join(rare.alias("y"), F.expr(f"x.shingle = y.shingle and x.component < y.component and {enough}")).select(*ordered)
         links.append(checked(pairs))
-        release(rare)
+        release(members, rare)
     release(candidates, sets, *written)
     return links
 
 
-def _rarest(crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(shingle, node, size, component): of each member's shingles as many of the rarest as a partner cannot lack altogether.
+def _spread(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shingle, size, component): the members' shingles one by one."""
 
-    Rare is what few members have.  A shingle that one member has alone is left out.
-    """
-    members = crowds.select("node", "size", "component").distinct()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, found in zip(batch.column(0), batch.column(1), strict=True):
+            for i, found in enumerate(batch.column(1)):
                 hashes = np.frombuffer(found.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * hashes.size, pa.binary()), pa.array(hashes)], names=["node", "shingle"])
+                one = [batch.column(c).take(pa.array([i] * hashes.size, pa.int64())) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([one[0], pa.array(hashes), *one[1:]], names=["node", "shingle", "size", "component"])
+
+    return map_arrow(sets.join(members, "node").select("node", "shingles", "size", "component"), run, "node binary, shingle long, size int, component binary")
+
+
+def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shingle, size, component, often): of each member's shingles those that another component has too."""
+    rows = _spread(members, sets)
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return rows.join(often.filter("lo != hi").select("shingle", "often"), "shingle")
+
 
-    rows = map_arrow(sets.join(members, "node", "left_semi").select("node", "shingles"), spread, "node binary, shingle long")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    ranked = rows.join(often, "shingle").withColumn("nth", nth).join(members, "node")
-    return ranked.filter(F.expr(f"nth <= size - ceil({similarity} * size - 1e-6) + 1 and often > 1")).select("shingle", "node", "size", "component")
+def _disputed(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the members (node, size, component) that have enough shingles in common with other components.
+
+    Members that go leave others with fewer such shingles, so it goes on while most go.
+    """
+    while True:
+        may = _shared(members, sets).groupBy("node", "size", "component").agg(F.count("*").alias("may"))
+        fewer = durable(may.filter(f"may >= {similarity}D * size - 1e-6D").select("node", "size", "component"))
+        before, after = members.count(), fewer.count()
+        release(members)
+        members = fewer
+        if 2 * after > before or not after:
+            return members
+
+
+def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node, size, component, left): of each member's shared shingles as many of the rarest as a partner cannot lack altogether.
+
+    Rare is what few members have; left is how many more shared ones follow.
+    """
+    per_node = Window.partitionBy("node")
+    ranked = _shared(members, sets).withColumn("nth", F.row_number().over(per_node.orderBy("often", "shingle"))).withColumn("left", F.count("*").over(per_node) - F.col("nth"))
+    return ranked.filter(f"left + 1 >= {similarity}D * size - 1e-6D").select("shingle", "node", "size", "component", "left")
 
 
 def _apart(crowds: DataFrame, links: DataFrame) -> DataFrame:
