@@ -4,12 +4,13 @@ A node is a distinct set of shingles, known by its digest.  Nodes that agree in
 band of four MinHash values are candidates; a pair of similarity 0.8 has one of 32
 bands in common but for 5 in 10^8.  Whatever meets is verified by the two sets.
 
-A band that few nodes share pairs them all.  One that many share (a *crowd*) first
-verifies them against one member, then against a few more.  Members that these
-links leave apart are not paired either.  A shingle that one component has alone
-is in no link between components, so a member with too few others is done; those
-that are left are joined by the rarest fifth of their shingles, of which two sets of
-similarity 0.8 have at least one in common, as far as what they share may suffice.
+A band that few nodes share pairs them all.  One that many share (a *crowd*)
+verifies them against one member.  Members that these links leave apart are not
+paired either.  A shingle that one component has alone is in no link between
+components, so a member with too few others is done; one that is left meets a few
+more members of each of its crowds.  Those that even then have enough such shingles
+are joined by the rarest fifth of them, of which two sets of similarity 0.8 have at
+least one in common, as far as what they share may suffice.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .minhash import BANDS, PERMUTATIONS, SIMILAR, least_values, shingle_hashes
 
 #: Members from which on a band is a crowd.
 CROWD = 32
-#: How many members of a crowd the others are verified against, round by round.
-PROBES = (1, 8)
+#: How many members of each of its crowds a member is verified against that one of each left apart.
+PROBES = 8
 #: Digests that a task remembers in order to send a text once.
 REMEMBERED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -183,7 +184,6 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     """
     candidates = durable(_candidates(nodes, similarity))
     sets = durable(_sets_of(docs, candidates.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct(), shingle))
-    fits = F.expr(f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size)")
     ordered = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -194,28 +194,37 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
 
     links = [checked(candidates.filter("b is not null").select("a", "b"))]
     crowds = candidates.filter("b is null").select("band", F.col("a").alias("node"), "size", F.col("a").alias("component"))
-    written: list[DataFrame] = []
-    for probes in PROBES:
-        if crowds.isEmpty():
-            break
+
+    def probed(crowds: DataFrame, probes: int) -> DataFrame:
+        """Verified links between the members of each crowd and so many of them."""
         # the order by hash is the same for all bands, so that bands of the same members take the same ones
-        least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "size", "component")).alias(f"p{i}") for i in range(probes)]
-        chosen = durable(crowds.groupBy("band").agg(*least).select("band", F.explode(F.array(*(f"p{i}" for i in range(probes)))).alias("p")).select("band", "p.node", "p.size", "p.component"))
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "size", "component")) for i in range(probes)]
+        chosen = durable(crowds.groupBy("band").agg(F.array_distinct(F.transform(F.array(*least), lambda m: F.struct(m["node"], m["size"], m["component"]))).alias("probes")))
+        # a member's probes of all its crowds come together, so that each of them is met once
+        met = crowds.join(chosen, "band").groupBy("node", "size", "component").agg(F.array_distinct(F.flatten(F.collect_list("probes"))).alias("probes"))
         # without a component yet, every node is its own
-        pairs = crowds.alias("x").join(chosen.alias("y"), F.expr("x.band = y.band and x.component != y.component")).filter(fits).select(*ordered)
-        links.append(checked(pairs))
+        other = F.expr(f"filter(probes, y -> y.component != component and least(y.size, size) >= {similarity} * greatest(y.size, size))")
+        pairs = met.select("node", F.explode(F.transform(other, lambda y: y["node"])).alias("probe"))
+        out = checked(pairs.select(F.least("node", "probe").alias("a"), F.greatest("node", "probe").alias("b")))
         release(chosen)
-        crowds = _apart(crowds, reduce(DataFrame.unionByName, links))
-        written.append(crowds)
+        return out
+
     if not crowds.isEmpty():
+        links.append(probed(crowds, 1))
+        crowds = _apart(crowds, reduce(DataFrame.unionByName, links))
         members = _disputed(durable(crowds.select("node", "size", "component").distinct()), sets, similarity)
+        links.append(probed(crowds.select("band", "node").join(members, "node"), PROBES))
+        release(crowds)
+        labelled = durable(_labelled(members.drop("component"), reduce(DataFrame.unionByName, links)))
+        release(members)
+        members = _disputed(labelled, sets, similarity)
         rare = durable(_rarest(members, sets, similarity))
         # at the first shingle that a pair has in common, what either has left must do
         enough = f"least(x.left, y.left) + 1 >= (x.size + y.size) * {similarity / (1 + similarity)}D - 1e-6D"
         pairs = rare.alias("x").join(rare.alias("y"), F.expr(f"x.shingle = y.shingle and x.component < y.component and {enough}")).select(*ordered)
         links.append(checked(pairs))
         release(members, rare)
-    release(candidates, sets, *written)
+    release(candidates, sets)
     return links
 
 
@@ -264,10 +273,15 @@ def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return ranked.filter(f"left + 1 >= {similarity}D * size - 1e-6D").select("shingle", "node", "size", "component", "left")
 
 
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (node, ...) with the component that the links give each node; a node without links is its own."""
+    labels = connected_components(links).withColumnRenamed("component", "_found")
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("_found", "node")).drop("_found")
+
+
 def _apart(crowds: DataFrame, links: DataFrame) -> DataFrame:
     """The members of those crowds that the links leave in more than one component, with their components."""
-    labels = connected_components(links).withColumnRenamed("component", "_found")
-    now = durable(crowds.join(labels, "node", "left").select("band", "node", "size", F.coalesce("_found", "node").alias("component")))
+    now = durable(_labelled(crowds.drop("component"), links))
     open_bands = durable(now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band"))
     out = durable(now.join(open_bands, "band", "left_semi"))
     release(now, open_bands)
