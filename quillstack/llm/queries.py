@@ -172,3 +172,40 @@ WITH RECURSIVE split AS (
 )
 SELECT s.doc_id, c.class_id FROM sets s JOIN nodes n ON n.sh = s.sh JOIN class c ON c.low = n.low
 """
+
+
+def op11_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .point_in_time import label_versions
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars", "lang")
+    return label_versions(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES["op11_point_in_time"] = op11_point_in_time
+ORACLES["op11_point_in_time"] = r"""
+WITH hashed AS (
+  SELECT doc_id, source, n_chars, lang, sha256(doc_id::VARCHAR) AS h FROM documents
+), numbers AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT AS a, ('0x' || h[9:16])::BIGINT AS b, ('0x' || h[17:24])::BIGINT AS c, ('0x' || h[25:32])::BIGINT AS d FROM hashed
+), versions AS (
+  SELECT doc_id, source, n_chars, lang, a % 50000 AS event, a % 50000 - 60 + b % 600 AS arrival, a % 50000 + c % 900 AS expiry FROM numbers WHERE source IS NOT NULL
+), asks AS (
+  SELECT row_number() OVER () AS ask, l.doc_id, ('0x' || sha256(l.doc_id::VARCHAR)[25:32])::BIGINT % 50000 AS t, d.source FROM labels l LEFT JOIN documents d USING (doc_id)
+), ranked AS (
+  SELECT a.ask, a.t, v.*, row_number() OVER (PARTITION BY a.ask ORDER BY v.event DESC, v.arrival, v.doc_id DESC) AS nth
+  FROM asks a JOIN versions v ON v.source = a.source AND v.event <= a.t AND v.arrival <= a.t AND a.t < v.expiry
+)
+SELECT a.doc_id, a.t, r.doc_id AS version_id, a.t - r.event AS age,
+       CASE WHEN r.event IS NULL THEN 'none' WHEN a.t - r.event > 120 THEN 'stale' ELSE 'fresh' END AS status,
+       CASE WHEN a.t - r.event <= 120 THEN r.n_chars END AS n_chars, CASE WHEN a.t - r.event <= 120 THEN r.lang END AS lang
+FROM asks a LEFT JOIN ranked r ON r.ask = a.ask AND r.nth = 1
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op12_alignment"] = op12_alignment
