@@ -209,3 +209,21 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_alignment"] = op12_alignment
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op13_warc"] = op13_warc
+ORACLES["op13_warc"] = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
