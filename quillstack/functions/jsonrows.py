@@ -57,9 +57,9 @@ def _elements(v: Column) -> Column:
 
 
 def row_headings(v: Column) -> Column:
-    """A string, or the strings of an array, trimmed; blank ones of an array left out."""
+    """A string, or the strings of an array, trimmed; blank ones left out."""
     found = first_value(v, HEADING_NAMES)
-    single = F.when(_kind(found) == "STRING", F.array(trim_space(_string(found))))
+    single = F.when(_kind(found) == "STRING", F.filter(F.array(trim_space(_string(found))), lambda x: x != ""))
     several = F.when(_kind(found).startswith("ARRAY"), F.filter(F.transform(_elements(found), lambda x: trim_space(_string(x))), lambda x: x.isNotNull() & (x != "")))
     return F.coalesce(single, several, F.array().cast("array<string>"))
 

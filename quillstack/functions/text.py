@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import textwrap
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Title words that a work's key passes over (fixed values).
 KEY_STOP_WORDS = ("a", "an", "the", "on", "of", "for", "in", "to", "and", "with")
@@ -116,13 +113,13 @@ def given_family(c: Column) -> Column:
 
 
 def key_surname(c: Column) -> Column:
-    """What a key takes from a name: the text after the last comma; else the last word, or where that is an initial the first word that isn't."""
+    """What a key takes from a name: the text before the last comma; else the last word, or where that is an initial the first word that isn't."""
     parts = words(c)
     initial = lambda w: F.rlike(w, F.lit(r"^\p{IsAlphabetic}\.*$"))
     last = F.try_element_at(parts, F.lit(-1))
     full = F.filter(parts, lambda w: ~initial(w))
     by_words = F.when(F.size(parts) == 0, c).when((F.size(parts) > 1) & initial(last) & (F.size(full) > 0), F.get(full, F.lit(0))).otherwise(last)
-    return F.when(F.contains(c, F.lit(",")), trim_space(F.regexp_extract(c, r"(?s)^.*,(.*)$", 1))).otherwise(by_words)
+    return F.when(F.contains(c, F.lit(",")), trim_space(F.regexp_extract(c, r"(?s)^(.*),", 1))).otherwise(by_words)
 
 
 def sort_surname(c: Column) -> Column:
@@ -249,14 +246,44 @@ def progress_line(done: Column, total: Column, seconds: Column, width: int = 20)
     return F.format_string("Embedding passages [%s] %3d%% %d/%d %02d:%02d", bar, F.floor(done * 100 / total), done, total, F.floor(seconds / 60), F.pmod(seconds, F.lit(60)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def wrap_words(text: pd.Series, width: pd.Series) -> pd.Series:
-    """Lines of at most width characters; longer words are broken. (pandas: the breaks depend on what went before.)"""
-    return pd.Series([[] if t is None else (textwrap.wrap(t, int(w), break_on_hyphens=False) or [""]) for t, w in zip(text, width, strict=True)])
+def _word_pieces(word: Column, width: int) -> Column:
+    """A word of more than width characters in pieces of at most width bytes, but for a rest of at most width characters, which stays whole."""
+
+    def grow(s: Column, ch: Column) -> Column:
+        joined = F.concat(s["piece"], ch)
+        fits = (s["rest"] <= width) | (s["piece"] == "") | (F.octet_length(joined) <= width)
+        return F.when(fits, F.struct(s["done"].alias("done"), joined.alias("piece"), s["rest"].alias("rest"))).otherwise(
+            F.struct(F.concat(s["done"], F.array(s["piece"])).alias("done"), ch.alias("piece"), (s["rest"] - F.length(s["piece"])).alias("rest"))
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("piece"), F.length(word).alias("rest"))
+    broken = F.aggregate(F.split(word, ""), start, grow, lambda s: F.concat(s["done"], F.array(s["piece"])))
+    return F.when(F.length(word) <= width, F.array(word)).otherwise(broken)
+
+
+def wrap_words(c: Column, width: int) -> Column:
+    """Lines of at most width characters: words one blank apart, longer ones broken on lines of their own; no width is one line."""
+    if width <= 0:
+        return F.array(c)
+
+    def place(s: Column, pieces: Column) -> Column:
+        word, line = F.try_element_at(pieces, F.lit(-1)), s["line"]
+        before = F.when(line == "", F.array().cast("array<string>")).otherwise(F.array(line))
+        joined = F.concat_ws(" ", line, word)
+        state = lambda lines, line: F.struct(lines.alias("lines"), line.alias("line"))
+        return (
+            F.when(F.size(pieces) > 1, state(F.concat(s["lines"], before, F.slice(pieces, 1, F.size(pieces) - 1)), word))
+            .when(line == "", state(s["lines"], word))
+            .when(F.length(joined) <= width, state(s["lines"], joined))
+            .otherwise(state(F.concat(s["lines"], before), word))
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    return F.aggregate(F.transform(words(c), lambda w: _word_pieces(w, width)), start, place, lambda s: F.concat(s["lines"], F.array(s["line"])))
 
 
 def bounded_lines(text: Column, width: int, most: int) -> Column:
     """At most so many wrapped lines; the last one ends in an ellipsis where more follow."""
-    lines = wrap_words(text, F.lit(width))
+    lines = wrap_words(text, width)
     cut = F.concat(F.slice(lines, 1, most - 1), F.array(F.concat(F.left(F.get(lines, F.lit(most - 1)), F.lit(width - 1)), F.lit("…"))))
     return F.when(F.size(lines) > most, cut).otherwise(lines)

@@ -121,10 +121,10 @@ def vector_cosine_expression(spark, sf_dir):
     return e.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("embedding")), 6).alias("own"))
 
 
-@query("SELECT vec_id, len(embedding) * 4 AS n_bytes, true AS same FROM embeddings")
+@query("SELECT vec_id, len(embedding) * 4 AS n_bytes, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
 def vector_codec(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("b", vectors.encode_vector(F.col("embedding")))
-    return e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), (vectors.decode_vector(F.col("b")) == F.col("embedding")).alias("same"))
+    return e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), F.round(F.aggregate(vectors.decode_vector(F.col("b")), F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
 # ---- full text
@@ -427,7 +427,7 @@ def family_given(spark, sf_dir):
     return fixtures.works(spark, sf_dir).select("key", F.array_join(F.transform("authors", text.family_given), " and ").alias("authors"))
 
 
-_KEY_NAME = """CASE WHEN contains(authors[1], ',') THEN trim(regexp_extract(authors[1], '^.*,(.*)$', 1))
+_KEY_NAME = """CASE WHEN contains(authors[1], ',') THEN trim(regexp_extract(authors[1], '^(.*),', 1))
  WHEN regexp_matches(list_last(string_split(authors[1], ' ')), '^\\p{L}\\.*$') AND contains(authors[1], ' ') THEN coalesce(list_filter(string_split(authors[1], ' '), lambda w: NOT regexp_matches(w, '^\\p{L}\\.*$'))[1], list_last(string_split(authors[1], ' ')))
  ELSE list_last(string_split(authors[1], ' ')) END"""
 _KEY_WORD = "list_filter(string_split_regex(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda w: w <> '' AND lower(w) NOT IN ('a', 'an', 'the', 'on', 'of', 'for', 'in', 'to', 'and', 'with'))[1]"
@@ -798,10 +798,12 @@ def index_summary(spark, sf_dir):
     return incremental.summary(after, incremental.plan(incremental.sources_of(after), incremental.sources_of(before)))
 
 
-@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT 'conv-' || conv_id || '/derived/turns.jsonl' AS source_path FROM c WHERE conv_id IN (SELECT conv_id FROM conversations WHERE (conv_id + turn) % 7 <> 6 AND turn % 4 < 3)""")
+@query("""SELECT DISTINCT 'conv-' || conv_id || '/derived/turns.jsonl' AS source_path FROM conversations
+WHERE (conv_id + turn) % 7 <> 6 AND turn % 4 < 3 AND conv_id % 5 <> 1 AND conv_id % 10 <> 3""")
 def index_heal(spark, sf_dir):
-    rows = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir))
-    return incremental.healed(rows, incremental.replace_index(rows), incremental.sources_of(rows)).select("source_path")
+    stored = incremental.replace_index(incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir)))
+    rows = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir, edited=True))
+    return incremental.healed(rows, stored, incremental.sources_of(rows)).select("source_path")
 
 
 @query()
@@ -948,11 +950,10 @@ def show_work(spark, sf_dir):
     return catalogue.show(fixtures.works(spark, sf_dir), "doc-3").select("key", "title", "year")
 
 
-@query("""WITH {works}, hit AS (SELECT key FROM works WHERE contains(lower(key || ' ' || coalesce(title, '')), 'doc-1') AND list_has_any(list_transform(tags, lambda t: lower(t)), ['en', 'web']) ORDER BY key LIMIT 25)
+@query(f"""WITH {{works}}, hit AS (SELECT key FROM works WHERE contains({_HAY}, 'quill1') AND list_has_any(list_transform(tags, lambda t: lower(t)), ['en', 'web']) ORDER BY key LIMIT 25)
 SELECT row_number() OVER (ORDER BY key)::INT AS place, key FROM hit""")
 def list_limited(spark, sf_dir):
-    w = fixtures.works(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("doi", "arxiv", "publisher", "series", "edition")}).withColumns({"authors": F.array().cast("array<string>"), "isbn": F.array().cast("array<string>")})
-    found = catalogue.list_works(w.withColumn("title", F.concat("key", F.lit(" "), F.coalesce("title", F.lit("")))), "Doc-1", ["EN", "web"], 25)
+    found = catalogue.list_works(fixtures.works(spark, sf_dir), "Quill1", ["EN", "web"], 25)
     return found.select("key").withColumn("place", F.row_number().over(Window.orderBy("key"))).select("place", "key")
 
 

@@ -49,7 +49,7 @@ def test_names(column):
     assert column(text.split_authors, ["A, B; C", "A, B, C", "A B and C D", "A, B", " x "]) == [["A, B", "C"], ["A", "B", "C"], ["A B", "C D"], ["A, B"], ["x"]]
     assert column(text.family_given, ["Ada Mae Quill", "Quill, Ada,", "Plato", " ", "A\tB"]) == ["Quill, Ada Mae", "Quill, Ada", "Plato", "", "B, A"]
     assert column(text.given_family, ["Quill, Ada", "Ada Quill"]) == ["Ada Quill", "Ada Quill"]
-    assert column(text.key_surname, ["Ada Quill", "Quill, Ada", "Wren George M.", "A. B.", "Plato"]) == ["Quill", "Ada", "Wren", "B.", "Plato"]
+    assert column(text.key_surname, ["Ada Quill", "Quill, Ada", "van Quill, Ada, Jr", "Wren George M.", "A. B.", "Plato"]) == ["Quill", "Quill", "van Quill, Ada", "Wren", "B.", "Plato"]
     assert column(text.sort_surname, ["Ada Quill", "Quill, Ada, Jr", None]) == ["quill", "quill", ""]
     assert column(text.row_surname, ["Ada Quill", "Quill, Ada, Jr"]) == ["Quill", "Quill, Ada"]
 
@@ -73,6 +73,10 @@ def test_previews(column):
     assert column(text.page_location, [([],), ([4],), ([2, 4],)], "a array<bigint>") == [None, "p. 4", "pp. 2, 4"]
     assert column(text.human_size, [1, 2048, 1 << 20, 1600000], "a bigint") == ["1 KB", "2 KB", "1.0 MB", "1.5 MB"]
     assert column(lambda c: text.bounded_lines(c, 5, 2), ["aa bb cc dd ee ff", "aa"]) == [["aa bb", "cc d…"], ["aa"]]
+    given = ["ab cdefghij", "  a\t b  ", "", "abcdefghi j", "abcd efgh", "éééééééééé x", None]
+    want = [["ab", "cdef", "ghij"], ["a b"], [""], ["abcd", "efgh", "i j"], ["abcd", "efgh"], ["éé", "éé", "éé", "éééé", "x"], None]
+    assert column(lambda c: text.wrap_words(c, 4), given) == want
+    assert column(lambda c: text.wrap_words(c, 0), ["a b"]) == [["a b"]]
     assert column(lambda d, t, s: text.progress_line(d, t, s, 6), [(1, 3, 61), (9, 3, 0), (0, 0, 5)], "d bigint, t bigint, s bigint") == ["Embedding passages [==    ]  33% 1/3 01:01", "Embedding passages [======] 100% 3/3 00:00", "Embedding passages [      ]   0% 0/1 00:05"]
 
 
