@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,11 +45,10 @@ def document_lengths(docs: DataFrame, columns: tuple[str, ...], key: str = "key"
     return docs.select(key, sum((token_count(normalised(F.col(c))) for c in columns), F.lit(0)).alias("length"))
 
 
-def parse_query(spark_docs: DataFrame, query: str) -> list[list[str]]:
+def parse_query(spark: SparkSession, query: str) -> list[list[str]]:
     """The phrases of a query: each word is one, of the tokens it falls into; words without tokens are ignored beside others."""
     if not query.strip():
         raise ValueError("the query is blank")
-    spark = spark_docs.sparkSession
     listed = [w.replace('"', "") for w in query.split()]
     rows = spark.createDataFrame([(i, w) for i, w in enumerate(listed)], "i int, w string").select("i", tokens(F.col("w")).alias("t")).orderBy("i").collect()
     return [list(r["t"]) for r in rows if r["t"]]
@@ -90,12 +89,17 @@ def bm25(docs: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS, key: s
     One pass tokenises and counts; the corpus statistics are one aggregated row,
     joined back to the few rows that match.
     """
-    phrases = parse_query(docs, query)
+    phrases = parse_query(docs.sparkSession, query)
     if not phrases:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     counted = matches(docs, phrases, columns, key)
     n = len(phrases)
     corpus = counted.agg(F.count("*").alias("rows"), F.avg("length").alias("avg_length"), *(F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(n)))
+    return score_matches(counted, corpus, n, key)
+
+
+def score_matches(counted: DataFrame, corpus: DataFrame, n: int, key: str) -> DataFrame:
+    """(key, score) of rows (key, length, f0, ...) with all n phrases, by the one row (rows, avg_length, n0, ...) of corpus."""
     hits = counted.filter(" and ".join(f"f{j} > 0" for j in range(n))).crossJoin(F.broadcast(corpus))
 
     def part(j: int) -> Column:
@@ -140,7 +144,7 @@ def short_snippet(title: Column, phrases: list[list[str]]) -> Column:
 def search(works: DataFrame, query: str, limit: int | None = None, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(key, title, authors, year, snippet, score) of the works that match, best first."""
     docs = lexical_documents(works)
-    phrases = parse_query(works, query)
+    phrases = parse_query(works.sparkSession, query)
     hits = bm25(docs, query, columns).orderBy("score", "key")
     hits = hits if limit is None else hits.limit(limit)
     found = works.select("key", "title", "authors", "year").join(hits, "key")
@@ -159,6 +163,6 @@ def exact_terms(query: str, spark) -> list[str]:
 
 def with_all_terms(rows: DataFrame, query: str, columns: tuple[str, ...], key: str) -> DataFrame:
     """The keys of rows in which every term of the query stands, as a phrase, in any of the columns."""
-    phrases = [p for t in exact_terms(query, rows.sparkSession) for p in parse_query(rows, t)]
+    phrases = [p for t in exact_terms(query, rows.sparkSession) for p in parse_query(rows.sparkSession, t)]
     counted = matches(rows, phrases, columns, key)
     return counted.filter(" and ".join(f"f{j} > 0" for j in range(len(phrases)))).select(key)
