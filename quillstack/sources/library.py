@@ -150,19 +150,6 @@ def write_records(works: DataFrame, library: str) -> None:
     works.select(*(c.split()[0] for c in WORK.split(", "))).foreachPartition(write)
 
 
-def write_snapshot(df: DataFrame, root: str, name: str) -> str:
-    """df as a new Parquet snapshot below root, which becomes the current one when it is complete."""
-    spark = df.sparkSession
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}.current")
-    return path
-
-
-def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/{name}.current").first()[0])
-
-
 def foreign_works(entries: DataFrame) -> DataFrame:
     """Works of another manager's entries (id, title, author_list, author, year, doi, arxiv, eprint, journal, tags, files, abstract), as parsed from its files.
 

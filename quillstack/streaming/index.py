@@ -10,42 +10,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identifiers import classify_input
 from ..operators import incremental
-from ..sources.library import read_snapshot, write_snapshot
+from ..operators.vector_index import Encoder, PassageIndex
 
 #: Bytes that a request may have (fixed value).
 REQUEST_BYTES = 1 << 20
 
 
-def follow_sources(spark: SparkSession, incoming: str, root: str, checkpoint: str, title: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def follow_sources(
+    spark: SparkSession, incoming: str, root: str, checkpoint: str, title: Callable[[DataFrame], DataFrame] | None = None, encode: Encoder | None = None, model: str | None = None, dimension: int = 0, buckets: int = 64
+) -> StreamingQuery:
     """Bring the passage index below ``root`` up to date with JSONL files as they arrive in ``incoming``.
 
-    A micro-batch plans against the stored fingerprints, takes its changed
-    sources' passages out and puts the new ones in, as a snapshot that becomes
-    current when it is complete.  The fingerprints are written last: a batch that
-    was cut off before takes out whatever passages of its sources stand there and
-    puts them in again, and one that is run again after it finds them unchanged.
+    A micro-batch is one commit of passages, fingerprints and its own number.  One
+    that is cut off leaves the version before as it was, and one that is run again
+    after its commit changes nothing.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.jsonl").load(incoming)
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         key = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
         named = batch.select(key.alias("key"), key.alias("work_title"), F.col("path").alias("source_path"), "content")
         rows = incremental.collect_rows(named if title is None else title(named))
-        try:
-            stored, sources = read_snapshot(spark, root, "passages"), read_snapshot(spark, root, "sources")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored, sources = None, spark.createDataFrame([], "source_path string, fingerprint string")
-        current = incremental.sources_of(rows)
-        actions = incremental.plan(current, sources.join(current.select("source_path"), "source_path", "left_semi"))
-        if stored is None:
-            passages = incremental.replace_index(rows)
-        else:
-            afresh = actions.filter("action = 'new'").select("source_path")
-            passages = incremental.update_index(stored.join(afresh, "source_path", "left_anti"), rows, actions)
-        write_snapshot(passages, root, "passages")
-        write_snapshot(incremental.upsert(sources, current, "source_path"), root, "sources")
+        # the same for every run from one checkpoint, another for another
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        PassageIndex(spark, root, buckets).update(rows, encode, model, dimension, complete=False, batch=(stream, number))
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

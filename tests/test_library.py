@@ -1,9 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack.operators import incremental
+from quillstack.operators.vector_index import PassageIndex, paired
 from quillstack.sources import library
+from quillstack.sources.store import Store, bucket_of
 from quillstack.streaming import index
 
 
@@ -51,13 +54,6 @@ def test_write_and_read_again(spark, folder, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, works.collect()))
 
 
-def test_snapshots(spark, tmp_path):
-    root = str(tmp_path)
-    library.write_snapshot(spark.range(3), root, "t")
-    library.write_snapshot(spark.range(5), root, "t")
-    assert library.read_snapshot(spark, root, "t").count() == 5
-
-
 def test_config(tmp_path):
     (tmp_path / "c.toml").write_text('library = "x"\npage = 5\n')
     c = library.Config.load(str(tmp_path / "c.toml"), {"QUILLSTACK_LIBRARY": "y"})
@@ -73,28 +69,89 @@ def test_foreign(spark):
 
 
 def test_stream_follows_sources(spark, tmp_path, monkeypatch):
+    """Batches end between any two writes; nothing is lost, doubled or numbered again, also where a pointer could have gone."""
     incoming, root = tmp_path / "in", tmp_path / "index"
     incoming.mkdir()
+    held = PassageIndex(spark, f"file://{root}", buckets=4)
 
     def arrive(name, *texts):
         (incoming / name).write_text("\n".join(json.dumps({"text": t}) for t in texts))
-        index.follow_sources(spark, str(incoming), str(root), str(tmp_path / "checkpoint")).awaitTermination(120)
-        return sorted(r["text"] for r in library.read_snapshot(spark, str(root), "passages").collect())
-
-    assert arrive("a.jsonl", "one", "two") == ["one", "two"]
-    assert arrive("b.jsonl", "three") == ["one", "three", "two"]
-    whole = index.write_snapshot
-
-    def cut_off(df, root, name):
-        if name == "sources":
-            raise RuntimeError("cut off")
-        whole(df, root, name)
-
-    monkeypatch.setattr(index, "write_snapshot", cut_off)
-    with pytest.raises(Exception, match="cut off"):
-        arrive("c.jsonl", "four")
-    monkeypatch.setattr(index, "write_snapshot", whole)
-    assert arrive("d.jsonl", "five") == ["five", "four", "one", "three", "two"]
+        index.follow_sources(spark, str(incoming), f"file://{root}", str(tmp_path / "checkpoint"), buckets=4).awaitTermination(120)
+
+    rows = lambda: sorted((r["text"], r["id"]) for r in held.passages().collect())
+    arrive("a.jsonl", "one", "two")
+    arrive("b.jsonl", "three")
+    before = rows()
+    assert before == [("one", 1), ("three", 3), ("two", 2)]
+    original = Store.before_write
+    for step in range(4):
+        left = [step]
+
+        def cut_off(self, what, left=left):
+            left[0] -= 1
+            if left[0] < 0:
+                raise RuntimeError("cut off")
+
+        monkeypatch.setattr(Store, "before_write", cut_off)
+        with pytest.raises(Exception, match="cut off"):
+            arrive("c.jsonl", "four")
+        assert rows() == before
+    monkeypatch.setattr(Store, "before_write", original)
+    arrive("d.jsonl", "five")
+    assert [x[0] for x in rows()] == ["five", "four", "one", "three", "two"]
+    assert sorted(x[1] for x in rows()) == [1, 2, 3, 4, 5]
+    assert {(t, i) for t, i in rows() if t in ("one", "two", "three")} == set(before)
+    # a batch that is run again after its commit finds its number there
+    (stream, number), = held.store.latest().facts["batches"].items()
+    again = incremental.collect_rows(spark.createDataFrame([("e", "e", "e.jsonl", '{"text": "six"}')], "key string, work_title string, source_path string, content string"))
+    held.update(again, complete=False, batch=(stream, number))
+    assert "six" not in {x[0] for x in rows()}
+    held.update(again, complete=False, batch=("another stream", 0))
+    assert ("six", 6) in rows()
+
+
+def files(spark, **texts):
+    content = {k: "\n".join(json.dumps({"text": t}) for t in ts.split()) for k, ts in texts.items()}
+    return incremental.collect_rows(spark.createDataFrame([(k, f"title {k}", f"{k}.jsonl", c) for k, c in content.items()], "key string, work_title string, source_path string, content string"))
+
+
+def test_passage_index_keeps_ids_and_embeddings(spark, tmp_path):
+    held = PassageIndex(spark, f"file://{tmp_path}/i", buckets=8)
+    asked = []
+
+    def encode(chunks):
+        asked.append(sorted(r["text"] for r in chunks.collect()))
+        return chunks.select("source_path", "place", F.array(F.length("text").cast("float"), F.lit(float(len(asked)))).alias("embedding"))
+
+    now = lambda: {r["text"]: (r["id"], list(r["embedding"])) for r in held.passages().collect()}
+    first = held.update(files(spark, a="x xx", b="y", c="z zz zzz"), encode, "m", 2)
+    assert now() == {"x": (1, [1, 1]), "xx": (2, [2, 1]), "y": (3, [1, 1]), "z": (4, [1, 1]), "zz": (5, [2, 1]), "zzz": (6, [3, 1])}
+    same = held.update(files(spark, a="x xx", b="y", c="z zz zzz"), encode, "m", 2)
+    assert same == first and len(asked) == 1
+    second = held.update(files(spark, a="x xx", c="z q", d="new"), encode, "m", 2)
+    assert asked[-1] == ["new", "q", "z"]
+    assert now() == {"x": (1, [1, 1]), "xx": (2, [2, 1]), "z": (7, [1, 2]), "q": (8, [1, 2]), "new": (9, [3, 2])}
+    assert (second.facts["count"], second.facts["next_id"]) == (5, 10)
+    assert held.sources().count() == 3
+    # folders of buckets that nothing touched are the same
+    untouched = set(first.tables["passages"]) - {str(r[0]) for r in spark.createDataFrame([("b.jsonl",), ("c.jsonl",), ("d.jsonl",)], "p string").select(bucket_of(F.col("p"), 8)).collect()}
+    assert all(first.tables["passages"][b] == second.tables["passages"][b] for b in untouched)
+    # a deleted last id is not given again; another model numbers from 1
+    held.update(files(spark, a="x xx", c="z q"), encode, "m", 2)
+    assert held.update(files(spark, a="x xx", c="z q", d="back"), encode, "m", 2).facts["next_id"] == 11
+    other = held.update(files(spark, b="y yy"), encode, "other", 2)
+    assert now() == {"y": (1, [1, len(asked)]), "yy": (2, [2, len(asked)])} and other.facts["count"] == 2
+    assert len(held.passages(second).collect()) == 5
+
+
+def test_pairing_refuses_other_counts(spark):
+    chunks = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b")], "source_path string, place int, text string")
+    vectors = lambda *rows: spark.createDataFrame(rows, "source_path string, place int, embedding array<float>")
+    good = [("s", 1, [1.0]), ("s", 2, [2.0])]
+    assert {r["text"]: r["embedding"] for r in paired(chunks, vectors(*good), 1).collect()} == {"a": [1.0], "b": [2.0]}
+    for bad in (good[:1], [*good, ("s", 3, [1.0])], [*good, good[0]], [good[0], ("s", 2, [1.0, 2.0])], [good[0], ("s", 2, None)]):
+        with pytest.raises(Exception, match="embedding|dimensions"):
+            paired(chunks, vectors(*bad), 1).collect()
 
 
 def test_requests(spark):
