@@ -51,19 +51,23 @@ class LexicalIndex:
         return self.store.write(df.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order), name)
 
     def _schemas(self, postings: DataFrame, works: DataFrame) -> dict:
-        return {"postings": postings.drop("bucket").schema, "works": works.drop("bucket").schema}
+        return {"postings": postings.drop("bucket").schema, "indexed": works.drop("bucket").schema}
 
     def build(self, docs: DataFrame) -> Version:
         """Indexes docs (key, columns) anew, one row a key; nothing of before counts."""
         base = self.store.latest()
+        return self.store.commit(base, *self.built(base, docs))
+
+    def built(self, base: Version, docs: DataFrame) -> tuple[dict, dict, dict]:
+        """What a commit on base takes to index docs anew: changes, schemas and facts. The data is written."""
         segment = base.facts.get("segment", 0) + 1
         postings, works = self._analysed(docs, segment)
-        paths = {"postings": self._write(postings, "postings", "term", "key"), "works": self._write(works, "works", "key")}
+        paths = {"postings": self._write(postings, "postings", "term", "key"), "indexed": self._write(works, "indexed", "key")}
         changes = {name: {b: [] for b in base.tables.get(name, {})} | {b: [[segment, p]] for b, p in found.items()} for name, found in paths.items()}
         schemas = self._schemas(postings, works)
-        written = [f"{self.store.root}/{p}" for p in paths["works"].values()]
-        counts = (self.spark.read.schema(schemas["works"]).parquet(*written) if written else self.spark.createDataFrame([], schemas["works"])).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        return self.store.commit(base, changes, schemas, {"segment": segment, "merged": segment, "rows": counts[0], "tokens": counts[1]})
+        written = [f"{self.store.root}/{p}" for p in paths["indexed"].values()]
+        counts = (self.spark.read.schema(schemas["indexed"]).parquet(*written) if written else self.spark.createDataFrame([], schemas["indexed"])).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return changes, schemas, {"segment": segment, "merged": segment, "rows": counts[0], "tokens": counts[1]}
 
     def _latest(self, works: DataFrame) -> DataFrame:
         """(key, segment, length, touched) of each key's last segment; length is null where the work was deleted."""
@@ -72,16 +76,22 @@ class LexicalIndex:
 
     def upsert(self, docs: DataFrame) -> Version:
         """Puts docs (key, columns), one row a key, in the place of what the index has of their keys."""
-        return self._change(docs, None)
+        base = self._base()
+        return self.store.commit(base, *self.changed(base, docs, None))
 
     def delete(self, keys: DataFrame) -> Version:
         """Takes the works of keys (key) out; unknown keys change nothing."""
-        return self._change(None, keys)
+        base = self._base()
+        return self.store.commit(base, *self.changed(base, None, keys))
 
-    def _change(self, docs: DataFrame | None, keys: DataFrame | None) -> Version:
+    def _base(self) -> Version:
         base = self.store.latest()
-        if not base.number:
+        if "segment" not in base.facts:
             raise ValueError("the index is not built")
+        return base
+
+    def changed(self, base: Version, docs: DataFrame | None, keys: DataFrame | None) -> tuple[dict, dict, dict]:
+        """What a commit on base takes to put docs in or take keys out, so that other tables can change with it."""
         segment = base.facts["segment"] + 1
         if docs is not None:
             postings, works = self._analysed(docs, segment)
@@ -93,49 +103,47 @@ class LexicalIndex:
         works = durable(works)
         # only the buckets of these keys are read to know what they had
         of_keys = [r[0] for r in works.select("bucket").distinct().collect()]
-        before = self._latest(self.store.read(base, "works", of_keys)).join(works.select("key"), "key", "left_semi")
+        before = self._latest(self.store.read(base, "indexed", of_keys)).join(works.select("key"), "key", "left_semi")
         had = before.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
         has = works.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
         changes = {}
-        for name, found in (("postings", self._write(postings, "postings", "term", "key") if docs is not None else {}), ("works", self._write(works, "works", "key"))):
+        for name, found in (("postings", self._write(postings, "postings", "term", "key") if docs is not None else {}), ("indexed", self._write(works, "indexed", "key"))):
             changes[name] = {b: base.tables.get(name, {}).get(b, []) + [[segment, p]] for b, p in found.items()}
         release(works)
-        return self.store.commit(base, changes, {}, {"segment": segment, "rows": base.facts["rows"] - had[0] + has[0], "tokens": base.facts["tokens"] - had[1] + has[1]})
+        return changes, {}, {"segment": segment, "rows": base.facts["rows"] - had[0] + has[0], "tokens": base.facts["tokens"] - had[1] + has[1]}
 
     def merge(self) -> Version:
         """Makes one segment of what changed since the last merge: the buckets that hold several, or postings that no longer count."""
-        base = self.store.latest()
+        base = self._base()
         segment = base.facts["segment"]
-        changed = [int(b) for b, held in base.tables.get("works", {}).items() if any(s > base.facts["merged"] for s, _ in held)]
+        changed = [int(b) for b, held in base.tables.get("indexed", {}).items() if any(s > base.facts["merged"] for s, _ in held)]
         if not changed:
             return base
-        works = self.store.read(base, "works", changed)
+        works = self.store.read(base, "indexed", changed)
         latest = durable(self._latest(works))
         # what a replaced or deleted work once touched, and what changed works touch now
         stale = works.join(latest.select("key", F.col("segment").alias("_last")), "key").filter("segment < _last or segment > {}".format(base.facts["merged"]))
         touched = [r[0] for r in stale.select(F.explode("touched")).distinct().collect()]
         alive = self._alive(base, self.store.read(base, "postings", touched)).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         kept = latest.filter("length is not null").withColumn("bucket", bucket_of(F.col("key"), self.buckets))
-        paths = {"postings": self._write(alive, "postings", "term", "key"), "works": self._write(kept, "works", "key")}
+        paths = {"postings": self._write(alive, "postings", "term", "key"), "indexed": self._write(kept, "indexed", "key")}
         release(latest)
-        changes = {name: {str(b): [[segment, paths[name][str(b)]]] if str(b) in paths[name] else [] for b in old} for name, old in (("postings", touched), ("works", changed))}
+        changes = {name: {str(b): [[segment, paths[name][str(b)]]] if str(b) in paths[name] else [] for b in old} for name, old in (("postings", touched), ("indexed", changed))}
         return self.store.commit(base, changes, {}, {"merged": segment})
 
     # ---- what is read
 
     def _alive(self, version: Version, postings: DataFrame) -> DataFrame:
         """Those of the postings that the last segment of their work made."""
-        newer = self.store.read(version, "works", after=version.facts["merged"])
-        if not version.paths("works", after=version.facts["merged"]):
+        newer = self.store.read(version, "indexed", after=version.facts["merged"])
+        if not version.paths("indexed", after=version.facts["merged"]):
             return postings
         last = newer.groupBy("key").agg(F.max("segment").alias("_last"))
         return postings.join(last, "key", "left").filter("_last is null or segment = _last").drop("_last")
 
     def postings(self, terms: list[str]) -> DataFrame:
         """(term, key, segment, length, places) of the terms that count, out of the terms' buckets alone."""
-        version = self.store.latest()
-        if not version.number:
-            raise ValueError("the index is not built")
+        version = self._base()
         wanted = sorted(set(terms))
         buckets = {r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "t string").select(bucket_of(F.col("t"), self.buckets)).collect()} if wanted else set()
         return self._alive(version, self.store.read(version, "postings", buckets).filter(F.col("term").isin(*wanted) if wanted else F.lit(False)))
@@ -162,7 +170,7 @@ class LexicalIndex:
     def bm25(self, query: str) -> DataFrame:
         """(key, score) of the works that hold every phrase of the query, as ``lexical.bm25`` scores them."""
         phrases = parse_query(self.spark, query)
-        version = self.store.latest()
+        version = self._base()
         counted = self.matches(phrases)
         if not phrases:
             return counted.select(F.col("key").alias(self.key), F.lit(0.0).alias("score")).limit(0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import identifiers, math, pages, text
-from ..operators import catalogue, duplicates, edits, export, formula, incremental, layout, lexical, quality, vectors
+from ..operators import catalogue, duplicates, edits, export, formula, importing, incremental, layout, lexical, quality, vectors
 from ..operators.lexical_index import LexicalIndex
 from ..operators.vector_index import PassageIndex
 from ..sources import fixtures, library
@@ -851,6 +851,32 @@ def lexical_index_search(spark, sf_dir):
     return before.unionByName(index.bm25('reth "that"').withColumn("merged", F.lit(True))).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH w AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, ['Ada Quill' || doc_id % 17] AS authors, 2000 + doc_id % 25 AS year FROM documents WHERE n_chars >= 200),
+i AS (SELECT 'a' AS run, * FROM w WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'b', * FROM w),
+t AS (SELECT *, {_NORM.replace('{c}', 'title')} AS norm, {_WORK_KEY} AS base FROM i), n AS (SELECT *, row_number() OVER (PARTITION BY norm, CASE WHEN norm IS NULL THEN doc_id END ORDER BY run, doc_id) AS nth FROM t),
+k AS (SELECT run, doc_id, base || CASE WHEN row_number() OVER (PARTITION BY base ORDER BY run, doc_id) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY base ORDER BY run, doc_id) END AS key FROM n WHERE nth = 1),
+a AS (SELECT 'a' AS run, doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'b', doc_id, n_chars FROM documents)
+SELECT a.run, a.doc_id AS pos, CASE WHEN k.key IS NOT NULL THEN 'added' WHEN n_chars >= 200 THEN 'skipped' ELSE 'failed' END AS status, k.key FROM a LEFT JOIN k USING (run, doc_id)""")
+def import_runs(spark, sf_dir):
+    """Two runs: labelled documents, then all, as DOIs, addresses of DOIs and PubMed ids; short ones have no answer. The first run again changes nothing."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    doi_, pm = F.concat(F.lit("10.5555/w."), "doc_id"), (10_000_000 + F.col("doc_id")).cast("string")
+    as_pubmed = F.col("lang") == "es"
+    given = F.when(as_pubmed, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pm, F.lit("/"))).when(F.col("lang") == "fr", F.concat(F.lit("https://doi.org/"), doi_)).otherwise(doi_)
+    inputs = docs.select(F.col("doc_id").alias("pos"), given.alias("input"))
+    item = F.to_json(F.struct(
+        F.split("text", "\n")[0].alias("title"), doi_.alias("DOI"), F.array(F.struct(F.concat(F.lit("Quill"), F.col("doc_id") % 17).alias("family"), F.lit("Ada").alias("given"))).alias("author"),
+        F.struct(F.array(F.array(2000 + F.col("doc_id") % 25)).alias("date-parts")).alias("issued"),
+    ))
+    answers = docs.filter("n_chars >= 200").select(F.when(as_pubmed, "pubmed").otherwise("crossref").alias("service"), F.when(as_pubmed, pm).otherwise(doi_).alias("id"), item.alias("body"))
+    pdfs = spark.createDataFrame([], importing.PDF)
+    library = importing.Library(spark, _scratch(spark, "library"), buckets=8)
+    labelled = inputs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos")), "pos", "left_semi")
+    library.add("a", labelled, answers, pdfs)
+    second = library.add("b", inputs, answers, pdfs)
+    return second.unionByName(library.add("a", inputs, answers, pdfs)).select("run", "pos", "status", F.get("keys", F.lit(0)).alias("key"))
+
+
 @query()
 def passage_fold(spark, sf_dir):
     folded = layout.fold_passages(layout.paragraph_blocks(spread(table(spark, sf_dir, "documents")), "doc_id", "text"))

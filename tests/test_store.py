@@ -78,7 +78,7 @@ def test_lexical_index_follows_its_works(spark, tmp_path):
     with pytest.raises(ValueError, match="not built"):
         index.bm25("x")
     built = index.build(docs)
-    assert (built.facts["rows"], built.facts["tokens"]) == (6, index.store.read(built, "works").agg(F.sum("length")).first()[0])
+    assert (built.facts["rows"], built.facts["tokens"]) == (6, index.store.read(built, "indexed").agg(F.sum("length")).first()[0])
     same_as_plain(index, docs, QUERIES)
     now = {r[0]: r for r in DOCS}
     for changed, gone in (([("b", "the cat", "x y")], []), ([("g", "art of the", "new"), ("b", "b again", "of the")], []), ([], ["c", "unknown"]), ([("c", "back", "the")], []), ([], ["a", "b"])):
