@@ -38,10 +38,11 @@ def follow_sources(
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def responses(requests: DataFrame) -> DataFrame:
-    """(request, ok, action, kind, id, error) of request frames (value string); a bad frame is answered, not fatal."""
+def responses(requests: DataFrame, *, keep: str | None = None) -> DataFrame:
+    """(request, ok, action, kind, id, error) of request frames (value string), and a column to keep; a bad frame is answered, not fatal."""
+    kept = [keep] if keep else []
     parsed = F.from_json("value", "action string, input string", {"mode": "PERMISSIVE"})
-    r = requests.select(F.col("value").alias("request"), parsed.alias("r"), F.octet_length("value").alias("n"))
+    r = requests.select(*kept, F.col("value").alias("request"), parsed.alias("r"), F.octet_length("value").alias("n"))
     target = classify_input(F.col("r.input"))
     error = (
         F.when(F.col("n") > REQUEST_BYTES, "the request is too long")
@@ -50,7 +51,7 @@ def responses(requests: DataFrame) -> DataFrame:
         .when((F.col("r.action") == "add") & (target["kind"] == "unknown"), "not an input that can be added")
     )
     add = F.col("r.action") == "add"
-    return r.select("request", error.isNull().alias("ok"), F.col("r.action").alias("action"), F.when(add, target["kind"]).alias("kind"), F.when(add, target["id"]).alias("id"), error.alias("error"))
+    return r.select(*kept, "request", error.isNull().alias("ok"), F.col("r.action").alias("action"), F.when(add, target["kind"]).alias("kind"), F.when(add, target["id"]).alias("id"), error.alias("error"))
 
 
 def unframe(data: bytes) -> list[str]:
