@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .arrowtools import bound_arrow_batches, map_arrow, texts_of
 
 #: Text of a block, and units that a worker remembers, of so many characters at most.
 BLOCK_CHARS, REMEMBERED, REMEMBERED_CHARS = 4 << 20, 300_000, 48
+#: Units that are tokenized as one text.
+TOGETHER = 128
 #: A group of more links than this is counted by distinct ids instead of link by link.
 WIDE = 4096
 #: A blank between two characters that are no white space: there both tokenizers begin a token.
@@ -69,6 +72,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        #: Ids as text behind their marks: a group's first A token, further tokens, a group's first B token.
+        self.marks = max(len(self.bytes_a), len(self.bytes_b))
+        self.told = [mark + str(i) for mark in ";,|" for i in range(self.marks)]
         #: Whether texts may be divided at breaks: no piece goes on behind a blank inside it.
         self.divides = not any("▁" in p.lstrip("▁") for p in pieces)
         self.known: dict[str, tuple | None] = {}
@@ -101,40 +107,58 @@ class Aligner:
         return found
 
     def _align(self, units: list[str]) -> list[tuple | None]:
-        ids_a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        ids_b = self.b.encode(units, num_threads=1)
-        good = []
-        for i, (u, x, y) in enumerate(zip(units, ids_a, ids_b, strict=True)):
-            raw = (" " + u).encode()
-            if b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw:
-                good.append(i)
+        """The entry of each unit. Units without white space at their ends are tokenized many at once, a blank between them: a break."""
         out: list[tuple | None] = [None] * len(units)
+        plain = [i for i, u in enumerate(units) if self.divides and u and not u[0].isspace() and not u[-1].isspace()]
+        single = sorted(set(range(len(units))) - set(plain)) if len(plain) < len(units) else []
+        again = self._align_runs(units, [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)], out)
+        self._align_runs(units, [[i] for i in single + [i for run in again for i in run]], out)
+        return out
+
+    def _align_runs(self, units: list[str], runs: list[list[int]], out: list[tuple | None]) -> list[list[int]]:
+        """Sets the entries of runs of units; returns the runs in which some unit's joined tokens are not its text."""
+        if not runs:
+            return []
+        texts = [" ".join([units[i] for i in run]) for run in runs]
+        ids_a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1)
+        bad, good = [], []
+        for k, (t, x, y) in enumerate(zip(texts, ids_a, ids_b, strict=True)):
+            raw = (" " + t).encode()
+            same = b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw
+            (good if same else bad).append(k)
         if not good:
-            return out
-        kept_a, kept_b = [ids_a[i] for i in good], [ids_b[i] for i in good]
-        n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(good)) for x in (kept_a, kept_b))
-        a, b = (np.fromiter((i for ids in x for i in ids), dtype=np.int64, count=int(n.sum())) for x, n in ((kept_a, n_a), (kept_b, n_b)))
+            return [runs[k] for k in bad]
+        at = [i for k in good for i in runs[k]]
+        flat = lambda ids: np.fromiter(chain.from_iterable([ids[k] for k in good]), dtype=np.int64)
+        a, b = flat(ids_a), flat(ids_b)
+        unit_ends = np.cumsum(np.fromiter((len(units[i].encode()) + 1 for i in at), dtype=np.int64, count=len(at)))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        of_group = np.searchsorted(unit_ends, ends)
+        if not np.isin(unit_ends, ends, assume_unique=True).all():
+            raise ValueError("a token goes over a break")
         group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
         in_a, in_b = np.bincount(group_a, minlength=ends.size), np.bincount(group_b, minlength=ends.size)
         links = in_a * in_b
-        owner = np.repeat(np.arange(len(good)), n_a)  # of each A token
-        of_group = owner[np.cumsum(in_a) - 1]
+        owner = of_group[group_a]  # of each A token
         unit, pair, times = self._pairs(a, b, group_a, in_a, in_b, links, owner, of_group)
-        n_groups = np.bincount(of_group, minlength=len(good))
-        n_links = np.zeros(len(good), dtype=np.int64)
-        np.add.at(n_links, of_group, links)
-        told_a, told_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut_a, cut_b = [0, *np.cumsum(in_a).tolist()], [0, *np.cumsum(in_b).tolist()]
-        told = [",".join(told_a[cut_a[g] : cut_a[g + 1]]) + "|" + ",".join(told_b[cut_b[g] : cut_b[g + 1]]) for g in range(ends.size)]
-        cut = [0, *np.cumsum(n_groups).tolist()]
-        at = np.searchsorted(unit, np.arange(len(good) + 1)).tolist()
+        count = lambda weights: np.bincount(of_group, weights, len(at)).astype(np.int64)
+        n_a, n_b, n_groups = count(in_a), count(in_b), count(None)
+        n_links = np.add.reduceat(links, np.cumsum(n_groups) - n_groups)
+        # the text of the groups: each token behind its mark, in the order of groups, A's before B's
+        starts = lambda group: np.r_[True, group[1:] != group[:-1]]
+        codes = np.empty(a.size + b.size, dtype=np.int64)
+        codes[np.arange(a.size) + (np.cumsum(in_b) - in_b)[group_a]] = a + np.where(starts(group_a), 0, self.marks)
+        codes[np.arange(b.size) + np.cumsum(in_a)[group_b]] = b + np.where(starts(group_b), 2 * self.marks, self.marks)
+        told = list(map(self.told.__getitem__, codes.tolist()))
+        cut = [0, *np.cumsum(n_a + n_b).tolist()]
+        where = np.searchsorted(unit, np.arange(len(at) + 1)).tolist()
         raw_pair, raw_times = pair.tobytes(), times.tobytes()
-        for k, (i, x, y, g, n) in enumerate(zip(good, n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True)):
-            lo, hi = 8 * at[k], 8 * at[k + 1]
-            out[i] = (x, y, g, n, ";".join(told[cut[k] : cut[k + 1]]), raw_pair[lo:hi], raw_times[lo:hi])
-        return out
+        for k, (i, x, y, g, n) in enumerate(zip(at, n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True)):
+            lo, hi = 8 * where[k], 8 * where[k + 1]
+            out[i] = (x, y, g, n, "".join(told[cut[k] : cut[k + 1]]), raw_pair[lo:hi], raw_times[lo:hi])
+        return [runs[k] for k in bad]
 
     @staticmethod
     def _pairs(a, b, group_a, in_a, in_b, links, owner, of_group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +194,8 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 def _block(al: Aligner, texts: list[str]) -> tuple[dict[str, list], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Columns of a block's documents, and its links as (pair, place of the document, links), sorted."""
     split = [al.units(t) if t else [] for t in texts]
-    entries = al.entries(set().union(*split))
+    distinct = set(chain.from_iterable(split))
+    entries = al.entries(distinct)
     if any(e is None for e in entries.values()):
         # what is not its own text in parts is judged as a whole
         for i, t in enumerate(texts):
@@ -178,20 +203,21 @@ def _block(al: Aligner, texts: list[str]) -> tuple[dict[str, list], list[tuple[n
                 whole = al._align([t])[0]
                 split[i] = [] if whole is None else [t]
                 entries[t] = whole
-    used = {u: k for k, u in enumerate(set().union(*split))}
+        distinct = set(chain.from_iterable(split))
+    used = {u: k for k, u in enumerate(distinct)}
     rows = [entries[u] for u in used]
     numbers = np.array([e[:4] for e in rows], dtype=np.int64).reshape(-1, 4)
     told = [e[4] for e in rows]
     counts = np.array([len(u) for u in split], dtype=np.int64)
-    unit = np.fromiter((used[u] for us in split for u in us), dtype=np.int64, count=int(counts.sum()))
+    place = list(map(used.__getitem__, chain.from_iterable(split)))
+    unit = np.array(place, dtype=np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
-    sums = [np.zeros(len(texts), dtype=np.int64) for _ in range(4)]
-    for k, out in enumerate(sums):
-        np.add.at(out, owner, numbers[unit, k])
+    before = np.r_[np.zeros((1, 4), np.int64), np.cumsum(numbers[unit], axis=0)]
+    ends = np.cumsum(counts)
+    sums = (before[ends] - before[ends - counts]).T
     columns = dict(zip(("n_a", "n_b", "n_groups", "n_links"), (x.tolist() for x in sums), strict=True))
-    cuts = [0, *np.cumsum(counts).tolist()]
-    place = unit.tolist()
-    columns["groups_sha256"] = [hashlib.sha256(";".join([told[k] for k in place[lo:hi]]).encode()).hexdigest() if lo < hi else "" for lo, hi in zip(cuts, cuts[1:])]
+    cuts = [0, *ends.tolist()]
+    columns["groups_sha256"] = [hashlib.sha256("".join([told[k] for k in place[lo:hi]])[1:].encode()).hexdigest() if lo < hi else "" for lo, hi in zip(cuts, cuts[1:])]
     pairs = np.frombuffer(b"".join(e[5] for e in rows), dtype=np.int64)
     times = np.frombuffer(b"".join(e[6] for e in rows), dtype=np.int64)
     n = np.array([len(e[5]) // 8 for e in rows], dtype=np.int64)
@@ -200,7 +226,7 @@ def _block(al: Aligner, texts: list[str]) -> tuple[dict[str, list], list[tuple[n
     take = np.arange(int(each.sum())) + np.repeat(begin - (np.cumsum(each) - each), each)
     listed, code = np.unique(pairs, return_inverse=True)
     key = code[take] * len(texts) + np.repeat(owner, each)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, weight = key[order], times[take][order]
     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if key.size else np.empty(0, np.int64)
     at = key[head]
