@@ -31,7 +31,7 @@ from ..plans.durable import durable
 from .arrowtools import bound_arrow_batches, map_arrow, texts_of
 
 #: Text of a block, and units that a worker remembers, of so many characters at most.
-BLOCK_CHARS, REMEMBERED, REMEMBERED_CHARS = 4 << 20, 300_000, 48
+BLOCK_CHARS, REMEMBERED, REMEMBERED_CHARS = 2 << 20, 150_000, 48
 #: Units that are tokenized as one text.
 TOGETHER = 128
 #: A group of more links than this is counted by distinct ids instead of link by link.
