@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import sort_surname
+from .fuzzy import fuzzy_score
 
 #: Works a page of results shows unless told otherwise (fixed value).
 PAGE = 100
@@ -41,23 +42,8 @@ def with_tag(works: DataFrame, tag: str) -> DataFrame:
     return works.filter(F.array_contains("tags", tag))
 
 
-def fuzzy_score(query: str, c: Column) -> Column:
-    """How well the query's characters, in order, fit a string: null where they don't.
-
-    Own scale: 100, less what stands between first and last matched character
-    beyond the query's length, less a tenth of what stands before.
-    """
-    letters = [x for x in query.lower() if not x.isspace()]
-    if not letters:
-        return F.lit(0.0)
-    escaped = [x if x.isalnum() else "\\" + x for x in letters]
-    low = F.lower(c)
-    span = F.regexp_extract(low, "(?s)(" + ".*?".join(escaped) + ")", 1)
-    return F.when(span != "", 100.0 - (F.length(span) - len(letters)) - (F.instr(low, span) - 1) / 10.0)
-
-
 def fuzzy_filter(works: DataFrame, query: str, shown: Column) -> DataFrame:
-    """Works whose shown line matches, best first."""
+    """Works whose shown line matches, best first, ties by key."""
     return works.withColumn("score", fuzzy_score(query, shown)).filter("score is not null").orderBy(F.desc("score"), "key")
 
 
