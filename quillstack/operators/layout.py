@@ -2,7 +2,7 @@
 
 The tree of a document is walked in Python, per document, since it is a matter
 of following references; folding blocks into passages works on any table of
-blocks, in order, one document at a time.
+blocks, as a scan of sorted runs.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.math import normalise_math
 from ..functions.text import trim_space
+from ..plans.durable import durable, release
+from ..sources.store import Store, bucket_of
 
 #: Characters a passage aims at, and what joining a block is reckoned at (fixed values).
 PASSAGE_CHARS, JOIN_CHARS = 1800, 8
@@ -96,62 +99,134 @@ def rendered(label: str, text: str) -> str:
     return shapes.get(label, "{}").replace("{}", text)
 
 
-def fold_blocks(blocks: list[tuple[str, str, int | None, int | None]], most: int = PASSAGE_CHARS) -> list[tuple[str, list[str], list[int], list[str]]]:
-    """(text, headings, pages, labels) of the passages that the blocks make.
+class Fold:
+    """Blocks of one document after another in, passages (text, headings, pages, labels) out; holds one passage and the headings above it.
 
     A section header ends a passage and takes the place of the headings from its
     level on.  A block that would take a passage over ``most`` starts the next
     one; a formula never does.
     """
-    out, path = [], []
-    parts, pages, labels, size = [], set(), set(), 0
 
-    def close() -> None:
-        nonlocal parts, pages, labels, size
-        text = "\n\n".join(parts).strip()
+    def __init__(self, most: int = PASSAGE_CHARS):
+        self.most = most
+        self.path: list[str] = []
+        self._begin()
+
+    def _begin(self) -> None:
+        self.parts, self.pages, self.labels, self.size = [], set(), set(), 0
+
+    def close(self) -> Iterator[tuple[str, list[str], list[int], list[str]]]:
+        """The passage so far, if it has text."""
+        text = "\n\n".join(self.parts).strip()
         if text:
-            out.append((text, list(path), sorted(pages), sorted(labels)))
-        parts, pages, labels, size = [], set(), set(), 0
+            yield text, list(self.path), sorted(self.pages), sorted(self.labels)
+        self._begin()
 
-    for label, text, page, level in blocks:
+    def add(self, label: str, text: str, page: int | None, level: int | None) -> Iterator[tuple[str, list[str], list[int], list[str]]]:
         if label == "section_header":
-            close()
-            path = [*path[: max(level or 1, 1) - 1], text]
-            continue
-        if parts and label != "formula" and size + len(text) + JOIN_CHARS > most:
-            close()
+            yield from self.close()
+            self.path = [*self.path[: max(level or 1, 1) - 1], text]
+            return
+        if self.parts and label != "formula" and self.size + len(text) + JOIN_CHARS > self.most:
+            yield from self.close()
         shown = rendered(label, text)
-        size += len(shown) + 2 * bool(parts)
-        parts.append(shown)
-        labels.add(label)
+        self.size += len(shown) + 2 * bool(self.parts)
+        self.parts.append(shown)
+        self.labels.add(label)
         if page is not None:
-            pages.add(page)
-    close()
-    return out
+            self.pages.add(page)
+
+
+def fold_blocks(blocks: list[tuple[str, str, int | None, int | None]], most: int = PASSAGE_CHARS) -> list[tuple[str, list[str], list[int], list[str]]]:
+    """(text, headings, pages, labels) of the passages that one document's blocks make."""
+    fold = Fold(most)
+    return [*(p for b in blocks for p in fold.add(*b)), *fold.close()]
 
 
 def fold_passages(blocks: DataFrame, most: int = PASSAGE_CHARS) -> DataFrame:
-    """Passages of tables of blocks: one document at a time, which is what its headings depend on."""
+    """Passages of tables of blocks: one sort by document and place, then a scan of the sorted runs.
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        rows = [(x.label, x.text, None if pd.isna(x.page) else int(x.page), None if pd.isna(x.level) else int(x.level)) for x in frame.itertuples()]
-        return pd.DataFrame([(key[0], i, *p) for i, p in enumerate(fold_blocks(rows, most))], columns=["doc", "chunk_index", "text", "headings", "page_numbers", "labels"])
+    A task holds one passage and its headings between batches, however long a
+    document is; documents are not gathered.  A document's headings depend on all
+    blocks before, so it is not divided among tasks.
+    """
 
-    kept = blocks.filter(~F.col("label").isin("furniture", "error"))
-    return kept.groupBy("doc").applyInPandas(run, PASSAGES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, fold, n = None, None, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for name, *block in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if fold is None or name != doc:
+                    if fold is not None:
+                        out += [(doc, n, *p) for p in fold.close()]
+                    doc, fold, n = name, Fold(most), 0
+                for p in fold.add(*block):
+                    out.append((doc, n, *p))
+                    n += 1
+            if out:
+                yield _passage_rows(out)
+        if fold is not None:
+            yield _passage_rows([(doc, n, *p) for p in fold.close()])
+
+    kept = blocks.filter(~F.col("label").isin("furniture", "error")).select("doc", "ord", "label", "text", "page", "level")
+    dealt = kept.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc").sortWithinPartitions("doc", "ord")
+    return dealt.select("doc", "label", "text", "page", "level").mapInArrow(run, PASSAGES)
+
+
+def _passage_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc": pa.string(), "chunk_index": pa.int32(), "text": pa.string(), "headings": pa.list_(pa.string()), "page_numbers": pa.list_(pa.int64()), "labels": pa.list_(pa.string())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
 def import_report(blocks: DataFrame, passages: DataFrame) -> DataFrame:
-    """Per document: passages, body_blocks, formulas, pages, skipped_furniture."""
+    """Per document: passages, body_blocks, formulas, pages that its passages stand on, skipped_furniture, and what is wrong with it."""
     body = ~F.col("label").isin("furniture", "error", "section_header")
     counts = blocks.groupBy("doc").agg(
         F.count_if(body).alias("body_blocks"),
         F.count_if(F.col("label") == "formula").alias("formulas"),
-        F.countDistinct(F.when(F.col("label") != "furniture", F.col("page"))).alias("pages"),
         F.count_if(F.col("label") == "furniture").alias("skipped_furniture"),
+        F.min(F.when(F.col("label") == "error", F.col("text"))).alias("error"),
     )
-    return counts.join(passages.groupBy("doc").agg(F.count("*").alias("passages")), "doc", "left").na.fill(0, ["passages"])
+    folded = passages.select("doc", "chunk_index", F.explode_outer("page_numbers").alias("page")).groupBy("doc").agg(F.countDistinct("chunk_index").alias("passages"), F.countDistinct("page").alias("pages"))
+    report = counts.join(folded, "doc", "left").na.fill(0, ["passages", "pages"])
+    return report.withColumn("error", F.coalesce("error", F.when(F.col("passages") == 0, "the document has no body text to index")))
+
+
+class Layouts:
+    """Imported layout documents and their passages, in one store below a folder."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.buckets, self.store = spark, buckets, Store(spark, root)
+
+    def read(self, name: str) -> DataFrame:
+        """``documents`` (doc, content) or ``passages`` as ``fold_passages`` gives them."""
+        version = self.store.latest()
+        return self.store.read(version, name) if name in version.schemas else self.spark.createDataFrame([], {"documents": "doc string, content string", "passages": PASSAGES}[name])
+
+    def add(self, documents: DataFrame, most: int = PASSAGE_CHARS) -> DataFrame:
+        """Puts documents (doc, content) and their passages in the place of what is held of them, in one commit, and returns the report.
+
+        One that can't be read or has no text is reported and not put in; what is
+        held of it stays.  Of several rows of a document the least counts.
+        """
+        base = self.store.latest()
+        documents = durable(documents.groupBy("doc").agg(F.min("content").alias("content")))
+        blocks = durable(layout_blocks(documents))
+        passages = durable(fold_passages(blocks, most))
+        report = durable(import_report(blocks, passages))
+        good = report.filter("error is null").select("doc")
+        bucket = bucket_of(F.col("doc"), self.buckets)
+        touched = [r[0] for r in good.select(bucket).distinct().collect()]
+        changes, schemas = {}, {}
+        for name, fresh in (("documents", documents), ("passages", passages)):
+            schemas[name] = fresh.schema
+            old = self.store.read(base, name, touched) if name in base.schemas else fresh.limit(0)
+            rows = old.join(good, "doc", "left_anti").unionByName(fresh.join(good, "doc", "left_semi"))
+            paths = self.store.write(rows.withColumn("bucket", bucket).hint("rebalance", "bucket"), name)
+            changes[name] = {b: [[base.number + 1, p]] for b, p in paths.items()}
+        self.store.commit(base, changes, schemas, {})
+        release(documents, blocks, passages)
+        return report
 
 
 def paragraph_blocks(documents: DataFrame, doc: str, text: str) -> DataFrame:

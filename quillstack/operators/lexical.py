@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import fold_marks, words
+from ..functions.text import LOOSE_MARKS, fold_marks
 
 #: BM25's constants and the least inverse document frequency (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -16,6 +16,8 @@ COLUMNS = ("title", "authors", "abstract", "tags", "fulltext")
 #: Words a snippet shows at most, and its marks (fixed values).
 SNIPPET_WORDS, MARK_OPEN, MARK_CLOSE, ELLIPSIS = 20, "{{", "}}", "..."
 NO_WORD = r"[^\p{L}\p{N}\p{Co}]+"
+#: A token as it stands in a text, with the loose marks that it loses.
+_WORD = rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{LOOSE_MARKS}]*"
 
 
 def tokens(c: Column) -> Column:
@@ -111,34 +113,97 @@ def score_matches(counted: DataFrame, corpus: DataFrame, n: int, key: str) -> Da
     return hits.select(key, (-sum((part(j) for j in range(n)), F.lit(0.0))).alias("score"))
 
 
-@F.pandas_udf(T.StringType())
-def _window_snippet(listed: pd.Series, hit: pd.Series) -> pd.Series:
-    """The window of words with the most hits, from the first such. (pandas: a window slides over each title.)"""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _instances(folded: Column, phrases: list[list[str]]) -> Column:
+    """Where phrases stand among tokens: structs (at, phrase, last), by place and phrase."""
+    found = F.array().cast("array<struct<at:int,phrase:int,last:int>>")
+    for i, p in enumerate(phrases):
+        found = F.concat(found, _of_phrase(folded, i, p))
+    return F.array_sort(found)
+
+
+def _of_phrase(folded: Column, i: int, phrase: list[str]) -> Column:
+    size, same = len(phrase), F.array(*map(F.lit, phrase))
+    at = F.filter(F.transform(folded, lambda t, k: k), lambda k: F.slice(folded, k + 1, size) == same)
+    return F.transform(at, lambda k: F.struct(k.alias("at"), F.lit(i).alias("phrase"), (k + (size - 1)).alias("last")))
+
+
+def _window(instances: Column, at: Column, n: Column) -> Column:
+    """(score, start) of the window at a place: each phrase in it counts 1000, each further instance 1; start puts what it holds in the middle."""
+
+    def scored(inside: Column) -> Column:
+        phrases = F.size(F.array_distinct(F.transform(inside, lambda x: x["phrase"])))
+        first, last = F.get(inside, F.lit(0))["at"], F.try_element_at(inside, F.lit(-1))["last"] + 1
+        # half of what is left over, towards zero
+        rest = F.lit(SNIPPET_WORDS) - (last - first)
+        half = F.when(rest >= 0, F.floor(rest / 2)).otherwise(F.ceil(rest / 2)).cast("int")
+        start = F.greatest(F.least(first - half, n - SNIPPET_WORDS), F.lit(0))
+        return F.struct((phrases * 1000 + F.size(inside) - phrases).alias("score"), start.alias("start"))
+
+    return _let(F.filter(instances, lambda x: (x["at"] >= at) & (x["at"] < at + SNIPPET_WORDS)), scored)
+
+
+def _best_start(instances: Column, between: Column, n: Column) -> Column:
+    """The first token shown: of the windows around each instance and at the sentence before it the first of the highest score."""
+    sentences = F.filter(F.transform(between, lambda s, i: F.when((i == 0) | F.rlike(s, F.lit("[.:][ \\t\\n\\r]+$")), i)), lambda i: i.isNotNull() & (i < n))
 
-    def one(ws, hs) -> str:
-        ws, hs = list(ws), list(hs)
-        first = 0
-        if len(ws) > SNIPPET_WORDS:
-            scores = [sum(hs[i : i + SNIPPET_WORDS]) for i in range(len(ws) - SNIPPET_WORDS + 1)]
-            first = scores.index(max(scores))
-        shown = [f"{MARK_OPEN}{w}{MARK_CLOSE}" if h else w for w, h in zip(ws[first : first + SNIPPET_WORDS], hs[first : first + SNIPPET_WORDS], strict=True)]
-        return (ELLIPSIS if first else "") + " ".join(shown) + (ELLIPSIS if first + SNIPPET_WORDS < len(ws) else "")
+    def windows(x: Column, k: Column, sentences: Column) -> Column:
+        before = F.array_max(F.filter(sentences, lambda i: i <= x["at"]))
+        own = _let(_window(instances, x["at"], n), lambda w: F.struct(w["score"].alias("score"), (-2 * k).alias("order"), w["start"].alias("start")))
+        extra = F.when(before == 0, 120).otherwise(100)
+        led = _let(_window(instances, before, n), lambda w: F.struct((w["score"] + extra).alias("score"), (-2 * k - 1).alias("order"), before.alias("start")))
+        return F.array(own, F.when((n > SNIPPET_WORDS) & (before < x["at"]), led))
 
-    return pd.Series([None if w is None else one(w, h) for w, h in zip(listed, hit, strict=True)])
+    best = _let(sentences, lambda ss: F.array_max(F.array_compact(F.flatten(F.transform(instances, lambda x, k: windows(x, k, ss))))))
+    return F.coalesce(best["start"], F.lit(0))
+
+
+def _runs(instances: Column) -> Column:
+    """Instances that overlap as one: structs (at, last)."""
+
+    def merge(runs: Column, x: Column) -> Column:
+        end = F.try_element_at(runs, F.lit(-1))
+        fresh = F.struct(x["at"].alias("at"), x["last"].alias("last"))
+        joined = F.struct(end["at"].alias("at"), F.greatest(end["last"], x["last"]).alias("last"))
+        return F.when(F.coalesce(x["at"] <= end["last"], F.lit(False)), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(fresh)))
+
+    return F.aggregate(instances, F.array().cast("array<struct<at:int,last:int>>"), merge)
 
 
 def snippet(title: Column, phrases: list[list[str]]) -> Column:
-    """The title with the query's words marked, cut to a window of 20 words; punctuation around a word stays outside the marks."""
-    terms = sorted({t for p in phrases for t in p})
-    listed = words(title)
-    hit = F.transform(listed, lambda w: F.exists(tokens(w), lambda t: t.isin(*terms)) if terms else F.lit(False))
-    return _window_snippet(listed, hit)
+    """The title with what the phrases match marked, cut to 20 words around most of it; overlapping matches are marked as one.
+
+    The window is the one that the standard full-text extension chooses: it holds as
+    many phrases as any, starts at a sentence where that holds no fewer, and has its
+    matches in the middle elsewhere.  Null stays null.
+    """
+
+    def shown(t: Column, folded: Column, instances: Column) -> Column:
+        n, words_, between = F.size(folded), t["words"], t["between"]
+
+        def cut(start: Column) -> Column:
+            end = F.least(start + (SNIPPET_WORDS - 1), n - 1)
+            runs = F.filter(_runs(instances), lambda r: (r["at"] >= start) & (r["at"] <= end))
+            opens, closes = F.transform(runs, lambda r: r["at"]), F.transform(runs, lambda r: F.least(r["last"], end))
+
+            def word(i: Column, marks: Column) -> Column:
+                led = F.when((i == start) & (start > 0), "").otherwise(F.get(between, i))
+                mark = lambda of, text: F.when(F.array_contains(of, i), text).otherwise("")
+                return F.concat(led, mark(marks["opens"], MARK_OPEN), F.get(words_, i), mark(marks["closes"], MARK_CLOSE))
+
+            body = _let(F.struct(opens.alias("opens"), closes.alias("closes")), lambda m: F.array_join(F.transform(F.sequence(start, end), lambda i: word(i, m)), ""))
+            rest = F.when(start + (SNIPPET_WORDS - 1) >= n - 1, F.get(between, n)).otherwise(ELLIPSIS)
+            return F.concat(F.when(start > 0, ELLIPSIS).otherwise(""), body, rest)
 
+        return F.when(n == 0, title).otherwise(_let(_best_start(instances, between, n), cut))
 
-def short_snippet(title: Column, phrases: list[list[str]]) -> Column:
-    """A title of up to 20 words with the query's words marked, in the JVM alone."""
-    terms = sorted({t for p in phrases for t in p})
-    return F.regexp_replace(title, rf"(?iU)\b({'|'.join(terms)})\b", r"\{\{$1\}\}") if terms else title
+    parts = F.struct(F.regexp_extract_all(title, F.lit(_WORD), F.lit(0)).alias("words"), F.split(title, _WORD, -1).alias("between"))
+    made = _let(parts, lambda t: _let(F.transform(t["words"], fold_marks), lambda f: _let(_instances(f, phrases), lambda x: shown(t, f, x))))
+    return F.when(title.isNotNull(), made)
 
 
 def search(works: DataFrame, query: str, limit: int | None = None, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

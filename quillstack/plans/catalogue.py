@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import identifiers, math, pages, text
-from ..operators import catalogue, duplicates, edits, export, formula, importing, incremental, layout, lexical, quality, vectors
+from ..operators import catalogue, duplicates, edits, export, fallback, formula, importing, incremental, layout, lexical, quality, vectors
 from ..operators.lexical_index import LexicalIndex
+from ..operators.ranking import Ranking
 from ..operators.vector_index import PassageIndex
 from ..sources import fixtures, library
 from ..sources.fixtures import LISTING_SQL, WORKS_SQL, spread, table
@@ -38,6 +39,10 @@ def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return register
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/quillstack-{name}-{uuid.uuid4().hex}"
+
+
 # ---- vectors
 
 _SIM = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 0),
@@ -95,6 +100,31 @@ def vector_page_summary(spark, sf_dir):
     return vectors.page_summary(scored_embeddings(spark, sf_dir), 4, 3).select("total", "total_passages", F.col("returned").cast("long"), F.col("next_offset").cast("long"))
 
 
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id)::INT AS rank FROM s)
+SELECT rank, vec_id AS id, label AS work, round(sim, 6) AS similarity, false AS drilled FROM r WHERE rank BETWEEN 101 AND 150 UNION ALL
+SELECT row_number() OVER (ORDER BY rank)::INT, vec_id, label, round(sim, 6), true FROM r WHERE label = (SELECT label FROM r WHERE rank = 1)""")
+def ranking_pages(spark, sf_dir):
+    """The third page of a kept ranking, by cursors, and all passages of its first work, page by page."""
+    ranking = Ranking(spark, _scratch(spark, "ranking"), ranges=16)
+    ranking.write(scored_embeddings(spark, sf_dir))
+    after = None
+    for _ in range(3):
+        page, numbers = ranking.page("passages", after, 50)
+        after = numbers["next"]
+    first = ranking.page("works", None, 1)[0].first()["work"]
+    drilled, after, at = [], None, 0
+    while True:
+        part, numbers = ranking.of_work(first, after, 1000)
+        drilled.append(part.select((F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) + at).alias("rank"), "id", "work", "similarity", F.lit(True).alias("drilled")))
+        after, at = numbers["next"], at + numbers["returned"]
+        if after is None:
+            break
+    out = page.select("rank", "id", "work", "similarity", F.lit(False).alias("drilled"))
+    for part in drilled:
+        out = out.unionByName(part)
+    return _round(out)
+
+
 _TOK = r"list_filter(regexp_split_to_array(lower(strip_accents(coalesce({c}, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
@@ -194,16 +224,26 @@ def doc_lengths(spark, sf_dir):
     return lexical.document_lengths(table(spark, sf_dir, "documents"), ("text",), "doc_id").select("doc_id", F.col("length").cast("long").alias("length"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')[1:20], ' ') AS title FROM conversations)
-SELECT conv_id, turn, array_to_string(list_transform(string_split(title, ' '), lambda w: regexp_replace(w, '(?i)^([^\p{L}\p{N}]*)(la|the)([^\p{L}\p{N}]*)$', '\1{{\2}}\3')), ' ') AS snippet FROM t""")
+@query(r"""WITH t AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS ws, string_split_regex(text, '[\p{L}\p{N}]+') AS seps FROM conversations),
+k AS (SELECT *, len(ws) AS n, list_filter(range(len(ws)), lambda i: lower(strip_accents(ws[i + 1])) IN ('the', 'la')) AS hits,
+ list_filter(range(len(ws)), lambda i: i = 0 OR regexp_matches(seps[i + 1], '[.:][ \t\n\r]+$')) AS firsts FROM t),
+h AS (SELECT *, unnest(hits) AS io FROM k), j AS (SELECT *, list_max(list_filter(firsts, lambda f: f <= io)) AS f FROM h),
+w AS (SELECT conv_id, turn, n, ws, hits, io AS pos, 0 AS extra, 2 * io AS nr, 0 AS own FROM j UNION ALL SELECT conv_id, turn, n, ws, hits, f, CASE WHEN f = 0 THEN 120 ELSE 100 END, 2 * io + 1, 1 FROM j WHERE n > 20 AND f < io),
+s AS (SELECT *, list_filter(hits, lambda x: x >= pos AND x < pos + 20) AS ins FROM w),
+c AS (SELECT conv_id, turn, nr, len(ins) + 999 * len(list_distinct(list_transform(ins, lambda x: lower(strip_accents(ws[x + 1]))))) + extra AS score,
+ CASE WHEN own = 1 THEN pos ELSE greatest(least(ins[1] - trunc((20 - (ins[-1] + 1 - ins[1])) / 2.0)::BIGINT, n - 20), 0) END AS first FROM s),
+b AS (SELECT conv_id, turn, arg_max(first, score * 1000000 - nr) AS first FROM c GROUP BY conv_id, turn),
+o AS (SELECT k.*, coalesce(b.first, 0) AS st, least(coalesce(b.first, 0) + 19, n - 1) AS en FROM k LEFT JOIN b USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN n = 0 THEN text ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || array_to_string(list_transform(range(st, en + 1), lambda i: CASE WHEN i = st AND st > 0 THEN '' ELSE seps[i + 1] END ||
+ CASE WHEN list_contains(hits, i) THEN '{{' || ws[i + 1] || '}}' ELSE ws[i + 1] END), '') || CASE WHEN st + 19 >= n - 1 THEN seps[n + 1] ELSE '...' END END AS snippet FROM o""")
 def lexical_snippet(spark, sf_dir):
-    head = F.array_join(F.slice(text.words(F.col("text")), 1, 20), " ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", lexical.short_snippet(head, [["the"], ["la"]]).alias("snippet"))
+    return spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", lexical.snippet(F.col("text"), [["the"], ["la"]]).alias("snippet"))
 
 
 @query()
 def lexical_snippet_window(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", lexical.snippet(F.col("text"), [["the"], ["la"]]).alias("snippet"))
+    """Phrases of two words, overlapping ones too; the test holds these against the full-text extension."""
+    return spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", lexical.snippet(F.col("text"), [["of", "the"], ["the"]]).alias("snippet"))
 
 
 # ---- catalogue
@@ -815,10 +855,6 @@ def _digits(c):
     return F.transform(F.array(*(F.substring(F.md5(c), i, 2) for i in (1, 3, 5, 7))), lambda h: (F.conv(h, 16, 10).cast("int") / 255).cast("float"))
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/quillstack-{name}-{uuid.uuid4().hex}"
-
-
 @query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 7 = 6 AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + count(*) FILTER (turn % 3 = 2) OVER (PARTITION BY conv_id ORDER BY turn) AS line, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM conversations),
 ok AS (SELECT *, 'conv-' || conv_id || '/derived/turns.jsonl' AS p, conv_id % 10 = 3 OR conv_id % 5 = 1 AS fresh FROM c WHERE NOT cut AND turn % 4 < 3),
 b AS (SELECT *, row_number() OVER (ORDER BY p, line) AS id FROM ok),
@@ -877,7 +913,31 @@ def import_runs(spark, sf_dir):
     return second.unionByName(library.add("a", inputs, answers, pdfs)).select("run", "pos", "status", F.get("keys", F.lit(0)).alias("key"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS a0, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^http:', 'https:') AS a1, url AS a2 FROM pages), u AS (SELECT DISTINCT url FROM pages),
+h AS (SELECT c.*, a0 IN (SELECT url FROM u) AS h0, a1 IN (SELECT url FROM u) AS h1 FROM c),
+w AS (SELECT page_id, CASE WHEN h0 THEN 'bare' WHEN h1 THEN 'secure' ELSE 'own' END AS source, CASE WHEN h0 THEN a0 WHEN h1 THEN a1 ELSE a2 END AS address FROM h),
+n AS (SELECT 'bare' AS source, count(*) AS asked FROM h UNION ALL SELECT 'secure', count(*) FILTER (NOT h0) FROM h UNION ALL SELECT 'own', count(*) FILTER (NOT h0 AND NOT h1) FROM h)
+SELECT page_id, w.source, address, asked FROM w JOIN n USING (source)""")
+def fallback_rounds(spark, sf_dir):
+    """Which address of a page answers first: the bare one, the bare one as https, its own; and how many were asked in that round."""
+    pages_ = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item"), "url")
+    bare = F.regexp_replace("url", "[?#].*$", "")
+    one = lambda address: lambda open_: pages_.join(open_, "item", "left_semi").select("item", F.lit(0).alias("place"), address.alias("address"))
+    there = pages_.select(F.col("url").alias("address"), F.col("item").cast("string").alias("body"))
+    sources = [("bare", one(bare)), ("secure", one(F.regexp_replace(bare, "^http:", "https:"))), ("own", one(F.col("url")))]
+    won, rounds = fallback.first_that_works(pages_, sources, lambda asked: there.join(asked, "address", "left_semi"))
+    return won.join(rounds.select("round", "asked"), "round").select(F.col("item").alias("page_id"), "source", "address", "asked")
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+t AS (SELECT doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM l),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, regexp_matches(line, '^#+ ') AS header, starts_with(line, '- ') AS item, regexp_replace(line, '^(#+|-) ', '') AS text FROM t WHERE line <> ''),
+f AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS size, 0 AS parts, 0 AS chunk FROM (SELECT DISTINCT doc_id FROM b) UNION ALL
+ SELECT b.doc_id, b.k, CASE WHEN header THEN 0 WHEN parts > 0 AND size + length(b.text) + 8 <= 1800 THEN size + length(b.text) + 2 * item::INT + 2 ELSE length(b.text) + 2 * item::INT END,
+  CASE WHEN header THEN 0 WHEN parts > 0 AND size + length(b.text) + 8 <= 1800 THEN parts + 1 ELSE 1 END,
+  CASE WHEN parts > 0 AND (header OR size + length(b.text) + 8 > 1800) THEN chunk + 1 ELSE chunk END FROM f JOIN b ON b.doc_id = f.doc_id AND b.k = f.k + 1)
+SELECT doc_id::VARCHAR AS doc, chunk AS chunk_index, string_agg(CASE WHEN item THEN '- ' ELSE '' END || b.text, chr(10) || chr(10) ORDER BY k) AS text,
+ array_to_string(list_sort(list(DISTINCT CASE WHEN item THEN 'list_item' ELSE 'text' END)), ',') AS labels FROM f JOIN b USING (doc_id, k) WHERE NOT header GROUP BY doc_id, chunk""")
 def passage_fold(spark, sf_dir):
     folded = layout.fold_passages(layout.paragraph_blocks(spread(table(spark, sf_dir, "documents")), "doc_id", "text"))
     return folded.select("doc", "chunk_index", "text", F.array_join("labels", ",").alias("labels"))

@@ -1,4 +1,5 @@
 import json
+import random
 import sqlite3
 
 import pytest
@@ -218,10 +219,37 @@ def test_search_edges(spark):
     with pytest.raises(ValueError):
         lexical.exact_terms("a _ !", spark)
     assert sorted(r[0] for r in lexical.with_all_terms(docs, "x_n", ("fulltext",), "key").collect()) == ["a", "b"]
-    long = " ".join(f"w{i}" for i in range(30)) + " Café!"
-    got = spark.createDataFrame([(long,), ("The cafe",)], "t string").select(lexical.snippet(F.col("t"), [["cafe"]])).collect()
-    assert got[0][0].startswith("...w") and got[0][0].endswith("{{Café!}}")
-    assert got[1][0] == "The {{cafe}}"
+
+
+def snippet_titles():
+    """Titles of all lengths, with sentences, marks, odd separators and phrases that overlap."""
+    r = random.Random(8)
+    words = ["the", "The", "art", "of", "x", "y", "café", "CAFE", "na\u0131ve", "e\u0301lan", "42", "w"]
+    ends = [" ", " ", " ", "  ", ". ", ": ", ".", "-", " \u2014 ", ".\n", "! ", "_", " ."]
+    titles = ["", " ", "...", "the", " the. art", "x-y x y x", "of the of the of"]
+    for n in [*range(1, 45), *[r.randrange(20, 200) for _ in range(160)]]:
+        rare = n > 60
+        titles.append(r.choice(["", " ", "\u201c"]) + "".join((r.choice(words) if not rare or r.random() < 0.06 else f"f{r.randrange(9)}") + r.choice(ends) for _ in range(n)))
+    return titles
+
+
+@pytest.mark.parametrize("query", ["the", "cafe", "x y", "x-y", "of-the the", "art the-art 42", "of-the-of x-y-x", "élan 42", "zzz"])
+def test_snippet_against_sqlite(spark, query):
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("CREATE VIRTUAL TABLE t USING fts5(title, other)")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text extension")
+    titles = snippet_titles()
+    # the other column matches everywhere, so that titles without a match are shown too
+    db.executemany("INSERT INTO t(rowid, title, other) VALUES (?, ?, ?)", [(i, t, query) for i, t in enumerate(titles)])
+    match = " ".join(f'"{w}"' for w in query.split())
+    want = dict(db.execute("SELECT rowid, snippet(t, 0, '{{', '}}', '...', 20) FROM t WHERE t MATCH ?", (match,)))
+    assert len(want) == len(titles)
+    df = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", lexical.snippet(F.col("t"), lexical.parse_query(spark, query)).alias("s")).collect()}
+    assert {i: s for i, s in got.items() if s != want[i]} == {}
+    assert spark.range(1).select(lexical.snippet(F.lit(None).cast("string"), [["a"]])).first()[0] is None
 
 
 @pytest.fixture
@@ -288,6 +316,52 @@ def test_layout(spark):
     assert (report["passages"], report["body_blocks"], report["formulas"], report["pages"], report["skipped_furniture"]) == (1, 3, 1, 2, 1)
 
 
+def test_layouts_are_kept(spark, tmp_path):
+    held = layout.Layouts(spark, f"file://{tmp_path}/l", buckets=2)
+    docs = lambda *rows: spark.createDataFrame(rows, "doc string, content string")
+    whole = layout_document()
+    other = json.dumps(whole | {"texts": [*whole["texts"][:-1], {"label": "list_item", "text": "changed"}]})
+    report = {r["doc"]: r["error"] for r in held.add(docs(("d", json.dumps(whole)), ("e", json.dumps(whole)), ("bad", "{}"))).collect()}
+    assert report["d"] is None and report["e"] is None and report["bad"]
+    empty = json.dumps(whole | {"texts": [{"label": "section_header", "text": "One"}] * 7})
+    report = {r["doc"]: (r["error"], r["passages"]) for r in held.add(docs(("d", other), ("e", empty))).collect()}
+    assert report["d"] == (None, 1) and report["e"] == ("the document has no body text to index", 0)
+    assert {r["doc"]: r["text"].rsplit(" ", 1)[1] for r in held.read("passages").collect()} == {"d": "changed", "e": "item"}
+    assert held.read("documents").count() == 2
+
+
+def test_fold_over_batches(spark):
+    """Against a plain walk, with documents that go over many batches."""
+    r = random.Random(2)
+    rows = []
+    for d in ("hot", "a", "b", None, "empty"):
+        for i in range(4000 if d == "hot" else 60):
+            label = "section_header" if d == "empty" else r.choice(["text", "text", "text", "formula", "list_item", "section_header", "furniture"])
+            rows.append((d, i, label, "w" * r.choice([1, 30, 400, 900]), r.choice([None, 1, 2, 3]), r.choice([None, 0, 1, 2, 4])))
+    want = []
+    for d in ("hot", "a", "b", None):
+        path, held, out = [], [], []
+        for _, _, label, text, page, level in [x for x in rows if x[0] == d and x[2] != "furniture"] + [(d, 0, "section_header", "end", None, 1)]:
+            size = sum(len(layout.rendered(h[0], h[1])) for h in held) + 2 * max(len(held) - 1, 0)
+            if held and (label == "section_header" or (label != "formula" and size + len(text) + 8 > 1800)):
+                out.append(("\n\n".join(layout.rendered(h[0], h[1]) for h in held), list(path), sorted({h[2] for h in held} - {None}), sorted({h[0] for h in held})))
+                held = []
+            if label == "section_header":
+                del path[max(level or 1, 1) - 1 :]
+                path.append(text)
+            else:
+                held.append((label, text, page))
+        want += [(d, i, *p) for i, p in enumerate(out)]
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = layout.fold_passages(spark.createDataFrame(rows, layout.BLOCKS).repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_fold():
     b = lambda label, text, level=None: (label, text, None, level)
     got = layout.fold_blocks([b("section_header", "A", 1), b("section_header", "B", 3), b("text", "x"), b("section_header", "C", 2), b("text", "y" * 1000), b("text", "z" * 900), b("formula", "f" * 900), b("text", "w")])
