@@ -42,8 +42,8 @@ def test_no_benchmark_is_left(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries_run_whole_tables(spark, name):
-    n = duckdb.connect().execute(f"SELECT count(*) FROM '{DATA}/documents.parquet'").fetchone()[0]
-    got = QUERIES[name](spark, DATA)
-    if name == "op8_chat_format":
-        n = duckdb.connect().execute(f"SELECT count(DISTINCT conv_id) + 1 FROM '{DATA}/conversations.parquet'").fetchone()[0]
-    assert got.count() == n
+    table = {"op11_point_in_time": "labels", "op13_warc": "pages"}.get(name, "documents")
+    count = "count(DISTINCT conv_id) + 1" if name == "op8_chat_format" else "count(*)"
+    table = "conversations" if name == "op8_chat_format" else table
+    n = duckdb.connect().execute(f"SELECT {count} FROM '{DATA}/{table}.parquet'").fetchall()[0][0]
+    assert QUERIES[name](spark, DATA).count() == n
