@@ -173,25 +173,33 @@ def page_location(pages: Column) -> Column:
 
 
 def list_row(key: Column, authors: Column, year: Column, title: Column) -> Column:
-    """Year or blanks, the first author's surname right-aligned to 12, the title."""
+    """Year or blanks, the first author's surname cut to 12 bytes and right-aligned, the title."""
     name = F.coalesce(row_surname(F.get(authors, F.lit(0))), F.lit(""))
-    return F.concat_ws("  ", F.lpad(F.coalesce(year.cast("string"), F.lit("")), 4, " "), F.lpad(F.left(name, F.lit(12)), 12, " "), title)
-
-
-def detail_view(title: Column, authors: Column, year: Column, journal: Column, publisher: Column, series: Column, isbn: Column, doi: Column, arxiv: Column, tags: Column, abstract: Column) -> Column:
-    """The lines of a work's detail view, those that have something."""
-    line = lambda name, c: F.concat(F.lit(name), blank_to_null(c))
-    return F.concat_ws(
-        "\n",
-        title,
-        blank_to_null(F.concat_ws(" · ", year.cast("string"), journal)),
-        blank_to_null(F.array_join(authors, ", ")),
-        blank_to_null(F.concat_ws(" · ", publisher, series, blank_to_null(F.array_join(isbn, ", ")))),
-        line("doi ", doi),
-        line("arxiv ", arxiv),
-        line("tags ", F.array_join(tags, ", ")),
-        abstract,
+    return F.concat_ws("  ", F.lpad(F.coalesce(year.cast("string"), F.lit("")), 4, " "), F.lpad(truncate(name, 12), 12, " "), title)
+
+
+def detail_view(w: dict[str, Column]) -> Column:
+    """The lines of a work's detail view, by the columns of a work: title, what and when, authors, for books where they appeared, addresses, tags, abstract, with blank lines between."""
+    none = F.array().cast("array<string>")
+    lines = lambda condition, *of: F.when(condition, F.array(*(F.lit(x) if isinstance(x, str) else x for x in of))).otherwise(none)
+    book, has = w["kind"] == "book", lambda name: w[name].isNotNull()
+    listed = lambda name: F.coalesce(F.size(w[name]) > 0, F.lit(False))
+    when = F.concat_ws(" · ", w["year"].cast("string"), w["journal"], F.when(book, "book"), F.when(book, F.concat(w["edition"], F.lit(" ed."))))
+    where = F.concat_ws(" · ", w["publisher"], w["series"], F.when(listed("isbn"), F.concat(F.lit("ISBN "), F.array_join(w["isbn"], ", "))))
+    addressed = has("doi") | has("arxiv")
+    parts = (
+        F.array(F.lit(""), w["title"]),
+        lines(has("year") | has("journal") | book, "", when),
+        F.array(F.lit("")),
+        lines(listed("authors"), author_preview(w["authors"]), ""),
+        lines(book & (has("publisher") | has("series") | listed("isbn")), where, ""),
+        lines(has("doi"), F.concat(F.lit("doi   "), w["doi"])),
+        lines(has("arxiv"), F.concat(F.lit("arxiv "), w["arxiv"])),
+        lines(listed("tags") & addressed, ""),
+        lines(listed("tags"), F.concat(F.lit("tags  "), F.array_join(w["tags"], ", "))),
+        lines(has("abstract"), "", w["abstract"]),
     )
+    return F.array_join(F.concat(*parts), "\n")
 
 
 def fill_template(template: str, **columns: Column) -> Column:
@@ -215,6 +223,11 @@ def truncate(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(*whole))
 
 
+def truncate_ellipsis(c: Column, most: int) -> Column:
+    """A text of more bytes cut to one byte less than most, and an ellipsis; nothing is cut to under two bytes."""
+    return c if most < 2 else F.when(F.octet_length(c) <= most, c).otherwise(F.concat(truncate(c, most - 1), F.lit("…")))
+
+
 #: What a message about a failed search says, by what the error contains (fixed values); else the error itself follows "Semantic search: ".
 SEARCH_ERRORS = (
     ("Semantic index is not initialized", "Semantic index not built.\nRun `quillstack semantic-index` first."),

@@ -197,6 +197,13 @@ def bm25_passages(spark, sf_dir):
     return _bm25_rank(spark, sf_dir, "la que", "conversations", "id")
 
 
+@query(f"WITH {_bm25_sql(['que', 'assistant'], f'SELECT conv_id || chr(35) || turn AS id, list_concat({tok("text")}, {tok("role")}) AS ts FROM conversations', 'id')} SELECT id, round(score, 6) AS score FROM h")
+def bm25_passages_headings(spark, sf_dir):
+    """Passages by their texts and headings; a word of the query may stand in either."""
+    rows = spread(table(spark, sf_dir, "conversations")).select(F.concat("conv_id", F.lit("#"), "turn").alias("id"), "text", F.col("role").alias("headings"))
+    return lexical.bm25(rows, "que assistant", ("text", "headings"), "id").select("id", F.round("score", 6).alias("score"))
+
+
 _LEX_TS = "list_concat(" + tok("title") + ", list_concat(" + tok("array_to_string(authors, '; ')") + ", list_concat(" + tok("abstract") + ", list_concat(" + tok("array_to_string(tags, ', ')") + ", " + tok("fulltext") + "))))"
 
 
@@ -360,6 +367,19 @@ def browser_row(spark, sf_dir):
     return fixtures.works(spark, sf_dir).select("key", text.list_row(F.col("key"), F.col("authors"), F.col("year"), F.col("title")).alias("line"))
 
 
+@query(r"""WITH {works}, l AS (SELECT key, list_concat(['', title],
+ CASE WHEN year IS NOT NULL OR journal IS NOT NULL OR kind = 'book' THEN ['', array_to_string(list_filter([year::VARCHAR, journal, CASE WHEN kind = 'book' THEN 'book' END, CASE WHEN kind = 'book' THEN edition || ' ed.' END], lambda x: x IS NOT NULL), ' · ')] ELSE [] END,
+ [''], CASE WHEN len(authors) > 0 THEN [CASE WHEN len(authors) <= 3 THEN array_to_string(authors, ' · ') ELSE authors[1] || ' · ' || authors[2] || ' · ' || authors[-1] || ' · +' || (len(authors) - 3) || CASE WHEN len(authors) = 4 THEN ' author' ELSE ' authors' END END, ''] ELSE [] END,
+ CASE WHEN kind = 'book' AND (publisher IS NOT NULL OR series IS NOT NULL OR len(isbn) > 0) THEN [array_to_string(list_filter([publisher, series, CASE WHEN len(isbn) > 0 THEN 'ISBN ' || array_to_string(isbn, ', ') END], lambda x: x IS NOT NULL), ' · '), ''] ELSE [] END,
+ CASE WHEN doi IS NOT NULL THEN ['doi   ' || doi] ELSE [] END, CASE WHEN arxiv IS NOT NULL THEN ['arxiv ' || arxiv] ELSE [] END,
+ CASE WHEN len(tags) > 0 THEN CASE WHEN doi IS NOT NULL OR arxiv IS NOT NULL THEN ['', 'tags  ' || array_to_string(tags, ', ')] ELSE ['tags  ' || array_to_string(tags, ', ')] END ELSE [] END,
+ CASE WHEN abstract IS NOT NULL THEN ['', abstract] ELSE [] END) AS lines FROM works)
+SELECT key, array_to_string(lines, chr(10)) AS shown FROM l""")
+def detail_view(spark, sf_dir):
+    w = fixtures.works(spark, sf_dir)
+    return w.select("key", text.detail_view({c: F.col(c) for c in w.columns}).alias("shown"))
+
+
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)
 SELECT doc_id, CASE WHEN length(x) > 80 THEN left(x, 79) || '…' ELSE x END AS preview FROM t""")
 def text_preview(spark, sf_dir):

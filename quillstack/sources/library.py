@@ -42,7 +42,8 @@ def scan_records(spark: SparkSession, library: str) -> DataFrame:
     return found.select(_folder(F.col("path")).alias("key"), "content")
 
 
-def _record(content: bytes) -> dict:
+def read_record(content: bytes) -> dict:
+    """The fields of a record; a ValueError says what is wrong with it."""
     raw = tomllib.loads(content.decode("utf-8"))
     out: dict = {"kind": raw.get("kind", "paper"), "title": raw.get("title"), "year": raw.get("year")}
     if not isinstance(out["title"], str):
@@ -71,7 +72,7 @@ def parse_records(records: DataFrame) -> DataFrame:
             rows = []
             for key, content in zip(frame["key"], frame["content"], strict=True):
                 try:
-                    rows.append({"key": key, **_record(bytes(content)), "_corrupt": None})
+                    rows.append({"key": key, **read_record(bytes(content)), "_corrupt": None})
                 except (ValueError, UnicodeDecodeError) as e:
                     rows.append({"key": key, "_corrupt": str(e)})
             out = pd.DataFrame([{c: r.get(c) for c in [*columns, "_corrupt"]} for r in rows], columns=[*columns, "_corrupt"], dtype=object)

@@ -73,6 +73,10 @@ def test_previews(column):
     assert column(text.page_location, [([],), ([4],), ([2, 4],)], "a array<bigint>") == [None, "p. 4", "pp. 2, 4"]
     assert column(text.human_size, [1, 2048, 1 << 20, 1600000], "a bigint") == ["1 KB", "2 KB", "1.0 MB", "1.5 MB"]
     assert column(lambda c: text.bounded_lines(c, 5, 2), ["aa bb cc dd ee ff", "aa"]) == [["aa bb", "cc d…"], ["aa"]]
+    assert column(lambda c: text.truncate_ellipsis(c, 5), ["abcde", "abcdef", "aéééé", "", None]) == ["abcde", "abcd…", "aé…", "", None]
+    assert column(lambda c: text.truncate_ellipsis(c, 1), ["abc"]) == ["abc"]
+    row = lambda a: text.list_row(F.lit("k"), F.array(a), F.lit(2001), F.lit("T"))
+    assert column(row, ["Ada Quill", "Bo Ééééééééé", "Quillingtonshire, B"]) == ["2001         Quill  T", "2001        Éééééé  T", "2001  Quillingtons  T"]
     given = ["ab cdefghij", "  a\t b  ", "", "abcdefghi j", "abcd efgh", "éééééééééé x", None]
     want = [["ab", "cdef", "ghij"], ["a b"], [""], ["abcd", "efgh", "i j"], ["abcd", "efgh"], ["éé", "éé", "éé", "éééé", "x"], None]
     assert column(lambda c: text.wrap_words(c, 4), given) == want
