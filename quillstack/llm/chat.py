@@ -151,7 +151,10 @@ def render(messages: DataFrame, conversation: str = "conv_id", run: int = RUN) -
 
 
 def read_back(pieces: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """(conversation, run, turns, loss_text, formatted_chars) read from the formatted pieces alone."""
+    """(conversation, run, turns, loss_text, formatted_chars) read from the formatted pieces alone.
+
+    A piece without turns gives none; texts come back unescaped, empty ones too.
+    """
     marked = F.filter(F.split("formatted", CLOSE), lambda x: x != "")
     plain = F.transform(
         marked,
@@ -164,7 +167,10 @@ def read_back(pieces: DataFrame, conversation: str = "conv_id") -> DataFrame:
 
 
 def digests(back: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """One row a conversation: what read_back found, joined in the order of the runs and digested."""
+    """One row a conversation: what read_back found, joined in the order of the runs and digested.
+
+    A conversation's whole text stands in one row; no conversations give no rows.
+    """
     whole = back.groupBy(conversation).agg(
         F.sum("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("run", "turns", "loss_text"))).alias("p"), F.sum("formatted_chars").alias("formatted_chars")
     )

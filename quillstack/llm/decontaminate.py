@@ -210,8 +210,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
     """docs without benchmark passages: remove="spans" cuts hit words and what lies between them, remove="documents" drops documents with a hit.
 
-    Rows without a hit pass as they are, null texts too; a column n_chars, where
-    there is one, follows the text.
+    Rows without a hit pass as they are, null texts too, and all rows where the
+    benchmark is empty; a column n_chars, where there is one, follows the text.
+    Passages that overlap are cut as one.
     """
     if remove not in ("spans", "documents"):
         raise ValueError("remove is 'spans' or 'documents'")

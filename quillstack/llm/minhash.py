@@ -172,7 +172,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_
     Null texts count as empty; rows without a key come first and, like repeated
     keys, follow each other by their texts; one row alone is its own successor.
     A text without words has a fingerprint of ones, like that of another such
-    text (1) and unlike any other (0).
+    text (1) and unlike any other (0).  Keys are whole numbers, named doc_id in the
+    result; others are an error.  An empty table gives no rows.
     """
     bound_arrow_batches(docs.sparkSession, records=500)
     dealt = with_next(docs, key, text, rows_a_range)

@@ -340,7 +340,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Null texts count as empty; texts of under 50 bytes lose nothing; a null key
     is smaller than any other; rows that share a key take nothing from each
-    other; an empty table gives no rows.
+    other; an empty table gives no rows.  Keys are whole numbers, since their order
+    decides; others are an error.
     """
 
     def emit(block: Block, gone: np.ndarray) -> pa.RecordBatch:
@@ -365,7 +366,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """docs without the repeated bytes; every row stays, and what is left of a cut character goes too.
 
     A text that loses nothing stays as it is, null too; a column n_chars, where
-    there is one, follows the text.
+    there is one, follows the text.  Keys, ties and empty tables are as in
+    ``repeated_bytes``.
     """
     names = docs.columns
 

@@ -1,6 +1,6 @@
 """Toxicity by compression distance (operator 10).
 
-Two zstandard dictionaries are trained from labelled texts.  The ordinary one
+Two zstandard dictionaries of raw content are chosen from labelled texts.  The ordinary one
 holds the words that ordinary texts use in the most contexts.  The toxic one
 holds the same and, behind them, the words and word beginnings that toxic texts
 use in far more contexts than ordinary ones do.  A context is the distinct word
@@ -126,7 +126,12 @@ def _contexts(rows: DataFrame, label: str, text: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, label: str = "toxic", text: str = "text") -> Model:
-    """A model from rows of (label 0 or 1, text); at most FIT_ROWS of them are meant to be given."""
+    """A model from rows of (label 0 or 1, text); at most FIT_ROWS of them are meant to be given.
+
+    Null texts count as empty; ties between words go by the word.  Where one label
+    is missing, or there are no rows, the model holds no toxic fragments and tells
+    nothing apart.
+    """
     words = durable(
         _contexts(labelled.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text")), "label", "text")
         .groupBy("word")
@@ -211,7 +216,11 @@ def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without the rows that the model predicts to be toxic, columns as they are."""
+    """docs without the rows that the model predicts to be toxic, columns as they are.
+
+    Null and empty texts are scored like any other; repeated rows share a fate; an
+    empty table stays one.
+    """
     bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
