@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..plans.durable import durable, release
 from ..sources.store import Store, Version, bucket_of
 from .catalogue import with_positions
-from .incremental import PASSAGE_COLUMNS, needs_rebuild, plan, sources_of, with_place
+from .incremental import PASSAGE_COLUMNS, healed, needs_rebuild, plan, sources_of, with_place
 
 #: chunks (source_path, place, work_title, text) to (source_path, place, embedding)
 Encoder = Callable[[DataFrame], DataFrame]
@@ -64,6 +64,28 @@ class PassageIndex:
         """(source_path, fingerprint)."""
         return self._read(version or self.store.latest(), "sources")
 
+    def adopt(self, stored: DataFrame, rows: DataFrame, model: str | None = None, dimension: int = 0) -> Version:
+        """Takes over the passages of an older index, which knew no fingerprints, into an empty one.
+
+        stored has the columns of passages.  Sources whose stored passages are what
+        rows gives for them get the fingerprint of rows and are not encoded again; the
+        next update takes the others as changed or deleted.
+        """
+        base = self.store.latest()
+        if base.number:
+            raise ValueError("an older index is taken over into an empty one")
+        stored = durable(stored.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PASSAGE)))
+        paths = stored.select("source_path").distinct()
+        same = healed(rows, stored, paths)
+        sources = paths.join(same, "source_path", "left").select("source_path", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+        changes = {}
+        for name, df in (("passages", stored.sortWithinPartitions("source_path", "id")), ("sources", sources)):
+            found = self.store.write(df.withColumn("bucket", bucket_of(F.col("source_path"), self.buckets)).hint("rebalance", "bucket"), name)
+            changes[name] = {b: [[1, p]] for b, p in found.items()}
+        n, last = stored.agg(F.count("*"), F.coalesce(F.max("id"), F.lit(0))).first()
+        release(stored)
+        return self.store.commit(base, changes, {"passages": PASSAGE, "sources": SOURCE}, {"model_id": model, "dimension": dimension, "next_id": last + 1, "count": n})
+
     def update(
         self, rows: DataFrame, encode: Encoder | None = None, model: str | None = None, dimension: int = 0, complete: bool = True, force: bool = False, batch: tuple[str, int] | None = None
     ) -> Version:
@@ -107,7 +129,8 @@ class PassageIndex:
             chunks = paired(chunks, encode(chunks.select("source_path", "place", "work_title", "text")), dimension)
         like = lambda df, schema: df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
         old = self._read(base, "passages", [] if anew else touched)
-        kept = old.join(gone, "source_path", "left_anti")
+        # a source without a fingerprint may have passages all the same
+        kept = old.join(actions.select("source_path"), "source_path", "left_anti")
         passages = like(kept, PASSAGE).unionByName(like(chunks, PASSAGE))
         sources = self._read(base, "sources", [] if anew else touched).join(gone, "source_path", "left_anti").unionByName(current.join(came, "source_path", "left_semi"))
 

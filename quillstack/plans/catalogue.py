@@ -875,24 +875,42 @@ def _digits(c):
     return F.transform(F.array(*(F.substring(F.md5(c), i, 2) for i in (1, 3, 5, 7))), lambda h: (F.conv(h, 16, 10).cast("int") / 255).cast("float"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 7 = 6 AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + count(*) FILTER (turn % 3 = 2) OVER (PARTITION BY conv_id ORDER BY turn) AS line, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM conversations),
+_KEPT_IDS = """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 7 = 6 AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + count(*) FILTER (turn % 3 = 2) OVER (PARTITION BY conv_id ORDER BY turn) AS line, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM conversations),
 ok AS (SELECT *, 'conv-' || conv_id || '/derived/turns.jsonl' AS p, conv_id % 10 = 3 OR conv_id % 5 = 1 AS fresh FROM c WHERE NOT cut AND turn % 4 < 3),
 b AS (SELECT *, row_number() OVER (ORDER BY p, line) AS id FROM ok),
 a AS (SELECT id, p, line, text, true AS kept FROM b WHERE NOT fresh UNION ALL
  SELECT row_number() OVER (ORDER BY CASE WHEN conv_id % 10 = 3 THEN 'moved/' ELSE '' END || p, line) + (SELECT coalesce(max(id), 0) FROM b), CASE WHEN conv_id % 10 = 3 THEN 'moved/' ELSE '' END || p, line, text, false FROM ok WHERE fresh)
-SELECT id, p AS source_path, text, round(('0x' || md5(text)[1:2])::INT / 255.0, 5) AS v0, round(('0x' || md5(text)[7:8])::INT / 255.0, 5) AS v3, kept FROM a""")
+SELECT id, p AS source_path, text, round(('0x' || md5(text)[1:2])::INT / 255.0, 5) AS v0, round(('0x' || md5(text)[7:8])::INT / 255.0, 5) AS v3, kept FROM a"""
+
+
+@query(_KEPT_IDS)
 def vector_index_update(spark, sf_dir):
     """Ids and embeddings after an update, and which rows have them from before."""
     encode = lambda chunks: chunks.select("source_path", "place", _digits(F.col("text")).alias("embedding"))
     index = PassageIndex(spark, _scratch(spark, "passages"), buckets=16)
     before = index.update(incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir)), encode, "digits", 4)
     after = index.update(incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir, edited=True)), encode, "digits", 4)
+    return _with_kept(index, before, after)
+
+
+def _with_kept(index: PassageIndex, before, after) -> DataFrame:
     had = index.passages(before).select("id", F.struct("source_path", "text", "embedding").alias("had"))
     now = index.passages(after).join(had, "id", "left")
     value = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 5)
     return now.select("id", "source_path", "text", value(0).alias("v0"), value(3).alias("v3"), F.coalesce(F.col("had") == F.struct("source_path", "text", "embedding"), F.lit(False)).alias("kept"))
 
 
+@query(_KEPT_IDS)
+def legacy_adoption(spark, sf_dir):
+    """The same from an older index without fingerprints: what is as it was is taken over, the rest encoded."""
+    encode = lambda chunks: chunks.select("source_path", "place", _digits(F.col("text")).alias("embedding"))
+    old = incremental.replace_index(incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir))).withColumn("embedding", _digits(F.col("text")))
+    rows = incremental.collect_rows(fixtures.jsonl_files(spark, sf_dir, edited=True))
+    index = PassageIndex(spark, _scratch(spark, "legacy"), buckets=16)
+    before = index.adopt(old, rows, "digits", 4)
+    return _with_kept(index, before, index.update(rows, encode, "digits", 4))
+
+
 @query(f"""WITH now AS (SELECT d.doc_id, CASE WHEN l.quality = 0 THEN split_part(d.text, chr(10), 1) ELSE d.text END AS text FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1),
 {_bm25_sql(['reth', 'that'], f'SELECT doc_id, {tok("text")} AS ts FROM now', 'doc_id')} SELECT doc_id, round(score, 6) AS score, merged FROM h, (SELECT unnest([true, false]) AS merged)""")
 def lexical_index_search(spark, sf_dir):

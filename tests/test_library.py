@@ -144,6 +144,24 @@ def test_passage_index_keeps_ids_and_embeddings(spark, tmp_path):
     assert len(held.passages(second).collect()) == 5
 
 
+def test_an_older_index_is_taken_over(spark, tmp_path):
+    old = incremental.replace_index(files(spark, a="x xx", b="y", c="z zz", d="gone")).withColumn("embedding", F.array(F.lit(7.0)))
+    held = PassageIndex(spark, f"file://{tmp_path}/i", buckets=4)
+    asked = []
+
+    def encode(chunks):
+        asked.extend(sorted(r["text"] for r in chunks.collect()))
+        return chunks.select("source_path", "place", F.array(F.lit(1.0)).alias("embedding"))
+
+    rows = files(spark, a="x xx", b="y", c="z other", e="fresh")
+    assert held.adopt(old, rows, "m", 1).facts["count"] == 6
+    held.update(rows, encode, "m", 1)
+    assert asked == ["fresh", "other", "z"]
+    assert {r["text"]: (r["id"], r["embedding"][0]) for r in held.passages().collect()} == {"x": (1, 7), "xx": (2, 7), "y": (3, 7), "z": (7, 1), "other": (8, 1), "fresh": (9, 1)}
+    with pytest.raises(ValueError, match="empty"):
+        held.adopt(old, rows, "m", 1)
+
+
 def test_pairing_refuses_other_counts(spark):
     chunks = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b")], "source_path string, place int, text string")
     vectors = lambda *rows: spark.createDataFrame(rows, "source_path string, place int, embedding array<float>")
