@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -242,10 +242,15 @@ def _spread(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, shingle, size, component, often): of each member's shingles those that another component has too."""
+    """(node, shingle, size, component, often, least): of each member's shingles those that another component has too; least is the smallest size of a member with it."""
     rows = _spread(members, sets)
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return rows.join(often.filter("lo != hi").select("shingle", "often"), "shingle")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("size").alias("least"))
+    return rows.join(often.filter("lo != hi").select("shingle", "often", "least"), "shingle")
+
+
+def _needed(similarity: float) -> Column:
+    """How many shingles a member must share with any partner: one is no smaller than the similarity says, nor than the smallest it shares a shingle with."""
+    return F.lit(similarity / (1 + similarity)) * (F.col("size") + F.greatest(F.col("least"), F.lit(similarity) * F.col("size"))) - F.lit(1e-6)
 
 
 def _disputed(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -254,8 +259,8 @@ def _disputed(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     Members that go leave others with fewer such shingles, so it goes on while most go.
     """
     while True:
-        may = _shared(members, sets).groupBy("node", "size", "component").agg(F.count("*").alias("may"))
-        fewer = durable(may.filter(f"may >= {similarity}D * size - 1e-6D").select("node", "size", "component"))
+        may = _shared(members, sets).groupBy("node", "size", "component").agg(F.count("*").alias("may"), F.min("least").alias("least"))
+        fewer = durable(may.filter(F.col("may") >= _needed(similarity)).select("node", "size", "component"))
         before, after = members.count(), fewer.count()
         release(members)
         members = fewer
@@ -266,11 +271,12 @@ def _disputed(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(shingle, node, size, component, left): of each member's shared shingles as many of the rarest as a partner cannot lack altogether.
 
-    Rare is what few members have; left is how many more shared ones follow.
+    Rare is what few members have; left is how many more shared ones follow.  Only
+    where these are enough for the smallest that has the shingle can a pair begin.
     """
     per_node = Window.partitionBy("node")
     ranked = _shared(members, sets).withColumn("nth", F.row_number().over(per_node.orderBy("often", "shingle"))).withColumn("left", F.count("*").over(per_node) - F.col("nth"))
-    return ranked.filter(f"left + 1 >= {similarity}D * size - 1e-6D").select("shingle", "node", "size", "component", "left")
+    return ranked.filter(F.col("left") + 1 >= _needed(similarity)).select("shingle", "node", "size", "component", "left")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:

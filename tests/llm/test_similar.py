@@ -183,6 +183,26 @@ def test_similar_documents_in_crowds(spark):
     assert len(set(expected.values())) == 1 + 90 + 40
 
 
+def test_a_crowd_just_below_makes_no_pairs(spark, monkeypatch):
+    """Texts that share a template and lie at 0.79: whatever their number, none of their shingles is left to pair by; a near copy among them is found."""
+    seen = []
+    rarest = similar._rarest
+
+    def counted(*args):
+        rows = rarest(*args)
+        seen.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(similar, "_rarest", counted)
+    template = [f"c{i}" for i in range(92)]
+    for n in (100, 400):
+        rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(12)])) for i in range(n)]
+        rows.append((n, rows[7][1] + " end"))
+        got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert got == {i: i for i in range(n)} | {n: 7}
+    assert seen and max(seen) <= 200
+
+
 def test_similar_documents_keep_the_unlike(spark):
     """Pairs below the threshold stay apart, long and short, and chains of them too."""
     r = random.Random(8)
