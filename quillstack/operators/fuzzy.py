@@ -98,7 +98,7 @@ def _bonus(kinds: np.ndarray) -> np.ndarray:
 
 
 def _align(letters: np.ndarray, bonus: np.ndarray, lengths: np.ndarray, atom: Atom) -> np.ndarray:
-    """The best score of an atom in each line; below zero where it doesn't match."""
+    """The best score of an atom in each line; far below zero where it doesn't match."""
     code = [ord(x) for x in atom.text]
     n, width = letters.shape
     places = np.arange(width)
@@ -124,7 +124,7 @@ def _align(letters: np.ndarray, bonus: np.ndarray, lengths: np.ndarray, atom: At
 
 
 def scores(lines: Iterable[str | None], atoms: list[Atom]) -> np.ndarray:
-    """The score of each line, -1 where an atom fails or the line is null; a query without atoms scores 0."""
+    """The score of each line, -1 where an atom fails or the line is null; an atom's is 0 at least, and a query without atoms scores 0."""
     lines = list(lines)
     out = np.full(len(lines), -1, dtype=np.int64)
     order = sorted((i for i, x in enumerate(lines) if x is not None), key=lambda i: len(lines[i]))
@@ -151,9 +151,9 @@ def scores(lines: Iterable[str | None], atoms: list[Atom]) -> np.ndarray:
         total, good = np.zeros(len(rows), dtype=np.int64), np.ones(len(rows), dtype=bool)
         for atom in atoms:
             found = _align(low if atom.marked else plain, bonus, lengths, atom) if width else np.full(len(rows), _NEVER)
-            hit = found >= 0
+            hit = found > _NEVER // 2
             good &= ~hit if atom.negated else hit
-            total += np.where(hit & (not atom.negated), found, 0)
+            total += np.where(hit & (not atom.negated), np.maximum(found, 0), 0)
         out[rows] = np.where(good, total, -1)
     return out
 

@@ -330,7 +330,23 @@ def result_counter(spark, sf_dir):
     return catalogue.result_counter(fixtures.works(spark, sf_dir), F.array_contains("tags", "fr"))
 
 
-@query()
+def _fuzzy_sql(letters: str) -> str:
+    """The best alignment of an atom's letters, a window over the places of each line for every letter."""
+    window = "WINDOW w AS (PARTITION BY key ORDER BY j)"
+    steps = [f"m0 AS (SELECT *, CASE WHEN c = '{letters[0]}' THEN 16 + 2 * bonus END AS m FROM s)"]
+    for n, x in enumerate(letters[1:], 1):
+        far = "max(m + j) OVER (PARTITION BY key ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 3 - (j - 2) + bonus"
+        steps.append(f"m{n} AS (SELECT key, j, c, bonus, CASE WHEN c = '{x}' THEN 16 + greatest(lag(m) OVER w + greatest(bonus, 4), {far}) END AS m FROM m{n - 1} {window})")
+    return ", ".join(steps) + f" SELECT key, greatest(max(m), 0)::BIGINT AS score FROM m{len(letters) - 1} GROUP BY key HAVING max(m) IS NOT NULL"
+
+
+@query(r"""WITH {works}, d AS (SELECT key, array_to_string(list_filter([CASE WHEN len(authors) > 1 THEN authors[1] || ' et al.' ELSE authors[1] END,
+ '(' || year || ')', CASE WHEN title <> '' THEN title END], lambda x: x IS NOT NULL), '  ') AS line FROM works),
+p AS (SELECT key, j, line[j] AS ch FROM (SELECT *, unnest(range(1, length(line) + 1)) AS j FROM d)),
+k AS (SELECT key, j, strip_accents(lower(ch)) AS c, CASE WHEN regexp_matches(ch, '\s') THEN 0 WHEN contains('/,:;|', ch) THEN 1 WHEN regexp_matches(ch, '\p{Nd}') THEN 5 WHEN NOT regexp_matches(ch, '\p{L}') THEN 2 WHEN lower(ch) <> ch THEN 4 ELSE 3 END AS kind FROM p),
+b AS (SELECT *, lag(kind, 1, 0) OVER (PARTITION BY key ORDER BY j) AS prev FROM k),
+s AS (SELECT key, j, c, CASE WHEN kind = 0 THEN 10 WHEN kind < 3 THEN 8 WHEN prev = 0 THEN 10 WHEN prev = 1 THEN 9 WHEN prev = 2 THEN 8 WHEN kind = 4 AND prev = 3 THEN 5 WHEN kind = 5 AND prev <> 5 THEN 5 ELSE 0 END AS bonus FROM b),
+""" + _fuzzy_sql("adaq"))
 def fuzzy_rank(spark, sf_dir):
     w = fixtures.works(spark, sf_dir)
     return catalogue.fuzzy_filter(w, "adaq", text.display_line(F.col("authors"), F.col("year"), F.col("title"))).select("key", "score")

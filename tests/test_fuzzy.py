@@ -35,7 +35,7 @@ def brute(line, atom):
             gap = q - p - 1
             score += 16 + (max(place_bonus(line, q), 4) if not gap else place_bonus(line, q) - 3 - (gap - 1))
         best = score if best is None else max(best, score)
-    return best
+    return best if best is None else max(best, 0)
 
 
 @pytest.mark.parametrize("query", ["ab", "aba", "a b", "^ab", "ab$", "^ab$", "'ba", "!ab a", "Á", "a1", "b  !^a", "aab", "x"])
@@ -61,4 +61,5 @@ def test_better_lines_come_first(spark):
     assert got.index("j") < got.index("k0") < got.index("k1") and got.index("k7") == got.index("k0") + 1
     assert [r["key"] for r in catalogue.fuzzy_filter(df, "quill !,  ada", F.col("line")).collect()] == ["j", "k0", "k7"]
     assert catalogue.fuzzy_filter(df, "  ", F.col("line")).count() == 9
+    assert fuzzy.scores(["a" + "x" * 300 + "b"], fuzzy.parse_atoms("ab")).tolist() == [0]
     assert catalogue.fuzzy_filter(df.limit(0), "a", F.col("line")).count() == 0
