@@ -165,6 +165,10 @@ def foreign_works(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("id").alias("key"), F.lit("paper").alias("kind"), "title", clean.alias("authors"), "year", "doi", F.coalesce("arxiv", "eprint").alias("arxiv"), "journal", "tags", files.alias("files"), "abstract")
 
 
+#: Programs that settings name: what else the environment calls them, and what they are if nothing says (fixed values).
+COMMANDS = {"editor": (("EDITOR",), "vi"), "reader": ((), "xdg-open"), "browser": (("BROWSER",), "xdg-open")}
+
+
 @dataclass
 class Config:
     """Settings: what the environment says, else the file, else these."""
@@ -173,12 +177,31 @@ class Config:
     page: int = 100
     result_cap: int = 0
     citation: str = "plain"
+    theme: str | None = None
+    layout: str | None = None
+    semantic_results: int | None = None
+    editor: str | list[str] | None = None
+    reader: str | list[str] | None = None
+    browser: str | list[str] | None = None
     embedding: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str | None = None, environment: dict | None = None) -> Config:
+        """Settings that the class doesn't know are passed over; a cap of results counts from 1 on; ~ is the home folder."""
         raw = tomllib.loads(Path(path).read_text(encoding="utf-8")) if path and Path(path).exists() else {}
         out = cls(**{k: v for k, v in raw.items() if k in cls.__dataclass_fields__})
+        out.library = str(Path(out.library).expanduser())
+        out.semantic_results = out.semantic_results if out.semantic_results and out.semantic_results > 0 else None
         for name in ("library", "citation"):
             out.__dict__[name] = (environment or {}).get(f"QUILLSTACK_{name.upper()}", out.__dict__[name])
         return out
+
+    def command(self, name: str, environment: dict | None = None) -> list[str]:
+        """The program and arguments of editor, reader or browser; a program that the environment names has no arguments."""
+        others, default = COMMANDS[name]
+        said = next((environment[v] for v in (f"QUILLSTACK_{name.upper()}", *others) if v in (environment or {})), None)
+        found = said if said is not None else getattr(self, name) if getattr(self, name) is not None else default
+        parts = [found] if isinstance(found, str) else list(found)
+        if not parts or not parts[0]:
+            raise ValueError(f"the command of {name} is empty")
+        return parts

@@ -58,6 +58,15 @@ def test_config(tmp_path):
     (tmp_path / "c.toml").write_text('library = "x"\npage = 5\n')
     c = library.Config.load(str(tmp_path / "c.toml"), {"QUILLSTACK_LIBRARY": "y"})
     assert (c.library, c.page, c.citation) == ("y", 5, "plain")
+    (tmp_path / "d.toml").write_text('library = "~/x"\neditor = ["ed", "-w"]\nreader = "pdf"\nbrowser = []\nsemantic_results = 0\nunknown = 1\n[embedding]\nbatch_size = 8\n')
+    d = library.Config.load(str(tmp_path / "d.toml"))
+    assert d.library.endswith("/x") and "~" not in d.library and d.semantic_results is None and d.embedding == {"batch_size": 8}
+    assert d.command("editor") == ["ed", "-w"] and d.command("editor", {"EDITOR": "nano"}) == ["nano"]
+    assert d.command("editor", {"EDITOR": "nano", "QUILLSTACK_EDITOR": "own"}) == ["own"] and d.command("reader", {"EDITOR": "nano"}) == ["pdf"]
+    assert library.Config().command("editor") == ["vi"]
+    for empty in ({}, {"BROWSER": ""}):
+        with pytest.raises(ValueError, match="empty"):
+            d.command("browser", empty)
 
 
 def test_foreign(spark):
