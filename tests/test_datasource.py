@@ -28,7 +28,9 @@ def test_tables(spark, folder, tmp_path):
     assert sorted(map(str, good.collect())) == sorted(map(str, read.select(*columns).collect()))
     assert works.filter("_corrupt is not null").count() == warned.count() == 5
     files = spark.read.format("quillstack").option("table", "files").load(f"file://{folder}")
-    assert sorted(map(tuple, files.collect())) == sorted(map(tuple, library.file_listing(spark, str(folder)).select(*files.columns).collect()))
+    # what lies beside the folders is no work's
+    listed = library.file_listing(spark, str(folder)).select(*files.columns).filter("key != 'lib'")
+    assert sorted(map(tuple, files.collect())) == sorted(map(tuple, listed.collect()))
     assert spark.read.format("quillstack").load(str(tmp_path / "nowhere")).count() == 0
     with pytest.raises(Exception, match="no table"):
         spark.read.format("quillstack").option("table", "x").schema("key string").load(str(folder)).count()
