@@ -245,9 +245,9 @@ def search_error(c: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """From 1 MiB on as x.y MB, else whole KB, 1 at least."""
+    """From 1 MiB on as x.y MB, else whole KB, 1 at least. A half of a tenth goes to the even one, as C's printf has it."""
     kb = F.greatest(F.ceil(n / 1024), F.lit(1)).cast("string")
-    return F.when(n >= 1 << 20, F.concat(F.format_string("%.1f", n / float(1 << 20)), F.lit(" MB"))).otherwise(F.concat(kb, F.lit(" KB")))
+    return F.when(n >= 1 << 20, F.concat(F.format_string("%.1f", F.bround(n / float(1 << 20), 1)), F.lit(" MB"))).otherwise(F.concat(kb, F.lit(" KB")))
 
 
 def progress_line(done: Column, total: Column, seconds: Column, width: int = 20) -> Column:

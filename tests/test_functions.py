@@ -72,6 +72,8 @@ def test_previews(column):
     assert column(lambda c: text.preview(c, 5), ["a  b", "abcdef", None]) == ["a b", "abcd…", None]
     assert column(text.page_location, [([],), ([4],), ([2, 4],)], "a array<bigint>") == [None, "p. 4", "pp. 2, 4"]
     assert column(text.human_size, [1, 2048, 1 << 20, 1600000], "a bigint") == ["1 KB", "2 KB", "1.0 MB", "1.5 MB"]
+    # halves of a tenth: to the even one, as the SQL's printf rounds
+    assert column(text.human_size, [32768000, 98304000, 163840000, 32768001], "a bigint") == ["31.2 MB", "93.8 MB", "156.2 MB", "31.3 MB"]
     assert column(lambda c: text.bounded_lines(c, 5, 2), ["aa bb cc dd ee ff", "aa"]) == [["aa bb", "cc d…"], ["aa"]]
     assert column(lambda c: text.truncate_ellipsis(c, 5), ["abcde", "abcdef", "aéééé", "", None]) == ["abcde", "abcd…", "aé…", "", None]
     assert column(lambda c: text.truncate_ellipsis(c, 1), ["abc"]) == ["abc"]
