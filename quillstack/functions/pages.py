@@ -6,6 +6,7 @@ import io
 import re
 import tarfile
 from urllib.parse import urljoin
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,15 +66,47 @@ def abs_page_record(html: Column) -> Column:
     )
 
 
+_ATOM = ("title", "summary", "published", "doi")
+
+
+def _atom_texts(xml: str | None) -> tuple:
+    """The text of the first element of each name in _ATOM, and the names of authors, in elements that are the first entry of theirs."""
+    if not xml:
+        return (*[None] * len(_ATOM), None)
+    root = ElementTree.fromstring(xml)
+    local = lambda e: e.tag.rpartition("}")[2]
+    entries = {next((c for c in e if local(c) == "entry"), None) for e in root.iter()}
+    if local(root) == "entry":
+        entries.add(root)
+    found, names = {}, []
+    for entry in root.iter():
+        if entry not in entries:
+            continue
+        for e in entry:
+            name = local(e)
+            if name in _ATOM:
+                found.setdefault(name, "".join(e.itertext()))
+            elif name == "author":
+                names += [t for n in e if local(n) == "name" for t in (n.text, *(c.tail for c in n)) if t]
+    return (*map(found.get, _ATOM), names)
+
+
 def atom_record(xml: Column) -> Column:
-    """title, authors, year, abstract and doi of the first entry; null without a title."""
-    at = lambda tag: blank_to_null(trim_space(F.xpath_string(xml, F.lit(f"//*[local-name()='entry'][1]/*[local-name()='{tag}']"))))
+    """title, authors, year, abstract and doi of the first entry; null without a title. (pandas: a path of XPath would parse a feed again for each field.)"""
+    kind = T.StructType([*(T.StructField(n, T.StringType()) for n in _ATOM), T.StructField("names", T.ArrayType(T.StringType()))])
+
+    @F.pandas_udf(kind)
+    def run(xml: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_atom_texts(x) for x in xml], columns=kind.names)
+
+    parts = run(xml)
+    at = lambda tag: blank_to_null(trim_space(parts[tag]))
     title = collapse_space(at("title"))
     return F.when(
         title.isNotNull(),
         F.struct(
             title.alias("title"),
-            F.transform(F.xpath(xml, F.lit("//*[local-name()='entry'][1]/*[local-name()='author']/*[local-name()='name']/text()")), trim_space).alias("authors"),
+            F.transform(parts["names"], trim_space).alias("authors"),
             F.left(at("published"), F.lit(4)).try_cast("int").alias("year"),
             clean_abstract(at("summary")).alias("abstract"),
             at("doi").alias("doi"),

@@ -573,7 +573,7 @@ def landing_info(spark, sf_dir):
 
 
 def _json_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, part=table(spark, sf_dir, "part"))
+    return spark.sql(sql, part=spread(table(spark, sf_dir, "part")))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'Untitled' ELSE p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Journal ' || p_size END AS journal,

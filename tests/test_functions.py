@@ -112,6 +112,18 @@ def test_service_answers(column):
     xml = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title> A\n B </title><summary>S</summary><published>2001-01-01</published><author><name>N</name></author></entry></feed>'
     r = column(pages.atom_record, [xml, "<feed/>"])
     assert (r[0]["title"], r[0]["year"], r[0]["authors"], r[1]) == ("A B", 2001, ["N"], None)
+    # of two entries the first; text of elements inside; a blank or missing title makes no record
+    two = '<f xmlns:x="u"><title>f</title><entry><title>A <i>b</i></title><x:doi>10.1/a</x:doi><author><name> N </name><name>M</name></author></entry><entry><title>B</title><summary>S</summary></entry></f>'
+    r = column(pages.atom_record, [two, None, "", "<f><entry><title> </title></entry></f>", "<entry><title>T</title></entry>"])
+    assert (r[0]["title"], r[0]["doi"], r[0]["authors"], r[0]["abstract"], r[0]["year"]) == ("A b", "10.1/a", ["N", "M"], None, None)
+    assert (r[1:4], r[4]["title"], r[4]["authors"]) == ([None] * 3, "T", [])
+
+
+def test_feeds_are_dealt_to_tasks(spark, tmp_path):
+    from quillstack.plans.catalogue import QUERIES
+
+    spark.range(5).selectExpr("id AS p_partkey", "'name' AS p_name", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["atom_parse"](spark, str(tmp_path)).rdd.getNumPartitions() >= min(5, spark.sparkContext.defaultParallelism)
 
 
 def test_packages(column):
