@@ -63,3 +63,15 @@ def test_better_lines_come_first(spark):
     assert catalogue.fuzzy_filter(df, "  ", F.col("line")).count() == 9
     assert fuzzy.scores(["a" + "x" * 300 + "b"], fuzzy.parse_atoms("ab")).tolist() == [0]
     assert catalogue.fuzzy_filter(df.limit(0), "a", F.col("line")).count() == 0
+
+
+def test_memory_of_a_batch_is_bounded():
+    import tracemalloc
+
+    lines = ["Ada Quill et al.  (2001)  " + "a title of words " * 20] * 10_000
+    tracemalloc.start()
+    found = fuzzy.scores(lines, fuzzy.parse_atoms("adaq"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == found[0]).all() and found[0] > 0
+    assert peak < 50 << 20
