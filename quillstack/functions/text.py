@@ -58,7 +58,9 @@ LOOSE_MARKS = "".join(chr(start + i) for start, bits in _MARK_BITS for i in rang
 
 def fold_marks(c: Column) -> Column:
     """Lower case, without loose marks, and Latin letters without a single mark of theirs, as the standard full-text tokens have them."""
-    return F.translate(F.translate(F.lower(c), LOOSE_MARKS, ""), MARKED, UNMARKED)
+    plain = F.lower(c)
+    # ASCII has nothing to fold, and the pass costs more than all else
+    return F.when(F.octet_length(c) == F.char_length(c), plain).otherwise(F.translate(plain, MARKED + LOOSE_MARKS, UNMARKED))
 
 
 def slug(c: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LOOSE_MARKS, fold_marks
+from ..plans.durable import durable
 
 #: BM25's constants and the least inverse document frequency (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -15,7 +17,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("title", "authors", "abstract", "tags", "fulltext")
 #: Words a snippet shows at most, and its marks (fixed values).
 SNIPPET_WORDS, MARK_OPEN, MARK_CLOSE, ELLIPSIS = 20, "{{", "}}", "..."
-NO_WORD = r"[^\p{L}\p{N}\p{Co}]+"
+#: ASCII letters and digits stand first, which is looked up and not worked out.
+NO_WORD, A_WORD = r"[^a-z0-9\p{L}\p{N}\p{Co}]+", rf"[a-zA-Z0-9\p{{L}}\p{{N}}\p{{Co}}][a-zA-Z0-9\p{{L}}\p{{N}}\p{{Co}}{LOOSE_MARKS}]*"
 #: A token as it stands in a text, with the loose marks that it loses.
 _WORD = rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{LOOSE_MARKS}]*"
 
@@ -44,7 +47,7 @@ def postings_statistics(terms: DataFrame, key: str = "key") -> DataFrame:
 
 
 def document_lengths(docs: DataFrame, columns: tuple[str, ...], key: str = "key") -> DataFrame:
-    return docs.select(key, sum((token_count(normalised(F.col(c))) for c in columns), F.lit(0)).alias("length"))
+    return docs.select(key, sum((token_count(F.col(c)) for c in columns), F.lit(0)).alias("length"))
 
 
 def parse_query(spark: SparkSession, query: str) -> list[list[str]]:
@@ -61,16 +64,17 @@ def normalised(c: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """How many tokens a normalised text has."""
-    inner = F.regexp_replace(text, rf"^{NO_WORD}|{NO_WORD}$", "")
-    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, NO_WORD)))
+    """How many tokens a text has; it need not be folded for that, as marks only part tokens where something else does."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(A_WORD))
 
 
 def phrase_pattern(phrase: list[str]) -> str:
     """A pattern of a phrase's first token where the others follow; what follows is only looked at, so phrases may overlap."""
     word, edge = r"[\p{IsAlphabetic}\p{N}]", r"(?![\p{IsAlphabetic}\p{N}])"
     rest = "".join(f"{NO_WORD}{t}" for t in phrase[1:])
-    return rf"(?<!{word}){phrase[0]}(?={rest}{edge})" if rest else rf"(?<!{word}){phrase[0]}{edge}"
+    # the token is looked for first, what stands before it only where it is found
+    first = rf"{phrase[0]}(?<!{word}{phrase[0]})"
+    return rf"{first}(?={rest}{edge})" if rest else rf"{first}{edge}"
 
 
 def matches(docs: DataFrame, phrases: list[list[str]], columns: tuple[str, ...], key: str = "key") -> DataFrame:
@@ -79,22 +83,29 @@ def matches(docs: DataFrame, phrases: list[list[str]], columns: tuple[str, ...],
     Counted on the texts as they are, without arrays of tokens: a phrase never
     goes over the border of two columns.
     """
-    plain = docs.select(key, *(normalised(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)))
+    lengths = sum((token_count(F.col(c)) for c in columns), F.lit(0))
+    plain = docs.select(key, lengths.alias("length"), *(normalised(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)))
     total = lambda count: sum((count(F.col(f"_t{i}")) for i in range(len(columns))), F.lit(0))
-    counts = [total(lambda t, p=p: F.regexp_count(t, F.lit(phrase_pattern(p)))).alias(f"f{j}") for j, p in enumerate(phrases)]
-    return plain.select(key, total(token_count).alias("length"), *counts)
+
+    def often(t: Column, phrase: list[str]) -> Column:
+        there = reduce(Column.__and__, (F.contains(t, F.lit(w)) for w in phrase))
+        return F.when(there, F.regexp_count(t, F.lit(phrase_pattern(phrase)))).otherwise(0)
+
+    counts = [total(lambda t, p=p: often(t, p)).alias(f"f{j}") for j, p in enumerate(phrases)]
+    return plain.select(key, "length", *counts)
 
 
 def bm25(docs: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS, key: str = "key") -> DataFrame:
     """(key, score) of the rows that hold every phrase of the query; a smaller score is better.
 
-    One pass tokenises and counts; the corpus statistics are one aggregated row,
-    joined back to the few rows that match.
+    One pass tokenises and counts, and what it finds is written to the shared
+    folder; the corpus statistics are one aggregated row, joined back to the few
+    rows that match.
     """
     phrases = parse_query(docs.sparkSession, query)
     if not phrases:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    counted = matches(docs, phrases, columns, key)
+    counted = durable(matches(docs, phrases, columns, key))
     n = len(phrases)
     corpus = counted.agg(F.count("*").alias("rows"), F.avg("length").alias("avg_length"), *(F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(n)))
     return score_matches(counted, corpus, n, key)

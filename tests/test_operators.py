@@ -411,3 +411,13 @@ def test_postings_follow(spark):
     changed = docs.withColumn("title", F.when(F.col("key") == "a", F.lit("New")).otherwise(F.col("title")))
     kept = incremental.refresh_postings(stored, changed, docs.filter("key = 'a'"), columns)
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, lexical.postings(changed, columns).collect()))
+
+
+def test_a_search_counts_once(spark):
+    """What is counted is read again for the statistics and the hits, not worked out again; lengths are those of folded texts."""
+    docs = spark.createDataFrame([("a", "The caf́é, cafés ́ x́y K2"), ("b", "the the_the İstanbul 'the"), ("c", None), ("d", "other")], "key string, text string")
+    found = lexical.bm25(docs, "the", ("text",))
+    assert {r["key"] for r in found.collect()} == {"a", "b"}
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r["key"]: r["length"] for r in lexical.document_lengths(docs, ("text",)).collect()}
+    assert got == {r["key"]: r["n"] for r in docs.select("key", F.size(lexical.tokens(F.col("text"))).alias("n")).collect()} == {"a": 5, "b": 5, "c": 0, "d": 1}
