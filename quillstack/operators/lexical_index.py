@@ -11,17 +11,67 @@ several segments or postings that no longer count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..llm.arrowtools import bound_arrow_batches
 from ..plans.durable import durable, release
 from ..sources.store import Store, Version, bucket_of
-from .lexical import COLUMNS, exact_terms, lexical_documents, parse_query, score_matches, snippet, tokens
+from .lexical import COLUMNS, NO_WORD, exact_terms, lexical_documents, normalised, parse_query, score_matches, snippet
 
 #: Places of the columns of a work are so far apart that no phrase goes over a border.
 COLUMN_SHIFT = 32
 
 
+#: Letters of texts that are put together at once.
+BLOCK = 4 << 20
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, length, terms, places) of rows (key, texts of tokens between blanks): each work's distinct terms and where they stand."""
+    for batch in batches:
+        sizes = sum(np.asarray(pc.binary_length(c), dtype=np.int64) for c in batch.columns[1:]).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            # a single longer work is a block of its own
+            n = max(int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, "right")) - at, 1)
+            yield _grouped_block(batch.slice(at, n))
+            at += n
+
+
+def _grouped_block(batch: pa.RecordBatch) -> pa.RecordBatch:
+    words, row, place = [], [], []
+    for i, column in enumerate(batch.columns[1:]):
+        lists = pc.split_pattern(pc.utf8_trim(column, " "), " ")
+        # an empty text has one empty piece
+        flat, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+        starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        there = pc.not_equal(flat, "")
+        keep = there.to_numpy(zero_copy_only=False)
+        words.append(flat.filter(there))
+        row.append(of[keep])
+        place.append((np.arange(of.size) - starts[of] + (i << COLUMN_SHIFT))[keep])
+    coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
+    row, place, code = np.concatenate(row).astype(np.int64), np.concatenate(place), coded.indices.to_numpy().astype(np.int64)
+    group = row * max(len(coded.dictionary), 1) + code
+    # columns come in order, so a stable sort leaves places ascending
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: group.size])
+    firsts = order[cut]
+    of_row = lambda rows: np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+    inner = pa.ListArray.from_arrays(np.r_[cut, group.size].astype(np.int32), pa.array(place[order]))
+    terms = pa.ListArray.from_arrays(of_row(row[firsts]), coded.dictionary.take(pa.array(code[firsts])))
+    places = pa.ListArray.from_arrays(of_row(row[firsts]), inner)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int64)), terms, places], names=["key", "length", "terms", "places"])
+
+
 class LexicalIndex:
     """The index below a folder. Keys are the works' own; columns are text columns of what is indexed."""
 
@@ -31,20 +81,23 @@ class LexicalIndex:
 
     # ---- what is written
 
-    def _analysed(self, docs: DataFrame, segment: int) -> tuple[DataFrame, DataFrame]:
-        """Postings (bucket, term, key, segment, length, places) and works (bucket, key, segment, length, touched)."""
-        places = [self._placed(F.col(c), i << COLUMN_SHIFT) for i, c in enumerate(self.columns)]
-        words = docs.select(F.col(self.key).alias("key"), F.concat(*places).alias("_w"))
-        words = words.select("key", "_w", F.size("_w").cast("long").alias("length"))
-        terms = words.select("key", "length", F.explode("_w").alias("w")).groupBy("key", "length", F.col("w.term").alias("term")).agg(F.sort_array(F.collect_list("w.place")).alias("places"))
-        postings = terms.select(bucket_of(F.col("term"), self.buckets).alias("bucket"), "term", "key", F.lit(segment).alias("segment"), "length", "places")
-        touched = F.array_sort(F.array_distinct(F.transform("_w", lambda w: bucket_of(w["term"], self.buckets))))
-        works = words.select(bucket_of(F.col("key"), self.buckets).alias("bucket"), "key", F.lit(segment).alias("segment"), "length", touched.alias("touched"))
-        return postings, works
-
-    @staticmethod
-    def _placed(c: Column, first: int) -> Column:
-        return F.transform(tokens(c), lambda t, p: F.struct(t.alias("term"), (F.lit(first) + p).cast("long").alias("place")))
+    def _analysed(self, docs: DataFrame, segment: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Postings (bucket, term, key, segment, length, places) and works (bucket, key, segment, length, touched), and the table they read.
+
+        A work's tokens are all in its row, so they are put together there and no
+        token is shuffled by itself. (Arrow: no built-in groups within an array.)
+        """
+        plain = docs.select(F.col(self.key).alias("key"), *(F.regexp_replace(normalised(F.col(c)), NO_WORD, " ").alias(f"_t{i}") for i, c in enumerate(self.columns)))
+        found = T.StructType([plain.schema["key"], *T._parse_datatype_string("length long, terms array<string>, places array<array<bigint>>").fields])
+        bound_arrow_batches(self.spark)
+        packed = durable(plain.mapInArrow(_grouped, found))
+        posting = F.explode(F.arrays_zip("terms", "places"))
+        postings = packed.select("key", "length", posting.alias("p")).select(
+            bucket_of(F.col("p.terms"), self.buckets).alias("bucket"), F.col("p.terms").alias("term"), "key", F.lit(segment).alias("segment"), "length", F.col("p.places").alias("places")
+        )
+        touched = F.array_sort(F.array_distinct(F.transform("terms", lambda t: bucket_of(t, self.buckets))))
+        works = packed.select(bucket_of(F.col("key"), self.buckets).alias("bucket"), "key", F.lit(segment).alias("segment"), "length", touched.alias("touched"))
+        return postings, works, packed
 
     def _write(self, df: DataFrame, name: str, *order: str) -> dict[str, str]:
         """Rows by bucket, sorted, so that a term's row groups are found by their statistics; AQE splits a large bucket."""
@@ -61,8 +114,9 @@ class LexicalIndex:
     def built(self, base: Version, docs: DataFrame) -> tuple[dict, dict, dict]:
         """What a commit on base takes to index docs anew: changes, schemas and facts. The data is written."""
         segment = base.facts.get("segment", 0) + 1
-        postings, works = self._analysed(docs, segment)
+        postings, works, packed = self._analysed(docs, segment)
         paths = {"postings": self._write(postings, "postings", "term", "key"), "indexed": self._write(works, "indexed", "key")}
+        release(packed)
         changes = {name: {b: [] for b in base.tables.get(name, {})} | {b: [[segment, p]] for b, p in found.items()} for name, found in paths.items()}
         schemas = self._schemas(postings, works)
         written = [f"{self.store.root}/{p}" for p in paths["indexed"].values()]
@@ -94,8 +148,9 @@ class LexicalIndex:
         """What a commit on base takes to put docs in or take keys out, so that other tables can change with it."""
         segment = base.facts["segment"] + 1
         if docs is not None:
-            postings, works = self._analysed(docs, segment)
+            postings, works, packed = self._analysed(docs, segment)
         else:
+            packed = None
             postings = self.store.read(base, "postings", []).withColumn("bucket", F.lit(0))
             works = keys.select(F.col(self.key).alias("key")).distinct().select(
                 bucket_of(F.col("key"), self.buckets).alias("bucket"), "key", F.lit(segment).alias("segment"), F.lit(None).cast("long").alias("length"), F.array().cast("array<int>").alias("touched")
@@ -109,7 +164,7 @@ class LexicalIndex:
         changes = {}
         for name, found in (("postings", self._write(postings, "postings", "term", "key") if docs is not None else {}), ("indexed", self._write(works, "indexed", "key"))):
             changes[name] = {b: base.tables.get(name, {}).get(b, []) + [[segment, p]] for b, p in found.items()}
-        release(works)
+        release(works, *([] if packed is None else [packed]))
         return changes, {}, {"segment": segment, "rows": base.facts["rows"] - had[0] + has[0], "tokens": base.facts["tokens"] - had[1] + has[1]}
 
     def merge(self) -> Version:

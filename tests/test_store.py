@@ -138,3 +138,19 @@ def test_a_killed_upsert_changes_nothing(spark, tmp_path):
     index.upsert(fresh)
     assert index.store.vacuum(keep=1) > 0
     same_as_plain(index, spark.createDataFrame([r for r in DOCS if r[0] != "a"] + [("a", "the end", "x"), ("z", "new", "the")], schema))
+
+
+def test_tokens_are_put_together_in_their_row(spark, tmp_path):
+    """Postings of several columns, without a shuffle of single tokens."""
+    rows = [("a", "The the café", None), ("b", None, "x, the x"), ("c", "", " . "), ("d", "cafe\n" * 3, "the")]
+    docs = spark.createDataFrame(rows, "key string, s string, t string")
+    index = LexicalIndex(spark, f"{tmp_path}/i", ("s", "t"), buckets=4)
+    postings, works, *_ = index._analysed(docs, 1)
+    assert "Exchange" not in postings._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in postings._jdf.queryExecution().optimizedPlan().toString()
+    at = 1 << 32
+    assert {(r["key"], r["term"]): (r["length"], r["places"]) for r in postings.collect()} == {
+        ("a", "the"): (3, [0, 1]), ("a", "cafe"): (3, [2]), ("b", "x"): (3, [at, at + 2]), ("b", "the"): (3, [at + 1]), ("d", "cafe"): (4, [0, 1, 2]), ("d", "the"): (4, [at]),
+    }
+    assert {r["key"]: r["length"] for r in works.collect()} == {"a": 3, "b": 3, "c": 0, "d": 4}
+    assert index._analysed(docs.limit(0), 1)[0].isEmpty()
