@@ -118,7 +118,11 @@ def atom_record(xml: Column) -> Column:
 
 def csl_record(json: Column) -> Column:
     """title, authors, journal, year, doi, abstract of a CSL item; titles may be strings or arrays."""
-    v = F.try_parse_json(json)
+    return csl_fields(F.try_parse_json(json))
+
+
+def csl_fields(v: Column) -> Column:
+    """csl_record of an item that is parsed already; where that is a column of its own, it is parsed once."""
     get = lambda path, kind="string": F.try_variant_get(v, path, kind)
     either = lambda name: F.coalesce(F.try_variant_get(v, f"$['{name}'][0]", "string"), F.when(F.schema_of_variant(F.try_variant_get(v, f"$['{name}']", "variant")) == "STRING", get(f"$['{name}']")))
     people = F.try_variant_get(v, "$.author", "array<struct<family:string,given:string>>")

@@ -75,9 +75,13 @@ def resolve(inputs: DataFrame, answers: DataFrame, pdfs: DataFrame) -> DataFrame
     told = ask(told, "arxiv", F.col("arxiv"), "_feed")
     told = ask(told, "crossref", F.col("doi"), "_item")
     told = ask(told, "pubmed", F.when(F.col("kind") == "pmid", F.col("id")), "_summary")
-    feed = _as_record(pages.atom_record(F.col("_feed")), "journal")
-    of_json = lambda c: F.when(F.try_parse_json(c).isNotNull(), _as_record(pages.csl_record(pages.first_or_self(c))))
-    item, summary = of_json(F.col("_item")), of_json(F.col("_summary"))
+    # each step is a column that the next one reads several times, so that none is worked out again for every field
+    told = told.withColumns({"_iv": F.try_parse_json("_item"), "_sv": F.try_parse_json("_summary")})
+    inner = lambda v: F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
+    told = told.withColumns({"_iv": inner(F.col("_iv")), "_sv": inner(F.col("_sv"))})
+    of_json = lambda v: F.when(v.isNotNull(), _as_record(pages.csl_fields(v)))
+    told = told.withColumns({"_feed": _as_record(pages.atom_record(F.col("_feed")), "journal"), "_item": of_json(F.col("_iv")), "_summary": of_json(F.col("_sv"))}).drop("_iv", "_sv")
+    feed, item, summary = F.col("_feed"), F.col("_item"), F.col("_summary")
     # a record of PubMed that has neither title nor DOI says nothing
     summary = F.when(~((summary["title"] == "Untitled") & summary["doi"].isNull()), summary)
     as_pdf = (F.col("kind") == "path") | ((F.col("kind") == "url") & F.col("doi").isNull())

@@ -116,3 +116,15 @@ def test_nothing_comes(spark, tmp_path, tables):
     assert held.works().count() == 0 and held.outcomes().count() == 0
     assert held.add("r", spark.createDataFrame([(0, None)], "pos long, input string"), answers.limit(0), pdfs.limit(0)).select("status").collect() == [("failed",)]
     assert importing.resolve(spark.createDataFrame([], "pos long, input string"), answers, pdfs).filter(F.col("record").isNotNull()).count() == 0
+
+
+def test_an_answer_is_parsed_once(spark):
+    body = '{"title":"T","DOI":"10.1234/a","author":[{"family":"Q","given":"A"}],"issued":{"date-parts":[[2001]]}}'
+    inputs = spark.createDataFrame([(1, "10.1234/a"), (2, "10.1234/b"), (3, "10.1234/c"), (4, "10.1234/d")], "pos long, input string")
+    said = spark.createDataFrame([("crossref", "10.1234/a", body), ("crossref", "10.1234/b", f"[{body}]"), ("crossref", "10.1234/c", "{no")], importing.ANSWER)
+    told = importing.resolve(inputs, said, spark.createDataFrame([], importing.PDF))
+    # items and summaries, once each
+    assert told._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 4
+    got = {r["pos"]: r for r in told.collect()}
+    assert got[1]["record"] == got[2]["record"] and (got[1]["record"]["title"], got[1]["record"]["authors"], got[1]["record"]["year"]) == ("T", ["A Q"], 2001)
+    assert [got[i]["message"] for i in (3, 4)] == ["no record of 10.1234/c", "no record of 10.1234/d"]
