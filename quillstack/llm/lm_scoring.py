@@ -7,22 +7,25 @@ asked.  A block explodes its documents' n-grams again, takes off what the
 document itself has, scores each position by the longest n-gram that other
 documents have, and sums per document.
 
-An n-gram is known by 64-bit hashes of its words, mixed.  All 64 bits travel: a
-bucket is the remainder of the hash, and its keys are the quotients.
+An n-gram is known by 64-bit hashes of its words, mixed.  All 64 bits travel.  A
+bucket is a range of hashes, so a block's sorted n-grams lie in the order of the
+buckets; one sort of a block gives its distinct n-grams and what each row has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrowtools import answer_buckets, ask_buckets, finish_blocks, pack_blocks, shuffle_partitions, texts_of
-from .minhash import WordHashes
 
 ORDER = 3
 BACKOFF = 0.4
@@ -31,11 +34,41 @@ BLOCK_BYTES = 8 << 20
 #: The key under which every block counts all its words.
 ALL_WORDS = np.uint64(0x5851F42D4C957F2D)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_HASHES = WordHashes()
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lengths): a 64-bit hash of every word of the lower-cased texts, and how many words each text has.
+
+    Arrow takes for white space what ``str.split`` does, and leaves an empty piece where a text begins or ends with it.
+    """
+    pieces = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+    words = pieces.values
+    some = pc.binary_length(words).to_numpy() > 0
+    ends = pieces.offsets.to_numpy()
+    lengths = np.diff(np.r_[0, np.cumsum(some)][ends])
+    known = words.dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known.dictionary.to_pylist(), repeat(7)), dtype=np.uint64, count=len(known.dictionary))
+    return hashes[known.indices.to_numpy()[some]], lengths
+
+
+def ranked(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted, place): the hashes in order and where each stood; equal ones in the order of their places.
+
+    The upper bits are sorted with the place below them; hashes that agree in those bits are put right afterwards.
+    """
+    bits = np.uint64(max(1, hashes.size.bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    packed = hashes & ~low | np.arange(hashes.size, dtype=np.uint64)
+    packed.sort()
+    place = (packed & low).astype(np.int64)
+    out = hashes[place]
+    wrong = np.flatnonzero(out[1:] < out[:-1])
+    if wrong.size:
+        upper = packed & ~low
+        at = np.flatnonzero(np.isin(upper, upper[wrong]))
+        right = place[at][np.lexsort((place[at], out[at]))]
+        place[at], out[at] = right, hashes[right]
+    return out, place
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -50,16 +83,25 @@ def _from_planes(data: bytes, width: int) -> np.ndarray:
 
 
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as steps, with counts."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return zstandard.ZstdCompressor(level=1).compress(np.array([keys.size, width], dtype="<u4").tobytes() + _planes(steps, width) + _planes(counts, 4))
+    """Sorted 64-bit keys as their first one and the steps after it, with counts."""
+    steps = np.diff(keys, prepend=keys[:1])
+    widths = [max(1, -(-int(x.max(initial=0)).bit_length() // 8)) for x in (steps, counts)]
+    head = np.array([keys.size, *widths], dtype="<u4").tobytes() + keys[:1].astype("<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + _planes(steps, widths[0]) + _planes(counts, widths[1]))
 
 
 def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, width = np.frombuffer(raw, "<u4", 2).tolist()
-    return np.cumsum(_from_planes(raw[8 : 8 + width * n], width), dtype=np.uint64), _from_planes(raw[8 + width * n :], 4)
+    n, width, count_width = np.frombuffer(raw, "<u4", 3).tolist()
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    at = 20 + width * n
+    return np.cumsum(_from_planes(raw[20:at], width), dtype=np.uint64) + np.frombuffer(raw, "<u8", 1, 12), _from_planes(raw[at:], count_width)
+
+
+def bucket_starts(buckets: int) -> np.ndarray:
+    """The least hash of every bucket: ranges of all 64-bit hashes of nearly one width."""
+    return np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
 
 
 def log_scores(counts: list[np.ndarray], others: np.ndarray, nth: np.ndarray, backoff: float) -> np.ndarray:
@@ -81,11 +123,8 @@ class Grams:
     """The n-grams of a block: per order, a hash for each position that has one, and the row it is in."""
 
     def __init__(self, texts: list[str], order: int):
-        split = [words_of(t) for t in texts]
-        self.lengths = np.array(list(map(len, split)), dtype=np.int64)
-        total = int(self.lengths.sum())
-        words = np.fromiter((_HASHES[w] for ws in split for w in ws), dtype=np.uint64, count=total)
-        del split
+        words, self.lengths = word_hashes(texts)
+        total = words.size
         self.row = np.repeat(np.arange(len(texts)), self.lengths)
         #: how many words of the row stand before a position
         self.nth = np.arange(total) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
@@ -100,15 +139,38 @@ class Grams:
                 self.by_order.append(h ^ h >> np.uint64(32))
         self.has = [self.nth >= n for n in range(order)]
 
-    def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, counts, order by bucket and key, where each bucket begins)."""
-        every = np.concatenate([*(h[k] for h, k in zip(self.by_order, self.has, strict=True))])
-        hashes, counts = np.unique(every, return_counts=True)
+        #: the hashes of all n-grams, order by order
+        self.every = np.concatenate([h[k] for h, k in zip(self.by_order, self.has, strict=True)])
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, counts): the distinct n-grams, sorted, and ALL_WORDS with the number of words."""
+        hashes, counts = np.unique(self.every, return_counts=True)
         at = int(np.searchsorted(hashes, ALL_WORDS))
-        hashes, counts = np.insert(hashes, at, ALL_WORDS), np.insert(counts, at, self.row.size)
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return hashes, counts, order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return np.insert(hashes, at, ALL_WORDS), np.insert(counts, at, self.row.size)
+
+    def others(self, totals: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How many words other rows have, and how often they have each n-gram, per order and position.
+
+        ``totals`` are the totals of all rows, in the order of ``counted``.
+        """
+        hashes, place = ranked(self.every)
+        new, end = np.ones(place.size, bool), np.ones(place.size, bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        begins = np.flatnonzero(new)
+        at = int(np.searchsorted(hashes[begins], ALL_WORDS))
+        # within one order of n-grams, places are in the order of the rows
+        row = np.concatenate([self.row[k] for k in self.has])[place]
+        end[1:] = new[1:] | (row[1:] != row[:-1])
+        own = np.diff(np.flatnonzero(end), append=place.size)
+        found = np.empty(place.size)
+        found[place] = np.repeat(np.delete(totals, at), np.diff(begins, append=place.size)) - np.repeat(own, own)
+        counts, done = [], 0
+        for has in self.has:
+            n = int(has.sum())
+            counts.append(np.zeros(has.size))
+            counts[-1][has] = found[done : done + n]
+            done += n
+        return totals[at] - self.lengths[self.row], counts
 
 
 def document_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -128,13 +190,15 @@ def document_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", or
     def grams_of(table: pa.Table) -> Grams:
         return Grams([t for batch in table.to_batches() for t in texts_of(batch, text)], order)
 
+    starts = bucket_starts(buckets)
+
     def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        hashes, counts, by, begin = grams_of(table).distinct(buckets)
-        keys = hashes // np.uint64(buckets)
+        hashes, counts = grams_of(table).counted()
+        begin = [*np.searchsorted(hashes, starts).tolist(), hashes.size]
         for b in range(buckets):
-            at = by[begin[b] : begin[b + 1]]
-            if at.size:
-                yield b, pack_counts(keys[at], counts[at])
+            at = slice(begin[b], begin[b + 1])
+            if begin[b] < begin[b + 1]:
+                yield b, pack_counts(hashes[at], counts[at])
 
     def answer(asked: list[bytes]) -> list[bytes]:
         parts = [unpack_counts(x) for x in asked]
@@ -145,19 +209,10 @@ def document_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", or
 
     def finish(table: pa.Table, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         grams = grams_of(table)
-        hashes, _, by, begin = grams.distinct(buckets)
-        totals = np.zeros(hashes.size)
-        for b, blob in answers.items():
-            totals[by[begin[b] : begin[b + 1]]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u8")
+        # buckets are ranges, so their answers in order are those of the sorted n-grams
+        totals = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(answers[b]), "<u8") for b in sorted(answers)]).astype(np.float64)
         n_rows = len(grams.lengths)
-        others = totals[np.searchsorted(hashes, ALL_WORDS)] - grams.lengths[grams.row] if grams.row.size else np.zeros(0)
-        counts = []
-        for h, has in zip(grams.by_order, grams.has, strict=True):
-            found = np.zeros(grams.row.size)
-            which = np.searchsorted(hashes, h[has])
-            _, place, own = np.unique(which * n_rows + grams.row[has], return_inverse=True, return_counts=True)
-            found[has] = totals[which] - own[place]
-            counts.append(found)
+        others, counts = grams.others(totals)
         score = log_scores(counts, others, grams.nth, backoff)
         total = np.bincount(grams.row, weights=score, minlength=n_rows) if grams.row.size else np.zeros(n_rows)
         yield pa.RecordBatch.from_arrays(

@@ -193,3 +193,31 @@ def test_unknown_context_is_not_seen():
     counts = [np.array([4.0, 2.0, 3.0]), np.array([0.0, 0.0, 0.0]), np.array([0.0, 0.0, 1.0])]
     score = lm_scoring.log_scores(counts, np.full(3, 50.0), np.arange(3), 0.5)
     assert np.allclose(score, [np.log(4 / 50), np.log(2 / 50) + np.log(0.5), np.log(3 / 50) + 2 * np.log(0.5)])
+
+
+def test_one_sort_counts_a_block():
+    """What other rows have, from one sort of a block, is what counting row by row gives."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 6, n)) for n in (0, 1, 2, 40, 90, 0, 7)] + [" W1\x1cw2\x85\n w3 ", " "]
+    grams = lm_scoring.Grams(texts, 3)
+    assert grams.lengths.tolist() == [len(t.split()) for t in texts]
+    hashes, counts = grams.counted()
+    assert (np.diff(hashes.astype(object)) > 0).all() and counts[hashes == lm_scoring.ALL_WORDS].tolist() == [grams.lengths.sum()]
+    others, found = grams.others(3.0 * counts)
+    assert others.tolist() == [3 * grams.lengths.sum() - n for n in grams.lengths for _ in range(n)]
+    split = [t.lower().split() for t in texts]
+    for n, got in enumerate(found):
+        rows = [[tuple(ws[i - n : i + 1]) if i >= n else None for i in range(len(ws))] for ws in split]
+        every = [g for row in rows for g in row]
+        assert got.tolist() == [0 if g is None else 3 * every.count(g) - row.count(g) for row in rows for g in row]
+    nothing = lm_scoring.Grams([], 3)
+    assert nothing.others(np.zeros(1))[1][2].size == 0
+
+
+def test_order_of_hashes_that_agree_above():
+    r = np.random.default_rng(9)
+    hashes = r.integers(0, 3, 500).astype(np.uint64) << np.uint64(60) | r.integers(0, 9, 500).astype(np.uint64)
+    out, place = lm_scoring.ranked(hashes)
+    assert place.tolist() == np.argsort(hashes, kind="stable").tolist() and (out == hashes[place]).all()
+    starts = lm_scoring.bucket_starts(7)
+    assert starts[0] == 0 and (np.diff(starts.astype(object)) >= (1 << 64) // 7).all()
