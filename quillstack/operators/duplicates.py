@@ -75,5 +75,8 @@ def split_trash(works: DataFrame, described: DataFrame, trash: DataFrame | None
     moved = works.join(gone, "key", "left_semi")
     if trash is None:
         return kept, moved.withColumn("trash_key", F.col("key"))
-    named = free_names(moved.withColumn("_own", F.col("key")), "_own", trash.select("trash_key"), 1, "trash_key").drop("_own")
+    # names are found for keys alone; works that share a key take theirs one by one
+    nth = lambda *by: F.row_number().over(Window.partitionBy("key").orderBy(*by))
+    named = free_names(moved.select("key", F.col("key").alias("_own")), "_own", trash.select("trash_key"), 1, "trash_key")
+    named = moved.withColumn("_nth", nth(F.lit(0))).join(named.select("key", "trash_key", nth(F.length("trash_key"), "trash_key").alias("_nth")), ["key", "_nth"]).drop("_nth")
     return kept, trash.unionByName(named, allowMissingColumns=True)

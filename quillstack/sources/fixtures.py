@@ -43,7 +43,7 @@ _WORKS = """
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = _WORKS.format(first_line="split(text, '\\n')[0]", no_list="array()", list="array", text="STRING")
+    sql = _WORKS.format(first_line="substring_index(text, '\\n', 1)", no_list="array()", list="array", text="STRING")
     return spark.sql(f"SELECT {sql} FROM {{docs}}", docs=spread(table(spark, sf_dir, "documents")))
 
 

@@ -421,3 +421,25 @@ def test_a_search_counts_once(spark):
     assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     got = {r["key"]: r["length"] for r in lexical.document_lengths(docs, ("text",)).collect()}
     assert got == {r["key"]: r["n"] for r in docs.select("key", F.size(lexical.tokens(F.col("text"))).alias("n")).collect()} == {"a": 5, "b": 5, "c": 0, "d": 1}
+
+
+def test_trash_names_are_found_without_the_works(works, monkeypatch):
+    """Finding free names writes keys and no other column of a work; the works that go keep theirs."""
+    from quillstack.plans import durable as plans
+
+    w = works(work("a", title="Same"), work("b", title="same", abstract="long"), work("c", title="same", has_pdf=True))
+    described = duplicates.describe_groups(duplicates.duplicate_groups(w), w)
+    write, written = plans.durable, []
+    monkeypatch.setattr(plans, "durable", lambda df: written.append(df.columns) or write(df))
+    there = w.sparkSession.createDataFrame([("b",), ("b-1",)], "trash_key string")
+    _, gone = duplicates.split_trash(w, described, there)
+    got = {r["key"]: (r["trash_key"], r["title"], r["abstract"]) for r in gone.filter("key is not null").collect()}
+    assert got == {"a": ("a", "Same", w.filter("key = 'a'").first()["abstract"]), "b": ("b-2", "same", "long")}
+    assert written and not any("title" in columns for columns in written)
+
+
+def test_works_that_share_a_key_get_names_of_their_own(works):
+    w = works(work("a", title="x"), work("a", title="y"), work("b", title="z"))
+    gone = w.sparkSession.createDataFrame([("a", False), ("b", True)], "key string, recommended boolean")
+    _, moved = duplicates.split_trash(w, gone, w.sparkSession.createDataFrame([("a",)], "trash_key string"))
+    assert sorted(r["trash_key"] for r in moved.filter("key is not null").collect()) == ["a-1", "a-2"]
