@@ -18,12 +18,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
+_LANE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
 def bound_arrow_batches(spark: SparkSession, records: int = 1000, size: str = "4m") -> None:
@@ -62,6 +64,38 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lengths): a 64-bit hash of every word of the lower-cased texts, and how many words each text has.
+
+    Arrow takes for white space what ``str.split`` does, and leaves an empty piece where a text begins or ends with it.
+    Words of up to 64 bytes are hashed together, eight bytes at a time; longer ones by XXH64.
+    """
+    pieces = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+    words = pieces.values
+    begin = np.frombuffer(words.buffers()[1] or b"", np.int64)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(begin)
+    some = np.flatnonzero(size > 0)
+    lengths = np.diff(np.searchsorted(some, pieces.offsets.to_numpy()))
+    begin, size = begin[some], size[some].astype(np.uint64)
+    data = np.frombuffer(bytes(words.buffers()[2] or b"") + bytes(8), np.uint8)
+    eight = np.ndarray((data.size - 7,), "<u8", data, strides=(1,))
+    out = (size + np.uint64(1)) * _LANE[2]
+    longest = int(size.max(initial=0))
+    at = np.arange(some.size)
+    for lane in range(0, min(longest, 64), 8):
+        if lane:
+            at = at[size[at] > lane]
+        left = np.minimum(size[at] - np.uint64(lane), 8)
+        part = eight[begin[at] + lane] & np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8))
+        h = (out[at] ^ part) * _LANE[0]
+        h = (h ^ h >> np.uint64(32)) * _LANE[1]
+        out[at] = h ^ h >> np.uint64(29)
+    if longest > 64:
+        for i in np.flatnonzero(size > 64).tolist():
+            out[i] = xxhash.xxh64_intdigest(data[begin[i] : begin[i] + int(size[i])], 7)
+    return out, lengths
+
+
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch with further columns; an input column of the same name gives way."""
     kept = [f.name for f in batch.schema if f.name not in columns]

@@ -15,17 +15,14 @@ buckets; one sort of a block gives its distinct n-grams and what each row has.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrowtools import answer_buckets, ask_buckets, finish_blocks, pack_blocks, shuffle_partitions, texts_of
+from .arrowtools import answer_buckets, ask_buckets, finish_blocks, pack_blocks, shuffle_partitions, texts_of, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
@@ -36,21 +33,6 @@ ALL_WORDS = np.uint64(0x5851F42D4C957F2D)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, lengths): a 64-bit hash of every word of the lower-cased texts, and how many words each text has.
-
-    Arrow takes for white space what ``str.split`` does, and leaves an empty piece where a text begins or ends with it.
-    """
-    pieces = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
-    words = pieces.values
-    some = pc.binary_length(words).to_numpy() > 0
-    ends = pieces.offsets.to_numpy()
-    lengths = np.diff(np.r_[0, np.cumsum(some)][ends])
-    known = words.dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known.dictionary.to_pylist(), repeat(7)), dtype=np.uint64, count=len(known.dictionary))
-    return hashes[known.indices.to_numpy()[some]], lengths
-
-
 def ranked(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted, place): the hashes in order and where each stood; equal ones in the order of their places.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import bound_arrow_batches, map_arrow, shuffle_partitions, texts_of
+from .arrowtools import bound_arrow_batches, map_arrow, shuffle_partitions, texts_of, word_hashes
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -55,7 +55,11 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return _runs(np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words)), size)
+
+
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` word hashes; of all where there are fewer."""
     n = max(1, h.size - size + 1)
     out = np.full(n, np.uint64(min(size, h.size)))
     for i in range(min(size, h.size)):
@@ -64,6 +68,17 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of every text, as ``shingle_hashes`` takes shingles; the words of all texts are hashed together."""
+    h, lengths = word_hashes(texts)
+    runs = _runs(h, size) if h.size >= size else np.empty(0, np.uint64)
+    out, at = [], 0
+    for n in lengths.tolist():
+        out.append(np.unique(runs[at : at + n - size + 1] if n >= size else _runs(h[at : at + n], size)) if n else np.empty(0, np.uint64))
+        at += n
+    return out
+
+
 def least_values(sets: Iterable[np.ndarray], count: int) -> np.ndarray:
     """One row of PERMUTATIONS 64-bit least values for each of ``count`` sets of hashes; all ones for an empty one."""
     least = np.full((count, PERMUTATIONS), np.iinfo(np.uint64).max, dtype=np.uint64)

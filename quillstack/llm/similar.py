@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ..operators.components import connected_components
 from ..plans.durable import durable, release
 from .arrowtools import bound_arrow_batches, map_arrow, shuffle_partitions, texts_of
-from .minhash import BANDS, PERMUTATIONS, SIMILAR, least_values, shingle_hashes
+from .minhash import BANDS, PERMUTATIONS, SIMILAR, least_values, shingle_sets
 
 #: Members from which on a band is a crowd.
 CROWD = 32
@@ -56,21 +56,26 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_digest() -> Column:
+    """SHA-256 of the text, by which a set's text is found again without making the sets of all."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
+
+
 def set_rows(docs: DataFrame, key: str, shingle: int) -> DataFrame:
-    """(key, node, size, bands binary) for every row of docs (key, text)."""
+    """(key, digest, node, size, bands binary) for every row of docs (key, text); digest is that of the text."""
     bound_arrow_batches(docs.sparkSession, records=500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch, "text")]
+            sets = shingle_sets(texts_of(batch, "text"), shingle)
             bands = band_keys(least_values(sets, len(sets)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(node_of, sets), pa.binary()), pa.array([x.size for x in sets], pa.int32()), pa.array([b.tobytes() for b in bands], pa.binary())],
-                names=[key, "node", "size", "bands"],
+                [batch.column(0), batch.column(2), pa.array(map(node_of, sets), pa.binary()), pa.array([x.size for x in sets], pa.int32()), pa.array([b.tobytes() for b in bands], pa.binary())],
+                names=[key, "digest", "node", "size", "bands"],
             )
 
-    added = [T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.BinaryType())]
-    return map_arrow(docs, run, T.StructType([docs.schema[key], *added]))
+    added = [T.StructField("digest", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.BinaryType())]
+    return map_arrow(docs.select(key, "text", text_digest()), run, T.StructType([docs.schema[key], *added]))
 
 
 def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -105,15 +110,17 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             keys = batch.column(0).to_numpy()
             if not keys.size:
                 continue
-            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            size = np.diff(np.r_[cut, keys.size])
+            first = np.r_[True, keys[1:] != keys[:-1]]
+            last = np.r_[first[1:], True]
             # a node alone under its key has no candidates, but the first and the last run may go on in another batch
-            some = (size > 1) | (np.arange(cut.size) == 0) | (np.arange(cut.size) == cut.size - 1)
-            for s, n in zip(cut[some].tolist(), size[some].tolist(), strict=True):
-                if held_key is None or keys[s] != held_key:
+            some = ~(first & last)
+            some[[0, -1]] = True
+            at = pa.array(np.flatnonzero(some))
+            for k, node, n in zip(keys[some].tolist(), batch.column(1).take(at).to_pylist(), batch.column(2).take(at).to_pylist(), strict=True):
+                if k != held_key:
                     settle()
-                    held_key, crowd = int(keys[s]), False
-                held.extend(zip(batch.column(1).slice(s, n).to_pylist(), batch.column(2).slice(s, n).to_pylist(), strict=True))
+                    held_key, crowd = k, False
+                held.append((node, n))
                 if len(held) > CROWD:
                     crowd = True
                     settle()
@@ -132,30 +139,28 @@ def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): the sets of the wanted nodes."""
+    """(node, shingles): the sets of the wanted nodes (node, digest), each made from the text of that digest."""
     bound_arrow_batches(docs.sparkSession, records=500)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            rows, nodes = [], []
-            for i, t in enumerate(texts_of(batch, "text")):
-                node = node_of(np.unique(shingle_hashes(t, shingle)))
-                if node not in seen:
+            rows = []
+            for i, digest in enumerate(batch.column(0).to_pylist()):
+                if digest not in seen:
                     if len(seen) > REMEMBERED:
                         seen.clear()
-                    seen.add(node)
+                    seen.add(digest)
                     rows.append(i)
-                    nodes.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["node", "text"])
+            yield batch.take(pa.array(rows, pa.int64()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts_of(batch, "text")]
+            found = [x.tobytes() for x in shingle_sets(texts_of(batch, "text"), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    texts = map_arrow(docs.select("text"), named, "node binary, text string")
-    return map_arrow(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), sets, "node binary, shingles binary")
+    texts = map_arrow(docs.select(text_digest(), "text"), once, "digest binary, text string")
+    return map_arrow(texts.join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text")), sets, "node binary, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -177,13 +182,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> list[DataFrame]:
-    """Tables (a, b) of verified links between nodes (node, size, bands) of docs (text), written to the shared folder.
+    """Tables (a, b) of verified links between nodes (node, size, bands, digest) of docs (text), written to the shared folder.
 
     They connect whatever the similarity connects among all candidates; not every
     link of a crowd is listed.
     """
     candidates = durable(_candidates(nodes, similarity))
-    sets = durable(_sets_of(docs, candidates.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct(), shingle))
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    sets = durable(_sets_of(docs, nodes.select("node", "digest").join(wanted, "node"), shingle))
     ordered = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -305,7 +311,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     source = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
     rows = durable(set_rows(source, key, shingle))
-    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("_low"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("_low"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("digest").alias("digest")))
     links = similar_links(nodes, source, shingle, similarity)
     found = connected_components(reduce(DataFrame.unionByName, links))
     joined = nodes.select("node", "_low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

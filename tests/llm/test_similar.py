@@ -268,3 +268,21 @@ def test_few_simhash_bits_miss_similar_texts():
     apart = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() for a, b in (pair_texts(r, n, 0.8) for n in (30, 100, 1000) for _ in range(60))]
     assert sum(x <= 2 for x in apart) < 0.1 * len(apart)
     assert sorted(apart)[len(apart) // 2] >= 7
+
+
+def test_words_of_many_texts_are_hashed_together():
+    """Words are those of ``str.split``, equal words alone have equal hashes, and sets are as large as those made text by text."""
+    r = random.Random(12)
+    alphabet = "abé日\U0001f600ZİSS"
+    words = ["".join(r.choice(alphabet) for _ in range(n)) for n in (1, 1, 2, 3, 7, 8, 9, 15, 16, 17, 40, 63, 64, 65, 200) for _ in range(20)] + ["a", "a\x00", "a" * 8, "a" * 16, "a" * 64, "a" * 65]
+    texts = ["", " \n", "one"] + [" \x1c".join(r.choice(words) for _ in range(r.randrange(60))) + r.choice(["", "　", "\x85"]) for _ in range(80)]
+    hashes, lengths = minhash.word_hashes(texts)
+    split = [t.lower().split() for t in texts]
+    flat = [w for ws in split for w in ws]
+    assert lengths.tolist() == [len(ws) for ws in split] and hashes.size == len(flat)
+    assert len(set(flat)) == len(set(hashes.tolist())) == len(set(zip(flat, hashes.tolist(), strict=True)))
+    for size in (1, 5):
+        for t, got in zip(texts, minhash.shingle_sets(texts, size), strict=True):
+            assert got.size == np.unique(minhash.shingle_hashes(t, size)).size and (np.diff(got.astype(object)) > 0).all()
+    assert minhash.shingle_sets([], 5) == [] and [x.size for x in minhash.shingle_sets(["", "a b"], 5)] == [0, 1]
+    assert minhash.shingle_sets(["x y z", "a b"], 5)[1].tolist() == minhash.shingle_sets(["a b"], 5)[0].tolist()
