@@ -259,10 +259,11 @@ def keep_first(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFr
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """(key, component_id) of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Pairs of that similarity differ in 7 to 9 of 64 fingerprint bits on average and
-    one in ten of them in 12 or more, where anchors no longer tell documents apart;
-    so candidates come from MinHash bands, and each link is verified: see
-    ``similar.near_duplicates``.  Nulls, ties, repeated rows and texts without words
-    are treated as there.
+    SimHash comes first: fingerprints of five-word shingles meet at the anchors, and a
+    link whose sets have the similarity joins its documents.  Pairs of just that
+    similarity differ in 7 to 9 of 64 bits on average and one in ten of them in 12 or
+    more, where anchors no longer tell documents apart; so what the anchors leave apart
+    meets in MinHash bands, verified alike: see ``similar.near_duplicates``.  Nulls,
+    ties, repeated rows and texts without words are treated as there.
     """
-    return similar.near_duplicates(docs, key, text, shingle, similarity)
+    return similar.near_duplicates(docs, key, text, shingle, similarity, fingerprint, links)

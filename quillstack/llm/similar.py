@@ -16,7 +16,7 @@ least one in common, as far as what they share may suffice.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -61,20 +61,25 @@ def text_digest() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
 
 
-def set_rows(docs: DataFrame, key: str, shingle: int) -> DataFrame:
-    """(key, digest, node, size, bands binary) for every row of docs (key, text); digest is that of the text."""
+def set_rows(docs: DataFrame, key: str, shingle: int, fingerprint: Callable[[str, int], int] | None = None) -> DataFrame:
+    """(key, digest, node, size, bands binary) for every row of docs (key, text); digest is that of the text.
+
+    With a fingerprint of text and shingle there is a column simhash (long) as well.
+    """
     bound_arrow_batches(docs.sparkSession, records=500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(texts_of(batch, "text"), shingle)
             bands = band_keys(least_values(sets, len(sets)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(map(node_of, sets), pa.binary()), pa.array([x.size for x in sets], pa.int32()), pa.array([b.tobytes() for b in bands], pa.binary())],
-                names=[key, "digest", "node", "size", "bands"],
-            )
+            columns = [batch.column(0), batch.column(2), pa.array(map(node_of, sets), pa.binary()), pa.array([x.size for x in sets], pa.int32()), pa.array([b.tobytes() for b in bands], pa.binary())]
+            if fingerprint:
+                columns.append(pa.array(np.array([fingerprint(t, shingle) for t in texts_of(batch, "text")], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=[key, *(f.name for f in added)])
 
     added = [T.StructField("digest", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.BinaryType())]
+    if fingerprint:
+        added.append(T.StructField("simhash", T.LongType()))
     return map_arrow(docs.select(key, "text", text_digest()), run, T.StructType([docs.schema[key], *added]))
 
 
@@ -181,14 +186,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return map_arrow(both.select("a", "b", "s", "t"), run, "a binary, b binary")
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> list[DataFrame]:
+def _anchored(nodes: DataFrame, print_links: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a, b): candidates of equal or linked fingerprints: each node with the first of its fingerprint, and the first of linked ones."""
+    some = nodes.filter("size > 0").select("node", "size", "simhash")
+    lead = durable(some.groupBy("simhash").agg(F.min(F.struct("node", "size")).alias("l")).select("simhash", F.col("l.node").alias("a"), F.col("l.size").alias("m")))
+    same = some.join(lead, "simhash").select("a", F.col("node").alias("b"), "m", F.col("size").alias("n"))
+    near = print_links(lead.select("simhash")).toDF("p", "q")
+    first = near.join(lead.select(F.col("simhash").alias("p"), "a", "m"), "p")
+    linked = first.join(lead.select(F.col("simhash").alias("q"), F.col("a").alias("b"), F.col("m").alias("n")), "q").select("a", "b", "m", "n")
+    pairs = same.unionByName(linked).filter(f"a != b and least(m, n) >= {similarity} * greatest(m, n)")
+    out = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(lead)
+    return out
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, print_links: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
     """Tables (a, b) of verified links between nodes (node, size, bands, digest) of docs (text), written to the shared folder.
 
     They connect whatever the similarity connects among all candidates; not every
-    link of a crowd is listed.
+    link of a crowd is listed.  With ``print_links``, links of fingerprints (column
+    simhash), these come first, and bands are asked only for what they leave apart.
     """
     candidates = durable(_candidates(nodes, similarity))
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    anchored = _anchored(nodes, print_links, similarity) if print_links else None
+    met = candidates.select("a", "b") if anchored is None else candidates.select("a", "b").unionByName(anchored)
+    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     sets = durable(_sets_of(docs, nodes.select("node", "digest").join(wanted, "node"), shingle))
     ordered = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -198,8 +220,17 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         release(pairs)
         return out
 
-    links = [checked(candidates.filter("b is not null").select("a", "b"))]
+    pairs = candidates.filter("b is not null").select("a", "b")
     crowds = candidates.filter("b is null").select("band", F.col("a").alias("node"), "size", F.col("a").alias("component"))
+    links, found = [], None
+    if anchored is not None:
+        links.append(checked(anchored))
+        found = durable(connected_components(links[0]))
+        for end in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        pairs = pairs.filter("coalesce(_a, a) != coalesce(_b, b)").select("a", "b")
+        crowds = crowds.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links.append(checked(pairs))
 
     def probed(crowds: DataFrame, probes: int) -> DataFrame:
         """Verified links between the members of each crowd and so many of them."""
@@ -208,7 +239,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         chosen = durable(crowds.groupBy("band").agg(F.array_distinct(F.transform(F.array(*least), lambda m: F.struct(m["node"], m["size"], m["component"]))).alias("probes")))
         # a member's probes of all its crowds come together, so that each of them is met once
         met = crowds.join(chosen, "band").groupBy("node", "size", "component").agg(F.array_distinct(F.flatten(F.collect_list("probes"))).alias("probes"))
-        # without a component yet, every node is its own
+        # a node without a link yet is a component of its own
         other = F.expr(f"filter(probes, y -> y.component != component and least(y.size, size) >= {similarity} * greatest(y.size, size))")
         pairs = met.select("node", F.explode(F.transform(other, lambda y: y["node"])).alias("probe"))
         out = checked(pairs.select(F.least("node", "probe").alias("a"), F.greatest("node", "probe").alias("b")))
@@ -230,7 +261,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         pairs = rare.alias("x").join(rare.alias("y"), F.expr(f"x.shingle = y.shingle and x.component < y.component and {enough}")).select(*ordered)
         links.append(checked(pairs))
         release(members, rare)
-    release(candidates, sets)
+    release(candidates, sets, *(x for x in (anchored, found) if x is not None))
     return links
 
 
@@ -300,9 +331,12 @@ def _apart(crowds: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILAR, fingerprint: Callable[[str, int], int] | None = None, print_links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, component_id) for every row: the smallest key reached over links of the similarity.
 
+    With a fingerprint and what links fingerprints, their links are verified first
+    and join their documents; what these leave apart meets in bands.
+
     Distinct shingle sets are the nodes, so copies count once.  A pair of similarity
     0.8 meets in a band but for 5 in 10^8, whatever its length, and no link stands
     unverified.  Texts without words, null too, are alike.  Rows of a null key belong
@@ -310,9 +344,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     Repeated rows stay, each with the same id; an empty table gives no rows.
     """
     source = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
-    rows = durable(set_rows(source, key, shingle))
-    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("_low"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("digest").alias("digest")))
-    links = similar_links(nodes, source, shingle, similarity)
+    rows = durable(set_rows(source, key, shingle, fingerprint))
+    # texts of one set may differ in the order and number of their shingles, and so in their fingerprints
+    prints = [F.min("simhash").alias("simhash")] if fingerprint else []
+    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("_low"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("digest").alias("digest"), *prints))
+    links = similar_links(nodes, source, shingle, similarity, print_links if fingerprint else None)
     found = connected_components(reduce(DataFrame.unionByName, links))
     joined = nodes.select("node", "_low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = durable(joined.groupBy("component").agg(F.min("_low").alias("component_id")))

@@ -286,3 +286,22 @@ def test_words_of_many_texts_are_hashed_together():
             assert got.size == np.unique(minhash.shingle_hashes(t, size)).size and (np.diff(got.astype(object)) > 0).all()
     assert minhash.shingle_sets([], 5) == [] and [x.size for x in minhash.shingle_sets(["", "a b"], 5)] == [0, 1]
     assert minhash.shingle_sets(["x y z", "a b"], 5)[1].tolist() == minhash.shingle_sets(["a b"], 5)[0].tolist()
+
+
+def test_simhash_finds_links_without_bands(spark, monkeypatch):
+    """The stage's documents are linked by their fingerprints at the anchors, though no band brought a pair; the unlike ones that meet there are not."""
+    r = random.Random(21)
+    rows = []
+    for f in range(12):
+        words = [f"w{r.randrange(10**6)}" for _ in range(600)]
+        rows += [(2 * f, " ".join(words)), (2 * f + 1, " ".join([*words, f"x{f}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {k: simhash.fingerprint(t, 5) for k, t in rows}
+    near = {k for k in prints if (prints[k] ^ prints[k ^ 1]).bit_count() <= 2}
+    assert len(near) > 12
+    monkeypatch.setattr(similar, "_candidates", lambda nodes, similarity: spark.createDataFrame([], "band long, a binary, b binary, size int"))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs).collect()}
+    assert got == {k: k & ~1 if k in near else k for k in prints}
+    # where all texts have one fingerprint, each is held against the first, and what the sets don't bear out is no link
+    got = {x["doc_id"]: x["component_id"] for x in similar.near_duplicates(docs, fingerprint=lambda t, n: 5, print_links=simhash.links).collect()}
+    assert all(v in (k, k & ~1) for k, v in got.items()) and sum(v != k for k, v in got.items()) == 1
