@@ -34,6 +34,8 @@ from .arrowtools import bound_arrow_batches, map_arrow, texts_of, with_columns
 
 #: Labelled rows that a model is fitted on at most.
 FIT_ROWS = 16_000
+#: Distinct contexts from which on a worker passes on what it holds.
+HELD_CONTEXTS = 200_000
 #: Words of the ordinary dictionary, fragments of the toxic one, and what a fragment has to show.
 ORDINARY_WORDS, TOXIC_FRAGMENTS = 6_000, 400
 LEAST_CONTEXTS, LEAST_RATIO, LEAST_EVIDENCE = 4, 3.0, 20.0
@@ -100,6 +102,8 @@ def features_of(texts: list[str], compressors: list[zstandard.ZstdCompressor]) -
 
 
 def _feature_frame(rows: DataFrame, model: Model, label: str, text: str) -> DataFrame:
+    bound_arrow_batches(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
         for batch in batches:
@@ -111,16 +115,24 @@ def _feature_frame(rows: DataFrame, model: Model, label: str, text: str) -> Data
 
 def _contexts(rows: DataFrame, label: str, text: str) -> DataFrame:
     """(label, before, word): the distinct contexts of every word."""
+    bound_arrow_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, str, str]] = set()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["label", "before", "word"])
+
         for batch in batches:
-            found = set()
             labels = batch.column(batch.schema.get_field_index(label)).to_pylist()
             for y, t in zip(labels, texts_of(batch, text), strict=True):
                 words = words_of(t)
                 found.update(zip([y] * len(words), ["", *words[:-1]], words, strict=True))
-            cols = list(zip(*found, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["label", "before", "word"])
+                if len(found) >= HELD_CONTEXTS:
+                    yield out()
+                    found.clear()
+        yield out()
 
     return map_arrow(rows, run, "label int, before string, word string").distinct()
 

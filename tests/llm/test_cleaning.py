@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,24 @@ def test_toxicity(spark, edge, edge_rows, nothing):
     assert toxicity.scores(edge, untrained).agg(F.max("score")).first()[0] == 0.0
 
 
+def test_fit_holds_little(spark, monkeypatch):
+    """A fit takes its texts in bounded batches, whatever ran in the session before, and passes contexts on before they are many."""
+    runs = []
+    monkeypatch.setattr(toxicity, "map_arrow", lambda df, run, schema, real=toxicity.map_arrow: runs.append(run) or real(df, run, schema))
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "64m"}
+    for name, value in bounds.items():
+        spark.conf.set(name, value)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    toxicity.train(spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "toxic int, text string"))
+    assert [spark.conf.get(name) for name in bounds] == ["1000", "4m"]
+    monkeypatch.setattr(toxicity, "HELD_CONTEXTS", 100)
+    batch = pa.RecordBatch.from_pydict({"label": [i % 2 for i in range(30)], "text": texts})
+    parts = [b.to_pylist() for b in runs[0](iter([batch, batch]))]
+    assert max(map(len, parts)) <= 100 + 40
+    got = {(x["label"], x["before"], x["word"]) for p in parts for x in p}
+    assert got == {(i % 2, b, w) for i, t in enumerate(texts) for b, w in zip(["", *t.split()], t.split(), strict=False)}
+
+
 def test_held_out_rows_teach_nothing(spark):
     """Labels of held-out rows may say anything."""
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
